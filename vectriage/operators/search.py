@@ -162,12 +162,16 @@ def time_weighted_search(base: DataFrame, queries: DataFrame, as_of, k: int = 20
                          half_days: float = 30.0, **opts) -> DataFrame:
     """similarity * exp(-age_days / 30); age in whole 24-hour days."""
     res = search(base, queries, k, payload=["title", "created_at"], **opts)
-    age = F.timestampdiff("DAY", F.col("created_at"), F.lit(as_of).cast("timestamp_ntz"))
+    as_of_ts = F.lit(as_of).cast("timestamp_ntz")
+    # whole 24-hour days, not calendar-date differences
+    age = F.expr("timestampdiff(DAY, created_at, _as_of)")
+    res = res.withColumn("_as_of", as_of_ts)
     res = (res.withColumn("similarity_pct", similarity_pct(F.col("distance")))
               .withColumn("age_days", age.cast("long"))
               .withColumn("time_weighted_score", round_half_away(
                   (F.lit(1.0) - F.col("distance")) * 100.0
-                  * F.exp(-F.col("age_days").cast("double") / F.lit(half_days)), 2)))
+                  * F.exp(-F.col("age_days").cast("double") / F.lit(half_days)), 2))
+              .drop("_as_of"))
     w = Window.partitionBy("query_id").orderBy(F.desc("time_weighted_score"), "rank")
     return (res.withColumn("score_rank", F.row_number().over(w).cast("long"))
                .where(F.col("score_rank") <= limit))

@@ -126,3 +126,92 @@ def with_ctes(*ctes: str) -> str:
 
 def sim(expr_distance: str = "distance", digits: int = 2) -> str:
     return rha(f"((1.0 - {expr_distance}) * 100.0)", digits)
+
+
+def dbl(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def units(expr_distance: str, digits: int) -> str:
+    """similarity percent * 10^digits as an exact BIGINT (mirrors ``_pct_units``)."""
+    x = f"((1.0 - {expr_distance}) * 100.0)"
+    return f"CAST(sign({x}) * floor(abs({x}) * {float(10 ** digits)} + 0.5) AS BIGINT)"
+
+
+def avg_units(col: str, digits: int) -> str:
+    return f"(CAST(sum({col}) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * {float(10 ** digits)}))"
+
+
+def recommend_ctes(nn: str, k: int, max_distance=0.30, weights=(0.3, 15.0, 0.5), sim_digits: int = 2,
+                   avg_digits: int = 2, top_n: int = 1, n_examples: int = 3, min_satisfaction: int = 4,
+                   prefix: str = "r") -> str:
+    """CTEs ``{prefix}_out(query_id, solution_rank, resolution, frequency, avg_*,
+    confidence_score, example_ids)`` with one row per ticket query."""
+    w1, w2, w3 = weights
+    cut = f" AND nn.distance < {max_distance}" if max_distance is not None else ""
+    return f"""{prefix}_sim AS (
+  SELECT nn.query_id, b.ticket_id, b.title, b.resolution, b.satisfaction_score, b.resolution_time_hours,
+         nn.distance, {sim('nn.distance', sim_digits)} AS similarity_pct, {units('nn.distance', sim_digits)} AS units
+  FROM {nn} nn JOIN tickets b ON b.ticket_id = nn.neighbor_id
+  WHERE nn.rank <= {k} AND b.status = 'resolved' AND b.resolution IS NOT NULL
+    AND b.satisfaction_score >= {min_satisfaction}{cut}),
+{prefix}_g AS (
+  SELECT query_id, resolution, count(*) AS frequency,
+         CAST(sum(satisfaction_score) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_sat,
+         avg(resolution_time_hours) AS avg_time, {avg_units('units', sim_digits)} AS avg_sim
+  FROM {prefix}_sim GROUP BY query_id, resolution),
+{prefix}_s AS (
+  SELECT query_id, resolution, frequency, {rha('avg_sat', avg_digits)} AS avg_satisfaction,
+         {rha('avg_time', avg_digits)} AS avg_resolution_hours, {rha('avg_sim', avg_digits)} AS avg_similarity_pct,
+         CASE WHEN avg_time IS NOT NULL THEN {rha(f"((CAST(frequency AS DOUBLE) * {dbl(w1)} + avg_sat * {dbl(w2)} + avg_sim * {dbl(w3)}) / (greatest(avg_time, {dbl(1.0)}) * {dbl(0.1)}))", 2)} END AS confidence_score
+  FROM {prefix}_g),
+{prefix}_best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+      ORDER BY confidence_score DESC NULLS LAST, frequency DESC, resolution) AS solution_rank
+  FROM {prefix}_s QUALIFY solution_rank <= {top_n}),
+{prefix}_ev AS (
+  SELECT query_id, resolution, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY pos) AS example_ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, resolution
+                                     ORDER BY similarity_pct DESC, ticket_id) AS pos FROM {prefix}_sim)
+  WHERE pos <= {n_examples} GROUP BY query_id, resolution),
+{prefix}_out AS (
+  SELECT q.ticket_id AS query_id, CAST(coalesce(x.solution_rank, 1) AS BIGINT) AS solution_rank, x.resolution,
+         CAST(coalesce(x.frequency, 0) AS BIGINT) AS frequency, x.avg_satisfaction, x.avg_resolution_hours,
+         x.avg_similarity_pct,
+         CASE WHEN x.resolution IS NULL THEN 0.0 ELSE x.confidence_score END AS confidence_score,
+         coalesce(ev.example_ids, '') AS example_ids
+  FROM tickets q LEFT JOIN {prefix}_best x ON x.query_id = q.ticket_id
+       LEFT JOIN {prefix}_ev ev ON ev.query_id = x.query_id AND ev.resolution = x.resolution)"""
+
+
+def categorize_ctes(nn: str, k: int, prefix: str = "c") -> str:
+    """CTE ``{prefix}_out`` with the categorisation columns, one row per ticket query."""
+    return f"""{prefix}_s AS (
+  SELECT nn.query_id, b.category, b.priority, {units('nn.distance', 2)} AS units
+  FROM {nn} nn JOIN tickets b ON b.ticket_id = nn.neighbor_id WHERE nn.rank <= {k}),
+{prefix}_c AS (
+  SELECT query_id, category, count(*) AS votes, {avg_units('units', 2)} AS a FROM {prefix}_s GROUP BY query_id, category),
+{prefix}_cb AS (
+  SELECT query_id, category, votes, {rha('a', 2)} AS category_similarity,
+         {rha("(CAST(votes AS DOUBLE) * 100.0 / CAST(sum(votes) OVER (PARTITION BY query_id) AS DOUBLE))", 2)} AS category_confidence
+  FROM {prefix}_c
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, {rha('a', 2)} DESC, category) = 1),
+{prefix}_p AS (
+  SELECT query_id, priority, count(*) AS votes, {avg_units('units', 2)} AS a FROM {prefix}_s GROUP BY query_id, priority),
+{prefix}_pb AS (
+  SELECT query_id, priority, votes, {rha('a', 2)} AS priority_similarity FROM {prefix}_p
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, {rha('a', 2)} DESC, priority) = 1),
+{prefix}_out AS (
+  SELECT q.ticket_id AS query_id, coalesce(cb.category, 'Unknown') AS category,
+         CAST(coalesce(cb.votes, 0) AS BIGINT) AS category_votes,
+         coalesce(cb.category_similarity, 0.0) AS category_similarity,
+         coalesce(cb.category_confidence, 0.0) AS category_confidence,
+         coalesce(pb.priority, 'medium') AS priority, CAST(coalesce(pb.votes, 0) AS BIGINT) AS priority_votes,
+         coalesce(pb.priority_similarity, 0.0) AS priority_similarity
+  FROM tickets q LEFT JOIN {prefix}_cb cb ON cb.query_id = q.ticket_id
+       LEFT JOIN {prefix}_pb pb ON pb.query_id = q.ticket_id)"""
+
+
+def tickets_knn(k: int, name: str = "nn", metric: str = "cosine", base_where: str = "TRUE",
+                anchors: str = "tickets") -> str:
+    return topk_cte(name, "tickets", "ticket_id", anchors, "ticket_id", k, metric, base_where)

@@ -66,3 +66,372 @@ REVIEWS_WITH = O.with_ctes(O.RAW_REVIEWS, O.REVIEWS)
 @register("reviews_enrich", REVIEWS_WITH + "SELECT * FROM reviews")
 def q_reviews_enrich(spark, sf_dir):
     return reviews(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- search
+
+def _tickets(spark, sf_dir):
+    return tickets_fx(spark, sf_dir)
+
+
+def _r6(c="distance"):
+    return round_half_away(c, 6).alias("distance")
+
+
+TK = O.TICKETS
+SIMILAR_PAYLOAD = ["title", "description", "category", "priority", "status", "resolution",
+                   "satisfaction_score", "resolution_time_hours", "created_at"]
+
+
+@register("find_similar", O.with_ctes(TK, O.tickets_knn(5)) + f"""
+SELECT nn.query_id, nn.rank, b.ticket_id, {', '.join('b.' + c for c in SIMILAR_PAYLOAD)},
+       {O.rha('nn.distance', 6)} AS distance, {O.sim('nn.distance', 2)} AS similarity_score
+FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id""")
+def q_find_similar(spark, sf_dir):
+    from vectriage.operators.search import find_similar
+    t = _tickets(spark, sf_dir)
+    res = find_similar(t, ticket_queries(t), 5, payload=SIMILAR_PAYLOAD)
+    return res.select("query_id", "rank", "ticket_id", *SIMILAR_PAYLOAD, _r6(), "similarity_score")
+
+
+FILTERS = {"status": "resolved", "category": ["cat1", "cat2", "cat3"]}
+_FILTER_SQL = "b.status = 'resolved' AND b.category IN ('cat1', 'cat2', 'cat3')"
+
+
+@register("filtered_search", O.with_ctes(TK, O.tickets_knn(5, base_where=_FILTER_SQL)) + f"""
+SELECT nn.query_id, nn.rank, b.ticket_id, b.title, b.category, b.status,
+       {O.rha('nn.distance', 6)} AS distance, {O.sim('nn.distance', 2)} AS similarity_score
+FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id""")
+def q_filtered_search(spark, sf_dir):
+    from vectriage.operators.search import find_similar
+    t = _tickets(spark, sf_dir)
+    res = find_similar(t, ticket_queries(t), 5, filters=FILTERS, payload=["title", "category", "status"])
+    return res.select("query_id", "rank", "ticket_id", "title", "category", "status", _r6(), "similarity_score")
+
+
+@register("filtered_search_post", O.with_ctes(TK, O.tickets_knn(10)) + f"""
+SELECT query_id, rank, ticket_id, title, category, status, {O.rha('distance', 6)} AS distance,
+       {O.sim('distance', 2)} AS similarity_score
+FROM (SELECT nn.query_id, CAST(row_number() OVER (PARTITION BY nn.query_id ORDER BY nn.rank) AS BIGINT) AS rank,
+             b.ticket_id, b.title, b.category, b.status, nn.distance
+      FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id WHERE {_FILTER_SQL})
+WHERE rank <= 5""")
+def q_filtered_search_post(spark, sf_dir):
+    from vectriage.operators.search import find_similar
+    t = _tickets(spark, sf_dir)
+    res = find_similar(t, ticket_queries(t), 5, filters=FILTERS, filter_mode="post", overfetch=2,
+                       payload=["title", "category", "status"])
+    return res.select("query_id", "rank", "ticket_id", "title", "category", "status", _r6(), "similarity_score")
+
+
+@register("filtered_search_resolved", O.with_ctes(TK, O.tickets_knn(10)) + f"""
+SELECT query_id, rank, ticket_id, title, category, resolution, satisfaction_score,
+       {O.rha('distance', 6)} AS distance, {O.sim('distance', 2)} AS similarity_score_pct
+FROM (SELECT nn.query_id, CAST(row_number() OVER (PARTITION BY nn.query_id ORDER BY nn.rank) AS BIGINT) AS rank,
+             b.ticket_id, b.title, b.category, b.resolution, b.satisfaction_score, nn.distance
+      FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id
+      WHERE b.status = 'resolved' AND b.resolution IS NOT NULL AND b.satisfaction_score >= 4)
+WHERE rank <= 5""")
+def q_filtered_search_resolved(spark, sf_dir):
+    from vectriage.operators.search import filtered_search_resolved
+    t = _tickets(spark, sf_dir)
+    res = filtered_search_resolved(t, ticket_queries(t), 10, 5)
+    return res.select("query_id", "rank", "ticket_id", "title", "category", "resolution", "satisfaction_score",
+                      _r6(), "similarity_score_pct")
+
+
+@register("batch_search", O.with_ctes(TK, O.tickets_knn(3)) + f"""
+SELECT nn.query_id, q.title || ' ' || q.description AS query_text, nn.rank, b.ticket_id, b.title, b.category,
+       {O.rha('nn.distance', 6)} AS distance, {O.sim('nn.distance', 2)} AS similarity_pct
+FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id JOIN tickets q ON q.ticket_id = nn.query_id""")
+def q_batch_search(spark, sf_dir):
+    from vectriage.operators.search import batch_search
+    t = _tickets(spark, sf_dir)
+    queries = t.select(F.col("ticket_id").alias("query_id"),
+                       F.concat(F.col("title"), F.lit(" "), F.col("description")).alias("query_text"),
+                       "embedding")
+    res = batch_search(t, queries, 3)
+    return res.select("query_id", "query_text", "rank", "ticket_id", "title", "category", _r6(), "similarity_pct")
+
+
+_SIM5 = " ".join(f"WHEN s >= {v} THEN '{lab}'" for v, lab in
+                 ((90.0, "Nearly identical"), (80.0, "Very similar"), (70.0, "Similar"), (60.0, "Somewhat related")))
+
+
+@register("similarity_bands", O.with_ctes(TK, O.tickets_knn(5)) + f"""
+SELECT query_id, rank, ticket_id, s AS similarity_score,
+       CASE {_SIM5} ELSE 'Different' END AS similarity_band,
+       CASE WHEN s >= 80.0 THEN 'high' WHEN s >= 60.0 THEN 'medium' ELSE 'low' END AS similarity_marker
+FROM (SELECT nn.query_id, nn.rank, nn.neighbor_id AS ticket_id, {O.sim('nn.distance', 2)} AS s FROM nn)""")
+def q_similarity_bands(spark, sf_dir):
+    from vectriage.operators.search import find_similar, with_similarity_bands
+    t = _tickets(spark, sf_dir)
+    res = with_similarity_bands(find_similar(t, ticket_queries(t), 5))
+    return res.select("query_id", "rank", "ticket_id", "similarity_score", "similarity_band", "similarity_marker")
+
+
+MF_CATS = ("cat1", "cat2")
+MF_TAG = "urgent"
+
+
+@register("multi_field_search", O.with_ctes(TK, O.tickets_knn(20)) + f"""
+SELECT * FROM (
+  SELECT nn.query_id, nn.rank, b.ticket_id, b.title, b.category, {O.rha('nn.distance', 6)} AS semantic_distance,
+    CASE WHEN b.category IN ('cat1', 'cat2') THEN 0.1::DOUBLE WHEN list_contains(b.tags, 'urgent') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+      AS category_boost,
+    {O.rha("((1.0 - nn.distance) * 100.0 + CASE WHEN b.category IN ('cat1', 'cat2') THEN 10.0 ELSE 0.0 END + CASE WHEN list_contains(b.tags, 'urgent') THEN 15.0 ELSE 0.0 END)", 2)} AS final_score
+  FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id)
+QUALIFY CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rank) AS BIGINT) <= 10""")
+def q_multi_field_search(spark, sf_dir):
+    from vectriage.operators.search import multi_field_search
+    t = _tickets(spark, sf_dir)
+    res = multi_field_search(t, ticket_queries(t), 20, 10, boost_categories=MF_CATS, boost_tag=MF_TAG)
+    return res.select("query_id", "rank", "ticket_id", "title", "category",
+                      round_half_away("semantic_distance", 6).alias("semantic_distance"),
+                      "category_boost", "final_score")
+
+
+_AGE = f"CAST(date_sub('day', b.created_at, {O.AS_OF}) AS BIGINT)"
+
+
+@register("time_weighted_search", O.with_ctes(TK, O.tickets_knn(20)) + f"""
+SELECT * FROM (
+  SELECT nn.query_id, nn.rank, b.ticket_id, b.title, b.created_at, {O.rha('nn.distance', 6)} AS distance,
+         {O.sim('nn.distance', 2)} AS similarity_pct, {_AGE} AS age_days,
+         {O.rha(f"((1.0 - nn.distance) * 100.0 * exp(-CAST({_AGE} AS DOUBLE) / 30.0))", 2)} AS time_weighted_score
+  FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY time_weighted_score DESC, rank) <= 10""")
+def q_time_weighted_search(spark, sf_dir):
+    from vectriage.operators.search import time_weighted_search
+    t = _tickets(spark, sf_dir)
+    res = time_weighted_search(t, ticket_queries(t), TICKETS_AS_OF, 20, 10)
+    return res.select("query_id", "rank", "ticket_id", "title", "created_at", _r6(), "similarity_pct",
+                      "age_days", "time_weighted_score")
+
+
+MFS_CATEGORY, MFS_DAYS = "cat3", 365
+
+
+@register("multi_factor_search", O.with_ctes(TK, O.tickets_knn(20)) + f"""
+SELECT * FROM (
+  SELECT nn.query_id, nn.rank, b.ticket_id, b.title, b.category, b.priority, b.created_at, b.satisfaction_score,
+         {O.rha('nn.distance', 6)} AS distance, {O.sim('nn.distance', 1)} AS semantic_similarity,
+         {O.rha("((1.0 - nn.distance) * 80.0 + CASE b.priority WHEN 'high' THEN 15.0 WHEN 'medium' THEN 10.0 ELSE 5.0 END + coalesce(CAST(b.satisfaction_score AS DOUBLE), 0.0))", 1)} AS composite_score
+  FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id
+  WHERE b.category = '{MFS_CATEGORY}' AND b.created_at >= {O.AS_OF} - INTERVAL {MFS_DAYS} DAYS)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY composite_score DESC, rank) <= 10""")
+def q_multi_factor_search(spark, sf_dir):
+    from vectriage.operators.search import multi_factor_search
+    t = _tickets(spark, sf_dir)
+    res = multi_factor_search(t, ticket_queries(t), TICKETS_AS_OF, MFS_CATEGORY, MFS_DAYS, 20, 10)
+    return res.select("query_id", "rank", "ticket_id", "title", "category", "priority", "created_at",
+                      "satisfaction_score", _r6(), "semantic_similarity", "composite_score")
+
+
+# ---------------------------------------------------------------- triage
+
+REC_DISTANCE = 0.75  # the reference 0.30 only ever matches the query ticket itself here
+
+
+def _examples(c="example_tickets"):
+    return F.array_join(F.transform(c, lambda x: x["ticket_id"].cast("string")), ",").alias("example_ids")
+
+
+def _rec_key(key, max_distance, weights, sim_digits, avg_digits, top_n):
+    sql = O.with_ctes(TK, O.tickets_knn(20), O.recommend_ctes(
+        "nn", 20, max_distance, weights, sim_digits, avg_digits, top_n)) + "SELECT * FROM r_out"
+
+    @register(key, sql)
+    def run(spark, sf_dir):
+        from vectriage.operators.triage import recommend
+        t = _tickets(spark, sf_dir)
+        res = recommend(t, ticket_queries(t), 20, max_distance=max_distance, weights=weights,
+                        sim_digits=sim_digits, avg_digits=avg_digits, top_n=top_n)
+        return res.select("query_id", "solution_rank", "resolution", "frequency", "avg_satisfaction",
+                          "avg_resolution_hours", "avg_similarity_pct", "confidence_score", _examples())
+    return run
+
+
+_rec_key("recommend_solution", REC_DISTANCE, (0.3, 15.0, 0.5), 2, 2, 1)
+_rec_key("recommend_solution_v2", None, (0.4, 20.0, 0.4), 2, 2, 3)
+_rec_key("recommend_solution_v3", REC_DISTANCE, (0.3, 15.0, 0.5), 1, 1, 1)
+
+
+@register("recommend_bands", O.with_ctes(TK, O.tickets_knn(20), O.recommend_ctes("nn", 20, REC_DISTANCE)) + """
+SELECT query_id, resolution, confidence_score,
+       CASE WHEN confidence_score >= 80.0 THEN 'HIGH' WHEN confidence_score >= 60.0 THEN 'MEDIUM'
+            WHEN confidence_score >= 40.0 THEN 'LOW' ELSE 'VERY LOW' END AS confidence_band
+FROM r_out""")
+def q_recommend_bands(spark, sf_dir):
+    from vectriage.functions.bands import confidence_band
+    from vectriage.operators.triage import recommend
+    t = _tickets(spark, sf_dir)
+    res = recommend(t, ticket_queries(t), 20, max_distance=REC_DISTANCE)
+    return res.select("query_id", "resolution", "confidence_score",
+                      confidence_band(F.col("confidence_score")).alias("confidence_band"))
+
+
+@register("auto_categorize", O.with_ctes(TK, O.tickets_knn(10), O.categorize_ctes("nn", 10)) + "SELECT * FROM c_out")
+def q_auto_categorize(spark, sf_dir):
+    from vectriage.operators.triage import categorize
+    t = _tickets(spark, sf_dir)
+    return categorize(t, ticket_queries(t), 10)
+
+
+@register("category_votes", O.with_ctes(TK, O.tickets_knn(10)) + f"""
+SELECT query_id, category, vote_count, avg_similarity_pct,
+       {O.rha("(CAST(vote_count AS DOUBLE) * 100.0 / CAST(sum(vote_count) OVER (PARTITION BY query_id) AS DOUBLE))", 2)} AS confidence_pct,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY vote_count DESC, avg_similarity_pct DESC, category) AS BIGINT) AS category_rank
+FROM (SELECT nn.query_id, b.category, CAST(count(*) AS BIGINT) AS vote_count,
+             {O.rha('(avg(1.0 - nn.distance) * 100.0)', 2)} AS avg_similarity_pct
+      FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id GROUP BY nn.query_id, b.category)
+QUALIFY category_rank <= 3""")
+def q_category_votes(spark, sf_dir):
+    from vectriage.operators.triage import category_votes
+    t = _tickets(spark, sf_dir)
+    return category_votes(t, ticket_queries(t), 10, 3).select(
+        "query_id", "category", "vote_count", "avg_similarity_pct", "confidence_pct", "category_rank")
+
+
+_TRIAGE_SQL = O.with_ctes(TK, O.tickets_knn(20), O.categorize_ctes("nn", 10), O.recommend_ctes("nn", 20), """
+sim5 AS (SELECT query_id, string_agg(CAST(neighbor_id AS VARCHAR), ',' ORDER BY rank) AS similar_ids
+         FROM nn WHERE rank <= 5 GROUP BY query_id),
+tri AS (
+  SELECT q.ticket_id AS query_id, coalesce(s.similar_ids, '') AS similar_ids, c.category, c.category_confidence,
+         c.priority, r.resolution AS solution, r.confidence_score AS confidence,
+         r.frequency AS similar_ticket_count, CAST(NULL AS VARCHAR) AS error
+  FROM tickets q LEFT JOIN sim5 s ON s.query_id = q.ticket_id JOIN c_out c ON c.query_id = q.ticket_id
+       JOIN r_out r ON r.query_id = q.ticket_id)""")
+
+
+def _triage(spark, sf_dir):
+    from vectriage.operators.triage import triage
+    t = _tickets(spark, sf_dir)
+    return triage(t, ticket_queries(t))
+
+
+@register("batch_triage", _TRIAGE_SQL + "SELECT * FROM tri")
+def q_batch_triage(spark, sf_dir):
+    res = _triage(spark, sf_dir)
+    return res.select("query_id",
+                      F.array_join(F.transform("similar_tickets", lambda x: x["ticket_id"].cast("string")), ",")
+                       .alias("similar_ids"),
+                      "category", "category_confidence", "priority", "solution", "confidence",
+                      "similar_ticket_count", "error")
+
+
+@register("triage_summary", _TRIAGE_SQL + """
+SELECT query_id, CASE WHEN solution IS NOT NULL THEN 'auto-resolve' ELSE 'manual review' END AS action,
+       category || ' team' AS route_to, priority, solution,
+       CASE WHEN solution IS NOT NULL THEN confidence END AS confidence,
+       CASE WHEN solution IS NOT NULL THEN
+         CASE WHEN confidence >= 80.0 THEN 'HIGH' WHEN confidence >= 60.0 THEN 'MEDIUM'
+              WHEN confidence >= 40.0 THEN 'LOW' ELSE 'VERY LOW' END END AS confidence_band
+FROM tri""")
+def q_triage_summary(spark, sf_dir):
+    from vectriage.operators.triage import triage_summary
+    return triage_summary(_triage(spark, sf_dir))
+
+
+PT_MIN_SIMILARITY = 0.30
+
+
+@register("production_triage", O.with_ctes(TK, O.tickets_knn(20), f"""
+s AS (SELECT nn.query_id, b.*, {O.sim('nn.distance', 1)} AS similarity_score, {O.units('nn.distance', 1)} AS units
+      FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id WHERE (1.0 - nn.distance) >= {PT_MIN_SIMILARITY}),
+cv AS (SELECT query_id, category, CAST(count(*) AS BIGINT) AS votes, {O.rha(O.avg_units('units', 1), 1)} AS avg_similarity
+       FROM s GROUP BY query_id, category
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, avg_similarity DESC, category) = 1),
+bs AS (SELECT query_id, resolution, CAST(count(*) AS BIGINT) AS frequency,
+              CAST(sum(satisfaction_score) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS sat,
+              avg(resolution_time_hours) AS tm
+       FROM s WHERE status = 'resolved' AND resolution IS NOT NULL AND satisfaction_score >= 4
+       GROUP BY query_id, resolution
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, sat DESC, tm ASC NULLS LAST, resolution) = 1),
+ex AS (SELECT query_id, string_agg(CAST(ticket_id AS VARCHAR), ',' ORDER BY pos) AS similar_ids
+       FROM (SELECT query_id, ticket_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, ticket_id) AS pos FROM s)
+       WHERE pos <= 5 GROUP BY query_id)""") + f"""
+SELECT q.ticket_id AS query_id, cv.category AS suggested_category, cv.votes AS category_confidence_votes,
+       bs.resolution AS recommended_solution, bs.frequency AS solution_frequency,
+       {O.rha('bs.sat', 1)} AS solution_satisfaction, {O.rha('bs.tm', 1)} AS solution_avg_hours,
+       coalesce(ex.similar_ids, '') AS similar_ids, {O.AS_OF} AS triage_timestamp
+FROM tickets q LEFT JOIN cv ON cv.query_id = q.ticket_id LEFT JOIN bs ON bs.query_id = q.ticket_id
+     LEFT JOIN ex ON ex.query_id = q.ticket_id""")
+def q_production_triage(spark, sf_dir):
+    from vectriage.operators.triage import triage_one_pass
+    t = _tickets(spark, sf_dir)
+    res = triage_one_pass(t, ticket_queries(t), TICKETS_AS_OF, k=20, min_similarity=PT_MIN_SIMILARITY)
+    return res.select("query_id", "suggested_category", "category_confidence_votes", "recommended_solution",
+                      "solution_frequency", "solution_satisfaction", "solution_avg_hours",
+                      F.array_join(F.transform("similar_historical_tickets",
+                                               lambda x: x["ticket_id"].cast("string")), ",").alias("similar_ids"),
+                      "triage_timestamp")
+
+
+# ---------------------------------------------------------------- trends
+
+TREND_DAYS = 365
+
+
+def _pairs_sql(k, max_distance, days=TREND_DAYS):
+    return O.with_ctes(TK, f"""recent AS (SELECT * FROM tickets WHERE created_at >= {O.AS_OF} - INTERVAL {days} DAYS)""",
+                       O.tickets_knn(k, anchors="recent"), f"""
+pairs AS (SELECT a.ticket_id AS anchor_id, a.title AS anchor_title, a.created_at AS anchor_date,
+                 b.ticket_id AS neighbor_id, b.title AS neighbor_title, b.created_at AS neighbor_date, nn.distance
+          FROM nn JOIN recent a ON a.ticket_id = nn.query_id JOIN tickets b ON b.ticket_id = nn.neighbor_id
+          WHERE nn.distance < {max_distance} AND nn.neighbor_id <> nn.query_id)""")
+
+
+def _titles_sql(by_date: bool) -> str:
+    order = "max(neighbor_date) DESC, neighbor_title" if by_date else "neighbor_title"
+    return f"""(SELECT anchor_title, string_agg(neighbor_title, '|' ORDER BY pos) AS titles FROM (
+      SELECT anchor_title, neighbor_title, row_number() OVER (PARTITION BY anchor_title ORDER BY {order}) AS pos
+      FROM pairs GROUP BY anchor_title, neighbor_title) WHERE pos <= 5 GROUP BY anchor_title)"""
+
+
+@register("trending_issues", _pairs_sql(10, 0.70) + f"""
+SELECT s.anchor_title AS representative_issue, s.cluster_size, s.first_occurrence, s.last_occurrence,
+       t.titles AS similar_issues
+FROM (SELECT anchor_title, CAST(count(DISTINCT neighbor_id) AS BIGINT) AS cluster_size,
+             min(anchor_date) AS first_occurrence, max(neighbor_date) AS last_occurrence
+      FROM pairs GROUP BY anchor_title HAVING count(DISTINCT neighbor_id) >= 3) s
+JOIN {_titles_sql(True)} t ON t.anchor_title = s.anchor_title
+ORDER BY cluster_size DESC, last_occurrence DESC, representative_issue LIMIT 10""")
+def q_trending_issues(spark, sf_dir):
+    from vectriage.operators.trends import trending
+    t = _tickets(spark, sf_dir)
+    res = trending(t, TICKETS_AS_OF, TREND_DAYS, 3, 0.70, 10, 10)
+    return res.withColumn("similar_issues", F.array_join("similar_issues", "|"))
+
+
+@register("semantic_clusters", _pairs_sql(5, 0.70) + f"""
+SELECT s.anchor_title AS representative_issue, s.cluster_size, s.first_occurrence, s.last_occurrence,
+       t.titles AS similar_issues
+FROM (SELECT anchor_title, CAST(count(DISTINCT neighbor_id) AS BIGINT) AS cluster_size,
+             min(anchor_date) AS first_occurrence, max(neighbor_date) AS last_occurrence
+      FROM pairs GROUP BY anchor_title HAVING count(DISTINCT neighbor_id) >= 3) s
+JOIN {_titles_sql(False)} t ON t.anchor_title = s.anchor_title
+ORDER BY cluster_size DESC, last_occurrence DESC, representative_issue LIMIT 10""")
+def q_semantic_clusters(spark, sf_dir):
+    from vectriage.operators.trends import semantic_clusters
+    t = _tickets(spark, sf_dir)
+    res = semantic_clusters(t, TICKETS_AS_OF, TREND_DAYS, 3, 0.70, 5, 10)
+    return res.withColumn("similar_issues", F.array_join("similar_issues", "|"))
+
+
+@register("trend_detection", _pairs_sql(5, 0.65) + f"""
+SELECT s.anchor_title AS representative_issue, s.cluster_size, s.first_seen, t.titles AS related_issues
+FROM (SELECT anchor_title, CAST(count(DISTINCT neighbor_id) AS BIGINT) AS cluster_size, min(anchor_date) AS first_seen
+      FROM pairs GROUP BY anchor_title HAVING count(DISTINCT neighbor_id) >= 3) s
+JOIN {_titles_sql(False)} t ON t.anchor_title = s.anchor_title
+ORDER BY cluster_size DESC, first_seen DESC, representative_issue LIMIT 10""")
+def q_trend_detection(spark, sf_dir):
+    from vectriage.operators.trends import trend_detection
+    t = _tickets(spark, sf_dir)
+    res = trend_detection(t, TICKETS_AS_OF, TREND_DAYS, 3, 0.65, 5, 10)
+    return res.withColumn("related_issues", F.array_join("related_issues", "|"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solution recommendation for every ticket (the smoke entry)."""
+    return QUERIES["recommend_solution"](spark, sf_dir)
