@@ -119,13 +119,16 @@ def helpful_reviews(reviews: DataFrame, min_score: int = 4, min_helpful_ratio: f
 
 
 def custom_review_filter(reviews: DataFrame, min_score: int = 4, min_ratio: float = 0.8,
-                         min_votes: int = 5, limit: int = 100) -> DataFrame:
-    """score >= m AND is_helpful AND ratio and votes thresholds, first ``limit`` by id."""
-    return (reviews.where((F.col("score") >= min_score) & F.col("is_helpful")
-                          & (F.col("helpfulness_ratio") >= min_ratio)
-                          & (F.col("helpfulness_denominator") >= min_votes))
-                   .select("review_id", "product_id", "score", "helpfulness_ratio")
-                   .orderBy("review_id").limit(limit))
+                         min_votes: int = 10, helpful_only: bool = True, limit: int = 100) -> DataFrame:
+    """Ad hoc filter: score, helpful flag, ratio and votes; the ``limit``
+    reviews with the most helpful votes (then id)."""
+    cond = ((F.col("score") >= min_score) & (F.col("helpfulness_ratio") >= min_ratio)
+            & (F.col("helpfulness_denominator") >= min_votes))
+    if helpful_only:
+        cond = cond & F.col("is_helpful")
+    return (reviews.where(cond)
+                   .select("review_id", "product_id", "score", "helpfulness_numerator", "helpfulness_ratio")
+                   .orderBy(F.desc("helpfulness_numerator"), "review_id").limit(limit))
 
 
 def review_statistics(reviews: DataFrame, digits: int | None = None) -> DataFrame:

@@ -123,9 +123,16 @@ def batch_search(base: DataFrame, queries: DataFrame, k: int = 3, **opts) -> Dat
 
 
 def duplicate_detection(base: DataFrame, queries: DataFrame, k: int = 10, max_distance: float = 0.20,
+                        payload=("title", "status", "created_at"), exclude_self: bool = False,
                         **opts) -> DataFrame:
-    """Neighbours below ``max_distance`` with a duplicate assessment."""
-    res = search(base, queries, k, payload=["title", "status", "created_at"], **opts)
+    """Neighbours below ``max_distance`` with a duplicate assessment.
+
+    ``exclude_self`` drops the query's own row after top-k (when the
+    queries are rows of the base)."""
+    id_col = opts.get("id_col", "ticket_id")
+    res = search(base, queries, k, payload=list(payload), **opts)
+    if exclude_self:
+        res = res.where(F.col(id_col) != F.col("query_id"))
     return (res.where(F.col("distance") < max_distance)
                .withColumn("similarity_pct", similarity_pct(F.col("distance"), digits=1))
                .withColumn("duplicate_assessment", duplicate_assessment(F.col("distance"))))
@@ -198,3 +205,28 @@ def multi_factor_search(base: DataFrame, queries: DataFrame, as_of, category: st
 def keyword_search(base: DataFrame, text_col: str, keyword: str, id_col: str) -> DataFrame:
     """Rows whose text contains the keyword (case-sensitive LIKE '%kw%')."""
     return base.where(F.col(text_col).contains(keyword)).select(id_col)
+
+
+def keyword_vs_semantic(base: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10,
+                        min_keyword_len: int = 4, **opts) -> DataFrame:
+    """Per query: its first word of at least ``min_keyword_len`` letters as
+    a keyword, how many rows contain that word, how many the semantic
+    search returns, and how many are in both.
+
+    Keyword hits come from an equi-join of the (small) keyword list with
+    the distinct words of each row, not from a scan per keyword.
+    """
+    split = r"[^\p{L}\p{N}]+"
+    kw = queries.select("query_id", F.get(F.filter(F.split(F.lower("query_text"), split),
+                                                   lambda t: F.length(t) >= min_keyword_len), 0).alias("keyword"))
+    words = base.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), split))).alias("keyword"))
+    kh = kw.join(words, "keyword").select("query_id", id_col)
+    sh = search(base, queries.select("query_id", "embedding"), k, id_col=id_col, **opts).select("query_id", id_col)
+    both = kh.join(sh, ["query_id", id_col])
+    cnt = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    return (kw.join(cnt(kh, "keyword_hits"), "query_id", "left")
+              .join(cnt(sh, "semantic_hits"), "query_id", "left")
+              .join(cnt(both, "overlap"), "query_id", "left")
+              .select("query_id", "keyword",
+                      *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
+                        for c in ("keyword_hits", "semantic_hits", "overlap")]))

@@ -101,7 +101,7 @@ def hash_embed_cte(name: str, source: str, id_col: str, text_col: str, dim: int
          sqrt(sum(CAST(cnt * cnt AS DOUBLE))) AS nrm
   FROM {name}_cnt GROUP BY id),
 {name} AS (
-  SELECT id, list_transform(range({dim}), i -> coalesce(m[i], 0.0) / nrm) AS embedding
+  SELECT id, list_transform(range({dim}), lambda i: coalesce(m[i], 0.0) / nrm) AS embedding
   FROM {name}_map)"""
 
 

@@ -432,6 +432,318 @@ def q_trend_detection(spark, sf_dir):
     return res.withColumn("related_issues", F.array_join("related_issues", "|"))
 
 
+# ---------------------------------------------------------------- text: embed, search, keywords
+
+def _docs_embedded(spark, sf_dir):
+    from vectriage.functions.embed import HashingEmbedder
+    from vectriage.sources.tables import read_table
+    return HashingEmbedder().transform(read_table(spark, sf_dir, "documents"), "text")
+
+
+def _reviews_embedded(spark, sf_dir):
+    from vectriage.functions.embed import HashingEmbedder
+    return HashingEmbedder().transform(reviews(spark, sf_dir), "combined_text")
+
+
+def _benchmark_queries(spark, sf_dir):
+    from vectriage.functions.embed import HashingEmbedder
+    from vectriage.sources.tables import read_table
+    b = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                      F.col("text").alias("query_text"))
+    return HashingEmbedder().transform(b, "query_text")
+
+
+DOCS_EMB = O.hash_embed_cte("de", "documents", "doc_id", "text")
+
+
+@register("embed_documents", O.with_ctes(DOCS_EMB) + """
+SELECT c.id AS doc_id, c.bucket, CAST(c.cnt AS DOUBLE) / m.nrm AS weight
+FROM de_cnt c JOIN de_map m ON m.id = c.id""")
+def q_embed_documents(spark, sf_dir):
+    d = _docs_embedded(spark, sf_dir)
+    return (d.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+             .where(F.col("weight") > 0)
+             .select("doc_id", F.col("bucket").cast("long").alias("bucket"), "weight"))
+
+
+@register("embedding_coverage", O.with_ctes(DOCS_EMB) + """
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(de.id) AS BIGINT) AS with_embeddings,
+       """ + O.rha("(CAST(count(de.id) AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE))", 2) + """ AS coverage_pct
+FROM documents d LEFT JOIN de ON de.id = d.doc_id""")
+def q_embedding_coverage(spark, sf_dir):
+    from vectriage.operators.quality import embedding_coverage
+    return embedding_coverage(_docs_embedded(spark, sf_dir))
+
+
+@register("embedding_stats", O.with_ctes(TK) + f"""
+SELECT 'Embedding Statistics' AS metric_type, CAST(count(*) AS BIGINT) AS total_embeddings,
+       avg(len(embedding)) AS avg_dimensions, CAST(min(len(embedding)) AS BIGINT) AS min_dimensions,
+       CAST(max(len(embedding)) AS BIGINT) AS max_dimensions,
+       {O.rha('avg(embedding[1])', 9)} AS avg_first_dim, {O.rha('stddev_samp(embedding[1])', 9)} AS stddev_first_dim
+FROM tickets WHERE embedding IS NOT NULL""")
+def q_embedding_stats(spark, sf_dir):
+    from vectriage.operators.quality import embedding_stats
+    return embedding_stats(_tickets(spark, sf_dir), digits=9)
+
+
+@register("embedding_issues", """
+SELECT o.o_orderkey AS ticket_id, CAST(len(e.embedding) AS BIGINT) AS embedding_dims,
+       CASE WHEN e.embedding IS NULL THEN 'Missing embedding'
+            WHEN len(e.embedding) <> 64 THEN 'Wrong dimensions' ELSE 'OK' END AS embedding_status
+FROM orders o LEFT JOIN embeddings e ON e.vec_id = o.o_orderkey
+WHERE e.embedding IS NULL OR len(e.embedding) <> 64""")
+def q_embedding_issues(spark, sf_dir):
+    """Orders whose vector is missing or not 64 wide (vectors merged by id)."""
+    from vectriage.operators.quality import embedding_issues
+    from vectriage.sources.tables import read_table
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket_id"))
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ticket_id"), "embedding")
+    return embedding_issues(o.join(e, "ticket_id", "left"), "ticket_id", 64)
+
+
+@register("embedding_sample", O.with_ctes(TK) + """
+SELECT ticket_id, CAST(len(embedding) AS BIGINT) AS dimensions,
+       array_to_string(list_transform(embedding[1:5], lambda x: printf('%.6f', x)), ',') AS first_values
+FROM tickets""")
+def q_embedding_sample(spark, sf_dir):
+    from vectriage.operators.quality import embedding_sample
+    return embedding_sample(_tickets(spark, sf_dir), "ticket_id", fmt="%.6f")
+
+
+REVIEW_PAYLOAD = ["product_id", "score", "summary", "helpfulness_ratio", "sentiment_category"]
+TEXT_SEARCH_CTES = O.with_ctes(O.RAW_REVIEWS, O.REVIEWS, O.hash_embed_cte("re", "reviews", "review_id", "combined_text"),
+                               O.hash_embed_cte("qe", "benchmark", "item_id", "text"),
+                               O.topk_cte("nn", "re", "id", "qe", "id", 10))
+
+
+@register("text_search", TEXT_SEARCH_CTES + f"""
+SELECT nn.query_id, nn.rank, r.review_id, {', '.join('r.' + c for c in REVIEW_PAYLOAD)},
+       {O.rha('nn.distance', 6)} AS distance, {O.sim('nn.distance', 2)} AS similarity_pct
+FROM nn JOIN reviews r ON r.review_id = nn.neighbor_id""")
+def q_text_search(spark, sf_dir):
+    from vectriage.operators.search import search, similarity_pct
+    res = search(_reviews_embedded(spark, sf_dir), _benchmark_queries(spark, sf_dir), 10,
+                 id_col="review_id", payload=REVIEW_PAYLOAD)
+    return res.select("query_id", "rank", "review_id", *REVIEW_PAYLOAD, _r6(),
+                      similarity_pct(F.col("distance")).alias("similarity_pct"))
+
+
+KEYWORD = "thing"
+
+
+@register("keyword_search", REVIEWS_WITH + f"""
+SELECT review_id FROM reviews WHERE text LIKE '%{KEYWORD}%'""")
+def q_keyword_search(spark, sf_dir):
+    from vectriage.operators.search import keyword_search
+    return keyword_search(reviews(spark, sf_dir), "text", KEYWORD, "review_id")
+
+
+@register("keyword_vs_semantic", TEXT_SEARCH_CTES + """,
+kw AS (SELECT item_id AS query_id,
+              list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)[1] AS keyword
+       FROM benchmark),
+rt AS (SELECT DISTINCT review_id, unnest(regexp_split_to_array(lower(combined_text), '[^\\p{L}\\p{N}]+')) AS tok
+       FROM reviews),
+kh AS (SELECT kw.query_id, rt.review_id FROM kw JOIN rt ON rt.tok = kw.keyword),
+sh AS (SELECT query_id, neighbor_id AS review_id FROM nn)
+SELECT kw.query_id, kw.keyword,
+       CAST((SELECT count(*) FROM kh WHERE kh.query_id = kw.query_id) AS BIGINT) AS keyword_hits,
+       CAST((SELECT count(*) FROM sh WHERE sh.query_id = kw.query_id) AS BIGINT) AS semantic_hits,
+       CAST((SELECT count(*) FROM kh JOIN sh ON sh.query_id = kh.query_id AND sh.review_id = kh.review_id
+             WHERE kh.query_id = kw.query_id) AS BIGINT) AS overlap
+FROM kw""")
+def q_keyword_vs_semantic(spark, sf_dir):
+    from vectriage.operators.search import keyword_vs_semantic
+    revs = _reviews_embedded(spark, sf_dir)
+    return keyword_vs_semantic(revs, _benchmark_queries(spark, sf_dir), "review_id", "combined_text", 10)
+
+
+@register("duplicate_detection", O.with_ctes(DOCS_EMB, O.topk_cte("nn", "de", "id", "de", "id", 10)) + f"""
+SELECT query_id, rank, neighbor_id AS doc_id, {O.rha('distance', 6)} AS distance,
+       {O.sim('distance', 1)} AS similarity_pct,
+       CASE WHEN distance < 0.05 THEN 'Very Likely Duplicate' WHEN distance < 0.10 THEN 'Likely Duplicate'
+            WHEN distance < 0.20 THEN 'Possibly Related' ELSE 'Different Issue' END AS duplicate_assessment
+FROM nn WHERE distance < 0.20 AND neighbor_id <> query_id""")
+def q_duplicate_detection(spark, sf_dir):
+    from vectriage.operators.search import duplicate_detection
+    d = _docs_embedded(spark, sf_dir)
+    q = d.select(F.col("doc_id").alias("query_id"), "embedding")
+    res = duplicate_detection(d.select("doc_id", "embedding"), q, 10, 0.20, payload=(), exclude_self=True,
+                              id_col="doc_id")
+    return res.select("query_id", "rank", "doc_id", _r6(), "similarity_pct", "duplicate_assessment")
+
+
+# ---------------------------------------------------------------- reviews: filters, statistics
+
+@register("product_reviews", REVIEWS_WITH + """
+SELECT review_id, score, summary, text, helpfulness_ratio, sentiment_category, profile_name, review_date
+FROM reviews WHERE product_id = 'P3' AND score >= 4
+ORDER BY helpfulness_ratio DESC, score DESC, review_id LIMIT 20""")
+def q_product_reviews(spark, sf_dir):
+    from vectriage.operators.reviews import product_reviews
+    return product_reviews(reviews(spark, sf_dir), "P3", 4)
+
+
+@register("helpful_reviews", REVIEWS_WITH + """
+SELECT review_id, product_id, score, summary, helpfulness_numerator, helpfulness_ratio
+FROM reviews WHERE score >= 4 AND helpfulness_ratio >= 0.8 AND helpfulness_denominator >= 10
+ORDER BY helpfulness_numerator DESC, helpfulness_ratio DESC, review_id LIMIT 20""")
+def q_helpful_reviews(spark, sf_dir):
+    from vectriage.operators.reviews import helpful_reviews
+    return helpful_reviews(reviews(spark, sf_dir))
+
+
+@register("custom_review_filter", REVIEWS_WITH + """
+SELECT review_id, product_id, score, helpfulness_numerator, helpfulness_ratio
+FROM reviews WHERE score >= 4 AND helpfulness_ratio >= 0.8 AND helpfulness_denominator >= 10 AND is_helpful
+ORDER BY helpfulness_numerator DESC, review_id LIMIT 100""")
+def q_custom_review_filter(spark, sf_dir):
+    from vectriage.operators.reviews import custom_review_filter
+    return custom_review_filter(reviews(spark, sf_dir))
+
+
+@register("review_statistics", REVIEWS_WITH + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_reviews, CAST(count(DISTINCT product_id) AS BIGINT) AS unique_products,
+       CAST(count(DISTINCT user_id) AS BIGINT) AS unique_users,
+       strftime(min(review_date), '%Y-%m-%d') AS date_start, strftime(max(review_date), '%Y-%m-%d') AS date_end,
+       CAST(sum(CAST(is_helpful AS BIGINT)) AS BIGINT) AS helpful_reviews,
+       {O.rha('avg(helpfulness_ratio)', 9)} AS avg_helpfulness_ratio, {O.rha('avg(text_length)', 9)} AS avg_text_length
+FROM reviews""")
+def q_review_statistics(spark, sf_dir):
+    from vectriage.operators.reviews import review_statistics
+    return review_statistics(reviews(spark, sf_dir), digits=9)
+
+
+@register("score_distribution", REVIEWS_WITH + f"""
+SELECT score, review_count, {O.rha('(CAST(review_count AS DOUBLE) * 100.0 / CAST(sum(review_count) OVER () AS DOUBLE))', 2)} AS pct
+FROM (SELECT score, CAST(count(*) AS BIGINT) AS review_count FROM reviews GROUP BY score)""")
+def q_score_distribution(spark, sf_dir):
+    from vectriage.operators.reviews import score_distribution
+    return score_distribution(reviews(spark, sf_dir))
+
+
+@register("review_preview", REVIEWS_WITH + f"""
+SELECT review_id, repeat('⭐', score) AS stars,
+       CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text_preview,
+       printf('%d%%', CAST({O.rha('(helpfulness_ratio * 100.0)', 0)} AS BIGINT)) AS helpful_pct
+FROM reviews""")
+def q_review_preview(spark, sf_dir):
+    from vectriage.operators.reviews import review_preview
+    return review_preview(reviews(spark, sf_dir))
+
+
+@register("sample_fixed_n", REVIEWS_WITH + """
+SELECT * FROM reviews ORDER BY md5('42' || review_id), review_id LIMIT 100""")
+def q_sample_fixed_n(spark, sf_dir):
+    from vectriage.operators.reviews import sample_fixed_n
+    return sample_fixed_n(reviews(spark, sf_dir), 100, 42)
+
+
+# ---------------------------------------------------------------- ticket table operations
+
+@register("tickets_enforce_schema", O.with_ctes(TK) + """
+SELECT ticket_id, created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS resolved_at,
+       title, description, category, priority, status, resolution, resolution_time_hours,
+       CAST(customer_id AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS customer_tier,
+       CAST(NULL AS VARCHAR) AS assigned_agent_id, CAST(NULL AS VARCHAR) AS assigned_team,
+       CAST(satisfaction_score AS BIGINT) AS satisfaction_score, CAST(0 AS BIGINT) AS reopened_count,
+       title || ' ' || description AS combined_text, array_to_string(tags, '|') AS tags,
+       CAST(NULL AS VARCHAR) AS source_channel, 'en' AS language
+FROM tickets""")
+def q_tickets_enforce_schema(spark, sf_dir):
+    from vectriage.operators.tickets import combined_text, enforce_schema
+    t = _tickets(spark, sf_dir).withColumn("combined_text", combined_text())
+    return enforce_schema(t).withColumn("tags", F.array_join("tags", "|"))
+
+
+@register("tickets_combined_text", O.with_ctes(TK) + """
+SELECT ticket_id, title || ' ' || description AS combined_text,
+       coalesce(title, '') || ' ' || coalesce(resolution, '') AS title_resolution_text
+FROM tickets""")
+def q_tickets_combined_text(spark, sf_dir):
+    from vectriage.operators.tickets import combined_text
+    t = _tickets(spark, sf_dir)
+    return t.select("ticket_id", combined_text().alias("combined_text"),
+                    combined_text("title", "resolution", missing_as_empty=True).alias("title_resolution_text"))
+
+
+def _count_sql():
+    from vectriage.sources.tables import TABLES
+    parts = [f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM {t}" for t in TABLES]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("row_count", _count_sql())
+def q_row_count(spark, sf_dir):
+    from functools import reduce
+    from vectriage.sources.tables import TABLES, read_table
+    parts = [read_table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(t).alias("table_name"), "row_count") for t in TABLES]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("tickets_by_category", O.with_ctes(TK) + """
+SELECT category, CAST(count(*) AS BIGINT) AS ticket_count FROM tickets GROUP BY category""")
+def q_tickets_by_category(spark, sf_dir):
+    from vectriage.operators.tickets import tickets_by_category
+    return tickets_by_category(_tickets(spark, sf_dir, ))
+
+
+@register("status_share", O.with_ctes(TK) + f"""
+SELECT status, count, {O.rha('(CAST(count AS DOUBLE) * 100.0 / CAST(sum(count) OVER () AS DOUBLE))', 2)} AS percentage
+FROM (SELECT status, CAST(count(*) AS BIGINT) AS count FROM tickets GROUP BY status)""")
+def q_status_share(spark, sf_dir):
+    from vectriage.operators.tickets import status_share
+    return status_share(_tickets(spark, sf_dir))
+
+
+@register("ticket_summary", O.with_ctes(TK) + """
+SELECT CAST(count(*) AS BIGINT) AS total_tickets, CAST(count(DISTINCT category) AS BIGINT) AS categories,
+       CAST(count_if(status = 'resolved') AS BIGINT) AS resolved, CAST(count(resolution) AS BIGINT) AS with_solution,
+       CAST(count_if(status = 'open') AS BIGINT) AS open, CAST(count_if(status = 'in_progress') AS BIGINT) AS in_progress
+FROM tickets""")
+def q_ticket_summary(spark, sf_dir):
+    from vectriage.operators.tickets import ticket_summary
+    return ticket_summary(_tickets(spark, sf_dir))
+
+
+@register("merge_embeddings", """
+SELECT o.o_orderkey AS ticket_id, CAST(len(e.embedding) AS BIGINT) AS embedding_dims,
+       CAST(e.embedding[1] AS DOUBLE) AS first_value
+FROM orders o LEFT JOIN embeddings e ON e.vec_id = o.o_orderkey""")
+def q_merge_embeddings(spark, sf_dir):
+    from vectriage.sources.sinks import merge_matched
+    from vectriage.sources.tables import read_table
+    target = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ticket_id"),
+                                                        F.lit(None).cast("array<double>").alias("embedding"))
+    source = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("ticket_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    merged = merge_matched(target, source, "ticket_id", ["embedding"])
+    return merged.select("ticket_id", F.size("embedding").cast("long").alias("embedding_dims"),
+                         F.get("embedding", 0).alias("first_value")).withColumn(
+        "embedding_dims", F.when(F.col("first_value").isNotNull(), F.col("embedding_dims")))
+
+
+@register("incremental_embed", O.with_ctes(
+    "stored AS (SELECT d.doc_id FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id)",
+    "todo AS (SELECT d.* FROM documents d ANTI JOIN stored s ON s.doc_id = d.doc_id)",
+    O.hash_embed_cte("ne", "todo", "doc_id", "text")) + """
+SELECT t.doc_id, sha256(t.text) AS text_hash, CAST(count(c.bucket) AS BIGINT) AS nonzero_buckets
+FROM todo t LEFT JOIN ne_cnt c ON c.id = t.doc_id GROUP BY t.doc_id, t.text""")
+def q_incremental_embed(spark, sf_dir):
+    from vectriage.sources.tables import read_table
+    from vectriage.streaming.incremental import incremental_embed
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    # the vectors already stored: documents that carry a label
+    stored = (docs.join(labels, "doc_id", "left_semi")
+                  .select("doc_id", F.sha2("text", 256).alias("text_hash")))
+    new = incremental_embed(docs, stored, "doc_id", "text")
+    return new.select("doc_id", "text_hash",
+                      F.coalesce(F.size(F.filter("embedding", lambda x: x > 0)), F.lit(0))
+                       .cast("long").alias("nonzero_buckets"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solution recommendation for every ticket (the smoke entry)."""
     return QUERIES["recommend_solution"](spark, sf_dir)
