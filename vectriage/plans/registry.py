@@ -744,6 +744,82 @@ def q_incremental_embed(spark, sf_dir):
                        .cast("long").alias("nonzero_buckets"))
 
 
+# ---------------------------------------------------------------- vector index
+
+def _ivf(spark, sf_dir, method="kmeans"):
+    from vectriage.operators.ivf import build_ivf
+    t = _tickets(spark, sf_dir).select("ticket_id", "embedding")
+    return t, build_ivf(t, "ticket_id", "embedding", method=method)
+
+
+_EXACT10 = O.with_ctes(TK, O.tickets_knn(10)) + f"""
+SELECT query_id, neighbor_id, rank, {O.rha('distance', 6)} AS distance FROM nn"""
+
+
+@register("ivf_search", _EXACT10)
+def q_ivf_search(spark, sf_dir):
+    """IVF search probing every list: must equal the exact search."""
+    from vectriage.operators.ivf import ivf_search
+    t, idx = _ivf(spark, sf_dir)
+    res = ivf_search(idx, ticket_queries(t), 10, fraction=1.0)
+    return res.select("query_id", "neighbor_id", "rank", _r6())
+
+
+@register("tree_search", _EXACT10)
+def q_tree_search(spark, sf_dir):
+    """Tree-partitioned (bisecting k-means) index probing every leaf."""
+    from vectriage.operators.ivf import ivf_search
+    t, idx = _ivf(spark, sf_dir, "tree")
+    res = ivf_search(idx, ticket_queries(t), 10, fraction=1.0)
+    return res.select("query_id", "neighbor_id", "rank", _r6())
+
+
+@register("ivf_lists")
+def q_ivf_lists(spark, sf_dir):
+    """Rows per k-means list (ceil(sqrt(N)) lists)."""
+    from vectriage.operators.ivf import list_sizes
+    _, idx = _ivf(spark, sf_dir)
+    return list_sizes(idx)
+
+
+@register("tree_lists")
+def q_tree_lists(spark, sf_dir):
+    """Rows per bisecting k-means leaf (max leaf size 100)."""
+    from vectriage.operators.ivf import list_sizes
+    _, idx = _ivf(spark, sf_dir, "tree")
+    return list_sizes(idx)
+
+
+EXACT_VS_IVF_FRACTIONS = (0.1, 0.25, 0.5, 1.0)
+
+
+@register("exact_vs_ivf")
+def q_exact_vs_ivf(spark, sf_dir):
+    """Recall@10 of the IVF search against the exact search, per fraction of lists probed."""
+    from functools import reduce
+    from vectriage.operators.ivf import ivf_search, recall_at_k
+    t, idx = _ivf(spark, sf_dir)
+    q = ticket_queries(t)
+    exact = knn_mod.knn(t, q, 10, base_id="ticket_id")
+    parts = []
+    for f in EXACT_VS_IVF_FRACTIONS:
+        rec = recall_at_k(exact, ivf_search(idx, q, 10, fraction=f))
+        parts.append(rec.agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("avg_recall"),
+                             F.min("recall").alias("min_recall"))
+                        .select(F.lit(f).alias("fraction_lists_to_search"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("index_coverage", O.with_ctes(TK) + """
+SELECT CAST(count(*) AS BIGINT) AS base_rows, CAST(count(*) AS BIGINT) AS indexed_rows,
+       CASE WHEN count(*) > 0 THEN 100.0::DOUBLE END AS coverage_pct
+FROM tickets WHERE embedding IS NOT NULL""")
+def q_index_coverage(spark, sf_dir):
+    from vectriage.operators.ivf import index_coverage
+    t, idx = _ivf(spark, sf_dir)
+    return index_coverage(idx, t)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solution recommendation for every ticket (the smoke entry)."""
     return QUERIES["recommend_solution"](spark, sf_dir)
