@@ -820,6 +820,36 @@ def q_index_coverage(spark, sf_dir):
     return index_coverage(idx, t)
 
 
+# ---------------------------------------------------------------- pipeline and streaming
+
+@register("pipeline_end_to_end", O.with_ctes(O.RAW_REVIEWS, O.REVIEWS,
+                                             O.hash_embed_cte("re", "reviews", "review_id", "combined_text")) + """
+SELECT r.review_id, r.score, r.sentiment_category, CAST(count(c.bucket) AS BIGINT) AS nonzero_buckets
+FROM reviews r LEFT JOIN re_cnt c ON c.id = r.review_id
+GROUP BY r.review_id, r.score, r.sentiment_category""")
+def q_pipeline_end_to_end(spark, sf_dir):
+    """Load, enrich, embed, write, read back and index the review corpus."""
+    import uuid
+    from vectriage.plans.corpus import build_corpus, corpus_summary
+    from vectriage.session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    corpus = build_corpus(spark, raw_reviews_fx(spark, sf_dir), out)
+    return corpus_summary(corpus)
+
+
+@register("streaming_triage", _TRIAGE_SQL + "SELECT * FROM tri")
+def q_streaming_triage(spark, sf_dir):
+    """Every vector of ``embeddings`` arrives as a stream of new tickets and
+    is triaged against the ticket base, one micro-batch per file."""
+    from vectriage.streaming.triage_stream import triage_files
+    from vectriage.sources.tables import read_table
+    schema = read_table(spark, sf_dir, "embeddings").schema
+    base = _tickets(spark, sf_dir)
+    out = triage_files(spark, sf_dir, "embeddings.parquet", schema, base, "vec_id")
+    return out.select("query_id", "similar_ids", "category", "category_confidence", "priority", "solution",
+                      "confidence", "similar_ticket_count", "error")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solution recommendation for every ticket (the smoke entry)."""
     return QUERIES["recommend_solution"](spark, sf_dir)
