@@ -59,14 +59,19 @@ def _unit(vec: str):
 
 def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", num_lists: int | None = None,
               metric: str = "cosine", method: str = "kmeans", max_leaf_size: int = 100, seed: int = 42,
-              max_iter: int = 20) -> IVFIndex:
+              max_iter: int = 10) -> IVFIndex:
     """Fit the lists and assign every row with a vector to one of them."""
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from pyspark import StorageLevel
+
     rows = base.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(F.col(vec_col).isNotNull())
     feats = rows.withColumn("features", array_to_vector(_unit(vec_col) if metric == "cosine" else F.col(vec_col)))
-    n = rows.count()
+    # k-means reads its input once per iteration: keep it (memory, then
+    # disk); a lost executor's blocks are recomputed from the lineage.
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    n = feats.count()
     if n == 0:
         raise ValueError("no vectors to index")
     if method == "kmeans":
@@ -78,7 +83,10 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
                               predictionCol="list_id", minDivisibleClusterSize=float(max_leaf_size))
     else:
         raise ValueError("method must be 'kmeans' or 'tree'")
-    model = est.fit(feats)
+    try:
+        model = est.fit(feats)
+    finally:
+        feats.unpersist()
     centers = model.clusterCenters()
     dim = len(centers[0])
     if len(centers) * dim * 8 > MAX_CENTROID_BYTES:
@@ -135,6 +143,9 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
                  q.select("query_id", F.col("_vec").alias("embedding")), nprobe, metric, base_id="list_id")
     rows = index.rows if filters is None else index.rows.where(filters)
     rows = rows.select(F.col(index.id_col).alias("_id"), "list_id", F.col(index.vec_col).alias("_vec"))
+    # only the lists some query probes enter the shuffle (at most num_lists ids)
+    probed = probes.select(F.col("neighbor_id").alias("list_id")).distinct()
+    rows = rows.join(F.broadcast(probed), "list_id", "left_semi")
     sizes = rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows))).cast("long"))
     # num_lists rows: bounded by the index parameter

@@ -9,8 +9,8 @@ Plan shape
   are joined back by the callers after top-k (column pruning reaches the
   Parquet scan).
 * ``broadcast`` strategy: when the query matrix is at most
-  ``broadcast_bytes`` (checked with one aggregate before anything is
-  collected), it is shipped once to every task and the base is scanned in
+  ``broadcast_bytes`` (a collect capped at that many bytes of rows; one
+  row more means "too large"), it is shipped once to every task and the base is scanned in
   place with ``mapInArrow``: no shuffle of the base at all.  Each task
   keeps a running top-k per query, so a task emits at most
   ``k * n_queries`` rows (plus exact ties).
@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectriage.operators.partitioning import spread
+
 METRICS = ("cosine", "euclidean", "dot")
 RANK_DECIMALS = 9
 DEFAULT_BROADCAST_BYTES = 64 << 20
@@ -140,9 +142,10 @@ class _Kernel:
                 diff = self.Q[q0 + r] - B[c]
                 d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             else:
-                K = _dkey(D)
-                kth = np.partition(K, kk - 1, axis=1)[:, kk - 1]
-                mask = K <= kth[:, None]
+                # Anything more than 1e-9 above the k-th raw distance rounds
+                # (to 9 decimals) strictly above it too, so it cannot tie.
+                kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+                mask = D <= (kth + 1e-9)[:, None]
                 mask[invalid] = False
                 r, c = np.nonzero(mask)
                 d = D[r, c]
@@ -197,12 +200,11 @@ def _prune(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
               .where(F.col("_vec").isNotNull() & (F.size("_vec") == dim)))
 
 
-def query_stats(queries: DataFrame, query_vec: str = "embedding"):
-    """(number of query vectors, width) with one aggregate; nothing is collected."""
-    row = (queries.where(F.col(query_vec).isNotNull())
-                  .agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("dim"))
-                  .first())
-    return int(row["n"] or 0), int(row["dim"] or 0)
+def query_width(queries: DataFrame, query_vec: str = "embedding") -> int:
+    """Width of the first query vector (0 when there is none).  Queries of
+    another width are left out."""
+    row = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).limit(1).collect()
+    return int(row[0][0]) if row else 0
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *,
@@ -223,32 +225,38 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
         raise ValueError("k must be >= 1")
     spark = base.sparkSession
     qtype, btype = _field_type(queries, query_id), _field_type(base, base_id)
-    nq, dim = query_stats(queries, query_vec)
     schema = _out_schema(qtype, btype)
-    if nq == 0:
-        cand = spark.createDataFrame([], schema)
-    else:
-        if strategy == "auto":
-            strategy = "broadcast" if nq * dim * 8 <= broadcast_bytes else "block"
-        b = _prune(base, base_id, base_vec, dim)
+    dim = query_width(queries, query_vec)
+    cand = None
+    if dim:
         q = _prune(queries, query_id, query_vec, dim)
-        if strategy == "broadcast":
-            if nq * dim * 8 > broadcast_bytes:
-                raise ValueError("query matrix exceeds broadcast_bytes; use strategy='block'")
-            cand = _broadcast_candidates(spark, b, q, k, metric, dim, qtype, btype, schema)
-        elif strategy == "block":
-            cand = _block_candidates(b, q, k, metric, dim, nq, qtype, btype, schema, block_bytes)
-        else:
+        b = spread(_prune(base, base_id, base_vec, dim), "_id")
+        tbl = None
+        if strategy in ("auto", "broadcast"):
+            # Bounded collect: at most cap + 1 rows ever reach the driver.
+            cap = max(1, broadcast_bytes // (8 * dim))
+            tbl = q.limit(cap + 1).toArrow()
+            if tbl.num_rows > cap:
+                if strategy == "broadcast":
+                    raise ValueError("query matrix exceeds broadcast_bytes; use strategy='block'")
+                tbl = None
+        elif strategy != "block":
             raise ValueError("strategy must be 'auto', 'broadcast' or 'block'")
+        if tbl is not None:
+            if tbl.num_rows:
+                cand = _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema)
+        else:
+            cand = _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes)
+    if cand is None:
+        cand = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
                 .where(F.col("rank") <= k)
                 .select("query_id", "neighbor_id", "rank", "distance"))
 
 
-def _broadcast_candidates(spark, b, q, k, metric, dim, qtype, btype, schema):
+def _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema):
     # Size was checked by the caller: at most broadcast_bytes of matrix.
-    tbl = q.toArrow()
     qids = np.asarray(tbl.column("_id").to_pylist(), dtype=object)
     Q = _vec_matrix(tbl.column("_vec"), dim)
     bc = spark.sparkContext.broadcast((qids, Q))
@@ -266,8 +274,8 @@ def _broadcast_candidates(spark, b, q, k, metric, dim, qtype, btype, schema):
     return b.mapInArrow(run, schema)
 
 
-def _block_candidates(b, q, k, metric, dim, nq, qtype, btype, schema, block_bytes):
-    nb = b.count()
+def _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes):
+    nq, nb = q.count(), b.count()
     n_qblocks = max(1, math.ceil(nq * dim * 8 / block_bytes))
     n_bblocks = max(1, math.ceil(nb * dim * 8 / block_bytes))
     qs = (q.withColumn("qb", F.pmod(F.xxhash64("_id"), F.lit(n_qblocks)))

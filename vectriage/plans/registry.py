@@ -747,9 +747,15 @@ def q_incremental_embed(spark, sf_dir):
 # ---------------------------------------------------------------- vector index
 
 def _ivf(spark, sf_dir, method="kmeans"):
-    from vectriage.operators.ivf import build_ivf
+    """Build the index, write it (rows partitioned by list_id) to the shared
+    checkpoint folder and search the written copy."""
+    import uuid
+    from vectriage.operators.ivf import build_ivf, load_ivf, save_ivf
+    from vectriage.session import ensure_checkpoint_dir
     t = _tickets(spark, sf_dir).select("ticket_id", "embedding")
-    return t, build_ivf(t, "ticket_id", "embedding", method=method)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ivf-{uuid.uuid4().hex}"
+    save_ivf(build_ivf(t, "ticket_id", "embedding", method=method), path)
+    return t, load_ivf(spark, path, "ticket_id")
 
 
 _EXACT10 = O.with_ctes(TK, O.tickets_knn(10)) + f"""

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectriage.operators.partitioning import spread
 from vectriage.sources.tables import read_table
 
 # Fixed value: the "current time" for recency windows over the order dates.
@@ -54,7 +55,8 @@ def tickets_fx(spark: SparkSession, sf_dir: str, with_embedding: bool = True) ->
 def raw_reviews_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw review rows (the CSV column names) from orders, documents and customers."""
     o = read_table(spark, sf_dir, "orders")
-    d = read_table(spark, sf_dir, "documents")
+    # long texts: string work per row is CPU-heavy, give it every core
+    d = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     c = read_table(spark, sf_dir, "customer")
     return (o.join(d, d["doc_id"] == o["o_orderkey"])
              .join(c, c["c_custkey"] == o["o_custkey"])
