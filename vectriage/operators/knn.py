@@ -13,7 +13,9 @@ Plan shape
   row more means "too large"), it is shipped once to every task and the base is scanned in
   place with ``mapInArrow``: no shuffle of the base at all.  Each task
   keeps a running top-k per query, so a task emits at most
-  ``k * n_queries`` rows (plus exact ties).
+  ``k * n_queries`` rows (plus exact ties).  Large bases are coalesced
+  to about one task per GiB (never below twice the parallelism), so the
+  candidate volume follows the cluster size, not the split count.
 * ``block`` strategy: above that size both sides are hashed into blocks
   and every (query block, base block) pair meets once in a cogrouped Arrow
   function.  Block sizes come from byte budgets, so no group grows with a
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectriage.operators.partitioning import spread
+from vectriage.operators.partitioning import fit_scan_tasks
 
 METRICS = ("cosine", "euclidean", "dot")
 RANK_DECIMALS = 9
@@ -230,7 +232,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
     cand = None
     if dim:
         q = _prune(queries, query_id, query_vec, dim)
-        b = spread(_prune(base, base_id, base_vec, dim), "_id")
+        b = _prune(base, base_id, base_vec, dim)
         tbl = None
         if strategy in ("auto", "broadcast"):
             # Bounded collect: at most cap + 1 rows ever reach the driver.
@@ -244,7 +246,8 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
             raise ValueError("strategy must be 'auto', 'broadcast' or 'block'")
         if tbl is not None:
             if tbl.num_rows:
-                cand = _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema)
+                cand = _broadcast_candidates(spark, fit_scan_tasks(b, "_id"), tbl, k, metric, dim,
+                                             qtype, btype, schema)
         else:
             cand = _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes)
     if cand is None:

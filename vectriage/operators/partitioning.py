@@ -11,9 +11,11 @@ def largest_input_bytes(df: DataFrame) -> int | None:
     without statistics multiply their inputs, so the inputs are used."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        est = max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001 - estimate unavailable
         return None
+    # relations without statistics report spark.sql.defaultSizeInBytes (Long.MaxValue)
+    return None if est >= (1 << 62) else est
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
@@ -37,3 +39,20 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if est is None or est > target * split:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def fit_scan_tasks(df: DataFrame, key: str | None = None, task_bytes: int = 1 << 30) -> DataFrame:
+    """Task count for a scan whose tasks each emit a fixed-size result
+    (a per-task top-k): small inputs are spread over every core; large
+    ones are coalesced (no shuffle) to about one task per ``task_bytes``
+    but never below twice the parallelism, so the per-task results stay
+    proportional to the cluster, not to the number of file splits."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
+    est = largest_input_bytes(df)
+    if est is None:
+        return df
+    if est <= par * split:
+        return spread(df, key)
+    return df.coalesce(max(2 * par, -(-est // task_bytes)))

@@ -44,6 +44,23 @@ def filter_condition(df: DataFrame, filters: dict | None) -> Column | None:
     return reduce(lambda a, b: a & b, conds)
 
 
+def neighbors(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *,
+              id_col: str = "ticket_id", vec_col: str = "embedding",
+              query_id: str = "query_id", query_vec: str = "embedding",
+              index=None, fraction: float = 0.1, **knn_opts) -> DataFrame:
+    """Exact knn, or the IVF search when an index of ``base`` is given.
+
+    Exact search over all pairs grows as queries x base; for large query
+    sets (per-row searches such as trending over a big table) pass an
+    ``IVFIndex`` so each query reads only ``fraction`` of the lists.
+    """
+    if index is not None:
+        from vectriage.operators.ivf import ivf_search
+        return ivf_search(index, queries, k, fraction, query_id=query_id, query_vec=query_vec, metric=metric)
+    return knn(base, queries, k, metric, base_id=id_col, base_vec=vec_col,
+               query_id=query_id, query_vec=query_vec, **knn_opts)
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *,
            id_col: str = "ticket_id", vec_col: str = "embedding",
            query_id: str = "query_id", query_vec: str = "embedding",
@@ -52,8 +69,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
 
     Output: ``query_id, rank, <id_col>, <payload...>, distance``.
     """
-    res = knn(base, queries, k, metric, base_id=id_col, base_vec=vec_col,
-              query_id=query_id, query_vec=query_vec, **knn_opts)
+    res = neighbors(base, queries, k, metric, id_col=id_col, vec_col=vec_col,
+                    query_id=query_id, query_vec=query_vec, **knn_opts)
     res = res.withColumnRenamed("neighbor_id", id_col)
     if query_id != "query_id":
         res = res.withColumnRenamed("query_id", query_id)

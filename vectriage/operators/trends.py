@@ -6,6 +6,10 @@ anchor itself is dropped after top-k (it uses one of the k places), pairs
 above the distance threshold are dropped, and pairs are grouped by the
 anchor's title.  Aggregates are partial per task; the list of similar
 titles is bounded to five per group by a window before it is collected.
+
+Every anchor searches the whole base, so exact search grows as recent x
+all; on a large table pass ``index=`` (an ``IVFIndex``) and ``fraction=``
+through ``**opts`` to search the index instead.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectriage.operators.knn import knn
+from vectriage.operators.search import neighbors
 
 
 def recent(base: DataFrame, as_of, days: int, ts_col: str = "created_at") -> DataFrame:
@@ -26,9 +30,9 @@ def similar_pairs(base: DataFrame, as_of, days: int = 7, k: int = 10, max_distan
     """(anchor, neighbour) pairs: anchor_id, anchor_title, anchor_date,
     neighbor_id, neighbor_title, neighbor_date, distance."""
     anchors = recent(base, as_of, days)
-    nn = knn(base.select("ticket_id", "embedding"),
-             anchors.select(F.col("ticket_id").alias("query_id"), "embedding"), k,
-             base_id="ticket_id", **opts)
+    nn = neighbors(base.select("ticket_id", "embedding"),
+                   anchors.select(F.col("ticket_id").alias("query_id"), "embedding"), k,
+                   id_col="ticket_id", **opts)
     nn = nn.where((F.col("distance") < max_distance) & (F.col("neighbor_id") != F.col("query_id")))
     a = anchors.select(F.col("ticket_id").alias("query_id"), F.col("title").alias("anchor_title"),
                        F.col("created_at").alias("anchor_date"))
