@@ -109,7 +109,9 @@ def save_ivf(index: IVFIndex, path: str) -> None:
 
 def load_ivf(spark, path: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine") -> IVFIndex:
     cents = spark.read.parquet(f"{path}/centroids")
-    return IVFIndex(cents, spark.read.parquet(f"{path}/rows"), id_col, vec_col, metric, cents.count())
+    # the partition column comes back with an inferred type: pin it
+    rows = spark.read.parquet(f"{path}/rows").withColumn("list_id", F.col("list_id").cast("long"))
+    return IVFIndex(cents, rows, id_col, vec_col, metric, cents.count())
 
 
 def assign_lists(index: IVFIndex, new_rows: DataFrame) -> DataFrame:
@@ -142,7 +144,8 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
     probes = knn(index.centroids.select("list_id", F.col("centroid").alias("embedding")),
                  q.select("query_id", F.col("_vec").alias("embedding")), nprobe, metric, base_id="list_id")
     rows = index.rows if filters is None else index.rows.where(filters)
-    rows = rows.select(F.col(index.id_col).alias("_id"), "list_id", F.col(index.vec_col).alias("_vec"))
+    rows = rows.select(F.col(index.id_col).alias("_id"), F.col("list_id").cast("long").alias("list_id"),
+                       F.col(index.vec_col).alias("_vec"))
     # only the lists some query probes enter the shuffle (at most num_lists ids)
     probed = probes.select(F.col("neighbor_id").alias("list_id")).distinct()
     rows = rows.join(F.broadcast(probed), "list_id", "left_semi")

@@ -209,17 +209,26 @@ def query_width(queries: DataFrame, query_vec: str = "embedding") -> int:
     return int(row[0][0]) if row else 0
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *,
-        base_id: str = "id", base_vec: str = "embedding",
-        query_id: str = "query_id", query_vec: str = "embedding",
-        strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-        block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", **opts) -> DataFrame:
     """Exact top-k neighbours of every query among ``base``.
 
     Returns ``query_id, neighbor_id, rank (long), distance (double)``.
     Rows with a null vector, a zero vector (cosine) or a width different
-    from the queries' are left out of both sides.
+    from the queries' are left out of both sides.  Keyword options:
+    ``base_id, base_vec, query_id, query_vec, strategy ('auto' |
+    'broadcast' | 'block'), broadcast_bytes, block_bytes``.
     """
+    return knn_bounded(base, queries, k, metric, **opts)[0]
+
+
+def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *,
+                base_id: str = "id", base_vec: str = "embedding",
+                query_id: str = "query_id", query_vec: str = "embedding",
+                strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                block_bytes: int = DEFAULT_BLOCK_BYTES):
+    """``knn`` plus a proven upper bound on its row count (``None`` when the
+    query side was too large to count up front): callers use it to decide
+    whether the result may be broadcast into a join."""
     metric = metric.lower()
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -229,7 +238,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
     qtype, btype = _field_type(queries, query_id), _field_type(base, base_id)
     schema = _out_schema(qtype, btype)
     dim = query_width(queries, query_vec)
-    cand = None
+    cand, bound = None, 0
     if dim:
         q = _prune(queries, query_id, query_vec, dim)
         b = _prune(base, base_id, base_vec, dim)
@@ -245,17 +254,35 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine"
         elif strategy != "block":
             raise ValueError("strategy must be 'auto', 'broadcast' or 'block'")
         if tbl is not None:
+            bound = tbl.num_rows * k
             if tbl.num_rows:
                 cand = _broadcast_candidates(spark, fit_scan_tasks(b, "_id"), tbl, k, metric, dim,
                                              qtype, btype, schema)
         else:
+            bound = None
             cand = _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes)
     if cand is None:
         cand = spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
-    return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
-                .where(F.col("rank") <= k)
-                .select("query_id", "neighbor_id", "rank", "distance"))
+    res = (cand.withColumn("rank", F.row_number().over(w).cast("long"))
+               .where(F.col("rank") <= k)
+               .select("query_id", "neighbor_id", "rank", "distance"))
+    return res, bound
+
+
+# Largest top-k result (rows x ~48 bytes) we broadcast into a payload join.
+MAX_BROADCAST_RESULT_BYTES = 256 << 20
+
+
+def join_payload(res: DataFrame, bound, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a top-k result to a (large) table on its unique key.
+
+    When the result has a proven row bound that fits
+    ``MAX_BROADCAST_RESULT_BYTES`` it is broadcast, so the table is
+    streamed once with no shuffle; otherwise Spark / AQE choose.
+    """
+    small = bound is not None and bound * 48 <= MAX_BROADCAST_RESULT_BYTES
+    return (F.broadcast(res) if small else res).join(table, key, how)
 
 
 def _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema):

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from vectriage.functions.bands import sentiment_from_score
 from vectriage.functions.numeric import round_half_away, safe_ratio
 from vectriage.functions.text import preview, stars, strip_ws
+from vectriage.functions.timefn import ntz_from_epoch_seconds
 
 # The raw review CSV columns and their types.
 RAW_REVIEW_SCHEMA = T.StructType([
@@ -59,7 +60,7 @@ def enrich_reviews(raw: DataFrame) -> DataFrame:
     """Rename, cast, fill and derive the 19 enriched review columns."""
     summary = F.coalesce(F.col("Summary"), F.lit(""))
     text = F.coalesce(F.col("Text"), F.lit(""))
-    review_date = F.timestamp_seconds(F.col("Time")).cast("timestamp_ntz")
+    review_date = ntz_from_epoch_seconds(F.col("Time"))
     ratio = safe_ratio("HelpfulnessNumerator", "HelpfulnessDenominator")
     combined = strip_ws(F.concat(strip_ws(summary), F.lit(". "), strip_ws(text)))
     return raw.select(

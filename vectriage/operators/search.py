@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from vectriage.functions.bands import duplicate_assessment, similarity_band
 from vectriage.functions.numeric import round_half_away
-from vectriage.operators.knn import knn
+from vectriage.functions.timefn import ts_ntz
+from vectriage.operators.knn import join_payload, knn_bounded
 
 
 def similarity_pct(distance: Column, metric: str = "cosine", digits: int | None = 2) -> Column:
@@ -54,11 +55,19 @@ def neighbors(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     sets (per-row searches such as trending over a big table) pass an
     ``IVFIndex`` so each query reads only ``fraction`` of the lists.
     """
+    return neighbors_bounded(base, queries, k, metric, id_col=id_col, vec_col=vec_col, query_id=query_id,
+                             query_vec=query_vec, index=index, fraction=fraction, **knn_opts)[0]
+
+
+def neighbors_bounded(base, queries, k, metric="cosine", *, id_col="ticket_id", vec_col="embedding",
+                      query_id="query_id", query_vec="embedding", index=None, fraction=0.1, **knn_opts):
+    """``neighbors`` plus the proven row bound of the result (or None)."""
     if index is not None:
         from vectriage.operators.ivf import ivf_search
-        return ivf_search(index, queries, k, fraction, query_id=query_id, query_vec=query_vec, metric=metric)
-    return knn(base, queries, k, metric, base_id=id_col, base_vec=vec_col,
-               query_id=query_id, query_vec=query_vec, **knn_opts)
+        return ivf_search(index, queries, k, fraction, query_id=query_id, query_vec=query_vec,
+                          metric=metric), None
+    return knn_bounded(base, queries, k, metric, base_id=id_col, base_vec=vec_col,
+                       query_id=query_id, query_vec=query_vec, **knn_opts)
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", *,
@@ -69,15 +78,16 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
 
     Output: ``query_id, rank, <id_col>, <payload...>, distance``.
     """
-    res = neighbors(base, queries, k, metric, id_col=id_col, vec_col=vec_col,
-                    query_id=query_id, query_vec=query_vec, **knn_opts)
+    res, bound = neighbors_bounded(base, queries, k, metric, id_col=id_col, vec_col=vec_col,
+                                   query_id=query_id, query_vec=query_vec, **knn_opts)
     res = res.withColumnRenamed("neighbor_id", id_col)
     if query_id != "query_id":
         res = res.withColumnRenamed("query_id", query_id)
     cols = [c for c in (payload or []) if c != id_col]
     if cols:
-        # payload rows join back many-to-one on the unique id
-        res = res.join(base.select(id_col, *cols), id_col)
+        # payload rows join back many-to-one on the unique id; a bounded
+        # result is broadcast so the base is streamed, not shuffled
+        res = join_payload(res, bound, base.select(id_col, *cols), id_col)
     return res.select(query_id, "rank", id_col, *cols, "distance")
 
 
@@ -186,7 +196,7 @@ def time_weighted_search(base: DataFrame, queries: DataFrame, as_of, k: int = 20
                          half_days: float = 30.0, **opts) -> DataFrame:
     """similarity * exp(-age_days / 30); age in whole 24-hour days."""
     res = search(base, queries, k, payload=["title", "created_at"], **opts)
-    as_of_ts = F.lit(as_of).cast("timestamp_ntz")
+    as_of_ts = ts_ntz(as_of)
     # whole 24-hour days, not calendar-date differences
     age = F.expr("timestampdiff(DAY, created_at, _as_of)")
     res = res.withColumn("_as_of", as_of_ts)
@@ -206,7 +216,7 @@ def multi_factor_search(base: DataFrame, queries: DataFrame, as_of, category: st
     """Top-k, then category and recency filters, then a composite score."""
     res = search(base, queries, k, payload=["title", "category", "priority", "created_at",
                                             "satisfaction_score"], **opts)
-    since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = ts_ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     prio = (F.when(F.col("priority") == "high", 15.0)
              .when(F.col("priority") == "medium", 10.0).otherwise(5.0))
     res = (res.where((F.col("category") == category) & (F.col("created_at") >= since))

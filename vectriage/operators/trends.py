@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectriage.operators.search import neighbors
+from vectriage.functions.timefn import ts_ntz
+from vectriage.operators.knn import join_payload
+from vectriage.operators.search import neighbors_bounded
 
 
 def recent(base: DataFrame, as_of, days: int, ts_col: str = "created_at") -> DataFrame:
-    since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = ts_ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return base.where(F.col(ts_col) >= since)
 
 
@@ -30,15 +32,15 @@ def similar_pairs(base: DataFrame, as_of, days: int = 7, k: int = 10, max_distan
     """(anchor, neighbour) pairs: anchor_id, anchor_title, anchor_date,
     neighbor_id, neighbor_title, neighbor_date, distance."""
     anchors = recent(base, as_of, days)
-    nn = neighbors(base.select("ticket_id", "embedding"),
-                   anchors.select(F.col("ticket_id").alias("query_id"), "embedding"), k,
-                   id_col="ticket_id", **opts)
+    nn, bound = neighbors_bounded(base.select("ticket_id", "embedding"),
+                                  anchors.select(F.col("ticket_id").alias("query_id"), "embedding"), k,
+                                  id_col="ticket_id", **opts)
     nn = nn.where((F.col("distance") < max_distance) & (F.col("neighbor_id") != F.col("query_id")))
     a = anchors.select(F.col("ticket_id").alias("query_id"), F.col("title").alias("anchor_title"),
                        F.col("created_at").alias("anchor_date"))
     b = base.select(F.col("ticket_id").alias("neighbor_id"), F.col("title").alias("neighbor_title"),
                     F.col("created_at").alias("neighbor_date"))
-    return (nn.join(a, "query_id").join(b, "neighbor_id")
+    return (join_payload(join_payload(nn, bound, a, "query_id"), bound, b, "neighbor_id")
               .select(F.col("query_id").alias("anchor_id"), "anchor_title", "anchor_date",
                       "neighbor_id", "neighbor_title", "neighbor_date", "distance"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vectriage.functions.bands import confidence_band
 from vectriage.functions.numeric import round_half_away
+from vectriage.functions.timefn import ts_ntz
 from vectriage.operators.search import search, similarity_pct
 
 # The recommendation weights (frequency, satisfaction,
@@ -243,4 +244,4 @@ def triage_one_pass(base: DataFrame, queries: DataFrame, as_of, *, k: int = 20,
     return (out.withColumn("similar_historical_tickets", F.coalesce("_ev", F.array().cast(
                 "array<struct<ticket_id:bigint,title:string,similarity_score:double>>")))
                .drop("_ev")
-               .withColumn("triage_timestamp", F.lit(as_of).cast("timestamp_ntz")))
+               .withColumn("triage_timestamp", ts_ntz(as_of)))

@@ -14,6 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectriage.functions.timefn import epoch_seconds_ntz
 from vectriage.operators.partitioning import spread
 from vectriage.sources.tables import read_table
 
@@ -70,7 +71,7 @@ def raw_reviews_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .cast("long").alias("HelpfulnessNumerator"),
                  (F.col("o_orderkey") % 40).alias("HelpfulnessDenominator"),
                  F.substring("o_orderpriority", 1, 1).cast("int").alias("Score"),
-                 F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("Time"),
+                 epoch_seconds_ntz("o_orderdate").alias("Time"),
                  F.when(F.col("o_orderkey") % 17 == 0, F.lit(None).cast("string"))
                   .otherwise(F.concat(F.lit(" about "), F.col("source"), F.lit(" "))).alias("Summary"),
                  F.col("text").alias("Text"),
