@@ -89,13 +89,28 @@ def enrich_reviews(raw: DataFrame) -> DataFrame:
 def sample_fixed_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "review_id") -> DataFrame:
     """A fixed-size sample: the n rows with the smallest md5(seed || id).
 
-    n = 0 keeps every row.  Spark plans this as TakeOrderedAndProject
-    (a per-partition top-n, then one merge of n rows per partition).
+    n = 0 keeps every row.  md5 is uniform, so the first 15 hex digits
+    give a threshold that keeps a little more than n rows in expectation;
+    the filter runs distributed, its count is checked (the threshold is
+    doubled until at least n rows pass, or everything passes), and only
+    the surviving ~n rows are sorted.  Nothing of size N meets in one task.
     """
     if n <= 0:
         return df
     key = F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
-    return df.withColumn("_sample_key", key).orderBy("_sample_key", id_col).limit(n).drop("_sample_key")
+    keyed = df.withColumn("_sample_key", key).withColumn(
+        "_k15", F.conv(F.substring("_sample_key", 1, 15), 16, 10).cast("long"))
+    total = df.count()
+    if total <= n:
+        return df
+    space = 16 ** 15
+    p = min(1.0, (n + 10 * n ** 0.5 + 100) / total)
+    while True:
+        cut = keyed.where(F.col("_k15") < F.lit(int(p * space))) if p < 1.0 else keyed
+        if p >= 1.0 or cut.count() >= n:
+            break
+        p = min(1.0, 2 * p)
+    return cut.orderBy("_sample_key", id_col).limit(n).drop("_sample_key", "_k15")
 
 
 def product_reviews(reviews: DataFrame, product_id: str, min_score: int = 1, limit: int = 20) -> DataFrame:
