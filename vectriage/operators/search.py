@@ -240,15 +240,20 @@ def keyword_vs_semantic(base: DataFrame, queries: DataFrame, id_col: str, text_c
     a keyword, how many rows contain that word, how many the semantic
     search returns, and how many are in both.
 
-    Keyword hits come from an equi-join of the (small) keyword list with
-    the distinct words of each row, not from a scan per keyword.
+    Keyword hits come from an equi-join of the keyword list with the
+    distinct words of each row, not from a scan per keyword.  When the
+    query count is proven small (the search broadcast its queries) the
+    keyword list is broadcast too, so a very common word never piles up
+    in one task.
     """
     split = r"[^\p{L}\p{N}]+"
     kw = queries.select("query_id", F.get(F.filter(F.split(F.lower("query_text"), split),
                                                    lambda t: F.length(t) >= min_keyword_len), 0).alias("keyword"))
     words = base.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), split))).alias("keyword"))
-    kh = kw.join(words, "keyword").select("query_id", id_col)
-    sh = search(base, queries.select("query_id", "embedding"), k, id_col=id_col, **opts).select("query_id", id_col)
+    nn, bound = neighbors_bounded(base, queries.select("query_id", "embedding"), k, id_col=id_col, **opts)
+    kw_side = F.broadcast(kw) if bound is not None and bound // max(k, 1) * 64 <= (256 << 20) else kw
+    kh = kw_side.join(words, "keyword").select("query_id", id_col)
+    sh = nn.select("query_id", F.col("neighbor_id").alias(id_col))
     both = kh.join(sh, ["query_id", id_col])
     cnt = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     return (kw.join(cnt(kh, "keyword_hits"), "query_id", "left")
