@@ -12,8 +12,9 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from vectriage.session import get_session
-    s = get_session("local[*]", 8)
+    s = get_session("local[*]", 8, extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="vt-wh-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

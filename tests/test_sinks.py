@@ -50,3 +50,20 @@ def test_incremental_embed_only_new_or_changed(spark):
     assert todo == [2, 3]
     out = incremental_embed(src, stored, "id", "text").collect()
     assert sorted(r.id for r in out) == [2, 3] and all(r.embedding is not None for r in out)
+
+
+def test_catalog_tables(spark, tmp_path):
+    from vectriage.sources.sinks import create_database, drop_table, save_table, table_exists, table_row_count
+    create_database(spark, "vt_test_db")
+    name = "vt_test_db.t1"
+    drop_table(spark, name)
+    df = spark.range(3).withColumnRenamed("id", "ticket_id")
+    save_table(df, name, "WRITE_EMPTY", description="tickets", labels={"env": "test"})
+    assert table_exists(spark, name) and table_row_count(spark, name) == 3
+    props = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    assert props.get("env") == "test"
+    assert spark.catalog.getTable(name).description == "tickets"
+    save_table(df, name, "WRITE_APPEND")
+    assert table_row_count(spark, name) == 6
+    drop_table(spark, name)
+    assert not table_exists(spark, name)

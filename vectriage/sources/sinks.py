@@ -94,3 +94,54 @@ def table_info(spark: SparkSession, path: str) -> dict:
     except Exception:  # noqa: BLE001
         return {"exists": False}
     return {"exists": True, "schema": df.schema, "row_count": df.count()}
+
+
+# ---- catalog tables (metastore) -------------------------------------------
+
+def _quote(name: str) -> str:
+    return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+
+
+def create_database(spark: SparkSession, name: str, exists_ok: bool = True) -> None:
+    spark.sql(f"CREATE DATABASE {'IF NOT EXISTS ' if exists_ok else ''}{_quote(name)}")
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def drop_table(spark: SparkSession, name: str, not_found_ok: bool = True) -> None:
+    spark.sql(f"DROP TABLE {'IF EXISTS ' if not_found_ok else ''}{_quote(name)}")
+
+
+def save_table(df: DataFrame, name: str, disposition: str = "WRITE_EMPTY",
+               partition_by: list[str] | None = None, description: str | None = None,
+               labels: dict | None = None) -> None:
+    """``saveAsTable`` with a load disposition, a description (COMMENT) and
+    labels (TBLPROPERTIES)."""
+    spark = df.sparkSession
+    if disposition not in DISPOSITIONS:
+        raise ValueError(f"disposition must be one of {sorted(DISPOSITIONS)}")
+    mode = DISPOSITIONS[disposition]
+    if disposition == "WRITE_EMPTY" and table_exists(spark, name):
+        if not spark.table(name).isEmpty():
+            raise ValueError(f"WRITE_EMPTY: {name} already holds rows")
+        mode = "overwrite"
+    w = df.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.saveAsTable(name)
+    props = dict(labels or {})
+    if description is not None:
+        props["comment"] = description
+    if props:
+        kv = ", ".join(f"'{k}' = '{str(v).replace(chr(39), chr(92) + chr(39))}'" for k, v in props.items())
+        spark.sql(f"ALTER TABLE {_quote(name)} SET TBLPROPERTIES ({kv})")
+
+
+def table_schema(spark: SparkSession, name: str):
+    return spark.table(name).schema
+
+
+def table_row_count(spark: SparkSession, name: str) -> int:
+    return spark.table(name).count()
