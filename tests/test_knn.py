@@ -82,3 +82,39 @@ def test_knn_no_queries(spark):
     bdf = spark.createDataFrame([(1, [1.0, 0.0])], SCHEMA)
     qdf = spark.createDataFrame([], SCHEMA).withColumnRenamed("id", "query_id")
     assert knn(bdf, qdf, 3, base_id="id").count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
+def test_kernel_streamed_batches_match_brute_force(metric):
+    from vectriage.operators.knn import _Kernel
+    rng = np.random.default_rng(7)
+    B = rng.normal(size=(700, 5))
+    B[350:360] = B[0:10]                      # exact duplicates in a later batch
+    Q = np.vstack([rng.normal(size=(30, 5)), B[3:4]])
+    ids = np.arange(700, dtype=np.int64)[::-1].copy()   # ids not in scan order
+    kern = _Kernel(Q, metric, 6, np.int64)
+    kern.max_buf = 50                          # force many merges
+    for s in range(0, 700, 37):
+        kern.add(ids[s:s + 37], B[s:s + 37])
+    qrow, got_ids, dist, _ = kern.result()
+    base = [(int(i), b.tolist()) for i, b in zip(ids, B)]
+    exp = brute(base, [(q, Q[q].tolist()) for q in range(len(Q))], 6, metric)
+    for q in range(len(Q)):
+        assert list(got_ids[qrow == q]) == [b for b, _ in exp[q]]
+
+
+def test_knn_many_small_batches(spark):
+    base, queries = _frames(spark, n=400)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        bdf = spark.createDataFrame(base, SCHEMA).repartition(3)
+        qdf = spark.createDataFrame(queries, SCHEMA).withColumnRenamed("id", "query_id")
+        res = knn(bdf, qdf, 5, "cosine", base_id="id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {}
+    for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.neighbor_id)
+    exp = brute(base, queries, 5, "cosine")
+    assert got == {q: [b for b, _ in v] for q, v in exp.items()}

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectriage.functions.numeric import round_half_away
-from vectriage.operators.knn import _Kernel, _arrow_schema, _field_type, _out_schema, _to_batch, _vec_matrix, knn
+from vectriage.operators.knn import (_Kernel, _arrow_schema, _field_type, _id_array, _id_dtype, _out_schema,
+                                     _to_batch, _vec_matrix, knn)
 
 DEFAULT_MAX_BLOCK_ROWS = 200_000
 # Upper bound on the centroid table we are willing to ship to the driver
@@ -167,8 +168,8 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
             return pa.Table.from_batches([], schema=_arrow_schema(qtype, btype))
         dim = len(qt.column("_vec")[0].as_py())
         qids = np.asarray(qt.column("_id").to_pylist(), dtype=object)
-        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k)
-        kern.add(np.asarray(bt.column("_id").to_pylist(), dtype=object), _vec_matrix(bt.column("_vec"), dim))
+        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k, _id_dtype(btype))
+        kern.add(_id_array(bt.column("_id").combine_chunks(), btype), _vec_matrix(bt.column("_vec"), dim))
         qrow, ids, dist, dkey = kern.result()
         return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
 

@@ -93,14 +93,25 @@ def _select(qrow, ids, dist, dkey, k):
 
 
 class _Kernel:
-    """Top-k of one query matrix against streamed base batches."""
+    """Top-k of one query matrix against streamed base batches.
 
-    def __init__(self, Q: np.ndarray, metric: str, k: int):
+    Per query it keeps the best k (distance key, id) pairs seen so far and
+    their k-th distance as a bound: later batches only emit candidates at
+    or below ``min(batch k-th, bound)``, so after the first batches almost
+    nothing but true improvements is kept.  Candidates are buffered and
+    merged (one lexsort) when the buffer grows past a few times ``k * nq``.
+    """
+
+    def __init__(self, Q: np.ndarray, metric: str, k: int, id_dtype=object):
         self.metric, self.k = metric, k
         self.Q = Q
         self.Qp, self.Qaux = _prepare(Q, metric)
-        self.valid_q = np.isfinite(self.Qp).all(axis=1) if metric == "cosine" else np.ones(len(Q), bool)
-        self.acc = (np.empty(0, np.int64), np.empty(0, object), np.empty(0), np.empty(0))
+        nq = len(Q)
+        self.valid_q = np.isfinite(self.Qp).all(axis=1) if metric == "cosine" else np.ones(nq, bool)
+        self.bound = np.full(nq, np.inf)
+        self.acc = (np.empty(0, np.int64), np.empty(0, id_dtype), np.empty(0), np.empty(0))
+        self.parts, self.n_buf = [], 0
+        self.max_buf = max(4 * k * nq, 1 << 18)
 
     def _distances(self, q0, q1, Bp, Baux):
         Qp = self.Qp[q0:q1]
@@ -125,46 +136,72 @@ class _Kernel:
                     return
         nb = len(ids)
         step = max(1, TILE_BYTES // (8 * nb))
-        parts = []
+        kk = min(self.k, nb)
         for q0 in range(0, len(self.Qp), step):
             q1 = min(q0 + step, len(self.Qp))
             D = self._distances(q0, q1, Bp, Baux)
             invalid = ~self.valid_q[q0:q1]
             D[invalid] = np.inf
-            kk = min(self.k, nb)
+            kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
+            bound = self.bound[q0:q1]
+            if self.metric == "euclidean":
+                # widened by a bound on the cancellation error of
+                # |q|^2 + |b|^2 - 2 q.b; exact distances are recomputed
+                scale = np.sqrt(self.Qaux[q0:q1] + Baux.max())
+                tol = 1e-6 * np.maximum(scale, 1.0) + 1e-9
+                lim = np.minimum(kth, bound) + tol
+            else:
+                # more than 1e-9 above the k-th raw distance rounds (to 9
+                # decimals) strictly above it, so it can neither win nor tie
+                lim = np.minimum(kth, bound) + 1e-9
+            mask = D <= lim[:, None]
+            mask[invalid] = False
+            r, c = np.nonzero(mask)
+            if len(r) == 0:
+                continue
             if self.metric == "euclidean":
-                # approximate k-th value, widened by a bound on the
-                # cancellation error of |q|^2 + |b|^2 - 2 q.b
-                kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-                scale = np.sqrt(self.Qaux[q0:q1] + (Baux.max() if nb else 0.0))
-                tol = 1e-6 * np.maximum(scale, 1.0)
-                mask = D <= (kth + tol)[:, None]
-                mask[invalid] = False
-                r, c = np.nonzero(mask)
                 diff = self.Q[q0 + r] - B[c]
                 d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             else:
-                # Anything more than 1e-9 above the k-th raw distance rounds
-                # (to 9 decimals) strictly above it too, so it cannot tie.
-                kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-                mask = D <= (kth + 1e-9)[:, None]
-                mask[invalid] = False
-                r, c = np.nonzero(mask)
                 d = D[r, c]
             fin = np.isfinite(d)
             r, c, d = r[fin], c[fin], d[fin]
-            parts.append((r + q0, ids[c], d, _dkey(d)))
+            self.parts.append((r + q0, ids[c], d, _dkey(d)))
+            self.n_buf += len(r)
+        if self.n_buf > self.max_buf:
+            self._merge()
+
+    def _merge(self):
+        if not self.parts:
+            return
         qa, ia, da, ka = self.acc
-        qrow = np.concatenate([qa] + [p[0] for p in parts])
-        idv = np.concatenate([ia] + [p[1].astype(object) for p in parts])
-        dist = np.concatenate([da] + [p[2] for p in parts])
-        dkey = np.concatenate([ka] + [p[3] for p in parts])
-        self.acc = _select(qrow, idv, dist, dkey, self.k)
+        qrow = np.concatenate([qa] + [p[0] for p in self.parts])
+        idv = np.concatenate([ia] + [p[1] for p in self.parts])
+        dist = np.concatenate([da] + [p[2] for p in self.parts])
+        dkey = np.concatenate([ka] + [p[3] for p in self.parts])
+        self.parts, self.n_buf = [], 0
+        self.acc = qrow, idv, dist, dkey = _select(qrow, idv, dist, dkey, self.k)
+        if len(qrow):
+            counts = np.bincount(qrow, minlength=len(self.Q))
+            ends = np.cumsum(counts) - 1
+            full = np.flatnonzero(counts >= self.k)
+            self.bound[full] = dist[ends[full]]
 
     def result(self):
+        self._merge()
         return self.acc
 
 
+def _id_array(col: pa.Array, dtype: T.DataType) -> np.ndarray:
+    if isinstance(dtype, (T.LongType, T.IntegerType)):
+        return np.asarray(col.to_numpy(zero_copy_only=False), dtype=np.int64)
+    return np.asarray(col.to_pylist(), dtype=object)
+
+
+def _id_dtype(dtype: T.DataType):
+    return np.int64 if isinstance(dtype, (T.LongType, T.IntegerType)) else object
+
+
 def _arrow_type(dt: T.DataType) -> pa.DataType:
     if isinstance(dt, T.LongType):
         return pa.int64()
@@ -187,7 +224,7 @@ def _out_schema(qtype: T.DataType, btype: T.DataType) -> T.StructType:
 def _to_batch(qids, qrow, ids, dist, dkey, qtype, btype) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(qids[qrow] if len(qrow) else [], type=_arrow_type(qtype)),
-         pa.array(list(ids), type=_arrow_type(btype)),
+         pa.array(ids if ids.dtype != object else list(ids), type=_arrow_type(btype)),
          pa.array(dist, type=pa.float64()),
          pa.array(dkey, type=pa.float64())],
         names=["query_id", "neighbor_id", "distance", "dkey"])
@@ -293,11 +330,10 @@ def _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema):
 
     def run(batches):
         qids_, Q_ = bc.value
-        kern = _Kernel(Q_, metric, k)
+        kern = _Kernel(Q_, metric, k, _id_dtype(btype))
         for rb in batches:
             if rb.num_rows:
-                ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
-                kern.add(ids, _vec_matrix(rb.column(1), dim))
+                kern.add(_id_array(rb.column(0), btype), _vec_matrix(rb.column(1), dim))
         qrow, ids, dist, dkey = kern.result()
         yield _to_batch(qids_, qrow, ids, dist, dkey, qtype, btype)
 
@@ -317,8 +353,8 @@ def _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes):
         if qt.num_rows == 0 or bt.num_rows == 0:
             return pa.Table.from_batches([], schema=_arrow_schema(qtype, btype))
         qids = np.asarray(qt.column("_id").to_pylist(), dtype=object)
-        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k)
-        kern.add(np.asarray(bt.column("_id").to_pylist(), dtype=object), _vec_matrix(bt.column("_vec"), dim))
+        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k, _id_dtype(btype))
+        kern.add(_id_array(bt.column("_id").combine_chunks(), btype), _vec_matrix(bt.column("_vec"), dim))
         qrow, ids, dist, dkey = kern.result()
         return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
 
