@@ -3,8 +3,8 @@
 Build
 -----
 ``build_ivf`` fits Spark ML ``KMeans`` (or ``BisectingKMeans`` for the
-tree-shaped partitioner) on the vectors (unit vectors for cosine) and
-assigns every base row a ``list_id``.  The index is two tables:
+tree-shaped partitioner) on a bounded sample of the vectors (unit vectors
+for cosine) and assigns every base row a ``list_id`` map-side.  The index is two tables:
 ``centroids(list_id, centroid)`` (``num_lists`` rows; the count is a
 parameter, so its size is bounded up front) and the base rows with their
 ``list_id`` (written ``partitionBy('list_id')`` by ``save_ivf``).  The
@@ -60,34 +60,44 @@ def _unit(vec: str):
 
 def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", num_lists: int | None = None,
               metric: str = "cosine", method: str = "kmeans", max_leaf_size: int = 100, seed: int = 42,
-              max_iter: int = 10) -> IVFIndex:
-    """Fit the lists and assign every row with a vector to one of them."""
+              max_iter: int = 10, train_per_list: int = 256) -> IVFIndex:
+    """Fit the lists and assign every row with a vector to one of them.
+
+    The clustering is fitted on a seeded sample of about
+    ``train_per_list * num_lists`` rows (all rows when the table is
+    smaller), persisted for the k-means passes; every row is then
+    assigned by a map-only ``transform``.  Fitting cost therefore does
+    not grow with the table.
+    """
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from pyspark import StorageLevel
-
     rows = base.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(F.col(vec_col).isNotNull())
     feats = rows.withColumn("features", array_to_vector(_unit(vec_col) if metric == "cosine" else F.col(vec_col)))
-    # k-means reads its input once per iteration: keep it (memory, then
-    # disk); a lost executor's blocks are recomputed from the lineage.
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    n = feats.count()
+    n = rows.count()
     if n == 0:
         raise ValueError("no vectors to index")
     if method == "kmeans":
-        k = num_lists or max(1, math.ceil(math.sqrt(n)))
-        est = KMeans(k=min(k, n), seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
+        k = min(num_lists or max(1, math.ceil(math.sqrt(n))), n)
     elif method == "tree":
-        k = num_lists or max(1, math.ceil(n / max_leaf_size))
-        est = BisectingKMeans(k=min(k, n), seed=seed, maxIter=max_iter, featuresCol="features",
-                              predictionCol="list_id", minDivisibleClusterSize=float(max_leaf_size))
+        k = min(num_lists or max(1, math.ceil(n / max_leaf_size)), n)
     else:
         raise ValueError("method must be 'kmeans' or 'tree'")
+    want = train_per_list * k if method == "kmeans" else max(train_per_list * k, n // 8)
+    train = feats if want >= n else feats.sample(fraction=min(1.0, 1.2 * want / n), seed=seed)
+    # k-means reads its input once per iteration: keep the (bounded)
+    # training rows, memory then disk; lost blocks are recomputed.
+    train = train.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = est.fit(feats)
+        if method == "kmeans":
+            est = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
+        else:
+            est = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
+                                  predictionCol="list_id", minDivisibleClusterSize=float(max_leaf_size))
+        model = est.fit(train)
     finally:
-        feats.unpersist()
+        train.unpersist()
     centers = model.clusterCenters()
     dim = len(centers[0])
     if len(centers) * dim * 8 > MAX_CENTROID_BYTES:
