@@ -112,9 +112,19 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
     return IVFIndex(centroids, assigned, id_col, vec_col, metric, len(centers))
 
 
-def save_ivf(index: IVFIndex, path: str) -> None:
-    """Write ``{path}/rows`` partitioned by list_id and ``{path}/centroids``."""
-    index.rows.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows")
+def save_ivf(index: IVFIndex, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write ``{path}/rows`` partitioned by list_id and ``{path}/centroids``.
+
+    Rows are shuffled on (list_id, salt) before the write, so each list
+    lands in a few files instead of one file per list per input task; the
+    salt splits a large list over ``ceil(size / rows_per_file)`` writers.
+    """
+    sizes = F.broadcast(list_sizes(index).select(
+        "list_id", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_file))).alias("_salts")))
+    (index.rows.join(sizes, "list_id")
+          .withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_salts")))
+          .repartition("list_id", "_salt").drop("_salt", "_salts")
+          .write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows"))
     index.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
