@@ -67,3 +67,17 @@ def test_catalog_tables(spark, tmp_path):
     assert table_row_count(spark, name) == 6
     drop_table(spark, name)
     assert not table_exists(spark, name)
+
+
+def test_recent_prunes_date_partitions(spark, tmp_path):
+    import datetime as dt
+    from vectriage.operators.trends import recent
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 10, 12), "c", "open", "low") for i in range(30)]
+    df = spark.createDataFrame(rows, "ticket_id long, created_at timestamp_ntz, category string, "
+                                     "status string, priority string")
+    path = str(tmp_path / "tickets")
+    write_partitioned_tickets(df, path)
+    got = recent(spark.read.parquet(path), dt.datetime(2024, 1, 10, 12), 2)
+    assert sorted(r.ticket_id for r in got.collect()) == [7, 8, 9, 17, 18, 19, 27, 28, 29]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan

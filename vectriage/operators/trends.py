@@ -23,8 +23,14 @@ from vectriage.operators.search import neighbors_bounded
 
 
 def recent(base: DataFrame, as_of, days: int, ts_col: str = "created_at") -> DataFrame:
+    """Rows created at or after ``as_of - days``.  On a table written by
+    ``write_partitioned_tickets`` the same bound is also put on the
+    ``created_date`` partition column, so whole date folders are pruned."""
     since = ts_ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return base.where(F.col(ts_col) >= since)
+    out = base.where(F.col(ts_col) >= since)
+    if "created_date" in base.columns:
+        out = out.where(F.col("created_date") >= F.to_date(since))
+    return out
 
 
 def similar_pairs(base: DataFrame, as_of, days: int = 7, k: int = 10, max_distance: float = 0.2,
