@@ -28,3 +28,22 @@ def test_tree_partitioner(spark):
     idx = build_ivf(base, "id", method="tree", max_leaf_size=50)
     assert idx.num_lists >= 2
     assert idx.rows.count() == 300
+
+
+def test_filtered_ivf_widens_until_k(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist(), i % 10) for i in range(400)]
+    base = spark.createDataFrame(rows, "id long, embedding array<double>, grp long")
+    q = base.limit(20).select(F.col("id").alias("query_id"), "embedding")
+    idx = build_ivf(base.select("id", "embedding"), "id", num_lists=16)
+    idx.rows = idx.rows.join(base.select("id", "grp"), "id")
+    flt = F.col("grp") == 3                        # 10% of rows pass
+    got = ivf_search(idx, q, 5, fraction=1 / 16, filters=flt)
+    counts = [r[1] for r in got.groupBy("query_id").count().collect()]
+    assert len(counts) == 20 and min(counts) == 5
+    exact = knn(base.where(flt), q, 5, base_id="id")
+    # every query was widened until k rows were found; at fraction 1 it is exact
+    full = ivf_search(idx, q, 5, fraction=1.0, filters=flt)
+    key = lambda df: sorted((r.query_id, r.neighbor_id) for r in df.collect())
+    assert key(full) == key(exact)

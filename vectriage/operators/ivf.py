@@ -151,13 +151,32 @@ def list_sizes(index: IVFIndex) -> DataFrame:
 
 def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float = 0.1, *,
                query_id: str = "query_id", query_vec: str = "embedding", metric: str | None = None,
-               max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS, filters=None) -> DataFrame:
+               max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS, filters=None, widen: bool = True) -> DataFrame:
     """Approximate top-k (exact distances within the probed lists).
 
     Returns ``query_id, neighbor_id, rank, distance`` like ``knn``.
-    ``filters`` (a Column on the base rows) is applied before the search;
-    a selective filter can leave fewer than k rows in the probed lists.
+    ``filters`` (a Column on the base rows) is applied before the search.
+    A selective filter can leave fewer than k rows in the probed lists;
+    with ``widen`` the queries that came up short are searched again with
+    twice the fraction, until they have k rows or every list was read
+    (at most log2(num_lists) rounds, each touching only the short queries).
     """
+    res = _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, filters)
+    if filters is None or not widen:
+        return res
+    while fraction < 1.0:
+        done = (res.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+                   .select(query_id))
+        todo = queries.where(F.col(query_vec).isNotNull()).join(done, query_id, "left_anti")
+        if todo.isEmpty():
+            break
+        fraction = min(1.0, 2 * fraction)
+        again = _ivf_search_once(index, todo, k, fraction, query_id, query_vec, metric, max_block_rows, filters)
+        res = res.join(todo.select(query_id), query_id, "left_anti").unionByName(again)
+    return res
+
+
+def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, filters):
     metric = (metric or index.metric).lower()
     nprobe = max(1, min(index.num_lists, math.ceil(fraction * index.num_lists)))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_vec")).where(
