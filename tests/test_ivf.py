@@ -47,3 +47,19 @@ def test_filtered_ivf_widens_until_k(spark):
     full = ivf_search(idx, q, 5, fraction=1.0, filters=flt)
     key = lambda df: sorted((r.query_id, r.neighbor_id) for r in df.collect())
     assert key(full) == key(exact)
+
+
+def test_assign_lists_matches_nearest_centroid(spark):
+    from vectriage.operators.ivf import assign_lists
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    base = spark.createDataFrame(rows, "id long, embedding array<double>")
+    idx = build_ivf(base, "id", num_lists=8)
+    new = spark.createDataFrame([(1000 + i, rng.normal(size=4).tolist()) for i in range(20)],
+                                "id long, embedding array<double>")
+    got = {r.id: r.list_id for r in assign_lists(idx, new).collect()}
+    cents = {r.list_id: np.array(r.centroid) for r in idx.centroids.collect()}
+    for r in new.collect():
+        v = np.array(r.embedding) / np.linalg.norm(r.embedding)
+        best = min(cents, key=lambda c: (1 - v @ cents[c] / np.linalg.norm(cents[c]), c))
+        assert got[r.id] == best

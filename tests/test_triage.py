@@ -65,3 +65,21 @@ def test_triage_one_row_per_query(spark):
     assert set(res) == {100, 101, 102}
     assert len(res[100].similar_tickets) == 5
     assert res[102].error is not None and res[102].similar_tickets == []
+
+
+def test_enforce_schema_modes(spark):
+    import pytest as _pytest
+    from vectriage.operators.tickets import TICKET_COLUMNS, enforce_schema
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), "t", "d", "c", "high", "open", "t d", None),
+         (2, None, "t", "d", "c", "high", "open", "t d", 3)],
+        "ticket_id long, created_at timestamp_ntz, title string, description string, category string, "
+        "priority string, status string, combined_text string, reopened_count long")
+    out = enforce_schema(df).collect()
+    assert [r.ticket_id for r in out] == [1]
+    assert out[0].reopened_count == 0 and out[0].language == "en" and out[0].customer_tier is None
+    assert len(out[0]) == len(TICKET_COLUMNS)
+    flagged = {r.ticket_id: r._violation for r in enforce_schema(df, on_violation="flag").collect()}
+    assert flagged == {1: False, 2: True}
+    with _pytest.raises(Exception):
+        enforce_schema(df, on_violation="fail").collect()
