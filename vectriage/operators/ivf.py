@@ -51,6 +51,7 @@ class IVFIndex:
     vec_col: str
     metric: str
     num_lists: int
+    sizes: DataFrame | None = None   # list_id, n_rows (estimated from the training sample)
 
 
 def _unit(vec: str):
@@ -96,6 +97,7 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
             est = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
                                   predictionCol="list_id", minDivisibleClusterSize=float(max_leaf_size))
         model = est.fit(train)
+        train_sizes = list(model.summary.clusterSizes) if model.hasSummary else None
     finally:
         train.unpersist()
     centers = model.clusterCenters()
@@ -109,7 +111,13 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
                       T.StructField("centroid", T.ArrayType(T.DoubleType()), False)]))
     assigned = (model.transform(feats)
                 .select(id_col, F.col("list_id").cast("long").alias("list_id"), vec_col))
-    return IVFIndex(centroids, assigned, id_col, vec_col, metric, len(centers))
+    sizes = None
+    if train_sizes and sum(train_sizes) > 0:
+        # list sizes scaled from the training sample: no extra pass over the table
+        scale = n / sum(train_sizes)
+        sizes = spark.createDataFrame([(i, int(math.ceil(c * scale))) for i, c in enumerate(train_sizes)],
+                                      "list_id long, n_rows long")
+    return IVFIndex(centroids, assigned, id_col, vec_col, metric, len(centers), sizes)
 
 
 def save_ivf(index: IVFIndex, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -119,20 +127,23 @@ def save_ivf(index: IVFIndex, path: str, rows_per_file: int = 1_000_000) -> None
     lands in a few files instead of one file per list per input task; the
     salt splits a large list over ``ceil(size / rows_per_file)`` writers.
     """
-    sizes = F.broadcast(list_sizes(index).select(
+    known = index.sizes if index.sizes is not None else list_sizes(index)
+    sizes = F.broadcast(known.select(
         "list_id", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_file))).alias("_salts")))
     (index.rows.join(sizes, "list_id")
           .withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_salts")))
           .repartition("list_id", "_salt").drop("_salt", "_salts")
           .write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows"))
     index.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    known.coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
 
 
 def load_ivf(spark, path: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine") -> IVFIndex:
     cents = spark.read.parquet(f"{path}/centroids")
     # the partition column comes back with an inferred type: pin it
     rows = spark.read.parquet(f"{path}/rows").withColumn("list_id", F.col("list_id").cast("long"))
-    return IVFIndex(cents, rows, id_col, vec_col, metric, cents.count())
+    sizes = spark.read.parquet(f"{path}/lists")
+    return IVFIndex(cents, rows, id_col, vec_col, metric, cents.count(), sizes)
 
 
 def assign_lists(index: IVFIndex, new_rows: DataFrame) -> DataFrame:
@@ -189,7 +200,12 @@ def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, m
     # only the lists some query probes enter the shuffle (at most num_lists ids)
     probed = probes.select(F.col("neighbor_id").alias("list_id")).distinct()
     rows = rows.join(F.broadcast(probed), "list_id", "left_semi")
-    sizes = rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+    # list sizes only set the block split (balance, not results): use the
+    # stored estimates when there is no filter, else count the filtered rows
+    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n"))
+               if index.sizes is not None and filters is None
+               else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counted.withColumn(
         "_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows))).cast("long"))
     # num_lists rows: bounded by the index parameter
     sizes = F.broadcast(sizes.select("list_id", "_blocks"))
