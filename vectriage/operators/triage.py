@@ -6,6 +6,10 @@ grouped aggregates and per-query windows.  Evidence lists are bounded
 (``row_number() <= n`` before ``collect_list``), so no group collects an
 unbounded list.  Every query gets a row: queries with nothing found are
 kept by a left join and carry the documented defaults.
+
+The query frame is read more than once (the bounded collect of the
+search, and the left joins that keep every query); when it is expensive
+to compute (embedding many texts), persist it first.
 """
 
 from __future__ import annotations
