@@ -780,6 +780,29 @@ def q_tree_search(spark, sf_dir):
     return res.select("query_id", "neighbor_id", "rank", _r6())
 
 
+@register("knn_block", _EXACT10)
+def q_knn_block(spark, sf_dir):
+    """The block strategy (used when the query matrix is too large to
+    broadcast), forced here with small blocks so several block pairs meet."""
+    t = _tickets(spark, sf_dir).select("ticket_id", "embedding")
+    res = knn_mod.knn(t, ticket_queries(t), 10, base_id="ticket_id", strategy="block", block_bytes=64 << 10)
+    return res.select("query_id", "neighbor_id", "rank", _r6())
+
+
+@register("ivf_filtered_search", O.with_ctes(TK, O.tickets_knn(10, base_where=_FILTER_SQL)) + f"""
+SELECT query_id, neighbor_id, rank, {O.rha('distance', 6)} AS distance FROM nn""")
+def q_ivf_filtered_search(spark, sf_dir):
+    """Pre-filtered IVF search over every list: equals the exact filtered
+    search (the widening at smaller fractions is covered by the tests)."""
+    from vectriage.operators.ivf import ivf_search
+    from vectriage.operators.search import filter_condition
+    full = _tickets(spark, sf_dir)
+    t, idx = _ivf(spark, sf_dir)
+    idx.rows = idx.rows.join(full.select("ticket_id", "status", "category"), "ticket_id")
+    res = ivf_search(idx, ticket_queries(t), 10, fraction=1.0, filters=filter_condition(full, FILTERS))
+    return res.select("query_id", "neighbor_id", "rank", _r6())
+
+
 @register("ivf_lists")
 def q_ivf_lists(spark, sf_dir):
     """Rows per k-means list (ceil(sqrt(N)) lists)."""
