@@ -290,10 +290,12 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                 base_id: str = "id", base_vec: str = "embedding",
                 query_id: str = "query_id", query_vec: str = "embedding",
                 strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                block_bytes: int = DEFAULT_BLOCK_BYTES):
+                block_bytes: int = DEFAULT_BLOCK_BYTES, dim: int | None = None):
     """``knn`` plus a proven upper bound on its row count (``None`` when the
     query side was too large to count up front): callers use it to decide
-    whether the result may be broadcast into a join."""
+    whether the result may be broadcast into a join.  ``dim``, when the
+    caller knows the vector width (an embedder's output), saves the job
+    that reads it from the first query."""
     metric = metric.lower()
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -302,7 +304,7 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     spark = base.sparkSession
     qtype, btype = _field_type(queries, query_id), _field_type(base, base_id)
     schema = _out_schema(qtype, btype)
-    dim = query_width(queries, query_vec)
+    dim = dim or query_width(queries, query_vec)
     cand, bound = None, 0
     if dim:
         q = _prune(queries, query_id, query_vec, dim)

@@ -454,6 +454,7 @@ def _benchmark_queries(spark, sf_dir):
 
 
 DOCS_EMB = O.hash_embed_cte("de", "documents", "doc_id", "text")
+DEFAULT_DIM = O.DEFAULT_DIM
 
 
 @register("embed_documents", O.with_ctes(DOCS_EMB) + """
@@ -523,7 +524,7 @@ FROM nn JOIN reviews r ON r.review_id = nn.neighbor_id""")
 def q_text_search(spark, sf_dir):
     from vectriage.operators.search import search, similarity_pct
     res = search(_reviews_embedded(spark, sf_dir), _benchmark_queries(spark, sf_dir), 10,
-                 id_col="review_id", payload=REVIEW_PAYLOAD)
+                 id_col="review_id", payload=REVIEW_PAYLOAD, dim=DEFAULT_DIM)
     return res.select("query_id", "rank", "review_id", *REVIEW_PAYLOAD, _r6(),
                       similarity_pct(F.col("distance")).alias("similarity_pct"))
 
@@ -555,7 +556,8 @@ FROM kw""")
 def q_keyword_vs_semantic(spark, sf_dir):
     from vectriage.operators.search import keyword_vs_semantic
     revs = _reviews_embedded(spark, sf_dir)
-    return keyword_vs_semantic(revs, _benchmark_queries(spark, sf_dir), "review_id", "combined_text", 10)
+    return keyword_vs_semantic(revs, _benchmark_queries(spark, sf_dir), "review_id", "combined_text", 10,
+                               dim=DEFAULT_DIM)
 
 
 @register("duplicate_detection", O.with_ctes(DOCS_EMB, O.topk_cte("nn", "de", "id", "de", "id", 10)) + f"""
@@ -569,7 +571,7 @@ def q_duplicate_detection(spark, sf_dir):
     d = _docs_embedded(spark, sf_dir)
     q = d.select(F.col("doc_id").alias("query_id"), "embedding")
     res = duplicate_detection(d.select("doc_id", "embedding"), q, 10, 0.20, payload=(), exclude_self=True,
-                              id_col="doc_id")
+                              id_col="doc_id", dim=DEFAULT_DIM)
     return res.select("query_id", "rank", "doc_id", _r6(), "similarity_pct", "duplicate_assessment")
 
 
