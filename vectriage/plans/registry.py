@@ -881,6 +881,17 @@ def q_streaming_triage(spark, sf_dir):
                       "confidence", "similar_ticket_count", "error")
 
 
+@register("trending_issues_ivf", ORACLE["trending_issues"])
+def q_trending_issues_ivf(spark, sf_dir):
+    """Trending issues through the IVF index (the at-scale path for the
+    per-row search); probing every list it equals the exact result."""
+    from vectriage.operators.trends import trending
+    t, idx = _ivf(spark, sf_dir)
+    full = _tickets(spark, sf_dir)
+    res = trending(full, TICKETS_AS_OF, TREND_DAYS, 3, 0.70, 10, 10, index=idx, fraction=1.0)
+    return res.withColumn("similar_issues", F.array_join("similar_issues", "|"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solution recommendation for every ticket (the smoke entry)."""
     return QUERIES["recommend_solution"](spark, sf_dir)
