@@ -141,7 +141,7 @@ def filtered_search_resolved(base: DataFrame, queries: DataFrame, k: int = 10, l
                .drop("status"))
 
 
-def batch_search(base: DataFrame, queries: DataFrame, k: int = 3, **opts) -> DataFrame:
+def batch_search(base: DataFrame, queries: DataFrame, k: int = 10, **opts) -> DataFrame:
     """Many queries in one search; each query keeps its id and text."""
     res = search(base, queries.select("query_id", "embedding"), k, payload=["title", "category"], **opts)
     texts = queries.select("query_id", "query_text")
