@@ -63,3 +63,20 @@ def test_assign_lists_matches_nearest_centroid(spark):
         v = np.array(r.embedding) / np.linalg.norm(r.embedding)
         best = min(cents, key=lambda c: (1 - v @ cents[c] / np.linalg.norm(cents[c]), c))
         assert got[r.id] == best
+
+
+def test_find_similar_prefilter_through_index(spark):
+    from pyspark.sql import functions as F
+    from vectriage.operators.search import find_similar
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=5).tolist(), "a" if i % 4 == 0 else "b") for i in range(300)]
+    base = spark.createDataFrame(rows, "ticket_id long, embedding array<double>, status string")
+    q = base.limit(10).select(F.col("ticket_id").alias("query_id"), "embedding")
+    idx = build_ivf(base, "ticket_id", num_lists=12)
+    exact = find_similar(base, q, 4, filters={"status": "a"}, payload=["status"])
+    via = find_similar(base, q, 4, filters={"status": "a"}, payload=["status"], index=idx, fraction=1.0)
+    approx = find_similar(base, q, 4, filters={"status": "a"}, payload=["status"], index=idx, fraction=0.1)
+    key = lambda df: sorted((r.query_id, r.ticket_id) for r in df.collect())
+    assert key(via) == key(exact)
+    assert {r.status for r in approx.collect()} == {"a"}
+    assert [r[1] for r in approx.groupBy("query_id").count().collect()] == [4] * 10

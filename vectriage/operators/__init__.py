@@ -1,0 +1,14 @@
+"""Operators: each takes and returns Spark DataFrames."""
+
+from vectriage.operators.ivf import build_ivf, ivf_search, load_ivf, save_ivf
+from vectriage.operators.knn import knn
+from vectriage.operators.search import (batch_search, duplicate_detection, filtered_search_resolved, find_similar,
+                                        keyword_search, multi_factor_search, multi_field_search, search,
+                                        time_weighted_search)
+from vectriage.operators.triage import categorize, category_votes, recommend, triage, triage_one_pass, triage_summary
+from vectriage.operators.trends import semantic_clusters, trend_detection, trending
+
+__all__ = ["knn", "build_ivf", "ivf_search", "save_ivf", "load_ivf", "search", "find_similar", "batch_search",
+           "filtered_search_resolved", "duplicate_detection", "keyword_search", "multi_field_search",
+           "time_weighted_search", "multi_factor_search", "recommend", "categorize", "category_votes", "triage",
+           "triage_one_pass", "triage_summary", "trending", "semantic_clusters", "trend_detection"]

@@ -52,6 +52,15 @@ class IVFIndex:
     metric: str
     num_lists: int
     sizes: DataFrame | None = None   # list_id, n_rows (estimated from the training sample)
+    restricted: bool = False         # rows were cut down by a filter after the build
+
+
+def restrict(index: IVFIndex, allowed: DataFrame) -> IVFIndex:
+    """The index limited to the ids in ``allowed`` (a semi join on the id):
+    pre-filtering for searches whose filter columns are not in the index."""
+    rows = index.rows.join(allowed.select(index.id_col), index.id_col, "left_semi")
+    return IVFIndex(index.centroids, rows, index.id_col, index.vec_col, index.metric, index.num_lists,
+                    None, True)
 
 
 def _unit(vec: str):
@@ -173,7 +182,7 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
     (at most log2(num_lists) rounds, each touching only the short queries).
     """
     res = _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, filters)
-    if filters is None or not widen:
+    if (filters is None and not index.restricted) or not widen:
         return res
     while fraction < 1.0:
         done = (res.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
@@ -203,7 +212,7 @@ def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, m
     # list sizes only set the block split (balance, not results): use the
     # stored estimates when there is no filter, else count the filtered rows
     counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n"))
-               if index.sizes is not None and filters is None
+               if index.sizes is not None and filters is None and not index.restricted
                else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
     sizes = counted.withColumn(
         "_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows))).cast("long"))

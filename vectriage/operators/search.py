@@ -111,6 +111,9 @@ def find_similar(base: DataFrame, queries: DataFrame, k: int = 10, *,
     need = payload + [c for c in (filters or {}) if c not in payload]
     if filter_mode == "pre":
         b = base.where(cond) if cond is not None else base
+        if cond is not None and knn_opts.get("index") is not None:
+            from vectriage.operators.ivf import restrict
+            knn_opts = dict(knn_opts, index=restrict(knn_opts["index"], b))
         res = search(b, queries, k, metric, id_col=id_col, vec_col=vec_col, payload=payload, **knn_opts)
     elif filter_mode == "post":
         res = search(base, queries, k * overfetch, metric, id_col=id_col, vec_col=vec_col,
