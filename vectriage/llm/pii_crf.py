@@ -291,34 +291,44 @@ def _trimmed(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _spans_of(column, tagger: Tagger) -> list[list[dict]]:
+    """Spans of every text of an Arrow column, in code points, by start and kind."""
+    raw, offsets = text_bytes(column)
+    spans = [[] for _ in range(len(column))]
+    for a, b in row_ranges(offsets):
+        found = tagger.stretches(raw, offsets[a:b + 1])
+        texts = {r: raw[int(offsets[a + r]):int(offsets[a + r + 1])].tobytes() for r in {s[0] for s in found}}
+        added: dict[int, list] = {}
+        for r, s, e, kind in tagger.decode(found, texts):
+            added.setdefault(r, []).append((*_trimmed(texts[r], s, e), kind))
+        for r, own in texts.items():
+            base = base_spans(own.decode())
+            more, at, done = [], 0, 0
+            reach = np.maximum.accumulate([e for _, _, e in base]) if base else np.zeros(0)
+            starts = [s for s, _, _ in base]
+            for s, e, kind in sorted(added.get(r, [])):
+                s, done, at = done + len(own[at:s].decode()), done + len(own[at:e].decode()), e
+                before = np.searchsorted(starts, done, "left") - 1      # base spans that start before this one ends
+                if s < done and (before < 0 or reach[before] <= s):
+                    more.append((s, kind, done))
+            spans[a + r] = [{"kind": KINDS[k], "start": s, "end": e, "source": src} for s, k, e, src in
+                            sorted([(*x, "base") for x in base] + [(*x, "crf") for x in more])]
+    return spans
+
+
+def _shared_model(spark: SparkSession, model: dict | None):
+    return spark.sparkContext.broadcast(model or train_crf(labelled_table(spark)))
+
+
 def find_pii(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans): every row with its spans in code points, by start and kind; source: base or crf."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model or train_crf(labelled_table(spark)))
+    shared = _shared_model(docs.sparkSession, model)
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("source", pa.string())]))
 
     def run(batches):
         tagger = Tagger(shared.value)
         for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            spans = [[] for _ in range(len(batch))]
-            for a, b in row_ranges(offsets):
-                found = tagger.stretches(raw, offsets[a:b + 1])
-                texts = {r: raw[int(offsets[a + r]):int(offsets[a + r + 1])].tobytes() for r in {s[0] for s in found}}
-                added: dict[int, list] = {}
-                for r, s, e, kind in tagger.decode(found, texts):
-                    added.setdefault(r, []).append((*_trimmed(texts[r], s, e), kind))
-                for r, own in texts.items():
-                    base = base_spans(own.decode())
-                    taken = sorted((s, e) for s, _, e in base)
-                    more = []
-                    for s, e, kind in sorted(added.get(r, [])):
-                        s, e = len(own[:s].decode()), len(own[:e].decode())
-                        if s < e and not any(x < e and s < y for x, y in taken):
-                            more.append((s, kind, e))
-                    spans[a + r] = [{"kind": KINDS[k], "start": s, "end": e, "source": src} for s, k, e, src in
-                                    sorted([(*x, "base") for x in base] + [(*x, "crf") for x in more])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, kind_type)],
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(_spans_of(batch.column("text"), tagger), kind_type)],
                                              names=["doc_id", "text", "spans"])
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, text string, spans {SPAN_TYPE}")
@@ -351,11 +361,15 @@ def redacted(text: str | None, spans: list[dict]) -> str | None:
     return "".join(out) + text[last:]
 
 
-def redact(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of every row, with all spans redacted."""
+def redact(docs: DataFrame, model: dict | None = None, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``, with all spans of the text column redacted."""
+    shared = _shared_model(docs.sparkSession, model)
+
     def run(batches):
+        tagger = Tagger(shared.value)
         for batch in batches:
-            out = [redacted(t.as_py() if s else None, s) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+            at = batch.schema.get_field_index(text_col)
+            texts = [redacted(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column(at), _spans_of(batch.column(at), tagger))]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return find_pii(docs, model, id_col, text_col).mapInArrow(run, "doc_id long, text string")
+    return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import BYTE_CODE, LOWER, Roller, U64, keep, keyed_texts, mix, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import BYTE_CODE, LOWER, Roller, U64, keyed_texts, mix, row_ranges, text_bytes, word_bounds
 
 DIM = 512
 SHAPE_DIM = 256
@@ -208,3 +208,18 @@ def classify(docs: DataFrame, limit: float = 0.5, train_rows: int = 12_000, id_c
     model = train(docs, train_rows, id_col, text_col)
     return score(docs, model, id_col, text_col).select(
         "doc_id", (1 - F.col("low")).alias("quality_score"), (1 - F.col("posterior")).alias("weak_posterior"), (F.col("low") < limit).alias("kept"))
+
+
+def accepted(docs: DataFrame, limit: float = 0.5, train_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``classify`` keeps; no row leaves its partition."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows, id_col, text_col))
+
+    def run(batches):
+        m = shared.value
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                raw, offsets = text_bytes(batch.column(text_col))
+                z = [np.zeros(0), *(hashed_features(word_facts(raw, offsets[a:b + 1])).astype(float) @ m["weights"] + m["bias"] for a, b in row_ranges(offsets))]
+                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
