@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import U64, components, ids_of, keep, keyed_texts, mix, packed, row_ranges, text_bytes, word_hashes
+from vectriage.llm.common import U64, components, keep, keyed_texts, mix, packed, row_ranges, text_bytes, word_hashes
 
 STEP = U64(0xD6E8FEB86659FD93)
 MANY = np.int64(-(1 << 63))
@@ -80,10 +80,9 @@ def _set_batches(batches, n: int):
     with np.errstate(over="ignore"):
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            ids = ids_of(batch)
             for a, b in row_ranges(offsets):
                 grams, first = ngram_sets(raw, offsets[a:b + 1], n)
-                yield ids[a:b], grams, first
+                yield batch.column("doc_id").slice(a, b - a), grams, first
 
 
 class Bounds:
@@ -111,7 +110,7 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
             np.cumsum(mix(grams), out=total[0, 1:])
             np.cumsum(mix(grams ^ STEP), out=total[1, 1:])
             by_row = total[:, first[1:]] - total[:, first[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(first)), *(pa.array(x.view(np.int64)) for x in by_row)],
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), *(pa.array(x.view(np.int64)) for x in by_row)],
                                              names=["doc_id", "size", "s1", "s2"])
 
     return docs.mapInArrow(run, "doc_id long, size long, s1 long, s2 long")
@@ -151,7 +150,7 @@ def _bucket_rows(docs: DataFrame, n: int, bounds: Bounds, buckets: int, chunk: i
             sizes = np.diff(first)
             place = np.arange(len(grams)) - np.repeat(first[:-1], sizes)
             low = place < np.repeat(bounds.prefix(sizes), sizes)
-            parts.append((grams[low], np.repeat(ids, sizes)[low]))
+            parts.append((grams[low], np.repeat(ids.to_numpy(), sizes)[low]))
             size += len(parts[-1][0])
             if size >= chunk:
                 yield send(parts)
@@ -162,30 +161,43 @@ def _bucket_rows(docs: DataFrame, n: int, bounds: Bounds, buckets: int, chunk: i
     return docs.mapInArrow(run, "bucket long, grams binary, owners binary")
 
 
-def _shared_of_bucket(table: pa.Table) -> pa.Table:
-    """(doc_id, shared) of one bucket: how many of a document's n-grams other documents have too."""
-    left = [np.frombuffer(x.as_py(), U64) for x in table.column("grams")]
-    right = [np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")]
-    gram, doc = np.concatenate(left), np.concatenate(right)
-    if table.column("bucket")[0].as_py() < 0:
-        ids, place = np.unique(gram.view(np.int64), return_inverse=True)
-        count = np.bincount(place, weights=doc).astype(np.int64)
-    else:
-        order = np.argsort(gram)
-        gram, doc = gram[order], doc[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = gram[1:] != gram[:-1]
-        start = np.flatnonzero(new)
-        many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        ids, count = np.unique(doc[np.repeat(many, np.diff(np.append(start, len(gram)))) & (doc != MANY)], return_counts=True)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(count, pa.int64())})
+def _shared_of_bucket(slots: int):
+    """Function for one bucket: (slot, docs, counts), how many of a document's columns other documents have too, packed by slot."""
+    def run(table: pa.Table) -> pa.Table:
+        gram = np.concatenate([np.frombuffer(x.as_py(), U64) for x in table.column("grams")])
+        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
+        if table.column("bucket")[0].as_py() < 0:
+            ids, count = gram.view(np.int64), doc
+        else:
+            order = np.argsort(gram)
+            gram, doc = gram[order], doc[order]
+            new = np.ones(len(gram), bool)
+            new[1:] = gram[1:] != gram[:-1]
+            start = np.flatnonzero(new)
+            many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            ids, count = np.unique(doc[np.repeat(many, np.diff(np.append(start, len(gram)))) & (doc != MANY)], return_counts=True)
+        slot = (mix(ids.view(U64)) % U64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cut = np.searchsorted(slot[order], np.arange(slots + 1))
+        rows = [(k, packed(ids[order[a:b]]), packed(count[order[a:b]].astype(np.int64))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+        return pa.table({"slot": pa.array([r[0] for r in rows], pa.int64()), "docs": pa.array([r[1] for r in rows], pa.binary()),
+                         "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _sum_of_slot(table: pa.Table) -> pa.Table:
+    """(doc_id, shared) of one slot of documents."""
+    doc, count = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("docs", "counts"))
+    ids, place = np.unique(doc, return_inverse=True)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(np.bincount(place, weights=count).astype(np.int64))})
 
 
 def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for ids, grams, first in _set_batches(batches, n):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(np.diff(first)), pa.array([packed(grams[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())],
+                [ids, pa.array(np.diff(first)), pa.array([packed(grams[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())],
                 names=["doc", "size", "grams"])
 
     return docs.mapInArrow(run, "doc long, size long, grams binary")
@@ -274,7 +286,7 @@ def _link_block(num: int, den: int):
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                 share: int = 230, bucket_grams: int = 1_500_000, chunk_grams: int = 600_000, block_rows: int = 512,
+                 share: int = 230, bucket_grams: int = 1_500_000, chunk_grams: int = 600_000, slot_rows: int = 50_000, block_rows: int = 512,
                  block_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) of every row.
 
@@ -288,12 +300,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     known = texts.where("doc_id is not null")
     bounds = Bounds(num, den, share)
     sizes = keep(set_sizes(texts, n))
-    total = sizes.select(F.sum(F.expr(bounds.prefix_sql))).first()[0] or 0
+    total, rows = sizes.agg(F.sum(F.expr(bounds.prefix_sql)), F.count("*")).first()
 
     classes = (sizes.where("size > 0 and doc_id is not null").groupBy("size", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
-    shared = (_bucket_rows(known, n, bounds, 1 + total // bucket_grams, chunk_grams)
-              .groupBy("bucket").applyInArrow(_shared_of_bucket, "doc_id long, shared long")
-              .groupBy("doc_id").agg(F.sum("shared").alias("shared")))
+    shared = (_bucket_rows(known, n, bounds, 1 + (total or 0) // bucket_grams, chunk_grams)
+              .groupBy("bucket").applyInArrow(_shared_of_bucket(1 + rows // slot_rows), "slot long, docs binary, counts binary")
+              .groupBy("slot").applyInArrow(_sum_of_slot, "doc_id long, shared long"))
     live = (classes.withColumnRenamed("class_id", "doc_id").join(shared, "doc_id")
             .where(f"shared >= {bounds.least_sql}").select("doc_id"))
     sets = keep(_packed_sets(known.join(live, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))

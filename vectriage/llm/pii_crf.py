@@ -343,9 +343,12 @@ def span_list(spans, wanted=None):
 def pii_digest(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Counts of the fixed patterns, a digest of their spans, and all spans."""
     base = lambda x: x["source"] == "base"
-    found = find_pii(docs, model)
-    return found.select(
-        "doc_id", *(F.size(F.filter("spans", lambda x, k=k: base(x) & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS),
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: base(x) & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return find_pii(docs, model).select(
+        "doc_id", *map(count, KINDS),
         F.sha2(span_list(F.col("spans"), base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 
 
