@@ -68,6 +68,13 @@ def _unit(vec: str):
     return F.transform(F.col(vec), lambda x: x / norm)
 
 
+def _usable(vec: str, metric: str):
+    """Vectors that a search can return: finite, and not zero for cosine."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = F.col(vec).isNotNull() & finite
+    return ok & F.exists(vec, lambda x: x != 0) if metric == "cosine" else ok
+
+
 def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", num_lists: int | None = None,
               metric: str = "cosine", method: str = "kmeans", max_leaf_size: int = 100, seed: int = 42,
               max_iter: int = 10, train_per_list: int = 256) -> IVFIndex:
@@ -83,7 +90,7 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = base.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(F.col(vec_col).isNotNull())
+    rows = base.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(_usable(vec_col, metric))
     feats = rows.withColumn("features", array_to_vector(_unit(vec_col) if metric == "cosine" else F.col(vec_col)))
     n = rows.count()
     if n == 0:

@@ -159,12 +159,11 @@ class _Kernel:
         if len(ids) == 0:
             return
         Bp, _ = _prepare(B, self.metric)
-        if self.metric == "cosine":
-            ok = np.isfinite(Bp).all(axis=1)
-            if not ok.all():
-                ids, B, Bp = ids[ok], B[ok], Bp[ok]
-                if len(ids) == 0:
-                    return
+        ok = np.isfinite(Bp).all(axis=1)
+        if not ok.all():
+            ids, B, Bp = ids[ok], B[ok], Bp[ok]
+            if len(ids) == 0:
+                return
         bn2 = np.einsum("ij,ij->i", B, B)
         B32 = Bp.astype(np.float32)
         nb = len(ids)
@@ -268,18 +267,22 @@ def _prune(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
 
 
 def query_width(queries: DataFrame, query_vec: str = "embedding") -> int:
-    """Width of the first query vector (0 when there is none).  Queries of
-    another width are left out."""
-    row = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).limit(1).collect()
-    return int(row[0][0]) if row else 0
+    """Width of the query vectors (0 when there is none).  Queries of
+    different widths raise: none may be left out without a word."""
+    low, high = queries.where(F.col(query_vec).isNotNull()).agg(
+        F.min(F.size(query_vec)), F.max(F.size(query_vec))).first()
+    if low != high:
+        raise ValueError(f"query vectors have widths from {low} to {high}; pass dim to choose one")
+    return int(low or 0)
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", **opts) -> DataFrame:
     """Exact top-k neighbours of every query among ``base``.
 
     Returns ``query_id, neighbor_id, rank (long), distance (double)``.
-    Rows with a null vector, a zero vector (cosine) or a width different
-    from the queries' are left out of both sides.  Keyword options:
+    Rows with a null vector, a value that is not finite, a zero vector
+    (cosine) or a width different from the queries' are left out of both
+    sides; queries of different widths raise unless ``dim`` is given.  Keyword options:
     ``base_id, base_vec, query_id, query_vec, strategy ('auto' |
     'broadcast' | 'block'), broadcast_bytes, block_bytes``.
     """

@@ -107,8 +107,7 @@ def recommend(base: DataFrame, queries: DataFrame, k: int = 20, *, min_satisfact
         "avg_satisfaction", "avg_resolution_hours", "avg_similarity_pct",
         F.when(F.col("resolution").isNull(), F.lit(0.0)).otherwise(F.col("confidence_score"))
          .alias("confidence_score"),
-        F.coalesce(F.col("_ev"), F.array().cast(
-            "array<struct<ticket_id:bigint,title:string,similarity_pct:double>>")).alias("example_tickets"),
+        F.coalesce(F.col("_ev"), F.array().cast(out.schema["_ev"].dataType)).alias("example_tickets"),
     )
 
 
@@ -195,7 +194,7 @@ def triage(base: DataFrame, queries: DataFrame, *, similar_k: int = 5, categoriz
                                   "example_tickets"), "query_id", "left")
     return (out.withColumn("error", F.when(F.col("_noq"), F.lit("query has no embedding")))
                .withColumn("similar_tickets", F.coalesce("similar_tickets", F.array().cast(
-                   "array<struct<rank:bigint,ticket_id:bigint,title:string,similarity_score:double>>")))
+                   out.schema["similar_tickets"].dataType)))
                .drop("_noq"))
 
 
@@ -246,6 +245,6 @@ def triage_one_pass(base: DataFrame, queries: DataFrame, as_of, *, k: int = 20,
                             round_half_away("_time", 1).alias("solution_avg_hours")), "query_id", "left")
            .join(ev, "query_id", "left"))
     return (out.withColumn("similar_historical_tickets", F.coalesce("_ev", F.array().cast(
-                "array<struct<ticket_id:bigint,title:string,similarity_score:double>>")))
+                out.schema["_ev"].dataType)))
                .drop("_ev")
                .withColumn("triage_timestamp", ts_ntz(as_of)))

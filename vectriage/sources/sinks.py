@@ -6,6 +6,7 @@ caller passes them.  Nothing here uses a machine-local folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ def _path_has_rows(spark: SparkSession, path: str) -> bool | None:
     """None when nothing is at ``path``; else whether it holds any row."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing path raises AnalysisException
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     return not df.isEmpty()
 
@@ -64,15 +67,17 @@ def merge_matched(target: DataFrame, source: DataFrame, key: str, cols: list[str
     """MERGE ... WHEN MATCHED THEN UPDATE SET cols = source.cols.
 
     A left join on the key: unmatched target rows keep their values,
-    source rows without a target row are ignored, and the row count of
-    the target is unchanged (the source key must be unique; duplicates
-    are rejected by ``dropDuplicates`` on the key after a check).
+    matched ones take the source's, null included, source rows without a
+    target row are ignored, and the row count of the target is unchanged.
+    A key that the source holds twice fails the job.
     """
     for c in cols:
         target = add_column_if_missing(target, c, source.schema[c].dataType.simpleString())
-    s = source.select(F.col(key), *[F.col(c).alias(f"_src_{c}") for c in cols])
+    s = source.groupBy(key).agg(F.any_value(F.struct(*cols)).alias("_src"), F.count("*").alias("_n"))
+    s = s.select(key, F.when(F.col("_n") > 1, F.raise_error(F.lit(f"MERGE: duplicate source key in {key}")).cast(s.schema["_src"].dataType))
+                 .otherwise(F.col("_src")).alias("_src"))
     joined = target.join(s, key, "left")
-    out = [F.coalesce(F.col(f"_src_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
+    out = [F.when(F.col("_src").isNotNull(), F.col("_src")[c]).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
            for c in target.columns]
     return joined.select(*out)
 

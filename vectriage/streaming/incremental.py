@@ -16,7 +16,9 @@ from vectriage.functions.embed import HashingEmbedder
 def rows_to_embed(source: DataFrame, stored: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Source rows whose (id, sha-256 of text) is not stored yet."""
     src = source.withColumn("text_hash", F.sha2(F.col(text_col), 256))
-    return src.join(stored.select(id_col, "text_hash"), [id_col, "text_hash"], "left_anti")
+    have = stored.select(F.col(id_col).alias("_have_id"), F.col("text_hash").alias("_have_hash"))
+    # null-safe: a row whose text is null is stored once, not on every run
+    return src.join(have, src[id_col].eqNullSafe(have["_have_id"]) & src["text_hash"].eqNullSafe(have["_have_hash"]), "left_anti")
 
 
 def incremental_embed(source: DataFrame, stored: DataFrame, id_col: str, text_col: str,

@@ -43,11 +43,13 @@ def start_triage_stream(spark: SparkSession, source: DataFrame, base: DataFrame,
 
 
 def triage_files(spark: SparkSession, folder: str, file_glob: str, schema: T.StructType, base: DataFrame,
-                 id_col: str, vec_col: str = "embedding", **triage_opts) -> DataFrame:
+                 id_col: str, vec_col: str = "embedding", files_per_batch: int | None = None, **triage_opts) -> DataFrame:
     """Run the stream over the files available now and return what it wrote."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/triage-stream-{uuid.uuid4().hex}"
-    source = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-                   .option("maxFilesPerTrigger", 1).parquet(folder))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    source = reader.parquet(folder)
     q = start_triage_stream(spark, source, base, f"{root}/out", f"{root}/checkpoint", id_col, vec_col,
                             **triage_opts)
     q.awaitTermination()
