@@ -34,7 +34,7 @@ from vectriage.llm.common import keyed_texts
 # The pre-tokenisation pattern and the byte alphabet of this kind of file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = r"[\t-\r \x85\xa0  -     　]+"
-CACHE_CHUNKS = 300_000
+MEMORY = 500_000               # remembered words, chunks and pairs, each
 
 
 def byte_alphabet() -> list[str]:
@@ -180,31 +180,41 @@ def compatible_left(a: int, b: int, limit: int, merges: dict, split: dict) -> bo
 
 
 def encode_word(word: bytes, t: dict) -> list[int]:
-    """Ids of one pre-token by last tokens of prefixes."""
+    """Ids of one pre-token by last tokens of prefixes; answers on pairs and states are remembered within bounds."""
     n = len(word)
-    edges, link, length, ends, up = t["edges"], t["link"], t["length"], t["ends"], t["up"]
-    merges, split = t["merges"], t["split"]
+    edges, link, length = t["edges"], t["link"], t["length"]
+    chains, pairs = t.setdefault("chains", {}), t.setdefault("pairs", {})
     last = [-1] * (n + 1)
     back = [0] * (n + 1)
     state, have = 0, 0
     for i in range(n):
-        s = word[i] + (256 if i == n - 1 else 0)
+        s = word[i] + 256 if i == n - 1 else word[i]
         while state and s not in edges[state]:
             state = link[state]
             have = length[state]
         if s in edges[state]:
             state, have = edges[state][s], have + 1
-        q = state
-        found = False
-        while q and not found:
-            for size, token in ends[q]:
-                if size > have:
+        chain = chains.get(state)
+        if chain is None:
+            chain = chains[state] = suffix_tokens(state, t)
+        for size, token in chain:          # longest first
+            if size > have:
+                continue
+            j = i + 1 - size
+            if j:
+                before = last[j]
+                if before < 0:
+                    continue
+                key = before << 20 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= MEMORY:
+                        pairs.clear()
+                    fits = pairs[key] = compatible(before, token, t["merges"], t["split"])
+                if not fits:
                     continue
-                j = i + 1 - size
-                if j == 0 or (last[j] >= 0 and compatible(last[j], token, merges, split)):
-                    last[i + 1], back[i + 1], found = token, j, True
-                    break
-            q = up[q]
+            last[i + 1], back[i + 1] = token, j
+            break
     out, i = [], n
     while i:
         out.append(last[i])
@@ -212,6 +222,15 @@ def encode_word(word: bytes, t: dict) -> list[int]:
     return out[::-1]
 
 
+def suffix_tokens(state: int, t: dict) -> list[tuple[int, int]]:
+    """(size, token) of all tokens that end where a state does, longest first."""
+    out = []
+    while state:
+        out += t["ends"][state]
+        state = t["up"][state]
+    return out
+
+
 def lower_chars(text: str) -> str:
     """Lower case of each character by itself (no rule for a final sigma)."""
     return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
@@ -225,13 +244,22 @@ class Codec:
         self.find = regex.compile(tables["pattern"]).findall
         self.space = regex.compile(tables["spaces"]).sub
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in tables["special"]) + ")") if tables["special"] else None
-        self.memory = tables.setdefault("memory", {})
+        self.memory, self.words = tables.setdefault("memory", {}), tables.setdefault("words", {})
 
     def chunk(self, c: str) -> tuple[bytes, str, int]:
         """(packed ids, decoded tokens joined by a space, count) of a stretch without white space."""
-        ids = [i for w in self.find(c) for i in encode_word(w.encode("utf-8"), self.t)]
+        ids = []
+        for w in [c] if c.isalpha() else self.find(c):
+            own = self.words.get(w)
+            if own is None:
+                if len(self.words) >= MEMORY:
+                    self.words.clear()
+                own = encode_word(w.encode("utf-8"), self.t)
+                if len(w) <= 64:
+                    self.words[w] = own
+            ids += own
         got = (np.array(ids, "<u4").tobytes(), " ".join([self.t["text"][i] for i in ids]), len(ids))
-        if len(self.memory) >= CACHE_CHUNKS:
+        if len(self.memory) >= MEMORY:
             self.memory.clear()
         if len(c) <= 64:
             self.memory[c] = got
