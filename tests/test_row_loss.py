@@ -62,3 +62,16 @@ def test_null_texts_are_embedded_once(spark):
     source = spark.createDataFrame([(1, None), (2, "x")], "id long, text string")
     stored = rows_to_embed(source, spark.createDataFrame([], "id long, text_hash string"), "id", "text").select("id", "text_hash")
     assert stored.count() == 2 and rows_to_embed(source, stored, "id", "text").count() == 0
+
+
+def test_every_order_is_a_ticket(spark):
+    from conftest import SF_CHECK
+    from vectriage.sources import tickets_fx
+
+    orders = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
+    vectors = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet")
+    every, found = tickets_fx(spark, SF_CHECK, searchable=False), tickets_fx(spark, SF_CHECK)
+    assert every.count() == orders.count() > found.count()
+    assert every.where("category is null").count() == 0
+    have = orders.join(vectors, orders.o_orderkey == vectors.vec_id, "left_semi").count()
+    assert every.where("embedding is not null").count() == found.count() == have

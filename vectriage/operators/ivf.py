@@ -38,9 +38,6 @@ from vectriage.operators.knn import (_Kernel, _arrow_schema, _field_type, _id_ar
                                      _to_batch, _vec_matrix, knn)
 
 DEFAULT_MAX_BLOCK_ROWS = 200_000
-# Upper bound on the centroid table we are willing to ship to the driver
-# (num_lists x dim doubles).
-MAX_CENTROID_BYTES = 256 << 20
 
 
 @dataclass
@@ -77,14 +74,14 @@ def _usable(vec: str, metric: str):
 
 def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", num_lists: int | None = None,
               metric: str = "cosine", method: str = "kmeans", max_leaf_size: int = 100, seed: int = 42,
-              max_iter: int = 10, train_per_list: int = 256) -> IVFIndex:
+              max_iter: int = 10, train_per_list: int | None = None) -> IVFIndex:
     """Fit the lists and assign every row with a vector to one of them.
 
-    The clustering is fitted on a seeded sample of about
-    ``train_per_list * num_lists`` rows (all rows when the table is
-    smaller), persisted for the k-means passes; every row is then
-    assigned by a map-only ``transform``.  Fitting cost therefore does
-    not grow with the table.
+    The clustering is fitted on all usable vectors, persisted for the
+    k-means passes; every row is then assigned by a map-only ``transform``.
+    A caller who wants a cheaper fit names ``train_per_list``: about that
+    many rows per list are then chosen by the hash of the id, so the choice
+    does not depend on partitioning.
     """
     from pyspark import StorageLevel
     from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -101,10 +98,13 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
         k = min(num_lists or max(1, math.ceil(n / max_leaf_size)), n)
     else:
         raise ValueError("method must be 'kmeans' or 'tree'")
-    want = train_per_list * k if method == "kmeans" else max(train_per_list * k, n // 8)
-    train = feats if want >= n else feats.sample(fraction=min(1.0, 1.2 * want / n), seed=seed)
-    # k-means reads its input once per iteration: keep the (bounded)
-    # training rows, memory then disk; lost blocks are recomputed.
+    train = feats
+    if train_per_list is not None:
+        buckets = 1 << 20
+        share = math.ceil(min(1.0, train_per_list * k / n) * buckets)
+        train = feats.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets)) < share)
+    # k-means reads its input once per iteration: keep the training rows,
+    # memory then disk; lost blocks are recomputed.
     train = train.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if method == "kmeans":
@@ -117,9 +117,6 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
     finally:
         train.unpersist()
     centers = model.clusterCenters()
-    dim = len(centers[0])
-    if len(centers) * dim * 8 > MAX_CENTROID_BYTES:
-        raise ValueError("centroid table exceeds MAX_CENTROID_BYTES; use fewer lists")
     spark = base.sparkSession
     centroids = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(centers)],
@@ -129,7 +126,7 @@ def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", n
                 .select(id_col, F.col("list_id").cast("long").alias("list_id"), vec_col))
     sizes = None
     if train_sizes and sum(train_sizes) > 0:
-        # list sizes scaled from the training sample: no extra pass over the table
+        # list sizes of the training rows, scaled where these are a choice: no extra pass over the table
         scale = n / sum(train_sizes)
         sizes = spark.createDataFrame([(i, int(math.ceil(c * scale))) for i, c in enumerate(train_sizes)],
                                       "list_id long, n_rows long")

@@ -28,11 +28,12 @@ def rha(expr: str, digits: int) -> str:
 _STATUS = ("CASE o.o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' "
            "ELSE 'in_progress' END")
 
-TICKETS = f"""tickets AS (
+def _tickets(join: str) -> str:
+    return f"""tickets AS (
   SELECT o.o_orderkey AS ticket_id, o.o_orderdate AS created_at,
     'Issue ' || CAST(o.o_orderkey % 30 AS VARCHAR) AS title,
     'Order ' || CAST(o.o_orderkey AS VARCHAR) || ' for customer ' || CAST(o.o_custkey AS VARCHAR) AS description,
-    'cat' || CAST(e.label AS VARCHAR) AS category,
+    'cat' || CAST(coalesce(e.label, o.o_custkey % 10) AS VARCHAR) AS category,
     lower(substr(o.o_orderpriority, 3)) AS priority,
     {_STATUS} AS status,
     CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 13 <> 0
@@ -43,7 +44,10 @@ TICKETS = f"""tickets AS (
     o.o_custkey AS customer_id,
     [lower(substr(o.o_orderpriority, 3)), {_STATUS}] AS tags,
     CAST(e.embedding AS DOUBLE[]) AS embedding
-  FROM orders o JOIN embeddings e ON e.vec_id = o.o_orderkey)"""
+  FROM orders o {join} embeddings e ON e.vec_id = o.o_orderkey)"""
+
+
+TICKETS, ALL_TICKETS = _tickets("JOIN"), _tickets("LEFT JOIN")
 
 RAW_REVIEWS = """raw_reviews AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS "Id",

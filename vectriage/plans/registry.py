@@ -643,7 +643,7 @@ def q_sample_fixed_n(spark, sf_dir):
 
 # ---------------------------------------------------------------- ticket table operations
 
-@register("tickets_enforce_schema", O.with_ctes(TK) + """
+@register("tickets_enforce_schema", O.with_ctes(O.ALL_TICKETS) + """
 SELECT ticket_id, created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS resolved_at,
        title, description, category, priority, status, resolution, resolution_time_hours,
        CAST(customer_id AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS customer_tier,
@@ -654,17 +654,17 @@ SELECT ticket_id, created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL A
 FROM tickets""")
 def q_tickets_enforce_schema(spark, sf_dir):
     from vectriage.operators.tickets import combined_text, enforce_schema
-    t = _tickets(spark, sf_dir).withColumn("combined_text", combined_text())
+    t = tickets_fx(spark, sf_dir, searchable=False).withColumn("combined_text", combined_text())
     return enforce_schema(t).withColumn("tags", F.array_join("tags", "|"))
 
 
-@register("tickets_combined_text", O.with_ctes(TK) + """
+@register("tickets_combined_text", O.with_ctes(O.ALL_TICKETS) + """
 SELECT ticket_id, title || ' ' || description AS combined_text,
        coalesce(title, '') || ' ' || coalesce(resolution, '') AS title_resolution_text
 FROM tickets""")
 def q_tickets_combined_text(spark, sf_dir):
     from vectriage.operators.tickets import combined_text
-    t = _tickets(spark, sf_dir)
+    t = tickets_fx(spark, sf_dir, searchable=False)
     return t.select("ticket_id", combined_text().alias("combined_text"),
                     combined_text("title", "resolution", missing_as_empty=True).alias("title_resolution_text"))
 
@@ -684,29 +684,29 @@ def q_row_count(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("tickets_by_category", O.with_ctes(TK) + """
+@register("tickets_by_category", O.with_ctes(O.ALL_TICKETS) + """
 SELECT category, CAST(count(*) AS BIGINT) AS ticket_count FROM tickets GROUP BY category""")
 def q_tickets_by_category(spark, sf_dir):
     from vectriage.operators.tickets import tickets_by_category
-    return tickets_by_category(_tickets(spark, sf_dir, ))
+    return tickets_by_category(tickets_fx(spark, sf_dir, searchable=False))
 
 
-@register("status_share", O.with_ctes(TK) + f"""
+@register("status_share", O.with_ctes(O.ALL_TICKETS) + f"""
 SELECT status, count, {O.rha('(CAST(count AS DOUBLE) * 100.0 / CAST(sum(count) OVER () AS DOUBLE))', 2)} AS percentage
 FROM (SELECT status, CAST(count(*) AS BIGINT) AS count FROM tickets GROUP BY status)""")
 def q_status_share(spark, sf_dir):
     from vectriage.operators.tickets import status_share
-    return status_share(_tickets(spark, sf_dir))
+    return status_share(tickets_fx(spark, sf_dir, searchable=False))
 
 
-@register("ticket_summary", O.with_ctes(TK) + """
+@register("ticket_summary", O.with_ctes(O.ALL_TICKETS) + """
 SELECT CAST(count(*) AS BIGINT) AS total_tickets, CAST(count(DISTINCT category) AS BIGINT) AS categories,
        CAST(count_if(status = 'resolved') AS BIGINT) AS resolved, CAST(count(resolution) AS BIGINT) AS with_solution,
        CAST(count_if(status = 'open') AS BIGINT) AS open, CAST(count_if(status = 'in_progress') AS BIGINT) AS in_progress
 FROM tickets""")
 def q_ticket_summary(spark, sf_dir):
     from vectriage.operators.tickets import ticket_summary
-    return ticket_summary(_tickets(spark, sf_dir))
+    return ticket_summary(tickets_fx(spark, sf_dir, searchable=False))
 
 
 @register("merge_embeddings", """

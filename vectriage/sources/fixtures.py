@@ -22,8 +22,12 @@ from vectriage.sources.tables import read_table
 TICKETS_AS_OF = dt.datetime(2001, 8, 2)
 
 
-def tickets_fx(spark: SparkSession, sf_dir: str, with_embedding: bool = True) -> DataFrame:
-    """Tickets: one row per order that has a vector in ``embeddings``."""
+def tickets_fx(spark: SparkSession, sf_dir: str, searchable: bool = True) -> DataFrame:
+    """Tickets: one row per order that has a vector in ``embeddings``.
+
+    With ``searchable=False`` every order is a ticket; one without a vector has
+    a null ``embedding`` and takes its category from the customer key.
+    """
     o = read_table(spark, sf_dir, "orders")
     e = read_table(spark, sf_dir, "embeddings")
     status = (F.when(F.col("o_orderstatus") == "F", "resolved")
@@ -37,7 +41,7 @@ def tickets_fx(spark: SparkSession, sf_dir: str, with_embedding: bool = True) ->
         F.concat(F.lit("Issue "), (F.col("o_orderkey") % 30).cast("string")).alias("title"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for customer "),
                  F.col("o_custkey").cast("string")).alias("description"),
-        F.concat(F.lit("cat"), F.col("label").cast("string")).alias("category"),
+        F.concat(F.lit("cat"), F.coalesce("label", F.col("o_custkey") % 10).cast("string")).alias("category"),
         priority.alias("priority"),
         status.alias("status"),
         F.when(resolved & (F.col("o_orderkey") % 13 != 0),
@@ -47,10 +51,9 @@ def tickets_fx(spark: SparkSession, sf_dir: str, with_embedding: bool = True) ->
                F.col("o_totalprice") / F.lit(10000.0)).alias("resolution_time_hours"),
         F.col("o_custkey").alias("customer_id"),
         F.array(priority, status).alias("tags"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
     ]
-    if with_embedding:
-        cols.append(F.col("embedding").cast("array<double>").alias("embedding"))
-    return o.join(e, e["vec_id"] == o["o_orderkey"]).select(*cols)
+    return o.join(e, e["vec_id"] == o["o_orderkey"], "inner" if searchable else "left").select(*cols)
 
 
 def raw_reviews_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
