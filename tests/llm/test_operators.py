@@ -369,6 +369,17 @@ def test_quality_classifier_on_labels(spark):
     assert sum(good) >= 0.99 * len(good) and sum(low) <= 0.05 * len(low)
 
 
+def test_quality_training_rows_are_bounded(spark, monkeypatch):
+    sizes, fit = [], quality_model.fit_scorer
+    monkeypatch.setattr(quality_model, "fit_scorer", lambda x, y: sizes.append(len(x)) or fit(x, y, steps=2))
+    text = F.concat(F.lit("some words of row "), F.col("id").cast("string")).alias("text")
+    same = spark.range(3000).select(F.when(F.col("id") < 1000, F.col("id")).when(F.col("id") < 2000, 7).alias("doc_id"), text)
+    nulls = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), text)
+    assert quality_model.classify(same, train_rows=3000).count() == 3000
+    assert quality_model.classify(nulls, train_rows=50).count() == 500
+    assert sizes == [1000, 50]
+
+
 def test_votes_are_fitted():
     patterns = np.array([0, 1, 2, 4, 8])
     low, model = quality_model.fit_votes(patterns, np.array([5.0, 800, 100, 90, 60]))

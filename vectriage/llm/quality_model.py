@@ -10,14 +10,15 @@ word-shape features is fitted to these posteriors by logistic regression and
 scores all documents.
 
 The scorer is fitted on at most about ``train_rows`` documents, chosen by a
-hash of the id; the votes and their counts cover every document.  No labels
+hash of the id, each id once; the votes and their counts cover every document.  No labels
 are used; the ``labels`` table only measures the result in tests.
 
 Edge cases: a null or empty text, or one without words, has only abstentions
 and the features of no word; it is scored like any other.  Rows are
 independent apart from the counts, so repeated rows get the same score and
-count twice; null ids are allowed; other columns are not read; an empty table
-gives an empty result.
+count twice; rows with a null id are counted and scored but are not among the
+documents of the fit, unless there are no others; other columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -179,10 +180,12 @@ def train(docs: DataFrame, train_rows: int = 12_000, id_col: str = "doc_id", tex
     low, accuracies = fit_votes(patterns, counts)
     by_pattern = dict(zip(patterns.tolist(), low.tolist()))
     million = int(min(1.0, train_rows / counts.sum()) * 1_000_000)
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < million)
+    # Null or often repeated ids share one hash: without them, and with each id once, the choice stays bounded.
+    chosen = texts.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < million)).dropDuplicates(["doc_id"])
     rows = _training(chosen).collect()
     if not rows:
         rows = _training(texts.limit(train_rows)).collect()
+    rows.sort(key=lambda r: (r.pattern, r.features))      # the fit doesn't depend on partitioning
     x = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, DIM)
     weights, bias = fit_scorer(x, np.array([by_pattern[r.pattern] for r in rows]))
     return {"weights": weights, "bias": bias, "low": by_pattern, "votes": accuracies}
