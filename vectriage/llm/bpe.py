@@ -29,12 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vectriage.llm.common import keyed_texts
+from vectriage.llm.common import freeing, keyed_texts
 
 # The pre-tokenisation pattern and the byte alphabet of this kind of file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = r"[\t-\r \x85\xa0  -     　]+"
-MEMORY = 500_000               # remembered words, chunks and pairs, each
+MEMORY = 100_000               # remembered words, chunks and pairs, each
 
 
 def byte_alphabet() -> list[str]:
@@ -325,5 +325,5 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool) -
                 names=["doc_id", "n_tokens", "a", "b"])
 
     kind = "string" if digest else "binary"
-    out = keyed_texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, a {kind}, b string")
+    out = keyed_texts(docs, id_col, text_col).mapInArrow(freeing(run), f"doc_id long, n_tokens long, a {kind}, b string")
     return out.toDF("doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]))

@@ -7,6 +7,8 @@ a single text longer than the bound is one range of its own.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,7 +54,7 @@ class Roller:
         n = len(codes)
         have = Roller._cache.get("p")
         if have is None or len(have) < n + 1:
-            size = max(n + 1, 1 << 21)
+            size = max(n + 1, (1 << 20) + 1)     # one range of ``row_ranges``
             Roller._cache["p"], Roller._cache["q"] = powers(size), powers(size, inverse=True)
         p, q = Roller._cache["p"], Roller._cache["q"]
         if kept is None:
@@ -116,6 +118,23 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     return mix(roll.of(starts, ends)), first
 
 
+def release() -> None:
+    """Hand freed memory back to the system: allocators keep it, and a Python worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc only
+    if trim is not None:
+        trim(0)
+
+
+def freeing(run):
+    """``run`` for mapInArrow, releasing its memory when a task ends."""
+    def outer(batches):
+        yield from run(batches)
+        release()
+
+    return outer
+
+
 def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import BYTE_CODE, LOWER, Roller, U64, keep, keyed_texts, mix, packed, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import BYTE_CODE, LOWER, U64, Roller, freeing, keep, keyed_texts, mix, packed, row_ranges, text_bytes, word_bounds
 
 # Units of measure and money.
 UNITS = (
@@ -132,7 +132,7 @@ def _window_rows(texts: DataFrame, size: int, bits, key: str) -> DataFrame:
                         [pa.array(total.view(np.int64)), keys, pa.array(place, pa.int32()), pa.array(length, pa.int32()), pa.array(values, pa.binary())],
                         names=["name", key, "place", "length", "values"])
 
-    return texts.mapInArrow(run, f"name long, {key} long, place int, length int, values binary")
+    return texts.mapInArrow(freeing(run), f"name long, {key} long, place int, length int, values binary")
 
 
 def _bit_table(items: DataFrame, size: int) -> bytes:
@@ -144,7 +144,7 @@ def _bit_table(items: DataFrame, size: int) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["table"])
 
     out = np.zeros(BITS // 8, np.uint8)
-    for r in items.select("name").coalesce(8).mapInArrow(run, "table binary").toLocalIterator():
+    for r in items.select("name").coalesce(8).mapInArrow(freeing(run), "table binary").toLocalIterator():
         out |= np.frombuffer(r.table, np.uint8)
     return out.tobytes()
 
@@ -183,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(covered, pa.float64()), pa.array(differs, pa.bool_())],
                                              names=["doc_id", "item_id", "cover", "reparameterised"])
 
-    return (met.mapInArrow(run, "doc_id long, item_id long, cover double, reparameterised boolean").where(F.col("cover") >= cover)
+    return (met.mapInArrow(freeing(run), "doc_id long, item_id long, cover double, reparameterised boolean").where(F.col("cover") >= cover)
             .groupBy("doc_id", "item_id").agg(F.max_by("reparameterised", "cover").alias("reparameterised"), F.max("cover").alias("cover")))
 
 

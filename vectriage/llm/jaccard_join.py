@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import U64, components, keep, keyed_texts, mix, packed, row_ranges, text_bytes, word_hashes
+from vectriage.llm.common import U64, components, freeing, keep, keyed_texts, mix, packed, release, row_ranges, text_bytes, word_hashes
 
 STEP = U64(0xD6E8FEB86659FD93)
 MANY = np.int64(-(1 << 63))
@@ -113,7 +113,7 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), *(pa.array(x.view(np.int64)) for x in by_row)],
                                              names=["doc_id", "size", "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc_id long, size long, s1 long, s2 long")
+    return docs.mapInArrow(freeing(run), "doc_id long, size long, s1 long, s2 long")
 
 
 def _bucket_rows(docs: DataFrame, n: int, bounds: Bounds, buckets: int, chunk: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _bucket_rows(docs: DataFrame, n: int, bounds: Bounds, buckets: int, chunk: i
         if size:
             yield send(parts)
 
-    return docs.mapInArrow(run, "bucket long, grams binary, owners binary")
+    return docs.mapInArrow(freeing(run), "bucket long, grams binary, owners binary")
 
 
 def _shared_of_bucket(slots: int):
@@ -200,7 +200,7 @@ def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
                 [ids, pa.array(np.diff(first)), pa.array([packed(grams[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())],
                 names=["doc", "size", "grams"])
 
-    return docs.mapInArrow(run, "doc long, size long, grams binary")
+    return docs.mapInArrow(freeing(run), "doc long, size long, grams binary")
 
 
 def _block_columns(sets: DataFrame, bounds: Bounds) -> DataFrame:
@@ -214,7 +214,7 @@ def _block_columns(sets: DataFrame, bounds: Bounds) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, count)), pa.array(np.repeat(size, count)),
                                                   pa.array(np.concatenate(grams))], names=["doc", "size", "gram"])
 
-    return sets.mapInArrow(run, "doc long, size long, gram long")
+    return sets.mapInArrow(freeing(run), "doc long, size long, gram long")
 
 
 def _codes(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -241,7 +241,7 @@ def overlap_counts(arrays: list[np.ndarray], width: int = 4096) -> np.ndarray:
 
 def _link_block(num: int, den: int):
     """Function for one pair of blocks of a gathering: each row's links, and a spanning forest."""
-    def run(key, table):
+    def linked(key, table):
         hub, i, j = (k.as_py() for k in key)
         doc, size, part = (table.column(c).to_numpy() for c in ("doc", "size", "block"))
         order = np.argsort(doc)
@@ -282,6 +282,11 @@ def _link_block(num: int, den: int):
         rows = forest + [(doc[k], doc[k], links[k]) for k in np.flatnonzero(links)]
         return pa.table({c: pa.array([int(r[k]) for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "links"))})
 
+    def run(key, table):
+        out = linked(key, table)
+        release()
+        return out
+
     return run
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectriage.llm.common import keyed_texts, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import freeing, keyed_texts, row_ranges, text_bytes, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -331,7 +331,7 @@ def find_pii(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(_spans_of(batch.column("text"), tagger), kind_type)],
                                              names=["doc_id", "text", "spans"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, text string, spans {SPAN_TYPE}")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(freeing(run), f"doc_id long, text string, spans {SPAN_TYPE}")
 
 
 def span_list(spans, wanted=None):
@@ -375,4 +375,4 @@ def redact(docs: DataFrame, model: dict | None = None, text_col: str = "text") -
             texts = [redacted(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column(at), _spans_of(batch.column(at), tagger))]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

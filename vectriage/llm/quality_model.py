@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import BYTE_CODE, LOWER, Roller, U64, keyed_texts, mix, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import BYTE_CODE, LOWER, U64, Roller, freeing, keyed_texts, mix, row_ranges, text_bytes, word_bounds
 
 DIM = 512
 SHAPE_DIM = 256
@@ -158,7 +158,7 @@ def _patterns(docs: DataFrame) -> DataFrame:
         for ids, f in _facts_of(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(votes(f))], names=["doc_id", "pattern"])
 
-    return docs.mapInArrow(run, "doc_id long, pattern long")
+    return docs.mapInArrow(freeing(run), "doc_id long, pattern long")
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _training(docs: DataFrame) -> DataFrame:
             rows = [r.astype(np.float32).tobytes() for r in hashed_features(f)]
             yield pa.RecordBatch.from_arrays([pa.array(votes(f)), pa.array(rows, pa.binary())], names=["pattern", "features"])
 
-    return docs.mapInArrow(run, "pattern long, features binary")
+    return docs.mapInArrow(freeing(run), "pattern long, features binary")
 
 
 def train(docs: DataFrame, train_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([ids, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.array(posterior, pa.float64())],
                                              names=["doc_id", "low", "posterior"])
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, low double, posterior double")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(freeing(run), "doc_id long, low double, posterior double")
 
 
 def classify(docs: DataFrame, limit: float = 0.5, train_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,4 +225,4 @@ def accepted(docs: DataFrame, limit: float = 0.5, train_rows: int = 12_000, id_c
                 z = [np.zeros(0), *(hashed_features(word_facts(raw, offsets[a:b + 1])).astype(float) @ m["weights"] + m["bias"] for a, b in row_ranges(offsets))]
                 yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
