@@ -361,6 +361,21 @@ def test_decontamination_finds_the_planted_items(spark):
     assert want and got == want
 
 
+def found_items(spark, items, texts):
+    """Item ids found in each text."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r.item_ids for r in decontam.decontaminate(df, bench).collect()}
+    return [by[i] for i in range(len(texts))]
+
+
+def test_decontamination_finds_items_dense_in_slots_and_short_ones(spark):
+    items = ["Alice paid 30 dollars, Bob paid 20 dollars, Carol paid 10 dollars", "What is the capital of France?", "Xylograph",
+             "小明有三个苹果他又买了五个一共有几个", "1 2 3 4 5 6 7 8 9 10", "How many legs have 3 cows?"]
+    texts = [f"so {i} ok" for i in items] + [f"他说{items[3]}吗", "How many legs have 7 cows?", "What is the capital of Spain?", "what is the capital", "10 9 8 7 6 5 4 3 2 1"]
+    assert found_items(spark, items, texts) == [[0], [1], [2], [3], [4], [5], [3], [5], [1], [], []]
+
+
 def test_quality_classifier_on_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(docs).join(labels, "doc_id").select("kept", "quality").collect()

@@ -10,17 +10,23 @@ numbers or names matches, a coincidence of placeholders does not.  A document
 is contaminated by an item when consistent windows cover at least ``cover`` of
 its template.
 
-A window takes part if at least half of it are ordinary words.  Only document
-windows whose fingerprint is set in a bit table of fixed size, made from the
-benchmark, go into the join; a full table lets more through and changes no
-result.
+A window has up to two names: that of its exact words, and, if it has slots and
+at least half of it are ordinary words, that of its template.  Windows with more
+slots are thus compared by their exact words alone.  An item of fewer than
+``window`` words is one window of its own length, and documents have windows of
+the lengths that the benchmark needs.  Only document windows whose fingerprint
+is set in a bit table of fixed size, made from the benchmark, go into the join;
+a full table lets more through and changes no result.
+
+Every character of a script without spaces (Chinese, Japanese, Thai, Lao,
+Khmer, Burmese) is a word.
 
 A word is a number if all its letters and digits are digits; a unit if it is
 in ``UNITS`` and follows a number; a name if it starts with one capital, is
 neither first in the text nor after a full stop, and goes on in small letters.
 
-Edge cases: null and empty texts and items match nothing, as do items with
-fewer than ``window`` template words; rows of documents are independent, so
+Edge cases: null and empty texts and items match nothing, as do items without
+letters and digits; an item of one word matches every document with that word; rows of documents are independent, so
 repeated rows get equal results; repeated items count once per item id, and an
 id with several texts matches if one of them does; rows with a null id are
 compared like others and come back as one row with the null id's matches;
@@ -61,12 +67,27 @@ def _unit_names() -> np.ndarray:
     return np.sort(np.array(out, U64))
 
 
+def _split_spaceless(b, starts, ends, rel):
+    """Words, and the first of each row, with the characters of scripts without spaces as words of their own."""
+    after = np.append(b[1:], np.uint8(0))
+    lone = (b >= 0xE3) & (b <= 0xE9) | (b == 0xEF) & (after >= 0xBC) & (after <= 0xBE) | (b == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+    lone |= (b == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (b == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    at = np.flatnonzero(lone)
+    if not len(at):
+        return starts, ends, np.searchsorted(starts, rel)
+    past = at + np.where(b[at] == 0xF0, 4, 3)
+    cut = np.unique(np.concatenate([starts, at, past[past < ends[np.searchsorted(starts, at, "right") - 1]]]))
+    ends = np.minimum(np.append(cut[1:], len(b)), ends[np.searchsorted(starts, cut, "right") - 1])
+    return cut, ends, np.searchsorted(cut, rel)
+
+
 def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template codes, word names, first of each row + total); words without letters and digits are left out."""
     starts, ends, first = word_bounds(raw, offsets)
     b = raw[int(offsets[0]):int(offsets[-1])]
     if not len(starts):
         return np.zeros(0, U64), np.zeros(0, U64), first
+    starts, ends, first = _split_spaceless(b, starts, ends, offsets - int(offsets[0]))
 
     def count(table):
         sums = np.zeros(len(b) + 1, np.int32)
@@ -93,49 +114,66 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return code[use], name[use], before[first]
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, size: int):
-    """(window name, row, place, template length of the row, word names) for windows that take part."""
+def windows(raw: np.ndarray, offsets: np.ndarray, sizes: list[int], own: bool = False):
+    """(template codes, word names, first of each row + total) and (size, by exact words, window names, first words) of windows that take part.
+
+    With ``own`` a row has only windows of the largest size, or one of its own length.
+    """
     code, name, first = templates(raw, offsets)
-    n = max(len(code) - size + 1, 0)
-    total = np.zeros(n, U64)
-    slots = np.zeros(n, np.int16)
-    for k in range(size):
-        if n:
-            total = mix(total + code[k:k + n] * U64(0xD6E8FEB86659FD93))
-            slots += code[k:k + n] <= NAME
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    fits = np.zeros(n, bool)
-    if n:
-        fits = (rows[:n] == rows[size - 1:]) & (slots * 2 <= size)
-    at = np.flatnonzero(fits)
-    return total[at], rows[at], at - first[rows[at]], np.diff(first)[rows[at]], code, name, at
-
-
-def _window_rows(texts: DataFrame, size: int, bits, key: str) -> DataFrame:
-    """(name, key, place, length, codes, values) of windows; with ``bits`` only those set in the table."""
+    n = len(code)
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)      # words to the end of the row
+    length = np.repeat(np.diff(first), np.diff(first))
+    out = []
+    for exact, codes in ((True, name | U64(8)), (False, code)):
+        total, slots = np.zeros(n, U64), np.zeros(n, np.int16)
+        for k in range(max(sizes, default=0)):
+            m = max(n - k, 0)
+            total[:m] = mix(total[:m] + codes[k:] * U64(0xD6E8FEB86659FD93))
+            slots[:m] += code[k:] <= NAME
+            if k + 1 in sizes:
+                fits = left > k
+                if own:
+                    fits &= np.minimum(length, max(sizes)) == k + 1
+                if not exact:
+                    fits &= (slots > 0) & (slots * 2 <= k + 1)
+                at = np.flatnonzero(fits)
+                out.append((k + 1, exact, total[at], at))
+    return code, name, first, out
+
+
+def _window_rows(texts: DataFrame, sizes: list[int], bits, key: str) -> DataFrame:
+    """(name, key, place, length, values) of windows, values null for exact words; with ``bits`` only those set in the table."""
+    longest = max(sizes, default=0)
+
     def run(batches):
         table = None if bits is None else np.frombuffer(bits.value, np.uint8)
         with np.errstate(over="ignore"):
             for batch in batches:
                 raw, offsets = text_bytes(batch.column("text"))
                 for a, b in row_ranges(offsets):
-                    total, row, place, length, code, name, at = windows(raw, offsets[a:b + 1], size)
-                    if table is not None:
-                        bit = (total % U64(BITS)).astype(np.int64)
-                        hit = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                        total, row, place, length, at = total[hit], row[hit], place[hit], length[hit], at[hit]
-                    keys = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
+                    code, name, first, found = windows(raw, offsets[a:b + 1], sizes, own=bits is None)
                     # The slots' values of a window; ordinary words answer each other by the name of the window.
-                    slot = code <= NAME
-                    values = [packed(np.where(slot[i:i + size], name[i:i + size], U64(0))) for i in at.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(total.view(np.int64)), keys, pa.array(place, pa.int32()), pa.array(length, pa.int32()), pa.array(values, pa.binary())],
-                        names=["name", key, "place", "length", "values"])
+                    kept = np.where(code <= NAME, name, U64(0))
+                    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                    for size, exact, total, at in found:
+                        if table is not None:
+                            bit = (total % U64(BITS)).astype(np.int64)
+                            hit = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                            total, at = total[hit], at[hit]
+                        if exact and bits is not None and size < longest:      # an item of few words is met once or not at all
+                            once = np.unique(np.stack([rows[at].astype(U64), total]), axis=1, return_index=True)[1]
+                            total, at = total[once], at[once]
+                        row = rows[at]
+                        keys = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
+                        values = [None] * len(at) if exact else [packed(kept[i:i + size]) for i in at.tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(total.view(np.int64)), keys, pa.array(at - first[row], pa.int32()), pa.array(np.diff(first)[row], pa.int32()),
+                             pa.array(values, pa.binary())], names=["name", key, "place", "length", "values"])
 
     return texts.mapInArrow(freeing(run), f"name long, {key} long, place int, length int, values binary")
 
 
-def _bit_table(items: DataFrame, size: int) -> bytes:
+def _bit_table(items: DataFrame) -> bytes:
     def run(batches):
         table = np.zeros(BITS // 8, np.uint8)
         for batch in batches:
@@ -165,9 +203,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float
             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cover, reparameterised): contaminated pairs of documents and items."""
     spark = docs.sparkSession
-    items = keep(_window_rows(keyed_texts(benchmark, item_col, item_text_col), window, None, "item_id").distinct())
-    bits = spark.sparkContext.broadcast(_bit_table(items, window))
-    found = _window_rows(keyed_texts(docs, id_col, text_col).where(F.octet_length("text") > 0), window, bits, "doc_id")
+    items = keep(_window_rows(keyed_texts(benchmark, item_col, item_text_col), list(range(1, window + 1)), None, "item_id").distinct())
+    bits = spark.sparkContext.broadcast(_bit_table(items))
+    # At most ``window`` lengths.
+    sizes = sorted(r[0] for r in items.select(F.least("length", F.lit(window))).distinct().collect())
+    found = _window_rows(keyed_texts(docs, id_col, text_col).where(F.octet_length("text") > 0), sizes, bits, "doc_id")
     theirs = items.select("name", "item_id", F.col("place").alias("item_place"), F.col("length").alias("item_length"), F.col("values").alias("item_values"))
     met = (found.join(theirs, "name").groupBy("doc_id", "item_id", "item_length", (F.col("place") - F.col("item_place")).alias("diagonal"))
            .agg(F.collect_set(F.struct("item_place", "values", "item_values")).alias("windows")))
@@ -176,8 +216,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float
         for batch in batches:
             covered, differs = [], []
             for found, length in zip(batch.column("windows").to_pylist(), batch.column("item_length").to_pylist()):
-                ok, other = one_to_one([(np.frombuffer(w["values"], U64), np.frombuffer(w["item_values"], U64)) for w in found])
-                places = {w["item_place"] + k for w in found for k in range(window)}
+                ok, other = one_to_one([(np.frombuffer(w["values"], U64), np.frombuffer(w["item_values"], U64))
+                                        for w in found if w["values"] is not None and w["item_values"] is not None])
+                places = {w["item_place"] + k for w in found for k in range(min(window, length))}
                 covered.append(len(places) / length if ok else 0.0)
                 differs.append(other)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(covered, pa.float64()), pa.array(differs, pa.bool_())],
