@@ -376,6 +376,44 @@ def test_decontamination_finds_items_dense_in_slots_and_short_ones(spark):
     assert found_items(spark, items, texts) == [[0], [1], [2], [3], [4], [5], [3], [5], [1], [], []]
 
 
+def test_decontamination_unites_diagonals(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(30)]
+    put = lambda t, *at: " ".join(w + " extra" * (k + 1 in at) for k, w in enumerate(t))
+    item = " ".join(words)
+    far = " ".join(words[:10]) + " far" * 100 + " " + " ".join(words[10:20])
+    texts = [item, put(words, 10, 20), " ".join(words[:10] + words[11:20] + words[21:]), " ".join(words[20:] + words[10:20] + words[:10]), far,
+             f"{put(words, 10, 20)} {put(words, 10, 20)}"]
+    assert found_items(spark, [item], texts) == [[0], [0], [0], [], [], [0]]
+    new = "x a train leaves Denver at 55 km per slow hour and then it meets our Bob after just 7 hours of travel near the old bridge today"
+    old = "A train leaves Boston at 30 km per hour and then it meets our Alice after 4 hours of travel near the old bridge today"
+    assert found_items(spark, [old], [new, new.replace("Bob", "Denver").replace("7", "55")]) == [[0], []]
+
+
+def test_texts_of_one_id_are_not_put_together(spark):
+    words = [f"w{chr(97 + k)}x" for k in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (1, "other words")], "item_id long, text string")
+    df = spark.createDataFrame([(None, " ".join(words[:9])), (None, "so it is " + " ".join(words[9:18]))], "doc_id long, text string")
+    assert decontam.decontaminate(df, bench).where("contaminated").count() == 0
+
+
+def test_chains_against_brute_force():
+    rnd = random.Random(5)
+    for _ in range(300):
+        n = rnd.randrange(1, 8)
+        segs = sorted({(rnd.randrange(30), rnd.randrange(30), rnd.randrange(3, 9)) for _ in range(n)})
+        start, item, words = (np.array(x) for x in zip(*segs))
+
+        def fits(s, t):
+            (a, b, m), (c, d, k) = segs[s], segs[t]
+            return a < c and b < d and a + m < c + k and b + m < d + k and c - a - m <= 10
+
+        def best(t):
+            got = [best(s) - max(0, segs[s][0] + segs[s][2] - segs[t][0], segs[s][1] + segs[s][2] - segs[t][1]) for s in range(t) if fits(s, t)]
+            return segs[t][2] + max([0, *got])
+
+        assert decontam.chains(start, item, words, 10)[0].tolist() == [best(t) for t in range(len(segs))]
+
+
 def test_quality_classifier_on_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(docs).join(labels, "doc_id").select("kept", "quality").collect()

@@ -3,12 +3,15 @@
 Method: words are canonicalised into a template: numbers, names and units
 become typed placeholders, every other word its lower-case letters and digits.
 Windows of ``window`` template words of documents and benchmark items are
-hash-joined.  The windows that a document and an item share on one diagonal
-(same distance of places) are put together; the values that stood in their
-slots must answer each other one to one, so a question asked with other
-numbers or names matches, a coincidence of placeholders does not.  A document
-is contaminated by an item when consistent windows cover at least ``cover`` of
-its template.
+hash-joined.  The windows that a text and an item share on one diagonal (same
+distance of places) make segments, and segments that follow one another in both,
+at most the item's length apart in the text, make a passage: words put in or
+left out only move the rest to another diagonal.  The values that stood in the
+slots of a passage must answer each other one to one, so a question asked with
+other numbers or names matches, a coincidence of placeholders does not; where
+they do not, its diagonals and its exact words are taken alone.  A document is
+contaminated by an item when a consistent passage covers at least ``cover`` of
+its words.
 
 A window has up to two names: that of its exact words, and, if it has slots and
 at least half of it are ordinary words, that of its template.  Windows with more
@@ -26,8 +29,8 @@ in ``UNITS`` and follows a number; a name if it starts with one capital, is
 neither first in the text nor after a full stop, and goes on in small letters.
 
 Edge cases: null and empty texts and items match nothing, as do items without
-letters and digits; an item of one word matches every document with that word; rows of documents are independent, so
-repeated rows get equal results; repeated items count once per item id, and an
+letters and digits; an item of one word matches every document with that word; texts of
+documents are compared one by one, so repeated rows get equal results; repeated items count once per item id, and an
 id with several texts matches if one of them does; rows with a null id are
 compared like others and come back as one row with the null id's matches;
 other columns are not read; empty tables give no matches.
@@ -142,7 +145,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, sizes: list[int], own: bool =
 
 
 def _window_rows(texts: DataFrame, sizes: list[int], bits, key: str) -> DataFrame:
-    """(name, key, place, length, values) of windows, values null for exact words; with ``bits`` only those set in the table."""
+    """(name, key, text key, place, length, values) of windows, values null for exact words; with ``bits`` only those set in the table."""
     longest = max(sizes, default=0)
 
     def run(batches):
@@ -164,13 +167,15 @@ def _window_rows(texts: DataFrame, sizes: list[int], bits, key: str) -> DataFram
                             once = np.unique(np.stack([rows[at].astype(U64), total]), axis=1, return_index=True)[1]
                             total, at = total[once], at[once]
                         row = rows[at]
-                        keys = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
+                        keys, texts_of = (batch.column(c).slice(a, b - a).take(pa.array(row)) for c in ("doc_id", "text_key"))
                         values = [None] * len(at) if exact else [packed(kept[i:i + size]) for i in at.tolist()]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(total.view(np.int64)), keys, pa.array(at - first[row], pa.int32()), pa.array(np.diff(first)[row], pa.int32()),
-                             pa.array(values, pa.binary())], names=["name", key, "place", "length", "values"])
+                            [pa.array(total.view(np.int64)), keys, texts_of, pa.array(at - first[row], pa.int32()), pa.array(np.diff(first)[row], pa.int32()),
+                             pa.array(values, pa.binary())], names=["name", key, f"{key}_text", "place", "length", "values"])
 
-    return texts.mapInArrow(freeing(run), f"name long, {key} long, place int, length int, values binary")
+    # Texts of one id are told apart by their hash.
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    return texts.mapInArrow(freeing(run), f"name long, {key} long, {key}_text long, place int, length int, values binary")
 
 
 def _bit_table(items: DataFrame) -> bytes:
@@ -187,16 +192,81 @@ def _bit_table(items: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def one_to_one(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bool, bool]:
-    """(whether the slot values of some windows answer each other one to one, whether any differs)."""
-    there, back, differs = {}, {}, False
-    for ours, theirs in pairs:
-        for x, y in zip(ours.tolist(), theirs.tolist()):
-            if x or y:
-                if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
-                    return False, differs
-                differs |= x != y
-    return True, differs
+def one_to_one(pairs: list[tuple[int, int]]) -> bool:
+    """Whether slot values answer each other one to one."""
+    there, back = {}, {}
+    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in pairs)
+
+
+def segments(place: np.ndarray, item_place: np.ndarray, size: int):
+    """(segment of each window, place, item place and words of each segment): windows on one diagonal without a gap."""
+    order = np.lexsort((place, place - item_place))
+    at, on = place[order], (place - item_place)[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (on[1:] != on[:-1]) | (at[1:] > at[:-1] + size)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    start, item, words = at[first], (at - on)[first], at[last] + size - at[first]
+    by_place = np.lexsort((item, start))
+    rank = np.empty(len(first), np.int64)
+    rank[by_place] = np.arange(len(first))
+    of = np.empty(len(at), np.int64)
+    of[order] = rank[np.cumsum(new) - 1]
+    return of, start[by_place], item[by_place], words[by_place]
+
+
+def chains(start: np.ndarray, item: np.ndarray, words: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words covered, segment before or -1) of the best chain that ends with each segment; no word counts twice."""
+    total, before, head = words.copy(), np.full(len(start), -1), start.copy()
+    end, item_end = start + words, item + words
+    reach = near + int(words.max())
+    for t in range(1, len(start)):
+        s = np.arange(np.searchsorted(start, start[t] - reach), t)
+        s = s[(start[s] < start[t]) & (item[s] < item[t]) & (end[s] < end[t]) & (item_end[s] < item_end[t]) & (start[t] - end[s] <= near)]
+        if len(s):
+            gain = total[s] - np.maximum(0, np.maximum(end[s] - start[t], item_end[s] - item[t]))
+            k = np.lexsort((head[s], gain))[-1]       # the shortest of equal ones
+            if gain[k] > 0:
+                total[t], before[t], head[t] = words[t] + gain[k], s[k], head[s[k]]
+    return total, before
+
+
+def passage(place: np.ndarray, item_place: np.ndarray, values: list, item_values: list, length: int, size: int, cover: float) -> tuple[float, bool]:
+    """(cover, whether a slot's value differs) of the consistent passage that covers most of an item of ``length`` words."""
+    exact = np.array([x is None or y is None for x, y in zip(values, item_values)])
+    best, differs = 0, False
+    if exact.any():
+        best = int(chains(*segments(place[exact], item_place[exact], size)[1:], length)[0].max())
+    if not exact.all():
+        of, start, item, words = segments(place, item_place, size)
+        slotted = np.flatnonzero(~exact)
+
+        def slots(chosen: np.ndarray) -> list[tuple[int, int]]:
+            """Slot values of the windows of these segments, one pair for each place."""
+            out = {}
+            for w in slotted[np.isin(of[slotted], chosen)].tolist():
+                for k, pair in enumerate(zip(np.frombuffer(values[w], U64).tolist(), np.frombuffer(item_values[w], U64).tolist())):
+                    if pair != (0, 0):
+                        out[int(place[w]) + k] = pair
+            return list(out.values())
+
+        total, before = chains(start, item, words, length)
+        tries = []
+        for t in np.flatnonzero((total > best) & (total >= cover * length)).tolist():
+            chosen, k = [], t
+            while k >= 0:
+                chosen.append(k)
+                k = int(before[k])
+            tries.append((int(total[t]), chosen))
+        diagonals, which = np.unique(start - item, return_inverse=True)
+        alone = np.bincount(which, words).astype(int)
+        tries += [(int(alone[d]), np.flatnonzero(which == d)) for d in np.flatnonzero((alone > best) & (alone >= cover * length)).tolist()]
+        for words_covered, chosen in sorted(tries, key=lambda x: -x[0]):
+            pairs = slots(chosen)
+            if one_to_one(pairs):
+                best, differs = words_covered, any(x != y for x, y in pairs)
+                break
+    return best / length, differs
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
@@ -208,18 +278,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: float
     # At most ``window`` lengths.
     sizes = sorted(r[0] for r in items.select(F.least("length", F.lit(window))).distinct().collect())
     found = _window_rows(keyed_texts(docs, id_col, text_col).where(F.octet_length("text") > 0), sizes, bits, "doc_id")
-    theirs = items.select("name", "item_id", F.col("place").alias("item_place"), F.col("length").alias("item_length"), F.col("values").alias("item_values"))
-    met = (found.join(theirs, "name").groupBy("doc_id", "item_id", "item_length", (F.col("place") - F.col("item_place")).alias("diagonal"))
-           .agg(F.collect_set(F.struct("item_place", "values", "item_values")).alias("windows")))
+    theirs = items.select("name", "item_id", "item_id_text", F.col("place").alias("item_place"), F.col("length").alias("item_length"), F.col("values").alias("item_values"))
+    met = (found.join(theirs, "name").groupBy("doc_id", "doc_id_text", "item_id", "item_id_text", "item_length")
+           .agg(F.collect_set(F.struct("place", "item_place", "values", "item_values")).alias("windows")))
 
     def run(batches):
         for batch in batches:
             covered, differs = [], []
-            for found, length in zip(batch.column("windows").to_pylist(), batch.column("item_length").to_pylist()):
-                ok, other = one_to_one([(np.frombuffer(w["values"], U64), np.frombuffer(w["item_values"], U64))
-                                        for w in found if w["values"] is not None and w["item_values"] is not None])
-                places = {w["item_place"] + k for w in found for k in range(min(window, length))}
-                covered.append(len(places) / length if ok else 0.0)
+            lists = batch.column("windows")
+            bounds = lists.offsets.to_numpy()
+            place, item_place, values, item_values = lists.flatten().flatten()
+            place, item_place = (x.to_numpy().astype(np.int64) for x in (place, item_place))
+            for a, b, length in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], batch.column("item_length").to_pylist()):
+                got, other = passage(place[a:b], item_place[a:b], values.slice(a, b - a).to_pylist(), item_values.slice(a, b - a).to_pylist(),
+                                     length, min(window, length), cover)
+                covered.append(got)
                 differs.append(other)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(covered, pa.float64()), pa.array(differs, pa.bool_())],
                                              names=["doc_id", "item_id", "cover", "reparameterised"])
