@@ -414,6 +414,26 @@ def test_chains_against_brute_force():
         assert decontam.chains(start, item, words, 10)[0].tolist() == [best(t) for t in range(len(segs))]
 
 
+def test_decontamination_bears_coincident_values_and_other_spelling(spark):
+    items = ["Alice has 3 apples. Bob eats 2 pears. Carol has many plums. Dave cooks soup.",
+             "a red bus goes 30 km over the long hill and a blue bus goes for 30 hours over the same long hill",
+             "the first box holds 5 nuts and the second box holds 6 nuts so how many nuts are there at all",
+             "Él pagó la cuenta Ñandú después de la Ópera con ÁNIMO y sin prisa alguna"]
+    texts = ["Eve has 5 apples. Frank eats 7 pears. Grace has many plums. Heidi cooks soup.",
+             "a red bus goes 55 km over the long hill and a blue bus goes for 7 hours over the same long hill",
+             "the first box holds 7 nuts and the second box holds 7 nuts so how many nuts are there at all",
+             items[1].replace("30 hours", "31 hours"), items[0].upper(), items[0].lower().replace(".", ";"), items[3].upper(), items[3].lower(),
+             "the hill and the box"]
+    assert found_items(spark, items, texts) == [[0], [1], [2], [1], [0], [0], [3], [3], []]
+    assert decontam.answering([(1, 7), (2, 7)]) and not decontam.answering([(1, 7), (2, 8), (3, 7), (4, 8)])
+
+
+def test_folded_equals_lower():
+    text = "ÀÉÑ ЖЯ ΑΩ ẠẾ ß 数 Ł ÿ Ÿ aZ 😀 İ"
+    got = decontam.folded(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
+    assert got == "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text)
+
+
 def test_quality_classifier_on_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(docs).join(labels, "doc_id").select("kept", "quality").collect()
