@@ -118,3 +118,14 @@ def test_knn_many_small_batches(spark):
         got.setdefault(r.query_id, []).append(r.neighbor_id)
     exp = brute(base, queries, 5, "cosine")
     assert got == {q: [b for b, _ in v] for q, v in exp.items()}
+
+
+def test_keyword_vs_semantic_takes_all_words(spark):
+    from vectriage.operators.search import keyword_vs_semantic
+    base = spark.createDataFrame([(1, "The app app crashed", [1.0, 0.0]), (2, "an app to launch", [0.9, 0.1]),
+                                  (3, "launch it", [0.0, 1.0])], "id long, text string, embedding array<double>")
+    q = spark.createDataFrame([(7, "App won't launch, app!", [1.0, 0.0]), (8, "it", [0.0, 1.0]), (9, "", [1.0, 0.0])],
+                              "query_id long, query_text string, embedding array<double>")
+    got = {tuple(r) for r in keyword_vs_semantic(base, q, "id", "text", 2).collect()}
+    assert got == {(7, 1, "app", 2, 2, 2), (7, 2, "won", 0, 2, 0), (7, 3, "t", 0, 2, 0), (7, 4, "launch", 2, 2, 1),
+                   (8, 1, "it", 1, 2, 1), (9, 1, None, 0, 2, 0)}

@@ -238,30 +238,34 @@ def keyword_search(base: DataFrame, text_col: str, keyword: str, id_col: str) ->
 
 
 def keyword_vs_semantic(base: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 10,
-                        min_keyword_len: int = 4, **opts) -> DataFrame:
-    """Per query: its first word of at least ``min_keyword_len`` letters as
-    a keyword, how many rows contain that word, how many the semantic
-    search returns, and how many are in both.
-
-    Keyword hits come from an equi-join of the keyword list with the
-    distinct words of each row, not from a scan per keyword.  When the
-    query count is proven small (the search broadcast its queries) the
-    keyword list is broadcast too, so a very common word never piles up
-    in one task.
+                        min_keyword_len: int = 1, **opts) -> DataFrame:
+    """Per query and word of it (of at least ``min_keyword_len`` letters, each
+    once, ``position`` from 1): how many rows contain that word, how many the
+    semantic search returns, and how many are in both.  A query without words
+    has one row with a null keyword.
+
+    Rows are counted per word, partial in each task, and the counts joined to
+    the words of the queries; only the words of the k semantic hits are
+    compared with the query's, so no pairs of queries and rows are made.
     """
     split = r"[^\p{L}\p{N}]+"
-    kw = queries.select("query_id", F.get(F.filter(F.split(F.lower("query_text"), split),
-                                                   lambda t: F.length(t) >= min_keyword_len), 0).alias("keyword"))
-    words = base.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), split))).alias("keyword"))
+    tokens = lambda c: F.array_distinct(F.split(F.lower(c), split))
+    kw = queries.select("query_id", F.posexplode_outer(F.filter(tokens("query_text"), lambda t: F.length(t) >= min_keyword_len))
+                        .alias("_at", "keyword"))
+    kw = kw.select("query_id", (F.coalesce("_at", F.lit(0)) + 1).cast("long").alias("position"), "keyword")
+    kh = (base.select(F.explode(tokens(text_col)).alias("keyword")).groupBy("keyword")
+              .agg(F.count(F.lit(1)).alias("keyword_hits")))
     nn, bound = neighbors_bounded(base, queries.select("query_id", "embedding"), k, id_col=id_col, **opts)
-    kw_side = F.broadcast(kw) if bound is not None and bound // max(k, 1) * 64 <= (256 << 20) else kw
-    kh = kw_side.join(words, "keyword").select("query_id", id_col)
     sh = nn.select("query_id", F.col("neighbor_id").alias(id_col))
-    both = kh.join(sh, ["query_id", id_col])
-    cnt = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
-    return (kw.join(cnt(kh, "keyword_hits"), "query_id", "left")
-              .join(cnt(sh, "semantic_hits"), "query_id", "left")
-              .join(cnt(both, "overlap"), "query_id", "left")
-              .select("query_id", "keyword",
+    hits = F.broadcast(sh) if bound is not None and bound * 64 <= (256 << 20) else sh
+    both = (base.select(id_col, text_col).join(hits, id_col)
+                .select("query_id", F.explode(tokens(text_col)).alias("keyword"))
+                .join(kw.select("query_id", "keyword"), ["query_id", "keyword"])
+                .groupBy("query_id", "keyword").agg(F.count(F.lit(1)).alias("overlap")))
+    semantic = sh.groupBy("query_id").agg(F.count(F.lit(1)).alias("semantic_hits"))
+    return (kw.join(kh, "keyword", "left")
+              .join(semantic, "query_id", "left")
+              .join(both, ["query_id", "keyword"], "left")
+              .select("query_id", "position", "keyword",
                       *[F.coalesce(c, F.lit(0)).cast("long").alias(c)
                         for c in ("keyword_hits", "semantic_hits", "overlap")]))
