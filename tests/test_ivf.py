@@ -80,3 +80,21 @@ def test_find_similar_prefilter_through_index(spark):
     assert key(via) == key(exact)
     assert {r.status for r in approx.collect()} == {"a"}
     assert [r[1] for r in approx.groupBy("query_id").count().collect()] == [4] * 10
+
+
+def test_queries_of_a_list_are_dealt_over_blocks(spark):
+    from pyspark.sql import functions as F
+    from vectriage.operators import ivf
+    rng = np.random.default_rng(11)
+    base = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id long, embedding array<double>")
+    q = base.withColumnRenamed("id", "query_id")
+    idx = build_ivf(base, "id", num_lists=3)
+    probes = q.crossJoin(F.broadcast(idx.centroids)).select("query_id", F.col("list_id").alias("neighbor_id"))
+    pq, rows = ivf._blocked(idx, probes, q.select("query_id", F.col("embedding").alias("_vec")),
+                            idx.rows.select(F.col("id").alias("_id"), "list_id", F.col("embedding").alias("_vec")), True, 40, 25)
+    on = ["list_id", "_block", "_qblock"]
+    assert pq.groupBy(on).count().agg(F.max("count")).first()[0] <= 75       # of 300 that probe each list
+    met = pq.select(*on, F.col("_id").alias("a")).join(rows.select(*on, F.col("_id").alias("b")), on)
+    assert met.count() == met.select("a", "b").distinct().count() == 300 * 300
+    key = lambda df: sorted((r.query_id, r.neighbor_id, r.rank) for r in df.collect())
+    assert key(ivf_search(idx, q, 5, fraction=1.0, max_block_rows=40, max_query_rows=25)) == key(knn(base, q, 5, base_id="id"))

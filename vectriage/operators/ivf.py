@@ -14,9 +14,11 @@ Search
 ------
 Each query probes its ``ceil(fraction * num_lists)`` nearest centroids
 (a small exact knn against the centroid table).  Probes and base rows
-meet in a cogroup keyed by ``(list_id, block)``: a list larger than
-``max_block_rows`` is cut into hash blocks and its probes are repeated
-per block, so one hot list never lands in one task whole.  Each group
+meet in a cogroup keyed by ``(list_id, block, query block)``: a list larger
+than ``max_block_rows`` is cut into hash blocks, one with more than
+``max_query_rows`` probes (counted) into query blocks, and each side is
+repeated per block of the other, so neither the rows nor the queries of a
+hot list land in one task whole.  Each group
 computes exact distances for its queries and keeps a top-k; the per-list
 candidates are merged with ``row_number() <= k``.  With ``fraction=1``
 every list is probed and the result equals the exact search.
@@ -38,6 +40,7 @@ from vectriage.operators.knn import (_Kernel, _arrow_schema, _field_type, _id_ar
                                      _to_batch, _vec_matrix, knn)
 
 DEFAULT_MAX_BLOCK_ROWS = 200_000
+DEFAULT_MAX_QUERY_ROWS = 20_000
 
 
 @dataclass
@@ -175,7 +178,8 @@ def list_sizes(index: IVFIndex) -> DataFrame:
 
 def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float = 0.1, *,
                query_id: str = "query_id", query_vec: str = "embedding", metric: str | None = None,
-               max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS, filters=None, widen: bool = True) -> DataFrame:
+               max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS, max_query_rows: int = DEFAULT_MAX_QUERY_ROWS,
+               filters=None, widen: bool = True) -> DataFrame:
     """Approximate top-k (exact distances within the probed lists).
 
     Returns ``query_id, neighbor_id, rank, distance`` like ``knn``.
@@ -185,7 +189,7 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
     twice the fraction, until they have k rows or every list was read
     (at most log2(num_lists) rounds, each touching only the short queries).
     """
-    res = _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, filters)
+    res = _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters)
     if (filters is None and not index.restricted) or not widen:
         return res
     while fraction < 1.0:
@@ -195,12 +199,36 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
         if todo.isEmpty():
             break
         fraction = min(1.0, 2 * fraction)
-        again = _ivf_search_once(index, todo, k, fraction, query_id, query_vec, metric, max_block_rows, filters)
+        again = _ivf_search_once(index, todo, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters)
         res = res.join(todo.select(query_id), query_id, "left_anti").unionByName(again)
     return res
 
 
-def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, filters):
+def _blocked(index, probes, q, rows, stored_sizes, max_block_rows, max_query_rows):
+    """(probes with their query vectors, rows), both on (list_id, _block, _qblock): each probe meets each row of its list once."""
+    # only the lists some query probes enter the shuffle (at most num_lists ids)
+    probed = F.broadcast(probes.groupBy(F.col("neighbor_id").alias("list_id")).agg(F.count(F.lit(1)).alias("_q")))
+    rows = rows.join(probed, "list_id", "left_semi")
+    # list sizes only set the block split (balance, not results): use the
+    # stored estimates when there is no filter, else count the filtered rows
+    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n")) if stored_sizes
+               else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
+    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(most))).cast("long")
+    # num_lists rows: bounded by the index parameter
+    sizes = F.broadcast(counted.join(probed, "list_id").select(
+        "list_id", blocks("_n", max_block_rows).alias("_blocks"), blocks("_q", max_query_rows).alias("_qblocks")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = (rows.join(sizes, "list_id").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+                .withColumn("_qblock", every("_qblocks")).drop("_blocks", "_qblocks"))
+    pq = (probes.select("query_id", F.col("neighbor_id").alias("list_id"))
+                .join(q, "query_id").join(sizes, "list_id")
+                .withColumn("_qblock", F.pmod(F.xxhash64("query_id"), F.col("_qblocks")))
+                .withColumn("_block", every("_blocks"))
+                .drop("_blocks", "_qblocks").withColumnRenamed("query_id", "_id"))
+    return pq, rows
+
+
+def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters):
     metric = (metric or index.metric).lower()
     nprobe = max(1, min(index.num_lists, math.ceil(fraction * index.num_lists)))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_vec")).where(
@@ -210,24 +238,8 @@ def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, m
     rows = index.rows if filters is None else index.rows.where(filters)
     rows = rows.select(F.col(index.id_col).alias("_id"), F.col("list_id").cast("long").alias("list_id"),
                        F.col(index.vec_col).alias("_vec"))
-    # only the lists some query probes enter the shuffle (at most num_lists ids)
-    probed = probes.select(F.col("neighbor_id").alias("list_id")).distinct()
-    rows = rows.join(F.broadcast(probed), "list_id", "left_semi")
-    # list sizes only set the block split (balance, not results): use the
-    # stored estimates when there is no filter, else count the filtered rows
-    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n"))
-               if index.sizes is not None and filters is None and not index.restricted
-               else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
-    sizes = counted.withColumn(
-        "_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_block_rows))).cast("long"))
-    # num_lists rows: bounded by the index parameter
-    sizes = F.broadcast(sizes.select("list_id", "_blocks"))
-    rows = (rows.join(sizes, "list_id")
-                .withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks"))).drop("_blocks"))
-    pq = (probes.select("query_id", F.col("neighbor_id").alias("list_id"))
-                .join(q, "query_id").join(sizes, "list_id")
-                .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-                .drop("_blocks").withColumnRenamed("query_id", "_id"))
+    pq, rows = _blocked(index, probes, q, rows, index.sizes is not None and filters is None and not index.restricted,
+                        max_block_rows, max_query_rows)
     qtype, btype = _field_type(queries, query_id), _field_type(index.rows, index.id_col)
     schema = _out_schema(qtype, btype)
 
@@ -241,7 +253,7 @@ def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, m
         qrow, ids, dist, dkey = kern.result()
         return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
 
-    cand = (pq.groupBy("list_id", "_block").cogroup(rows.groupBy("list_id", "_block"))
+    cand = (pq.groupBy("list_id", "_block", "_qblock").cogroup(rows.groupBy("list_id", "_block", "_qblock"))
               .applyInArrow(run, schema))
     w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
     res = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
