@@ -6,8 +6,9 @@ return the columns of ``documents``.
 
 Edge cases: nulls, empty texts and empty tables go through as the operators
 state.  Rows without an id cannot be told apart: the stages that compare
-documents leave them as they are.  Repeated rows are copies of one document
-and leave one row.  Columns beyond those of ``documents`` are carried along.
+documents for near copies leave them as they are.  Rows equal in id and text are
+copies of one document and leave one row; an id of several texts leaves one row
+for each, or none if its id is a near copy of a smaller one.  Columns beyond those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, of each component of links of similarity 0.8 over five-word shingles."""
     joined = jaccard_join.jaccard_join(docs, n=5, num=80, den=100)
     dropped = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    known = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, also none with other numbers or names."""
-    found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # By text: an id may be null or stand for several texts.
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    found = decontam.matches(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="text_key")
+    found = found.select(F.col("doc_id").alias("_text_key")).distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == found["_text_key"], "left_anti").select(docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from vectriage.llm import bpe, chat, decontam, jaccard_join, pii_crf, quality_model, quality_rules, recompress_dedup, suffix_dedup, toxicity
 from vectriage.llm.common import components
 from vectriage.llm.queries import CONTROL_TEXT, QUERIES, tokenizer_path
@@ -495,3 +495,49 @@ def test_empty_tables(spark, none, crf):
 
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, bench = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    item = bench.orderBy("item_id").first().text
+    good = [r.text for r in quality_model.accepted(docs).orderBy("doc_id").limit(2).collect()]
+    made = [(900_001, good[0] + " one two"), (900_002, "Some other text " + good[1]), (900_002, f"{good[1]} {item}"), (900_002, f"{good[1]} {item}"),
+            (None, f"{good[0]} {item}"), (None, good[0])]
+    more = spark.createDataFrame(made, "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = [(r.doc_id, r.text) for r in quality_model.accepted(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()]
+    known = sorted({x for x in left if x[0] is not None})
+    sets, parent = [grams(t, 5) for _, t in known], {i: i for i, _ in known}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(known)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and sets[a]:
+                low, high = sorted((root(known[a][0]), root(known[b][0])))
+                parent[high] = low
+    left = [x for x in known if root(x[0]) == x[0]] + [x for x in left if x[0] is None]
+    flat = lambda t: " ".join(WORD.findall((t or "").lower()))
+    items = [flat(r.text) for r in bench.collect()]
+    left = [x for x in left if not any(i in flat(x[1]) for i in items)]
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == Counter(i for i, _ in left)
+
+
+def test_pipeline_stages_on_awkward_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"w{chr(97 + k)}x" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, "one text of its own here"), (1, "quite another text is this one"), (1, "quite another text is this one"),
+                                (None, f"so {item}"), (None, "clean"), (2, f"{item} ok"), (2, "also clean")], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).where("doc_id = 1").count() == 2
+    left = {tuple(r) for r in corpus_pipeline.decontaminated(spark, df, str(tmp_path)).distinct().collect()}
+    assert left == {(1, "one text of its own here"), (1, "quite another text is this one"), (None, "clean"), (2, "also clean")}
