@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectriage.llm import bpe, chat, decontam, jaccard_join, pii_crf, quality_model, quality_rules, recompress_dedup, suffix_dedup, toxicity
+from vectriage.llm import (bpe, chat, decontam, jaccard_join, line_dedup, oracle, pii_crf, quality_model, quality_rules,
+                           recompress_dedup, source_audit, suffix_dedup, toxicity, whitening)
 
 TOKENIZER = "word_bpe_49k.json"
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -73,8 +74,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress_dedup.repeats_digest(_table(spark, sf_dir, "documents"), width=20)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of the sources of each language from one another and, term by term, from the language."""
+    return source_audit.audit(_table(spark, sf_dir, "documents"), min_df=3, top=200)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on the four leading components of their exact covariance, whitened."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=4, id_col="vec_id")
+    return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more hold, but for the last holder."""
+    return line_dedup.dedup_digest(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_bpe, op3_quality_classifier, op4_decontamination, op5_chat_formatting, op6_quality_rules, op7_pii, op8_toxicity,
-    op9_suffix_array_dedup, op10_substring_dedup)}
+    op9_suffix_array_dedup, op10_substring_dedup, op11_source_audit, op12_whitening, op13_line_dedup)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
