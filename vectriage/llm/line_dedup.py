@@ -199,13 +199,13 @@ class LineStore:
         """Add documents; references that the store already has stay single."""
         new = line_keys(keyed_texts(docs, id_col, text_col), self.min_chars).distinct()
         if self.version:
-            new = _null_safe(new, self.refs, "left_anti")
+            new = _without(new, self.refs)
         return self._commit(new.withColumn("sign", F.lit(1)))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineStore:
         """Take documents out again, all lines of the ids named."""
-        gone = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        return self._commit(self.refs.join(gone, self.refs["doc_id"].eqNullSafe(gone["doc_id"]), "left_semi").withColumn("sign", F.lit(-1)))
+        gone = ids.select(F.col(id_col).cast("long").alias("gone")).distinct()
+        return self._commit(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi").withColumn("sign", F.lit(-1)))
 
     def _commit(self, change: DataFrame) -> LineStore:
         version, old = self.version + 1, self.repeated
@@ -224,8 +224,10 @@ class LineStore:
         return self
 
 
-def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    return left.join(right, (left["k1"] == right["k1"]) & (left["k2"] == right["k2"]) & left["doc_id"].eqNullSafe(right["doc_id"]), how)
+def _without(left: DataFrame, right: DataFrame) -> DataFrame:
+    """References of ``left`` that are not in ``right``; null ids are equal."""
+    right = right.toDF("r1", "r2", "r_id")
+    return left.join(right, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left_anti")
 
 
 def _filters(old: DataFrame, new: DataFrame, before: DataFrame | None, shards: int) -> DataFrame:

@@ -39,6 +39,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from vectriage.llm.common import keep
@@ -82,6 +83,8 @@ def fit_list(rows: DataFrame, grid: float) -> DataFrame:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    if len(pc.binary_length(batch.column("x")).unique()) > 1:
+        raise ValueError("vectors of different widths")
     return np.frombuffer(b"".join(batch.column("x").to_pylist()), "<i8").reshape(batch.num_rows, -1)
 
 
