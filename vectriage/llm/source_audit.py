@@ -3,17 +3,18 @@
 Terms are runs of letters A-Z, a-z and everything beyond ASCII, A-Z
 lower-cased.  Nulls in text, language and source read as ''.
 
-1. ``CountVectorizer`` per language: its terms carry their language in front
-   (no term holds the separator, so one fit serves all languages), ``minDF``
-   documents of the language at least, ``vocabSize`` the largest integer: the
-   sparse vectors of the documents are exact counts.
+1. Tasks cut the texts into terms and count them: an exact sparse vector per
+   document.  No vocabulary is fitted first (see README: one on the driver, as
+   ``CountVectorizer`` keeps it, outgrows the driver, in one fit or in many);
+   terms keep their own names.
 2. Group sums in the manner of ``Summarizer``, kept sparse: a task adds the
-   vectors of its documents per (language, source) and hands on a row per
-   group and term; Spark adds the rows of the tasks.  A task that gathers over
-   ``BUFFER`` sums hands them on early.
+   vectors of its documents per (language, source), with the number of documents
+   of each term, and hands on a row per group and term; one that gathers over
+   ``BUFFER`` rows hands them on early.  Spark adds the rows of the tasks, dealt by
+   term, and keeps the terms of ``min_df`` documents of their language or more.
 3. Smoothed shares p = 1 + floor(10^9 (count + 1) / (N + V)) by integral
-   division of decimals.  The divergence of p from q is the sum over all V kept
-   terms of floor((p - q)^2 / q).
+   division.  The divergence of p from q is the sum over all V kept terms of
+   floor((p - q)^2 / q).
 4. Pairs of sources, block of terms by block: a task holds the shares of the
    sources that have a term of the block, as many terms as fit ``CELLS``
    numbers, and adds up its terms.  Terms that a source lacks have its share
@@ -21,11 +22,10 @@ lower-cased.  Nulls in text, language and source read as ''.
    number, and a pair with one such source only the distinct shares of the
    other.
 
-Bounds: the vocabulary (terms of ``min_df`` documents, not documents) is held
-by the driver and broadcast, as ``CountVectorizer`` does; ``max_terms`` raises
-before a larger one is used.  Sums and blocks are bounded as above; the result
-itself has a row per ordered pair of sources of a language.  A source or a
-language of a third of all rows is summed in every task.
+Bounds: nothing of the vocabulary reaches the driver; sums and blocks are
+bounded as above; the result itself has a row per ordered pair of sources of a
+language.  A source or a language of a third of all rows, or a term of every
+document, is summed in every task first.
 
 Edge cases: repeated rows are documents of their own; empty texts and texts
 without terms count in their group, which then has N = 0; a language without
@@ -36,86 +36,91 @@ extra columns are not read.
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vectriage.llm.common import freeing, keep
+from vectriage.llm.common import LOWER, freeing, keep, row_ranges, text_bytes
 
-TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"        # what stands between terms
-MARK = "\x00"
+IN_TERM = np.zeros(256, bool)
+IN_TERM[65:91] = IN_TERM[97:123] = IN_TERM[128:] = True
 SHARE = 1_000_000_000
 BUFFER = 1 << 20
 CELLS = 1 << 21
-ALL_TERMS = 2_147_483_647
-
-
-def grouped(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, terms), every term behind its language."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
-    words = F.filter(F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), TERM), lambda w: w != "")
-    return rows.select("lang", "source", F.transform(words, lambda w: F.concat("lang", F.lit(MARK), w)).alias("terms"))
-
 
-def vocabulary(model: CountVectorizerModel, spark) -> DataFrame:
-    """(idx, lang, term) of a fitted model."""
-    terms = model.vocabulary
-    table = pa.table({"idx": pa.array(np.arange(len(terms), dtype=np.int32)), "named": pa.array(terms, pa.string())})
-    named = spark.createDataFrame(table, "idx int, named string") if terms else spark.createDataFrame([], "idx int, named string")
-    return named.select("idx", F.regexp_extract("named", r"(?s)^(.*)\x00", 1).alias("lang"), F.substring_index("named", MARK, -1).alias("term"))
 
-
-def group_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, source, idx, n): occurrences of each term in each group."""
+def document_vectors(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, row, place in the vocabulary, count): sparse vectors of the texts at offsets ``at`` of ``raw``."""
+    b = LOWER[raw]
+    inside = IN_TERM[b]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = at[1:] > at[:-1]                     # terms end with their text
+    first[at[:-1][full]] = inside[at[:-1][full]]
+    last[at[1:][full] - 1] = inside[at[1:][full] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size = np.zeros(len(starts) + 1, np.int32)  # the texts are one or at most a megabyte
+    np.cumsum(ends - starts, out=size[1:])
+    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(size), pa.py_buffer(b[inside].tobytes())).dictionary_encode()
+    row = np.searchsorted(at, starts, "right") - 1
+    cell = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy().astype(np.int64)
+    cell, count = np.unique(cell, return_counts=True)
+    return coded.dictionary, cell // max(len(coded.dictionary), 1), cell % max(len(coded.dictionary), 1), count
+
+
+def group_sums(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs) summed in tasks: occurrences of each term in each group, and documents that have it."""
     def run(batches):
-        names: dict[tuple, int] = {}
-        keys, sums, held = [], [], 0
-
-        def rows():
-            key, total = np.concatenate(keys), np.concatenate(sums)
-            key, place = np.unique(key, return_inverse=True)
-            out = np.zeros(len(key), np.int64)
-            np.add.at(out, place, total)
-            return key, out
-
-        def flush(key, total):
-            order = list(names)
-            group = (key >> 32).astype(np.int64)
-            table = pa.table({"lang": pa.array([g[0] for g in order], pa.string()).take(pa.array(group)), "source": pa.array([g[1] for g in order], pa.string()).take(pa.array(group)),
-                              "idx": pa.array((key & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(total)})
-            yield from table.to_batches(max_chunksize=1 << 16)
-
+        tables, held = [], 0
+        add = lambda t: t.group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(
+            ["lang", "source", "term", "n", "docs"])
         for batch in batches:
-            vec = batch.column("vec")
-            lists = vec.field("indices")
-            groups = [names.setdefault(g, len(names)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
-            lengths = np.diff(lists.offsets.to_numpy())
-            keys.append((np.repeat(np.array(groups, np.int64), lengths) << 32) | lists.flatten().to_numpy().astype(np.int64))
-            sums.append(vec.field("values").flatten().to_numpy().astype(np.int64))
-            held += len(keys[-1])
-            if held > BUFFER:
-                key, total = rows()
-                if len(key) > BUFFER // 2:
-                    yield from flush(key, total)
-                    names, keys, sums, held = {}, [], [], 0
-                else:
-                    keys, sums, held = [key], [total], len(key)
-        if keys:
-            yield from flush(*rows())
-
-    parts = vectors.select("lang", "source", "vec").mapInArrow(freeing(run), "lang string, source string, idx int, n long")
-    return parts.groupBy("lang", "source", "idx").agg(F.sum("n").alias("n"))
+            raw, offsets = text_bytes(batch.column("text"))
+            names: dict[tuple, int] = {}
+            group = np.array([names.setdefault(g, len(names)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())], np.int64)
+            langs, sources = (pa.array([g[k] for g in names], pa.string()) for k in (0, 1))
+            for lo, hi in row_ranges(offsets):
+                words, row, word, count = document_vectors(raw[int(offsets[lo]):int(offsets[hi])], offsets[lo:hi + 1] - offsets[lo])
+                if not len(row):
+                    continue
+                cell = group[lo + row] * len(words) + word
+                order = np.argsort(cell, kind="stable")
+                cell, count = cell[order], count[order]
+                cut = np.r_[0, np.flatnonzero(np.diff(cell)) + 1]
+                own, n, d = cell[cut], np.add.reduceat(count, cut), np.diff(np.r_[cut, len(cell)])
+                of = pa.array(own // len(words))
+                tables.append(pa.table({"lang": langs.take(of), "source": sources.take(of), "term": words.take(pa.array(own % len(words))),
+                                        "n": pa.array(n.astype(np.int64)), "docs": pa.array(d.astype(np.int64))}))
+                held += len(cut)
+                if held > BUFFER:
+                    tables = [add(pa.concat_tables(tables))]
+                    held = tables[0].num_rows
+                    if held > BUFFER // 2:
+                        yield from tables[0].to_batches(max_chunksize=1 << 16)
+                        tables, held = [], 0
+        if tables:
+            yield from add(pa.concat_tables(tables)).to_batches(max_chunksize=1 << 16)
+
+    return docs.mapInArrow(freeing(run), "lang string, source string, term string, n long, docs long")
+
+
+def kept_terms(docs: DataFrame, min_df: int) -> DataFrame:
+    """(lang, source, term, n, lang_n, lead): counts of the terms that ``min_df`` documents of the language have; ``lead``: once a term."""
+    sums = group_sums(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    w = Window.partitionBy("lang", "term")
+    every = sums.select("lang", "source", "term", "n", F.sum("docs").over(w).alias("df"), F.sum("n").over(w).alias("lang_n"),
+                        (F.row_number().over(w.orderBy("source")) == 1).alias("lead"))
+    return every.where(F.col("df") >= min_df).drop("df")
 
 
 def share(count, n, v):
-    """1 + floor(10^9 (count + 1) / (n + v)), exact."""
+    """1 + floor(10^9 (count + 1) / (n + v)), exact: in longs, or decimals where these could overflow."""
     wide = lambda c: c.cast("decimal(20,0)")
     top = ((wide(count) + F.lit(1)) * F.lit(SHARE)).cast("decimal(38,0)")
-    return (F.call_function("div", top, (wide(n) + wide(v)).cast("decimal(38,0)")) + 1).cast("long")
+    slow = F.call_function("div", top, (wide(n) + wide(v)).cast("decimal(38,0)"))
+    fast = F.call_function("div", (count.cast("long") + 1) * F.lit(SHARE), n.cast("long") + v.cast("long"))
+    return (F.when(count < 9_000_000_000, fast).otherwise(slow) + 1).cast("long")
 
 
 def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -125,17 +130,17 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _block_pairs(rows: pa.Table) -> pa.Table:
     """Sums over the terms of one block for every ordered pair of sources of the language.
 
-    ``rows``: entries (idx, gid, p) and, with a null idx, every source (gid, its share of count 0) and the block's number of terms.
+    ``rows``: entries (term, gid, p) and, with a null term, every source (gid, its share of count 0) and the block's number of terms.
     """
-    is_source = rows.column("idx").is_null().to_numpy()
+    is_source = rows.column("term").is_null().to_numpy()
     gid, p = rows.column("gid").to_numpy(), rows.column("p").to_numpy()
     size = int(rows.column("terms").to_numpy()[is_source][0])
     order = np.argsort(gid[is_source])
     ids, p0 = gid[is_source][order], p[is_source][order]
-    idx = rows.column("idx").fill_null(0).to_numpy()[~is_source]
+    coded = rows.column("term").combine_chunks().filter(pa.array(~is_source)).dictionary_encode()
     who = np.searchsorted(ids, gid[~is_source])
     here, at = np.unique(who, return_inverse=True)
-    terms, col = np.unique(idx, return_inverse=True)
+    terms, col = coded.dictionary, coded.indices.to_numpy()
     shares = np.repeat(p0[here][:, None], len(terms), 1)
     shares[at, col] = p[~is_source]
     total = _f(p0[:, None], p0[None, :]) * size                            # as if nobody had a term of the block
@@ -150,47 +155,31 @@ def _block_pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "value": pa.array(total[a, b], pa.int64())})
 
 
-def audit(docs: DataFrame, min_df: int = 3, top: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-          max_terms: int = 50_000_000) -> DataFrame:
+def audit(docs: DataFrame, min_df: int = 3, top: int = 200, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): divergences of each source from the others, and its ``top`` terms against its language."""
-    spark = docs.sparkSession
-    tokens = grouped(docs, text_col, lang_col, source_col)
-    groups = tokens.groupBy("lang", "source").agg(F.count("*").alias("docs"))
-    result = "lang string, source string, part string, item string, value long, rank int"
-    if docs.isEmpty():
-        return spark.createDataFrame([], result)
-    # A fit without any kept term raises: a document of a mark alone, min_df times, is kept and belongs to no language.
-    mark = tokens.select("terms").unionByName(spark.range(min_df).select(F.array(F.lit(MARK)).alias("terms")))
-    model = CountVectorizer(inputCol="terms", outputCol="vec", minDF=float(min_df), vocabSize=ALL_TERMS).fit(mark)
-    kept = vocabulary(model, spark)
-    if len(model.vocabulary) > max_terms:
-        raise ValueError(f"{len(model.vocabulary)} kept terms are more than max_terms={max_terms}")
-    vocab = keep(kept.where("term <> '' "))
-    sums = keep(group_sums(model.transform(tokens)))
-    entries = sums.join(vocab, ["lang", "idx"])
-
-    v = vocab.groupBy("lang").agg(F.count("*").alias("v"))
-    n = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    docs = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
+    entries = keep(kept_terms(docs, min_df))
+    v = entries.groupBy("lang").agg(F.count_if("lead").alias("v"))
+    n = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # One row per group: the sources of the languages, not documents.
-    known = keep(groups.select("lang", "source").join(v, "lang", "left").join(n, ["lang", "source"], "left").select(
+    known = keep(docs.select("lang", "source").distinct().join(v, "lang", "left").join(n, ["lang", "source"], "left").select(
         "lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total")).withColumn(
         "gid", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")))
     held = known.groupBy("lang").agg(F.count("*").alias("sources"), F.max("v").alias("v"), F.sum("total").alias("lang_total"))
-    counted = entries.join(known.select("lang", "source", "gid", "total"), ["lang", "source"]).join(held, "lang").withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
-
-    spread = counted.groupBy("lang", "idx").agg(F.sum("n").alias("lang_n"))
-    by_term = (counted.join(spread, ["lang", "idx"]).withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
+    counted = entries.join(known.select("lang", "source", "gid", "total"), ["lang", "source"]).join(held, "lang").withColumn(
+        "p", share(F.col("n"), F.col("total"), F.col("v")))
+    by_term = (counted.withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("v")))
                .where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
                                                 F.expr("(p - q) * (p - q) div q").alias("value")))
 
-    # As many terms in a block as keep its shares within CELLS; terms are dealt by their place, which follows their frequency.
+    # As many terms in a block as keep its shares within CELLS; terms are dealt by hash.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("sources") / F.lit(CELLS)), F.least(F.lit(16), F.ceil(F.col("v") / 1000))).cast("int")
-    sized = vocab.join(held.select("lang", blocks.alias("blocks")), "lang").select("lang", F.expr("pmod(idx, blocks)").alias("block"))
-    sized = sized.groupBy("lang", "block").agg(F.count("*").alias("terms"))
+    block = F.expr("pmod(xxhash64(term), blocks)").alias("block")
+    sized = entries.where("lead").join(held.select("lang", blocks.alias("blocks")), "lang").select("lang", block).groupBy("lang", "block").agg(F.count("*").alias("terms"))
     zero = known.where("v > 0").withColumn("p", share(F.lit(0), F.col("total"), F.col("v")))
-    sources = sized.join(zero, "lang").select("lang", "block", F.lit(None).cast("int").alias("idx"), "gid", "p", "terms")
-    cells = counted.select("lang", blocks.alias("blocks"), "idx", "gid", "p").select(
-        "lang", F.expr("pmod(idx, blocks)").alias("block"), "idx", "gid", "p", F.lit(None).cast("long").alias("terms"))
+    sources = sized.join(zero, "lang").select("lang", "block", F.lit(None).cast("string").alias("term"), "gid", "p", "terms")
+    cells = counted.select("lang", blocks.alias("blocks"), "term", "gid", "p").select("lang", block, "term", "gid", "p", F.lit(None).cast("long").alias("terms"))
 
     def pairs(key, rows):
         out = _block_pairs(rows)
