@@ -9,6 +9,11 @@ back-pointers from the end gives the ids.  Two tokens are compatible when
 byte-pair merging of their joint text would not have merged across their
 border earlier than it built either of them.
 
+A task takes about a megabyte of texts at a time.  The distinct words among
+them that it does not remember are encoded together, position by position in
+numpy arrays; texts are then put together from their chunks.  A word of over
+``LONG`` bytes goes through the same search by itself.
+
 Supported files: kind BPE with end-of-word suffix, byte-level alphabet, no
 unknown token (``word_bpe_49k.json``).  The tables depend on the vocabulary
 alone, so their broadcast has a fixed size.
@@ -29,12 +34,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vectriage.llm.common import freeing, keyed_texts
+from vectriage.llm.common import freeing, keyed_texts, row_ranges, text_bytes
 
 # The pre-tokenisation pattern and the byte alphabet of this kind of file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = r"[\t-\r \x85\xa0  -     　]+"
-MEMORY = 100_000               # remembered words, chunks and pairs, each
+MEMORY = 100_000               # remembered words and chunks, each, before a range of texts adds its own
+LONG = 1024
+CELLS = 1 << 21                # positions of words encoded together
+NONE = 1 << 30
 
 
 def byte_alphabet() -> list[str]:
@@ -128,8 +136,28 @@ def build_tables(path: str) -> dict:
         parent = link[state]
         up[state] = parent if parent > 0 and token_of[parent] else (up[parent] if parent > 0 else 0)
     ends = [sorted(x.items(), reverse=True) for x in token_of]
-    return {"text": text, "special": special, "base": base, "merges": merges, "split": split, "edges": edges,
-            "link": link, "length": length, "ends": ends, "up": up, "pattern": WORD_PATTERN, "spaces": SPACES}
+    chains = [_suffix_tokens(state, ends, up) for state in range(len(edges))]
+    if max(base) >= first_rank:
+        raise ValueError("the tokens of single bytes must come before the merges")
+    steps = sorted((state << 9 | x, q) for state, e in enumerate(edges) for x, q in e.items())
+    pairs = sorted((x << 20 | y, whole) for (x, y), whole in merges.items())
+    halves = np.full((len(text), 2), -1, np.int64)
+    for whole, own in split.items():
+        halves[whole] = own
+    column = lambda rows, k: np.array([r[k] for r in rows], np.int64)
+    return {"text": text, "special": special, "pattern": WORD_PATTERN, "spaces": SPACES,
+            "step": column(steps, 0), "next": column(steps, 1), "link": np.array(link), "length": np.array(length),
+            "chain_at": np.cumsum([0, *map(len, chains)]), "chain_size": np.array([n for c in chains for n, _ in c]),
+            "chain_token": np.array([i for c in chains for _, i in c]), "pair": column(pairs, 0), "whole": column(pairs, 1), "halves": halves}
+
+
+def _suffix_tokens(state: int, ends: list, up: list) -> list[tuple[int, int]]:
+    """(size, token) of all tokens that end where a state does, longest first."""
+    out = []
+    while state:
+        out += ends[state]
+        state = up[state]
+    return out
 
 
 def _clone(edges, link, length, token_of, p, s, q) -> int:
@@ -146,71 +174,132 @@ def _clone(edges, link, length, token_of, p, s, q) -> int:
     return new
 
 
-def compatible(a: int, b: int, merges: dict, split: dict) -> bool:
-    """Whether merging the joint text of tokens a and b ends in exactly these two."""
-    limit = 1 << 30
-    while True:
-        whole = merges.get((a, b))
-        if whole is not None and whole < limit:
-            return False
-        if a > b:                          # a was built later: undo it first
-            limit = a
-            if a not in split:
-                return True if b not in split else compatible_left(a, b, limit, merges, split)
-            a = split[a][1]
-        else:
-            limit = b + 1
-            if b not in split:
-                if a not in split:
-                    return True
-                limit, a = a, split[a][1]
-            else:
-                b = split[b][0]
-
-
-def compatible_left(a: int, b: int, limit: int, merges: dict, split: dict) -> bool:
-    """The rest of the test when a is a single symbol: only b is taken apart."""
-    while b in split:
-        limit = b + 1
-        b = split[b][0]
-        whole = merges.get((a, b))
-        if whole is not None and whole < limit:
-            return False
-    return True
-
-
-def encode_word(word: bytes, t: dict) -> list[int]:
-    """Ids of one pre-token by last tokens of prefixes; answers on pairs and states are remembered within bounds."""
-    n = len(word)
-    edges, link, length = t["edges"], t["link"], t["length"]
-    chains, pairs = t.setdefault("chains", {}), t.setdefault("pairs", {})
-    last = [-1] * (n + 1)
-    back = [0] * (n + 1)
+def compatible(a: np.ndarray, b: np.ndarray, t: dict) -> np.ndarray:
+    """Whether merging the joint text of each pair of tokens (a, b) ends in exactly these two.
+
+    The two are taken apart, the one built later first; a merge across the border that comes before the pieces at hand
+    were built would have come first."""
+    a, b = a.copy(), b.copy()
+    out = np.ones(len(a), bool)
+    limit = np.full(len(a), NONE)
+    live = np.arange(len(a))
+    while len(live):
+        x, y = a[live], b[live]
+        at = np.minimum(np.searchsorted(t["pair"], x << 20 | y), len(t["pair"]) - 1)
+        across = (t["pair"][at] == x << 20 | y) & (t["whole"][at] < limit[live])
+        out[live[across]] = False
+        live, x, y = live[~across], x[~across], y[~across]
+        left = x > y                           # a was built later: undo it first
+        limit[live] = np.where(left, x, y + 1)
+        a[live] = np.where(left, t["halves"][x, 1], x)
+        b[live] = np.where(left, y, t["halves"][y, 0])
+        live = live[(a[live] >= 0) & (b[live] >= 0)]      # a single byte: nothing left to take apart
+    return out
+
+
+def encode_words(words: list[bytes], t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after another, offsets), by last tokens of prefixes; words of similar length go together."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(-size, kind="stable")
+    owner, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lo = 0
+    while lo < len(words):
+        longest = int(size[order[lo]])
+        hi = lo + 1 if longest > LONG else min(len(words), lo + max(1, CELLS // max(longest, 1)))
+        part = [words[k] for k in order[lo:hi].tolist()]
+        who, own = _long_word(part[0], t) if longest > LONG else _together(part, t)
+        owner.append(order[lo:hi][who])
+        ids.append(own)
+        lo = hi
+    owner, ids = np.concatenate(owner), np.concatenate(ids)
+    by = np.argsort(owner, kind="stable")
+    return ids[by].astype("<u4"), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+
+
+def _together(words: list[bytes], t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(word, id) in the order of the ids, of words in falling order of length: every step reads one more byte of all that have one."""
+    size = np.array([len(w) for w in words], np.int64)
+    n, longest = len(words), int(size[0]) if len(words) else 0
+    symbols = np.zeros((n, longest), np.int64)
+    symbols[np.arange(longest)[None, :] < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    symbols[np.flatnonzero(size), size[size > 0] - 1] += 256
+    last, back = np.full((n, longest + 1), -1, np.int64), np.zeros((n, longest + 1), np.int64)
+    state, have = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    step, follow, link, length = t["step"], t["next"], t["link"], t["length"]
+    for i in range(longest):
+        live = int(np.searchsorted(-size, -i, "left"))         # words of over i bytes
+        s, cur, held = symbols[:live, i], state[:live], have[:live]
+        todo = np.arange(live)
+        while len(todo):                       # follow suffix links until the byte can be read
+            key = cur[todo] << 9 | s[todo]
+            at = np.minimum(np.searchsorted(step, key), len(step) - 1)
+            hit = step[at] == key
+            cur[todo[hit]] = follow[at[hit]]
+            held[todo[hit]] += 1
+            todo = todo[~hit]
+            held[todo[cur[todo] == 0]] = 0
+            todo = todo[cur[todo] != 0]
+            cur[todo] = link[cur[todo]]
+            held[todo] = length[cur[todo]]
+        at, end = t["chain_at"][cur], t["chain_at"][cur + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):                       # tokens that end here, longest first
+            n_bytes, token = t["chain_size"][at[todo]], t["chain_token"][at[todo]]
+            fits = n_bytes <= held[todo]
+            start = i + 1 - n_bytes
+            before = last[todo, np.maximum(start, 0)]
+            ask = np.flatnonzero(fits & (start > 0))
+            fits[ask] = before[ask] >= 0
+            ask = ask[fits[ask]]
+            if len(ask):
+                pair, of = np.unique(before[ask] << 20 | token[ask], return_inverse=True)
+                fits[ask] = compatible(pair >> 20, pair & ((1 << 20) - 1), t)[of]
+            done = todo[fits]
+            last[done, i + 1], back[done, i + 1] = token[fits], start[fits]
+            todo = todo[~fits]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+    found, place = [], size.copy()
+    who = np.flatnonzero(place > 0)
+    while len(who):                            # the last token of the whole word, then of what is before it
+        found.append((who, last[who, place[who]]))
+        place[who] = back[who, place[who]]
+        who = who[place[who] > 0]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    who, ids = (np.concatenate(x) for x in zip(*found[::-1]))
+    return who, ids
+
+
+def _long_word(word: bytes, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_together`` for one long word: the same search with one state, over plain dictionaries; answers on pairs are remembered."""
+    if "steps" not in t:
+        t["steps"] = dict(zip(t["step"].tolist(), t["next"].tolist()))
+    steps, link, length, pairs = t["steps"], t["link"], t["length"], {}
+    chain_at, chain_size, chain_token = t["chain_at"], t["chain_size"], t["chain_token"]
+    n, chains = len(word), {}
+    last, back = [-1] * (n + 1), [0] * (n + 1)
     state, have = 0, 0
     for i in range(n):
         s = word[i] + 256 if i == n - 1 else word[i]
-        while state and s not in edges[state]:
-            state = link[state]
-            have = length[state]
-        if s in edges[state]:
-            state, have = edges[state][s], have + 1
+        while state and (state << 9 | s) not in steps:
+            state = int(link[state])
+            have = int(length[state])
+        if (state << 9 | s) in steps:
+            state, have = steps[state << 9 | s], have + 1
         chain = chains.get(state)
         if chain is None:
-            chain = chains[state] = suffix_tokens(state, t)
-        for size, token in chain:          # longest first
-            if size > have:
-                continue
+            a, b = chain_at[state], chain_at[state + 1]
+            chain = chains[state] = list(zip(chain_size[a:b].tolist(), chain_token[a:b].tolist()))
+        for size, token in chain:
             j = i + 1 - size
+            if size > have or j and last[j] < 0:
+                continue
             if j:
-                before = last[j]
-                if before < 0:
-                    continue
-                key = before << 20 | token
+                key = last[j] << 20 | token
                 fits = pairs.get(key)
                 if fits is None:
-                    if len(pairs) >= MEMORY:
-                        pairs.clear()
-                    fits = pairs[key] = compatible(before, token, t["merges"], t["split"])
+                    fits = pairs[key] = bool(compatible(np.array([last[j]]), np.array([token]), t)[0])
                 if not fits:
                     continue
             last[i + 1], back[i + 1] = token, j
@@ -219,16 +308,7 @@ def encode_word(word: bytes, t: dict) -> list[int]:
     while i:
         out.append(last[i])
         i = back[i]
-    return out[::-1]
-
-
-def suffix_tokens(state: int, t: dict) -> list[tuple[int, int]]:
-    """(size, token) of all tokens that end where a state does, longest first."""
-    out = []
-    while state:
-        out += t["ends"][state]
-        state = t["up"][state]
-    return out
+    return np.zeros(len(out), np.int64), np.array(out[::-1], np.int64)
 
 
 def lower_chars(text: str) -> str:
@@ -237,33 +317,32 @@ def lower_chars(text: str) -> str:
 
 
 class Codec:
-    """Encoder and decoder over broadcast tables; its memory of words is bounded and changes no result."""
+    """Encoder and decoder over broadcast tables; its memory of words and chunks is bounded and changes no result."""
 
     def __init__(self, tables: dict):
         self.t = tables
         self.find = regex.compile(tables["pattern"]).findall
         self.space = regex.compile(tables["spaces"]).sub
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in tables["special"]) + ")") if tables["special"] else None
-        self.memory, self.words = tables.setdefault("memory", {}), tables.setdefault("words", {})
-
-    def chunk(self, c: str) -> tuple[bytes, str, int]:
-        """(packed ids, decoded tokens joined by a space, count) of a stretch without white space."""
-        ids = []
-        for w in [c] if c.isalpha() else self.find(c):
-            own = self.words.get(w)
-            if own is None:
-                if len(self.words) >= MEMORY:
-                    self.words.clear()
-                own = encode_word(w.encode("utf-8"), self.t)
-                if len(w) <= 64:
-                    self.words[w] = own
-            ids += own
-        got = (np.array(ids, "<u4").tobytes(), " ".join([self.t["text"][i] for i in ids]), len(ids))
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        if len(c) <= 64:
-            self.memory[c] = got
-        return got
+        self.names = {s: (np.array([i], "<u4").tobytes(), s) for s, i in tables["special"].items()}
+        self.memory, self.words = {}, {}
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember (packed ids, decoded tokens joined by a space) of stretches without white space."""
+        own = {c: [c] if c.isalpha() else self.find(c) for c in chunks}
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        todo = list({w for ws in own.values() for w in ws if w not in self.words})
+        ids, at = encode_words([w.encode("utf-8") for w in todo], self.t)
+        packed, names, at = ids.tobytes(), [self.t["text"][i] for i in ids.tolist()], at.tolist()
+        for w, lo, hi in zip(todo, at, at[1:]):
+            self.words[w] = packed[4 * lo:4 * hi], " ".join(names[lo:hi])
+        for c, ws in own.items():
+            parts = [self.words[w] for w in ws]
+            self.memory[c] = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+        for w in todo:
+            if len(w) > 64:
+                del self.words[w]
 
     def chunks(self, part: str) -> list[str]:
         """Normalised text without white space; no pre-token crosses a border."""
@@ -271,23 +350,40 @@ class Codec:
             part = unicodedata.normalize("NFC", part)
         part = lower_chars(part)
         if any(c in part for c in "\x1c\x1d\x1e\x1f"):     # str.split() takes these for spaces, the library doesn't
-            return self.space(" ", part).split(" ")
+            return [c for c in self.space(" ", part).split(" ") if c]
         return part.split()
 
+    def pieces(self, text: str) -> list:
+        """The chunks of a text in order; special tokens as they are remembered."""
+        if not self.special or "<|" not in text:
+            return self.chunks(text)
+        out = []
+        for part in self.special.split(text):
+            out += [self.names[part]] if part in self.names else self.chunks(part)
+        return out
+
+    def many(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
+        """(count, packed ids, decoded text) of each text."""
+        memory = self.memory
+        if len(memory) > MEMORY:
+            memory.clear()
+        lists, seen = [self.pieces(t) for t in texts], set()
+        for own in lists:
+            seen.update(own)
+        new = [c for c in seen if type(c) is str and c not in memory]
+        self.learn(new)
+        out = []
+        for own in lists:
+            found = [c if type(c) is tuple else memory[c] for c in own]
+            ids = b"".join([x[0] for x in found])
+            out.append((len(ids) // 4, ids, " ".join([x[1] for x in found if x[0]])))
+        for c in new:
+            if len(c) > 64:
+                del memory[c]
+        return out
+
     def __call__(self, text: str) -> tuple[int, bytes, str]:
-        """(count, packed ids, decoded text)."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
-        found, get, chunk = [], self.memory.get, self.chunk
-        for part in parts:
-            if part in self.t["special"]:
-                found.append((np.array([self.t["special"][part]], "<u4").tobytes(), part, 1))
-            elif part:
-                found += [get(c) or chunk(c) for c in self.chunks(part)]
-        found = [x for x in found if x[2]]
-        if not found:
-            return 0, b"", ""
-        ids = b"".join([x[0] for x in found])
-        return len(ids) // 4, ids, " ".join([x[1] for x in found])
+        return self.many([text])[0]
 
 
 def decode(ids: np.ndarray, tables: dict) -> str:
@@ -311,18 +407,18 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool) -
 
     def run(batches):
         codec = Codec(shared.value)
-        names = {i: s for s, i in codec.t["special"].items()}
         for batch in batches:
-            counts, left, right = [], [], []
-            for text in batch.column("text"):
-                n, ids, decoded = codec(text.as_py() or "")
-                counts.append(n)
-                left.append(hashlib.sha256(ids).hexdigest() if digest else ids)
-                right.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digest else decoded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()),
-                 pa.array(left, pa.string() if digest else pa.binary()), pa.array(right, pa.string())],
-                names=["doc_id", "n_tokens", "a", "b"])
+            _, offsets = text_bytes(batch.column("text"))
+            for lo, hi in row_ranges(offsets):
+                counts, left, right = [], [], []
+                for n, ids, decoded in codec.many([t or "" for t in batch.column("text")[lo:hi].to_pylist()]):
+                    counts.append(n)
+                    left.append(hashlib.sha256(ids).hexdigest() if digest else ids)
+                    right.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digest else decoded)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[lo:hi], pa.array(counts, pa.int64()),
+                     pa.array(left, pa.string() if digest else pa.binary()), pa.array(right, pa.string())],
+                    names=["doc_id", "n_tokens", "a", "b"])
 
     kind = "string" if digest else "binary"
     out = keyed_texts(docs, id_col, text_col).mapInArrow(freeing(run), f"doc_id long, n_tokens long, a {kind}, b string")
