@@ -8,7 +8,11 @@ model tokens it expands to is added up.  Each turn is written as
     <|im_start|>role\\ncontent<|im_end|>\\n
 
 Control strings inside texts are escaped reversibly: every ``<``, run of
-backslashes, ``|`` gets one more backslash, so no text can hold ``<|``.
+backslashes, ``|`` gets one more backslash, so no text can hold ``<|``.  Text
+parts that follow one another are escaped as the one text they make.
+
+The loss mask of a turn is a list of code-point ranges of its segment: the text
+of the roles that are trained on, without placeholders and marks.
 
 Formatting is a map over turns.  Reading back streams each conversation in
 turn order through one task with the state of a hash, so memory does not
@@ -64,13 +68,32 @@ class PartVisitor:
         self.patch, self.rate, self.page_tokens = patch, rate, page_tokens
         self.out: list[str] = []
         self.attachments: list[dict] = []
+        self.texts: list[tuple[int, int]] = []      # code-point ranges of the escaped texts
+        self.size = 0
+        self._run: list[str] = []                   # text parts since the last placeholder
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
         getattr(self, f"visit_{kind}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self._run.append(part.get("text") or "")
+
+    def finish(self) -> str:
+        """The content: all parts so far."""
+        self._flush()
+        return "".join(self.out)
+
+    def _flush(self) -> None:
+        text = escape("".join(self._run))
+        self._run = []
+        if text:
+            self.texts.append((self.size, self.size + len(text)))
+            self._put(text)
+
+    def _put(self, text: str) -> None:
+        self.out.append(text)
+        self.size += len(text)
 
     def visit_image(self, part: dict) -> None:
         w, h = part.get("width") or 0, part.get("height") or 0
@@ -86,15 +109,16 @@ class PartVisitor:
         raise ValueError(f"unknown part type {part.get('type')!r}")
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._flush()
         place = len(self.attachments)
         self.attachments.append({"kind": kind, "place": place, "uri": part.get("uri"), "tokens": tokens})
-        self.out.append(f"<|{kind}:{place}|>")
+        self._put(f"<|{kind}:{place}|>")
 
 
 def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text", parts_col: str | None = None, patch: int = 28, rate: float = 25.0,
-                 page_tokens: int = 512) -> DataFrame:
-    """(conv_id, turn, segment, attachments, expanded_tokens): one formatted row per turn.
+                 page_tokens: int = 512, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, turn, segment, attachments, expanded_tokens, loss): one formatted row per turn; ``loss`` is its mask.
 
     ``parts_col`` names an ``array<PART_TYPE>`` column; without it the text column is the only part.
     """
@@ -109,21 +133,24 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     def run(batches):
         for batch in batches:
-            segments, attached, tokens = [], [], []
+            segments, attached, tokens, masks = [], [], [], []
             for role, content in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist()):
                 visitor = PartVisitor(patch, rate, page_tokens)
                 for part in content or []:
                     visitor.visit(part or {})
-                segments.append(f"{START}{escape_role(role)}\n{''.join(visitor.out)}{END}\n")
+                head = f"{START}{escape_role(role)}\n"
+                segments.append(f"{head}{visitor.finish()}{END}\n")
+                masks.append([{"start": len(head) + a, "end": len(head) + b} for a, b in visitor.texts] if role in loss_roles else [])
                 attached.append(visitor.attachments)
                 tokens.append(sum(a["tokens"] for a in visitor.attachments))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("place", pa.int32()), ("uri", pa.string()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv_id"), batch.column("turn"), pa.array(segments, pa.string()), pa.array(attached, kind),
-                 pa.array(tokens, pa.int64())], names=["conv_id", "turn", "segment", "attachments", "expanded_tokens"])
+                 pa.array(tokens, pa.int64()), pa.array(masks, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                names=["conv_id", "turn", "segment", "attachments", "expanded_tokens", "loss"])
 
     return slim.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, segment string, "
-                                f"attachments array<{ATTACHMENT_TYPE}>, expanded_tokens long")
+                                f"attachments array<{ATTACHMENT_TYPE}>, expanded_tokens long, loss array<struct<start:long,end:long>>")
 
 
 def parse_segment(segment: str) -> tuple[str, str]:
@@ -136,9 +163,9 @@ def parse_segment(segment: str) -> tuple[str, str]:
     return unescape_role(role), unescape(content)
 
 
-def read_back(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted turns: counts and digests of turns and of the text under the loss mask."""
-    slim = formatted.select("conv_id", "turn", "segment", "expanded_tokens")
+    slim = formatted.select("conv_id", "turn", "segment", "expanded_tokens", "loss")
     dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     kind = dict(slim.dtypes)["conv_id"]
 
@@ -151,8 +178,8 @@ def read_back(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
 
         for batch in batches:
             done = []
-            for conv, segment, tokens in zip(batch.column("conv_id").to_pylist(), batch.column("segment"),
-                                             batch.column("expanded_tokens").to_pylist()):
+            for conv, segment, tokens, mask in zip(batch.column("conv_id").to_pylist(), batch.column("segment"),
+                                                   batch.column("expanded_tokens").to_pylist(), batch.column("loss").to_pylist()):
                 if state is None or conv != open_id:
                     if state is not None:
                         done.append(closed())
@@ -164,9 +191,10 @@ def read_back(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
                 state["chars"] += len(segment)
                 state["tokens"] += tokens
                 state["turns"].update(f"{role}\n{content}\n".encode())
-                if role in loss_roles:
-                    state["loss_chars"] += len(content)
-                    state["loss"].update(content.encode())
+                for span in mask:
+                    text = unescape(segment[span["start"]:span["end"]])
+                    state["loss_chars"] += len(text)
+                    state["loss"].update(text.encode())
             yield _rows(done, batch.schema.field("conv_id").type)
             id_type = batch.schema.field("conv_id").type
         if state is not None:
