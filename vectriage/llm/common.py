@@ -154,6 +154,35 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def places(texts: DataFrame) -> DataFrame | None:
+    """(place, doc_id, mark) when an id of ``texts(doc_id, text)`` stands for several texts, else None.
+
+    Every (id, text) then has a place of its own, numbered in the order of the ids; ``mark`` is the text's fingerprint
+    (null is the empty text).  Rows without an id have none."""
+    marked = texts.where("doc_id is not null").select("doc_id", text_mark().alias("mark"))
+    if marked.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").isEmpty():
+        return None
+    ordered = marked.distinct().orderBy("doc_id", "mark").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
+    return keep(texts.sparkSession.createDataFrame(ordered, "place long, doc_id long, mark long"))
+
+
+def text_mark(text_col: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def placed(rows: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "_place") -> DataFrame:
+    """``rows`` with the place of their (id, text); null without an id."""
+    at = named.select(F.col("place").alias(name), F.col("doc_id").alias("_named_id"), F.col("mark").alias("_named_mark"))
+    return rows.join(at, (rows[id_col].cast("long") == at["_named_id"]) & (text_mark(text_col) == at["_named_mark"]), "left").drop("_named_id", "_named_mark")
+
+
+def hash_share(column: str, share: float):
+    """True for about ``share`` of the values, by their hash; shares below a millionth go by a second one."""
+    whole = min(1.0, share) * 1_000_000
+    first, second = F.pmod(F.xxhash64(column), F.lit(1_000_000)), F.pmod(F.xxhash64(F.lit("share"), column), F.lit(1 << 31))
+    return (first < int(whole)) | ((first == int(whole)) & (second < int((whole - int(whole)) * (1 << 31))))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, component), the component being its smallest node.
 
@@ -177,5 +206,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if before is not None and now[0] == before[0] and now[1] == before[1]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {limit} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

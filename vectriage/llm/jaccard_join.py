@@ -32,8 +32,9 @@ copies of a document are one row.
 Edge cases: null or empty texts, and texts without words, have an empty set
 and no links; a text with fewer than n words has its whole word sequence as
 its one n-gram; a row with a null id has no component and no links; repeated
-rows are copies of one another; other columns are not read; an empty table
-gives an empty result.
+rows are copies of one another; an id of several texts has a row's result for
+each text, linked by itself; other columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import U64, components, freeing, keep, keyed_texts, mix, packed, release, row_ranges, text_bytes, word_hashes
+from vectriage.llm.common import (U64, components, freeing, keep, keyed_texts, mix, packed, placed, places, release, row_ranges, text_bytes,
+                                  word_hashes)
 
 STEP = U64(0xD6E8FEB86659FD93)
 MANY = np.int64(-(1 << 63))
@@ -301,7 +303,20 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     sizes of buckets, chunks and blocks set the shape of the work, never
     results.
     """
-    texts = keyed_texts(docs, id_col, text_col)
+    texts, work = keyed_texts(docs, id_col, text_col), (n, num, den, share, bucket_grams, chunk_grams, slot_rows, block_rows, block_grams)
+    named = places(texts)
+    if named is None:
+        return _join(texts, *work)
+    # An id of several texts: every text is joined by itself, under its place.
+    found = _join(placed(texts, named, name="place").select(F.col("place").alias("doc_id"), "text"), *work)
+    for column in ("doc_id", "component_id", "class_id"):
+        found = found.join(named.select(F.col("place").alias(column), F.col("doc_id").alias(f"_{column}")), column, "left")
+    return found.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"), F.col("_class_id").alias("class_id"), "n_links")
+
+
+def _join(texts: DataFrame, n: int, num: int, den: int, share: int, bucket_grams: int, chunk_grams: int, slot_rows: int, block_rows: int,
+          block_grams: int) -> DataFrame:
+    """``jaccard_join`` of ``texts(doc_id, text)`` whose ids stand for one text each."""
     known = texts.where("doc_id is not null")
     bounds = Bounds(num, den, share)
     sizes = keep(set_sizes(texts, n))

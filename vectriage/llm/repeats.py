@@ -18,7 +18,8 @@ and of all its units (its context).
 3. ``covered``: the spans of both, merged for each document.
 
 Documents are ordered by id, windows by place.  Rows with a null id take no
-part; a repeated row is the same document again.
+part; a repeated row is the same document again; an id of several texts is as
+many documents, in the order of their texts' fingerprints.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import U64, ids_of, keep, mix, packed, row_ranges, text_bytes
+from vectriage.llm.common import U64, ids_of, keep, mix, packed, placed, places, row_ranges, text_bytes
 
 HOT_RUNS = 5_000
 
@@ -256,6 +257,16 @@ def window_table(doc: np.ndarray, start: np.ndarray, width: int) -> pa.Table:
 
 def covered(docs: DataFrame, units: Units, equal_windows: Callable[[pa.Table], pa.Table], bucket_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, text, spans) of every row of ``docs(doc_id, text)``: the units to remove, packed (start, end) pairs, null for none."""
+    named = places(docs)
+    if named is None:
+        return _covered(docs, units, equal_windows, bucket_bytes)
+    # An id of several texts: every text is a document of its own, in the order of the ids.
+    found = _covered(placed(docs, named, name="place").select(F.col("place").alias("doc_id"), "text"), units, equal_windows, bucket_bytes)
+    back = named.select(F.col("place").alias("doc_id"), F.col("doc_id").alias("_doc_id"))
+    return found.join(back, "doc_id", "left").select(F.col("_doc_id").alias("doc_id"), "text", "spans")
+
+
+def _covered(docs: DataFrame, units: Units, equal_windows: Callable[[pa.Table], pa.Table], bucket_bytes: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     size = known.select(F.sum(F.octet_length("text"))).first()[0] or 0
     settled = keep(by_document(find_runs(known, units, 1 + size // bucket_bytes)))
