@@ -25,6 +25,7 @@ from vectriage.llm.common import keep
 
 WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+MOST_STRATA = 50_000           # cutoffs of so many strata, under 5 MB, are broadcast
 # Candidate cutoffs of each rule, tested from all sides at once.
 CUTOFFS = {
     "symbol_share": [0.005, 0.01, 0.02, 0.05, 0.1, 0.2],
@@ -59,7 +60,7 @@ def repeat_words(words: Column, size: int = 3) -> Column:
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts of every whole text: (doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
+                       F.col(stratum_col).cast("string").alias("stratum"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spaced = F.col("text")
     for c in WHITE:
@@ -119,9 +120,12 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.04, delta: float =
     rated = with_rules(metrics)
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     cuts = certified_cutoffs(rated.where("not base_failed").join(good, "doc_id", "left_semi"), risk, delta)
+    # One row per stratum that has a certified cutoff: broadcast while these are few.
+    cuts = keep(cuts.withColumnRenamed("stratum", "_stratum"))
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_STRATA else cuts
     over = F.lit(False)
     for rule in CUTOFFS:
         over = over | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return (rated.join(cuts, "stratum", "left")
+    return (rated.join(cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
             .withColumn("kept", ~F.col("base_failed") & ~over)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
