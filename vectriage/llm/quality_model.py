@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import BYTE_CODE, LOWER, U64, Roller, freeing, keyed_texts, mix, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import BYTE_CODE, LOWER, U64, freeing, hash_share, keyed_texts, mix, Roller, row_ranges, text_bytes, word_bounds
 
 DIM = 512
 SHAPE_DIM = 256
@@ -179,9 +179,8 @@ def train(docs: DataFrame, train_rows: int = 12_000, id_col: str = "doc_id", tex
     patterns, counts = np.array([r.pattern for r in counted]), np.array([r.n for r in counted], float)
     low, accuracies = fit_votes(patterns, counts)
     by_pattern = dict(zip(patterns.tolist(), low.tolist()))
-    million = int(min(1.0, train_rows / counts.sum()) * 1_000_000)
     # Null or often repeated ids share one hash: without them, and with each id once, the choice stays bounded.
-    chosen = texts.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < million)).dropDuplicates(["doc_id"])
+    chosen = texts.where(F.col("doc_id").isNotNull() & hash_share("doc_id", train_rows / counts.sum())).dropDuplicates(["doc_id"])
     rows = _training(chosen).collect()
     if not rows:
         rows = _training(texts.limit(train_rows)).collect()

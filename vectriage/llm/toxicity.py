@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import BYTE_CODE, LOWER, Roller, U64, keep, keyed_texts, mix, row_ranges, text_bytes, word_bounds
+from vectriage.llm.common import BYTE_CODE, LOWER, U64, hash_share, keep, keyed_texts, mix, Roller, row_ranges, text_bytes, word_bounds
 
 # Insults and slurs of the built-in lexicon, and second-person words.
 INSULTS = (
@@ -180,7 +180,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.7, train
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(training_part(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     total = marked.count()
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, train_rows / max(total, 1)) * 1_000_000))
+    chosen = marked.where(hash_share("doc_id", train_rows / max(total, 1)))
     train = keep(texts.join(chosen, "doc_id"))
     seen = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     scored = features(texts, mined := mine_stems(train)) if len(seen) > 1 else texts
