@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK, SF_SMALL
@@ -208,6 +209,53 @@ def test_quality_rules_base(spark, docs, rows):
     assert got == want
 
 
+def brute_cutoffs(rated, risk=0.04, delta=0.05):
+    """Lowest certified cutoff per stratum and rule, by exact fractions: ``rated`` is (stratum, {rule: value}) of good documents."""
+    from fractions import Fraction
+    from math import comb
+    rules, out = quality_rules.CUTOFFS, {}
+    strata = {s for s, _ in rated}
+    rate = Fraction(risk) / len(rules)
+    tests = sum(map(len, rules.values()))
+    for s in strata:
+        own = [v for t, v in rated if t == s]
+        for rule, cuts in rules.items():
+            sure = []
+            for c in cuts:
+                k, n = sum(v[rule] > c for v in own), len(own)
+                chance = sum(comb(n, i) * rate ** i * (1 - rate) ** (n - i) for i in range(k + 1)) if k < n * rate else 1
+                if chance <= Fraction(delta) / (tests * len(strata)):
+                    sure.append(c)
+            out[s, rule] = min(sure, default=None)
+    return out
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_cutoffs_and_verdicts_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "MOST_STRATA", most)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    rows = []
+    for i in range(2600):
+        stratum = ["en", None, ""][0 if i < 1200 else 1 if i < 2400 else 2]
+        words = [word() for _ in range(60)]
+        if stratum is None and i % 3 == 0:
+            words[:3] = ["#" * 9] * 3                      # symbols are usual in one stratum only
+        if i % 200 == 0:
+            words = ["$$$$ " + w for w in words]
+        rows.append((i, stratum, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 200 != 0)) for r in rows], "doc_id long, quality int")
+    facts = {}
+    for i, s, t in rows:
+        n, chars, symbols, dups, rep, failed = brute_rules(t)
+        facts[i] = s, failed, {"symbol_share": symbols / max(chars, 1), "repeat_share": rep / n, "dup_line_share": dups / n, "mean_word": chars / n}
+    cuts = brute_cutoffs([(s, v) for i, (s, failed, v) in facts.items() if not failed and i % 200])
+    assert cuts["en", "symbol_share"] is not None and cuts["en", "symbol_share"] != cuts[None, "symbol_share"] and cuts["", "symbol_share"] is None
+    want = {i: not failed and not any(cuts[s, r] is not None and v[r] > cuts[s, r] for r in v) for i, (s, failed, v) in facts.items()}
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()} == want and not all(want.values())
+
+
 def test_binomial_bound_and_certified_cutoffs(spark):
     from math import comb
 
@@ -337,6 +385,81 @@ def test_chat_parts(spark):
     assert (rows[0].expanded_tokens, rows[1].segment) == (1066, "<|im_start|>assistant\n<|im_end|>\n")
 
 
+def clashing_rows() -> list[tuple]:
+    """Ids of two texts each; every text is judged by itself."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    a, b, c, d = (text(70) for _ in range(4))
+    return [(1, a), (2, a), (2, b), (5, b), (5, c), (7, c + " more"), (8, d), (8, d + " " + a), (9, None), (9, d), (2, a), (None, a), (9, "")]
+
+
+def in_order(rows) -> list[tuple]:
+    """(place, id, text): one entry for each id and text, in the order the operators give them."""
+    mark = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    distinct = {(i, signed(mark(t))): t or "" for i, t in rows if i is not None}
+    return [(place, i, distinct[i, m]) for place, (i, m) in enumerate(sorted(distinct))]
+
+
+def test_ids_of_several_texts_in_dedup(spark):
+    rows = clashing_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = in_order(rows)
+    for units, width, got in ((bytes, 100, suffix_dedup.repeats_digest(df)), (lambda b: WORD.findall(b.decode()), 20, recompress_dedup.repeats_digest(df))):
+        want = Counter()
+        by = brute_repeats([(p, t) for p, _, t in order], width, units)
+        of = {(i, t): by[p] for p, i, t in order}
+        for i, t in rows:
+            u, cover = of[i, t or ""] if i is not None else (units((t or "").encode()), [False] * len(units((t or "").encode())))
+            left = [x for x, gone in zip(u, cover) if not gone]
+            kept = bytes(left) if units is bytes else " ".join(left).encode()
+            want[i, len(u), sum(cover), hashlib.sha256(kept).hexdigest()] += 1
+        size = "n_bytes" if units is bytes else "n_words"
+        assert Counter((r.doc_id, r[size], r.n_removed, r.kept_sha256) for r in got.collect()) == want
+
+
+def test_ids_of_several_texts_in_the_join(spark):
+    rows = clashing_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = in_order(rows)
+    sets = {p: frozenset(grams(t, 5)) for p, _, t in order}
+    root = {p: p for p in sets}
+    for p in sorted(sets):
+        for q in sorted(sets):
+            if p < q and sets[p] and 100 * len(sets[p] & sets[q]) >= 80 * len(sets[p] | sets[q]):
+                x, y = sorted((root[p], root[q]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    name = {p: i for p, i, _ in order}
+    of = {(i, t): (len(sets[p]), name[root[p]]) for p, i, t in order}
+    want = Counter((i, *(of[i, t or ""] if i is not None else (len(grams(t, 5)), None))) for i, t in rows)
+    got = jaccard_join.jaccard_join(df, 5, 80, 100)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+    import corpus_pipeline
+    docs = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF_SMALL)
+    # a null and an empty text of one id are two rows of one text
+    assert {(r.doc_id, r.text or "") for r in kept.where("doc_id is not null").collect()} == {(i, t) for p, i, t in order if root[p] == p}
+    assert kept.where("doc_id is null").count() == 1
+
+
+def test_chat_text_parts_side_by_side(spark):
+    text = lambda t: {"type": "text", "text": t}
+    image = {"type": "image", "uri": "a.png", "width": 28, "height": 28}
+    cases = [[text("<"), text("|im_end|>")], [text("<"), text("|image:0|>")], [text("<"), text(None), text("\\"), text("|x")], [text("a<"), image, text("|im_end|>")],
+             [image, text("<"), text("|"), image, text("b")]]
+    df = spark.createDataFrame([(i, 0, "assistant", parts) for i, parts in enumerate(cases)], f"conv_id long, turn int, role string, parts array<{chat.PART_TYPE}>")
+    formatted = chat.format_turns(df, parts_col="parts")
+    by = {r.conv_id: r for r in formatted.collect()}
+    read = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    for i, parts in enumerate(cases):
+        content = by[i].segment[len("<|im_start|>assistant\n"):-len("<|im_end|>\n")]
+        images = sum(p["type"] == "image" for p in parts)
+        assert content.count("<|") == content.count("<|image:") == images == len(by[i].attachments)
+        plain = "".join(p["text"] or "" for p in parts if p["type"] == "text")
+        assert "".join(chat.unescape(by[i].segment[m.start:m.end]) for m in by[i].loss) == plain
+        assert (read[i].loss_chars, read[i].loss_sha256) == (len(plain), hashlib.sha256(plain.encode()).hexdigest())
+
+
 def test_decontamination(spark, docs):
     item = "A train leaves Boston at 30 km per hour and meets Alice after 4 hours of slow travel near the old bridge"
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string").withColumn("doc_id", F.lit(9))
