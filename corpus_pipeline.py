@@ -7,8 +7,8 @@ return the columns of ``documents``.
 Edge cases: nulls, empty texts and empty tables go through as the operators
 state.  Rows without an id cannot be told apart: the stages that compare
 documents for near copies leave them as they are.  Rows equal in id and text are
-copies of one document and leave one row; an id of several texts leaves one row
-for each, or none if its id is a near copy of a smaller one.  Columns beyond those of ``documents`` are carried along.
+copies of one document and leave one row; of an id of several texts each is a
+document of its own.  Columns beyond those of ``documents`` are carried along.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectriage.llm import bpe, decontam, jaccard_join, pii_crf, quality_model, queries
+from vectriage.llm import bpe, common, decontam, jaccard_join, pii_crf, quality_model, queries
 from vectriage.session import ensure_checkpoint_dir
 
 
@@ -27,10 +27,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of links of similarity 0.8 over five-word shingles."""
-    joined = jaccard_join.jaccard_join(docs, n=5, num=80, den=100)
-    dropped = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document, that of the smallest id, of each component of links of similarity 0.8 over five-word shingles.
+
+    Where an id stands for several texts, each of them is judged by itself."""
+    named = common.places(common.keyed_texts(docs))
+    keyed, key = (docs, "doc_id") if named is None else (common.placed(docs, named), "_place")
+    joined = jaccard_join.jaccard_join(keyed, n=5, num=80, den=100, id_col=key)
+    dropped = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    known = keyed.where("doc_id is not null").join(dropped, keyed[key].cast("long") == dropped["_dropped"], "left_anti").dropDuplicates(["doc_id", "text"])
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
