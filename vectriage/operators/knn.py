@@ -55,9 +55,11 @@ TILE_BYTES = 32 << 20
 
 
 def _vec_matrix(arr: pa.Array, dim: int) -> np.ndarray:
-    """list<float|double> Arrow column (no nulls, fixed width) -> float64 matrix."""
+    """list<float|double> Arrow column (no nulls, fixed width) -> float64 matrix; another width raises."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    if (np.diff(arr.offsets.to_numpy()) != dim).any():
+        raise ValueError(f"vectors that are not {dim} wide among the queries; pass dim to leave them out")
     values = arr.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(values, dtype=np.float64).reshape(len(arr), dim)
 
@@ -261,19 +263,32 @@ def _field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-def _prune(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    return (df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
-              .where(F.col("_vec").isNotNull() & (F.size("_vec") == dim)))
+def _prune(df: DataFrame, id_col: str, vec_col: str, dim: int | None) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")).where(F.col("_vec").isNotNull())
+    return rows.where(F.size("_vec") == dim) if dim else rows
 
 
-def query_width(queries: DataFrame, query_vec: str = "embedding") -> int:
-    """Width of the query vectors (0 when there is none).  Queries of
-    different widths raise: none may be left out without a word."""
-    low, high = queries.where(F.col(query_vec).isNotNull()).agg(
-        F.min(F.size(query_vec)), F.max(F.size(query_vec))).first()
-    if low != high:
-        raise ValueError(f"query vectors have widths from {low} to {high}; pass dim to choose one")
-    return int(low or 0)
+# Width up to which the first collect of the queries brings their vectors along.
+HEAD_WIDTH = 2048
+
+
+def _query_head(queries: DataFrame, id_col: str, vec_col: str, broadcast_bytes: int):
+    """(width, table): the width of the queries and, when they are all there, their (_id, _vec).
+
+    One bounded collect: at most ``broadcast_bytes`` of vectors, none of them wider than ``HEAD_WIDTH``.  Queries of
+    different widths among them raise (none may be left out without a word); further ones raise in the search."""
+    rows = max(1, broadcast_bytes // (8 * HEAD_WIDTH))
+    vec = F.col(vec_col)
+    head = (queries.where(vec.isNotNull())
+            .select(F.col(id_col).alias("_id"), F.size(vec).alias("_width"), F.when(F.size(vec) <= HEAD_WIDTH, vec).alias("_vec"))
+            .limit(rows + 1).toArrow())
+    widths = sorted(set(head.column("_width").to_pylist()))
+    if len(widths) > 1:
+        raise ValueError(f"query vectors have widths {widths}; pass dim to choose one")
+    if not widths:
+        return 0, None
+    whole = head.num_rows <= rows and widths[0] <= HEAD_WIDTH
+    return widths[0], head.select(["_id", "_vec"]) if whole else None
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", **opts) -> DataFrame:
@@ -293,12 +308,16 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                 base_id: str = "id", base_vec: str = "embedding",
                 query_id: str = "query_id", query_vec: str = "embedding",
                 strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                block_bytes: int = DEFAULT_BLOCK_BYTES, dim: int | None = None):
+                block_bytes: int = DEFAULT_BLOCK_BYTES, dim: int | None = None, within: float | None = None,
+                num_pivots: int | None = None):
     """``knn`` plus a proven upper bound on its row count (``None`` when the
     query side was too large to count up front): callers use it to decide
     whether the result may be broadcast into a join.  ``dim``, when the
     caller knows the vector width (an embedder's output), saves the job
-    that reads it from the first query."""
+    that reads it from the queries.  ``within`` keeps neighbours below that
+    distance only (of the k nearest); beyond ``broadcast_bytes`` of queries,
+    or with ``strategy='ring'``, the search then leaves out the pairs that
+    cannot be within it (``operators/ring.py``) instead of comparing all."""
     metric = metric.lower()
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -307,13 +326,21 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     spark = base.sparkSession
     qtype, btype = _field_type(queries, query_id), _field_type(base, base_id)
     schema = _out_schema(qtype, btype)
-    dim = dim or query_width(queries, query_vec)
+    if strategy not in ("auto", "broadcast", "block", "ring"):
+        raise ValueError("strategy must be 'auto', 'broadcast', 'block' or 'ring'")
+    if strategy == "ring" and within is None:
+        raise ValueError("strategy 'ring' needs the distance cut 'within'")
+    given, tbl = dim, None
+    if not dim:
+        dim, tbl = _query_head(queries, query_id, query_vec, broadcast_bytes if strategy in ("auto", "broadcast") else 8)
     cand, bound = None, 0
     if dim:
-        q = _prune(queries, query_id, query_vec, dim)
+        # a given width chooses among the queries; otherwise one of another width raises where it is read
+        q = _prune(queries, query_id, query_vec, given)
         b = _prune(base, base_id, base_vec, dim)
-        tbl = None
-        if strategy in ("auto", "broadcast"):
+        if strategy in ("block", "ring"):
+            tbl = None
+        elif tbl is None:
             # Bounded collect: at most cap + 1 rows ever reach the driver.
             cap = max(1, broadcast_bytes // (8 * dim))
             tbl = q.limit(cap + 1).toArrow()
@@ -321,13 +348,16 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                 if strategy == "broadcast":
                     raise ValueError("query matrix exceeds broadcast_bytes; use strategy='block'")
                 tbl = None
-        elif strategy != "block":
-            raise ValueError("strategy must be 'auto', 'broadcast' or 'block'")
         if tbl is not None:
             bound = tbl.num_rows * k
             if tbl.num_rows:
                 cand = _broadcast_candidates(spark, fit_scan_tasks(b, "_id"), tbl, k, metric, dim,
                                              qtype, btype, schema)
+        elif strategy == "ring" or (strategy == "auto" and within is not None and metric != "dot"):
+            from vectriage.operators.ring import ring_candidates
+            bound = None
+            cand = ring_candidates(b, q, k, within, metric, base_id="_id", base_vec="_vec", query_id="_id", query_vec="_vec",
+                                   block_bytes=block_bytes, num_pivots=num_pivots)
         else:
             bound = None
             cand = _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes)
@@ -337,7 +367,7 @@ def knn_bounded(base: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     res = (cand.withColumn("rank", F.row_number().over(w).cast("long"))
                .where(F.col("rank") <= k)
                .select("query_id", "neighbor_id", "rank", "distance"))
-    return res, bound
+    return (res if within is None else res.where(F.col("distance") < within)), bound
 
 
 # Largest top-k result (rows x ~48 bytes) we broadcast into a payload join.

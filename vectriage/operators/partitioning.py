@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def largest_input_bytes(df: DataFrame) -> int | None:
@@ -18,6 +18,11 @@ def largest_input_bytes(df: DataFrame) -> int | None:
     return None if est >= (1 << 62) else est
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` as Spark reads it (``16m``, ``1g``, a plain number)."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
     """Give a CPU-heavy map stage (Arrow kernels, embedders) at least the
     cluster's parallelism.
@@ -34,7 +39,7 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     target = min_partitions or spark.sparkContext.defaultParallelism
     if target <= 1:
         return df
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
+    split = split_bytes(spark)
     est = largest_input_bytes(df)
     if est is None or est > target * split:
         return df
@@ -49,7 +54,7 @@ def fit_scan_tasks(df: DataFrame, key: str | None = None, task_bytes: int = 1 <<
     proportional to the cluster, not to the number of file splits."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b") or 134217728)
+    split = split_bytes(spark)
     est = largest_input_bytes(df)
     if est is None:
         return df
