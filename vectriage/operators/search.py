@@ -64,8 +64,11 @@ def neighbors_bounded(base, queries, k, metric="cosine", *, id_col="ticket_id",
     """``neighbors`` plus the proven row bound of the result (or None)."""
     if index is not None:
         from vectriage.operators.ivf import ivf_search
-        return ivf_search(index, queries, k, fraction, query_id=query_id, query_vec=query_vec,
-                          metric=metric), None
+        within = knn_opts.pop("within", None)
+        if knn_opts:
+            raise ValueError(f"options of the exact search beside an index: {sorted(knn_opts)}")
+        res = ivf_search(index, queries, k, fraction, query_id=query_id, query_vec=query_vec, metric=metric)
+        return (res if within is None else res.where(F.col("distance") < within)), None
     return knn_bounded(base, queries, k, metric, base_id=id_col, base_vec=vec_col,
                        query_id=query_id, query_vec=query_vec, **knn_opts)
 
@@ -160,7 +163,7 @@ def duplicate_detection(base: DataFrame, queries: DataFrame, k: int = 10, max_di
     ``exclude_self`` drops the query's own row after top-k (when the
     queries are rows of the base)."""
     id_col = opts.get("id_col", "ticket_id")
-    res = search(base, queries, k, payload=list(payload), **opts)
+    res = search(base, queries, k, payload=list(payload), within=max_distance, **opts)
     if exclude_self:
         res = res.where(F.col(id_col) != F.col("query_id"))
     return (res.where(F.col("distance") < max_distance)

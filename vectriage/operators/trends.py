@@ -7,9 +7,10 @@ above the distance threshold are dropped, and pairs are grouped by the
 anchor's title.  Aggregates are partial per task; the list of similar
 titles is bounded to five per group by a window before it is collected.
 
-Every anchor searches the whole base, so exact search grows as recent x
-all; on a large table pass ``index=`` (an ``IVFIndex``) and ``fraction=``
-through ``**opts`` to search the index instead.
+With more anchors than fit a broadcast, the exact search compares an anchor
+only with the rows that can lie under the distance threshold
+(``operators/ring.py``); ``index=`` (an ``IVFIndex``) and ``fraction=`` through
+``**opts`` search an index instead.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def similar_pairs(base: DataFrame, as_of, days: int = 7, k: int = 10, max_distan
     anchors = recent(base, as_of, days)
     nn, bound = neighbors_bounded(base.select("ticket_id", "embedding"),
                                   anchors.select(F.col("ticket_id").alias("query_id"), "embedding"), k,
-                                  id_col="ticket_id", **opts)
+                                  id_col="ticket_id", within=max_distance, **opts)
     nn = nn.where((F.col("distance") < max_distance) & (F.col("neighbor_id") != F.col("query_id")))
     a = anchors.select(F.col("ticket_id").alias("query_id"), F.col("title").alias("anchor_title"),
                        F.col("created_at").alias("anchor_date"))
