@@ -1,27 +1,38 @@
-"""Inverted-file (IVF) vector index: k-means lists plus exact re-ranking.
+"""Inverted-file (IVF) vector index: lists around centroids plus exact re-ranking.
 
 Build
 -----
-``build_ivf`` fits Spark ML ``KMeans`` (or ``BisectingKMeans`` for the
-tree-shaped partitioner) on a bounded sample of the vectors (unit vectors
-for cosine) and assigns every base row a ``list_id`` map-side.  The index is two tables:
-``centroids(list_id, centroid)`` (``num_lists`` rows; the count is a
-parameter, so its size is bounded up front) and the base rows with their
-``list_id`` (written ``partitionBy('list_id')`` by ``save_ivf``).  The
-default number of lists is ``ceil(sqrt(N))``.
+``build_ivf`` learns the centroids in groups of bounded size, one task each:
+on a sample of ``train_per_list`` rows a list, chosen by the hash of their id
+(a documented bound; every row is indexed), and in two levels when there are
+many lists, so that each branch is clustered in its own group.  They stay a
+table of ``num_lists`` rows; callers may give their own (``centroids``).
+``method='tree'`` splits every branch over all rows, level by level, until no
+leaf has more than ``max_leaf_size`` rows.  For cosine, vectors and centroids
+have unit length, so the nearest centroid is the same by angle and by
+distance.  Every row goes to its nearest centroid (of its branch, for a tree)
+with its distance from it, map-side.
+
+The index is ``rows`` (written ``partitionBy('list_id')``), ``centroids`` and
+``lists`` (counted rows and radius of each list).
 
 Search
 ------
-Each query probes its ``ceil(fraction * num_lists)`` nearest centroids
-(a small exact knn against the centroid table).  Probes and base rows
-meet in a cogroup keyed by ``(list_id, block, query block)``: a list larger
-than ``max_block_rows`` is cut into hash blocks, one with more than
-``max_query_rows`` probes (counted) into query blocks, and each side is
-repeated per block of the other, so neither the rows nor the queries of a
-hot list land in one task whole.  Each group
-computes exact distances for its queries and keeps a top-k; the per-list
-candidates are merged with ``row_number() <= k``.  With ``fraction=1``
-every list is probed and the result equals the exact search.
+A task ranks the lists for its own queries; queries are not collected.  The
+probed list ids become a filter on the ``list_id`` folders (dynamic partition
+pruning), so only their files are read.  Probes and rows meet in a cogroup on
+``(list_id, block, query block)``: a list beyond ``max_block_rows`` rows (or
+``block_bytes`` by the vectors' width) is cut into hash blocks, one with more
+than ``max_query_rows`` probes into query blocks.  Candidates are merged with
+``row_number() <= k``.
+
+With a filter, its rows are counted per list and each query probes as many of
+its nearest lists as hold k of them in sum, at least ``fraction`` of all: one
+pass, whatever the fraction.
+
+``bound=True`` searches each query's nearest list first; the distance of its
+k-th row there then rules out, by the triangle inequality, every further list
+that lies beyond it by more than its radius.
 """
 
 from __future__ import annotations
@@ -36,11 +47,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectriage.functions.numeric import round_half_away
-from vectriage.operators.knn import (_Kernel, _arrow_schema, _field_type, _id_array, _id_dtype, _out_schema,
-                                     _to_batch, _vec_matrix, knn)
+from vectriage.operators.knn import (DEFAULT_BLOCK_BYTES, DEFAULT_BROADCAST_BYTES, _Kernel, _arrow_schema, _arrow_type, _field_type, _id_array,
+                                     _id_dtype, _out_schema, _to_batch, _vec_matrix, knn)
 
 DEFAULT_MAX_BLOCK_ROWS = 200_000
 DEFAULT_MAX_QUERY_ROWS = 20_000
+DEFAULT_TRAIN_PER_LIST = 256
+TRAIN_BYTES = 64 << 20          # vectors of one clustering group
+FLAT_LISTS = 64                 # more lists than this are learnt in two levels
+CENTROID_SCHEMA = T.StructType([T.StructField("list_id", T.LongType(), False),
+                                T.StructField("centroid", T.ArrayType(T.DoubleType()), False)])
 
 
 @dataclass
@@ -51,8 +67,9 @@ class IVFIndex:
     vec_col: str
     metric: str
     num_lists: int
-    sizes: DataFrame | None = None   # list_id, n_rows (estimated from the training sample)
+    sizes: DataFrame | None = None   # list_id, n_rows (counted), radius
     restricted: bool = False         # rows were cut down by a filter after the build
+    path: str | None = None          # the folder it was read from
 
 
 def restrict(index: IVFIndex, allowed: DataFrame) -> IVFIndex:
@@ -60,12 +77,7 @@ def restrict(index: IVFIndex, allowed: DataFrame) -> IVFIndex:
     pre-filtering for searches whose filter columns are not in the index."""
     rows = index.rows.join(allowed.select(index.id_col), index.id_col, "left_semi")
     return IVFIndex(index.centroids, rows, index.id_col, index.vec_col, index.metric, index.num_lists,
-                    None, True)
-
-
-def _unit(vec: str):
-    norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(F.col(vec), lambda x: x / norm)
+                    None, True, index.path)
 
 
 def _usable(vec: str, metric: str):
@@ -75,143 +87,437 @@ def _usable(vec: str, metric: str):
     return ok & F.exists(vec, lambda x: x != 0) if metric == "cosine" else ok
 
 
+def _points(mat: np.ndarray, metric: str) -> np.ndarray:
+    """The vectors as the lists see them: of unit length for cosine."""
+    if metric != "cosine":
+        return mat
+    return mat / np.sqrt(np.einsum("ij,ij->i", mat, mat))[:, None]
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(d, 0.0)
+
+
+def cluster(x: np.ndarray, k: int, metric: str, seed: int = 42, max_iter: int = 10) -> np.ndarray:
+    """Lloyd's k-means of one group of points: at most k distinct centroids, deterministic for the order of ``x``."""
+    rng = np.random.default_rng(seed)
+    distinct = np.unique(x, axis=0)
+    k = min(k, len(distinct))
+    c = distinct[rng.choice(len(distinct), k, replace=False)].copy()
+    for _ in range(max_iter):
+        near = np.concatenate([_squared(x[i:i + 8192], c).argmin(1) for i in range(0, len(x), 8192)])
+        count = np.bincount(near, minlength=k)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        fresh = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c)
+        if metric == "cosine":
+            size = np.sqrt(np.einsum("ij,ij->i", fresh, fresh))[:, None]
+            fresh = np.where(size > 0, fresh / np.where(size > 0, size, 1.0), c)
+        # A centroid without points moves to the point farthest from its own.
+        idle = np.flatnonzero(count == 0)
+        if len(idle):
+            gap = np.einsum("ij,ij->i", x - fresh[near], x - fresh[near])
+            fresh[idle] = x[np.argsort(-gap, kind="stable")[:len(idle)]]
+        if np.array_equal(fresh, c):
+            break
+        c = fresh
+    return np.unique(c, axis=0)
+
+
+def _hashed(id_col: str, seed: int):
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 62)).alias("_h")
+
+
+def _matrix_broadcast(centroids: DataFrame, limit: int = DEFAULT_BROADCAST_BYTES):
+    """(ids, matrix) of a centroid table on the driver, or None above ``limit`` bytes."""
+    first = centroids.first()
+    if first is None:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    dim = len(first["centroid"])
+    cap = max(1, limit // (8 * dim))
+    tbl = centroids.select("list_id", "centroid").limit(cap + 1).toArrow()
+    if tbl.num_rows > cap:
+        return None
+    ids = tbl.column("list_id").to_numpy()
+    order = np.argsort(ids)
+    return ids[order], _vec_matrix(tbl.column("centroid"), dim)[order]
+
+
+def _fit_groups(points: DataFrame, metric: str, seed: int, max_iter: int) -> DataFrame:
+    """``points(branch, leaves, _h, _vec)``: centroids (branch, centroid) of each branch, clustered in its own group."""
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("_h").to_numpy(), kind="stable")
+        mat = _vec_matrix(t.column("_vec"), len(t.column("_vec")[0].as_py()))[order]
+        c = cluster(_points(mat, metric), int(t.column("leaves")[0].as_py()), metric, seed, max_iter)
+        return pa.table({"branch": pa.array([t.column("branch")[0].as_py()] * len(c), pa.int64()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+    return points.groupBy("branch").applyInArrow(run, "branch long, centroid array<double>")
+
+
+def _numbered(centroids: DataFrame) -> DataFrame:
+    """List ids 0, 1, ... in a fixed order; a table of lists, not of rows."""
+    order = Window.orderBy("branch", "centroid")
+    return centroids.select((F.row_number().over(order) - 1).cast("long").alias("list_id"), "centroid")
+
+
+def assign_nearest(rows: DataFrame, centroids: DataFrame, id_col: str, vec_col: str, metric: str) -> DataFrame:
+    """(<id>, list_id, <vec>, centroid_distance) of usable rows: the nearest centroid, ties to the smaller id.
+
+    Map-side with the centroids broadcast while they fit ``DEFAULT_BROADCAST_BYTES``; beyond that by the blocked exact search."""
+    rows = rows.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(_usable(vec_col, metric))
+    known = _matrix_broadcast(centroids)
+    if known is None:
+        near = knn(centroids.select("list_id", F.col("centroid").alias("embedding")), rows.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("embedding")),
+                   1, "cosine" if metric == "cosine" else "euclidean", base_id="list_id", strategy="block")
+        near = near.select(F.col("query_id").alias(id_col), F.col("neighbor_id").alias("list_id"),
+                           (F.sqrt(2 * F.col("distance")) if metric == "cosine" else F.col("distance")).alias("centroid_distance"))
+        return rows.join(near, id_col).select(id_col, "list_id", vec_col, "centroid_distance")
+    ids, mat = known
+    shared = rows.sparkSession.sparkContext.broadcast((ids, mat))
+    kind = "cosine" if metric == "cosine" else "euclidean"
+
+    def run(batches):
+        ids_, mat_ = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # queries of the kernel are the rows, its base the centroids
+            kern = _Kernel(_vec_matrix(batch.column(vec_col), mat_.shape[1]), kind, 1, np.int64)
+            kern.add(ids_, mat_)
+            qrow, near, dist, _ = kern.result()
+            gap = np.sqrt(2.0 * dist) if kind == "cosine" else dist
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(qrow)), pa.array(near), batch.column(vec_col).take(pa.array(qrow)), pa.array(gap)],
+                                             names=[id_col, "list_id", vec_col, "centroid_distance"])
+
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, list_id long, `{vec_col}` array<double>, centroid_distance double"
+    return rows.mapInArrow(run, schema)
+
+
+def learn_centroids(rows: DataFrame, id_col: str, vec_col: str, metric: str, num_lists: int, n: int, seed: int = 42, max_iter: int = 10,
+                    train_per_list: int = DEFAULT_TRAIN_PER_LIST) -> DataFrame:
+    """(list_id, centroid): ``num_lists`` centroids at most, learnt on samples by the hash of the id.
+
+    One group up to ``FLAT_LISTS`` lists; beyond, the first level's branches are clustered each in a group of its own,
+    with lists in proportion to its rows.  No group holds more than about ``TRAIN_BYTES`` of vectors."""
+    dim = len(rows.select(vec_col).first()[0])
+    most = max(256, TRAIN_BYTES // (8 * dim))
+
+    def sample(df, wanted, total):
+        share = min(1.0, wanted / max(total, 1))
+        return df.where(F.col("_h") <= F.lit(int(share * (1 << 62))))
+
+    points = rows.select(_hashed(id_col, seed), F.col(vec_col).alias("_vec"))
+    top = num_lists if num_lists <= FLAT_LISTS else math.ceil(math.sqrt(num_lists))
+    first = sample(points, min(most, train_per_list * top), n).select(F.lit(0).cast("long").alias("branch"), F.lit(top).cast("long").alias("leaves"), "_h", "_vec")
+    level = _numbered(_fit_groups(first, metric, seed, max_iter))
+    if top == num_lists:
+        return level
+    train = sample(points, train_per_list * num_lists, n).withColumn("_id", F.monotonically_increasing_id())
+    branched = assign_nearest(train.select(F.struct("_h").alias("_id"), "_vec"), level, "_id", "_vec", metric).select(
+        F.col("list_id").alias("branch"), F.col("_id._h").alias("_h"), "_vec")
+    from vectriage.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
+    branched = branched.checkpoint()
+    sizes = branched.groupBy("branch").agg(F.count(F.lit(1)).alias("_n"))
+    whole = sizes.agg(F.sum("_n").alias("_all"))
+    # one row per branch, at most ceil(sqrt(num_lists)) of them
+    plan = F.broadcast(sizes.join(whole).select("branch", F.greatest(F.lit(1), F.round(F.col("_n") * num_lists / F.col("_all"))).cast("long").alias("leaves"),
+                                                F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")).alias("_share")))
+    chosen = branched.join(plan, "branch").where(F.rand(seed) < F.lit(2.0)) if False else branched.join(plan, "branch")
+    span = min(1.0, train_per_list * num_lists / max(n, 1)) * (1 << 62)
+    chosen = chosen.where(F.col("_h") <= F.col("_share") * F.lit(span)).select("branch", "leaves", "_h", "_vec")
+    return _numbered(_fit_groups(chosen, metric, seed, max_iter))
+
+
+def _split_leaves(points: np.ndarray, limit: int, metric: str, seed: int) -> np.ndarray:
+    """Leaf numbers of the points of one group, by bisection until no leaf has over ``limit``; equal points are cut by order."""
+    leaf = np.zeros(len(points), np.int64)
+    todo, done = [np.arange(len(points))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) <= limit:
+            leaf[part], done = done, done + 1
+            continue
+        c = cluster(points[part], 2, metric, seed)
+        side = _squared(points[part], c).argmin(1) if len(c) == 2 else np.zeros(len(part), np.int64)
+        halves = [part[side == 0], part[side == 1]]
+        if not all(map(len, halves)):
+            halves = [part[:len(part) // 2], part[len(part) // 2:]]
+        todo += halves[::-1]
+    return leaf
+
+
+def tree_rows(rows: DataFrame, id_col: str, vec_col: str, metric: str, max_leaf_size: int, seed: int = 42, max_iter: int = 10,
+              fanout: int = 16, group_rows: int | None = None) -> DataFrame:
+    """(<id>, _path, <vec>): the leaf of every row, no leaf above ``max_leaf_size`` rows.
+
+    Level by level: a branch too large for one group is split ``fanout`` ways around centroids learnt on its rows of the
+    smallest id hashes; one that fits a group is bisected to its leaves there."""
+    from vectriage.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
+    dim = len(rows.select(vec_col).first()[0])
+    group = group_rows or max(max_leaf_size, TRAIN_BYTES // (8 * dim))
+    id_type = rows.schema[id_col].dataType.simpleString()
+    level = rows.select(id_col, vec_col, _hashed(id_col, seed), F.lit("").alias("_path"))
+    depth = 0
+    while True:
+        sizes = level.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
+        big = sizes.where(F.col("_n") > group)
+        if big.isEmpty():
+            break
+        large = level.join(F.broadcast(big), "_path")
+        learn = large.where(F.col("_h") <= F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(float(group) / 2) / F.col("_n")))
+        ids = F.xxhash64("_path").alias("branch")
+        cents = _fit_groups(learn.select(ids, F.lit(fanout).cast("long").alias("leaves"), "_h", F.col(vec_col).alias("_vec")), metric, seed + depth, max_iter).checkpoint()
+        salts = F.ceil(F.col("_n") / F.lit(group)).cast("long")
+        dealt = large.select(ids, F.pmod(F.xxhash64(id_col), salts).alias("_salt"), id_col, vec_col, "_h", "_path")
+        copies = cents.join(F.broadcast(big.select(F.xxhash64("_path").alias("branch"), salts.alias("_salts"))), "branch").select(
+            "branch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"), "centroid")
+
+        def place(pts: pa.Table, cen: pa.Table) -> pa.Table:
+            c = _vec_matrix(cen.column("centroid"), dim)
+            c = c[np.lexsort(c.T[::-1])]
+            x = _points(_vec_matrix(pts.column(vec_col), dim), metric)
+            near = _squared(x, c).argmin(1)
+            if len(c) < 2:                      # equal points: by hash
+                near = pts.column("_h").to_numpy() % fanout
+            path = pa.array([f"{p}{chr(97 + int(b))}" for p, b in zip(pts.column("_path").to_pylist(), near)], pa.string())
+            return pa.table({id_col: pts.column(id_col), vec_col: pts.column(vec_col), "_h": pts.column("_h"), "_path": path})
+
+        schema = f"`{id_col}` {id_type}, `{vec_col}` array<double>, _h long, _path string"
+        split = dealt.groupBy("branch", "_salt").cogroup(copies.groupBy("branch", "_salt")).applyInArrow(place, schema)
+        level = level.join(F.broadcast(big), "_path", "left_anti").select(id_col, vec_col, "_h", "_path").unionByName(split).checkpoint()
+        depth += 1
+
+    def finish(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("_h").to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        leaf = _split_leaves(_points(_vec_matrix(t.column(vec_col), dim), metric), max_leaf_size, metric, seed)
+        path = pa.array([f"{p}/{n:09d}" for p, n in zip(t.column("_path").to_pylist(), leaf.tolist())], pa.string())
+        return pa.table({id_col: t.column(id_col), vec_col: t.column(vec_col), "_path": path})
+
+    return level.groupBy("_path").applyInArrow(finish, f"`{id_col}` {id_type}, `{vec_col}` array<double>, _path string")
+
+
+def _tree(rows: DataFrame, id_col: str, vec_col: str, metric: str, max_leaf_size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(centroids, rows with list_id and centroid_distance) of a tree."""
+    leaves = tree_rows(rows, id_col, vec_col, metric, max_leaf_size, seed).checkpoint()
+
+    def mean(t: pa.Table) -> pa.Table:          # a leaf has at most max_leaf_size rows
+        x = _points(_vec_matrix(t.column(vec_col), len(t.column(vec_col)[0].as_py())), metric)
+        c = x[np.lexsort(x.T[::-1])].mean(0)
+        size = float(np.sqrt(c @ c))
+        c = c / size if metric == "cosine" and size > 0 else c
+        gap = np.sqrt(np.einsum("ij,ij->i", x - c, x - c))
+        n = t.num_rows
+        return pa.table({id_col: t.column(id_col), vec_col: t.column(vec_col), "_path": t.column("_path"),
+                         "centroid": pa.array([c.tolist()] * n, pa.list_(pa.float64())), "centroid_distance": pa.array(gap)})
+
+    schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, `{vec_col}` array<double>, _path string, centroid array<double>, centroid_distance double"
+    placed = leaves.groupBy("_path").applyInArrow(mean, schema).checkpoint()
+    # one row per leaf
+    lists = placed.groupBy("_path").agg(F.first("centroid").alias("centroid")).select(
+        (F.row_number().over(Window.orderBy("_path")) - 1).cast("long").alias("list_id"), "_path", "centroid")
+    return lists.select("list_id", "centroid"), placed.drop("centroid").join(lists.select("_path", "list_id"), "_path").select(
+        id_col, "list_id", vec_col, "centroid_distance")
+
+
 def build_ivf(base: DataFrame, id_col: str = "id", vec_col: str = "embedding", num_lists: int | None = None,
               metric: str = "cosine", method: str = "kmeans", max_leaf_size: int = 100, seed: int = 42,
-              max_iter: int = 10, train_per_list: int | None = None) -> IVFIndex:
-    """Fit the lists and assign every row with a vector to one of them.
-
-    The clustering is fitted on all usable vectors, persisted for the
-    k-means passes; every row is then assigned by a map-only ``transform``.
-    A caller who wants a cheaper fit names ``train_per_list``: about that
-    many rows per list are then chosen by the hash of the id, so the choice
-    does not depend on partitioning.
-    """
-    from pyspark import StorageLevel
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
-    from pyspark.ml.functions import array_to_vector
+              max_iter: int = 10, train_per_list: int | None = None, centroids: DataFrame | None = None) -> IVFIndex:
+    """Learn the lists and assign every row with a usable vector to one of them.
 
+    ``centroids(list_id, centroid)`` takes the caller's lists instead.  The number of lists is ``num_lists`` or, by default,
+    ``ceil(sqrt(rows))``; a tree has as many as its leaves.  ``train_per_list`` (256) rows a list, chosen by the hash of
+    their id, learn the centroids; rows that cannot be searched (null, not finite, zero for cosine) are in no list.
+    """
+    from vectriage.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(base.sparkSession)
+    metric = metric.lower()
     rows = base.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col)).where(_usable(vec_col, metric))
-    feats = rows.withColumn("features", array_to_vector(_unit(vec_col) if metric == "cosine" else F.col(vec_col)))
-    n = rows.count()
-    if n == 0:
-        raise ValueError("no vectors to index")
-    if method == "kmeans":
+    if centroids is not None:
+        length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x))
+        unit = F.transform("centroid", lambda x: x / length) if metric == "cosine" else F.col("centroid")
+        cents = centroids.select(F.col("list_id").cast("long").alias("list_id"), F.col("centroid").cast("array<double>").alias("centroid"))
+        cents = cents.select("list_id", unit.alias("centroid")).checkpoint()
+        assigned = assign_nearest(rows, cents, id_col, vec_col, metric)
+    elif method == "kmeans":
+        n = rows.count()
+        if n == 0:
+            raise ValueError("no vectors to index")
         k = min(num_lists or max(1, math.ceil(math.sqrt(n))), n)
+        cents = learn_centroids(rows, id_col, vec_col, metric, k, n, seed, max_iter, train_per_list or DEFAULT_TRAIN_PER_LIST).checkpoint()
+        assigned = assign_nearest(rows, cents, id_col, vec_col, metric)
     elif method == "tree":
-        k = min(num_lists or max(1, math.ceil(n / max_leaf_size)), n)
+        if rows.isEmpty():
+            raise ValueError("no vectors to index")
+        cents, assigned = _tree(rows, id_col, vec_col, metric, max_leaf_size, seed)
+        cents = cents.checkpoint()
     else:
         raise ValueError("method must be 'kmeans' or 'tree'")
-    train = feats
-    if train_per_list is not None:
-        buckets = 1 << 20
-        share = math.ceil(min(1.0, train_per_list * k / n) * buckets)
-        train = feats.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(buckets)) < share)
-    # k-means reads its input once per iteration: keep the training rows,
-    # memory then disk; lost blocks are recomputed.
-    train = train.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if method == "kmeans":
-            est = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id")
-        else:
-            est = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                                  predictionCol="list_id", minDivisibleClusterSize=float(max_leaf_size))
-        model = est.fit(train)
-        train_sizes = list(model.summary.clusterSizes) if model.hasSummary else None
-    finally:
-        train.unpersist()
-    centers = model.clusterCenters()
-    spark = base.sparkSession
-    centroids = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(centers)],
-        T.StructType([T.StructField("list_id", T.LongType(), False),
-                      T.StructField("centroid", T.ArrayType(T.DoubleType()), False)]))
-    assigned = (model.transform(feats)
-                .select(id_col, F.col("list_id").cast("long").alias("list_id"), vec_col))
-    sizes = None
-    if train_sizes and sum(train_sizes) > 0:
-        # list sizes of the training rows, scaled where these are a choice: no extra pass over the table
-        scale = n / sum(train_sizes)
-        sizes = spark.createDataFrame([(i, int(math.ceil(c * scale))) for i, c in enumerate(train_sizes)],
-                                      "list_id long, n_rows long")
-    return IVFIndex(centroids, assigned, id_col, vec_col, metric, len(centers), sizes)
+    return IVFIndex(cents, assigned, id_col, vec_col, metric, cents.count())
 
 
-def save_ivf(index: IVFIndex, path: str, rows_per_file: int = 1_000_000) -> None:
-    """Write ``{path}/rows`` partitioned by list_id and ``{path}/centroids``.
+def list_table(rows: DataFrame) -> DataFrame:
+    """(list_id, n_rows, radius): counted rows and the largest distance from the centroid."""
+    radius = F.max("centroid_distance") if "centroid_distance" in rows.columns else F.lit(None).cast("double")
+    return rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"), radius.alias("radius"))
 
-    Rows are shuffled on (list_id, salt) before the write, so each list
-    lands in a few files instead of one file per list per input task; the
-    salt splits a large list over ``ceil(size / rows_per_file)`` writers.
-    """
-    known = index.sizes if index.sizes is not None else list_sizes(index)
+
+def save_ivf(index: IVFIndex, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write ``{path}/rows`` partitioned by list_id, ``{path}/centroids`` and ``{path}/lists``.
+
+    Rows are shuffled on (list_id, salt) before the write, so each list lands in a few files instead of one file per
+    list per input task; the salt splits a large list over ``ceil(size / rows_per_file)`` writers."""
+    from vectriage.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(index.rows.sparkSession)
+    rows = index.rows if index.path else index.rows.checkpoint()     # counted, then written: assigned once
+    known = list_table(rows)
     sizes = F.broadcast(known.select(
         "list_id", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_file))).alias("_salts")))
-    (index.rows.join(sizes, "list_id")
-          .withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_salts")))
-          .repartition("list_id", "_salt").drop("_salt", "_salts")
-          .write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows"))
+    (rows.join(sizes, "list_id")
+         .withColumn("_salt", F.pmod(F.xxhash64(index.id_col), F.col("_salts")))
+         .repartition("list_id", "_salt").drop("_salt", "_salts")
+         .write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/rows"))
     index.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
     known.coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
 
 
 def load_ivf(spark, path: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine") -> IVFIndex:
     cents = spark.read.parquet(f"{path}/centroids")
-    # the partition column comes back with an inferred type: pin it
-    rows = spark.read.parquet(f"{path}/rows").withColumn("list_id", F.col("list_id").cast("long"))
+    files = spark.read.parquet(f"{path}/rows")
+    # the partition column would come back with an inferred type, and a cast hides it from partition pruning: name it
+    schema = T.StructType([f for f in files.schema.fields if f.name != "list_id"] + [T.StructField("list_id", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
     sizes = spark.read.parquet(f"{path}/lists")
-    return IVFIndex(cents, rows, id_col, vec_col, metric, cents.count(), sizes)
+    return IVFIndex(cents, rows, id_col, vec_col, metric, cents.count(), sizes, path=path)
 
 
 def assign_lists(index: IVFIndex, new_rows: DataFrame) -> DataFrame:
-    """List ids for appended rows from the stored centroids (no refit)."""
-    q = new_rows.select(F.col(index.id_col).alias("query_id"), F.col(index.vec_col).alias("embedding"))
-    near = knn(index.centroids.select("list_id", F.col("centroid").alias("embedding")), q, 1,
-               "euclidean" if index.metric != "cosine" else "cosine", base_id="list_id")
-    return (new_rows.join(near.select(F.col("query_id").alias(index.id_col), F.col("neighbor_id").alias("list_id")),
-                          index.id_col)
-                    .select(index.id_col, "list_id", index.vec_col))
+    """List ids for appended rows from the stored centroids (no refit).  Rows that cannot be searched keep a null list."""
+    near = assign_nearest(new_rows, index.centroids, index.id_col, index.vec_col, index.metric).select(index.id_col, "list_id")
+    return new_rows.join(near, index.id_col, "left").select(index.id_col, "list_id", index.vec_col)
 
 
 def list_sizes(index: IVFIndex) -> DataFrame:
     return index.rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def probe_lists(index: IVFIndex, queries: DataFrame, nprobe: int, metric: str, k: int = 0, counts: dict[int, int] | None = None) -> DataFrame:
+    """(query_id, neighbor_id: the list, rank, gap) of ``queries(query_id, _vec)``: the ``nprobe`` nearest lists by ``metric``.
+
+    ``counts`` (rows of each list that a search may return) sends a query on to as many of its nearest lists as hold ``k`` rows,
+    and leaves lists without rows out.  ``gap`` is the distance from the centroid (null for dot products).  The centroids are
+    broadcast while they fit ``DEFAULT_BROADCAST_BYTES``; beyond that the lists are found by the blocked exact search."""
+    known = _matrix_broadcast(index.centroids)
+    qtype = _field_type(queries, "query_id")
+    if known is None:
+        near = knn(index.centroids.select("list_id", F.col("centroid").alias("embedding")), queries.select("query_id", F.col("_vec").alias("embedding")),
+                   index.num_lists if counts is not None else nprobe, metric, base_id="list_id", strategy="block")
+        gap = F.sqrt(2 * F.col("distance")) if metric == "cosine" else F.col("distance") if metric == "euclidean" else F.lit(None).cast("double")
+        near = near.withColumn("gap", gap)
+        if counts is None:
+            return near.select("query_id", "neighbor_id", "rank", "gap")
+        held = F.broadcast(queries.sparkSession.createDataFrame(list(counts.items()), "neighbor_id long, _n long"))     # num_lists rows
+        before = F.sum("_n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        near = near.join(held, "neighbor_id").withColumn("_before", F.coalesce(before, F.lit(0)))
+        return near.where((F.col("rank") <= nprobe) | (F.col("_before") < k)).select("query_id", "neighbor_id", "rank", "gap")
+    ids, mat = known
+    held = None if counts is None else np.array([counts.get(int(i), 0) for i in ids], np.int64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, mat, held))
+    schema = T.StructType([T.StructField("query_id", qtype), T.StructField("neighbor_id", T.LongType()), T.StructField("rank", T.LongType()),
+                           T.StructField("gap", T.DoubleType())])
+
+    def run(batches):
+        ids_, mat_, held_ = shared.value
+        place = {int(i): p for p, i in enumerate(ids_)}
+        for batch in batches:
+            if not batch.num_rows or not len(ids_):
+                continue
+            q = batch.column("_vec")
+            if (np.diff(q.offsets.to_numpy()) != mat_.shape[1]).any():
+                raise ValueError(f"query vectors are not {mat_.shape[1]} wide")
+            kern = _Kernel(_vec_matrix(q, mat_.shape[1]), metric, len(ids_) if held_ is not None else nprobe, np.int64)
+            kern.add(ids_, mat_)
+            qrow, near, dist, _ = kern.result()
+            start = np.searchsorted(qrow, qrow)
+            rank = np.arange(len(qrow)) - start + 1
+            keep = np.ones(len(qrow), bool)
+            if held_ is not None:
+                n = held_[[place[int(i)] for i in near]] if len(near) else np.zeros(0, np.int64)
+                total = np.r_[0, np.cumsum(n)]
+                keep = ((rank <= nprobe) | (total[:-1] - total[start] < k)) & (n > 0)
+            gap = pa.array(np.sqrt(2.0 * dist) if metric == "cosine" else dist) if metric != "dot" else pa.nulls(len(dist), pa.float64())
+            out = pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(qrow)), pa.array(near), pa.array(rank.astype(np.int64)), gap],
+                                             names=["query_id", "neighbor_id", "rank", "gap"])
+            yield out.filter(pa.array(keep))
+
+    return queries.select("query_id", "_vec").mapInArrow(run, schema)
+
+
 def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float = 0.1, *,
                query_id: str = "query_id", query_vec: str = "embedding", metric: str | None = None,
-               max_block_rows: int = DEFAULT_MAX_BLOCK_ROWS, max_query_rows: int = DEFAULT_MAX_QUERY_ROWS,
-               filters=None, widen: bool = True) -> DataFrame:
+               max_block_rows: int | None = None, max_query_rows: int = DEFAULT_MAX_QUERY_ROWS, block_bytes: int = DEFAULT_BLOCK_BYTES,
+               filters=None, widen: bool = True, bound: bool = False) -> DataFrame:
     """Approximate top-k (exact distances within the probed lists).
 
-    Returns ``query_id, neighbor_id, rank, distance`` like ``knn``.
-    ``filters`` (a Column on the base rows) is applied before the search.
-    A selective filter can leave fewer than k rows in the probed lists;
-    with ``widen`` the queries that came up short are searched again with
-    twice the fraction, until they have k rows or every list was read
-    (at most log2(num_lists) rounds, each touching only the short queries).
+    Returns ``query_id, neighbor_id, rank, distance`` like ``knn``.  ``filters`` (a Column on the base rows) is applied
+    before the search; then, and for a ``restrict``-ed index, a query probes further lists until those it probes hold k
+    rows (not with ``widen=False``).  ``bound`` searches the nearest list first and skips lists that cannot come closer;
+    the result is the same.  Another metric than the index's raises.
     """
-    res = _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters)
-    if (filters is None and not index.restricted) or not widen:
-        return res
-    while fraction < 1.0:
-        done = (res.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
-                   .select(query_id))
-        todo = queries.where(F.col(query_vec).isNotNull()).join(done, query_id, "left_anti")
-        if todo.isEmpty():
-            break
-        fraction = min(1.0, 2 * fraction)
-        again = _ivf_search_once(index, todo, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters)
-        res = res.join(todo.select(query_id), query_id, "left_anti").unionByName(again)
-    return res
+    metric = (metric or index.metric).lower()
+    if metric != index.metric:
+        raise ValueError(f"the index is for {index.metric!r}, not {metric!r}")
+    nprobe = max(1, min(index.num_lists, math.ceil(fraction * index.num_lists)))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("_vec")).where(_usable("_vec", metric))
+    rows = index.rows if filters is None else index.rows.where(filters)
+    filtered = filters is not None or index.restricted
+    counts = None
+    if filtered and widen:
+        # one row per list
+        counts = {r["list_id"]: r["n"] for r in rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    probes = probe_lists(index, q, nprobe, metric, k, counts)
+    rows = rows.select(F.col(index.id_col).alias("_id"), "list_id", F.col(index.vec_col).cast("array<double>").alias("_vec"))
+    stored = index.sizes is not None and not filtered
+    types = _field_type(queries, query_id), _field_type(index.rows, index.id_col)
+    if max_block_rows is None:
+        first = index.centroids.first()
+        max_block_rows = max(1, block_bytes // (8 * max(1, len(first["centroid"]) if first else 1)))
+    args = (index, q, rows, stored, max_block_rows, max_query_rows, metric, k, *types)
+    if bound and metric != "dot" and index.sizes is not None and "radius" in index.sizes.columns:
+        cand = _bounded(probes, *args)
+    else:
+        cand = _candidates(probes.select("query_id", "neighbor_id"), *args)
+    w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
+    res = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+               .select("query_id", "neighbor_id", "rank", "distance"))
+    return res if query_id == "query_id" else res.withColumnRenamed("query_id", query_id)
+
+
+def _bounded(probes, index, q, rows, stored, max_block_rows, max_query_rows, metric, k, qtype, btype):
+    """Candidates of the nearest list, then of those others that can hold a row nearer than the k-th found."""
+    args = (index, q, rows, stored, max_block_rows, max_query_rows, metric, k, qtype, btype)
+    near = _candidates(probes.where("rank = 1").select("query_id", "neighbor_id"), *args)
+    w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
+    kth = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
+    far = F.sqrt(2 * F.col("distance")) if metric == "cosine" else F.col("distance")
+    kth = kth.select("query_id", (far + F.lit(1e-6)).alias("_far"))          # beyond rounding of either distance
+    radius = F.broadcast(index.sizes.select(F.col("list_id").alias("neighbor_id"), "radius"))      # num_lists rows
+    rest = (probes.where("rank > 1").join(radius, "neighbor_id").join(kth, "query_id", "left")
+            .where(F.col("_far").isNull() | F.col("radius").isNull() | (F.col("gap") - F.col("radius") <= F.col("_far"))))
+    return near.unionByName(_candidates(rest.select("query_id", "neighbor_id"), *args))
 
 
 def _blocked(index, probes, q, rows, stored_sizes, max_block_rows, max_query_rows):
     """(probes with their query vectors, rows), both on (list_id, _block, _qblock): each probe meets each row of its list once."""
-    # only the lists some query probes enter the shuffle (at most num_lists ids)
-    probed = F.broadcast(probes.groupBy(F.col("neighbor_id").alias("list_id")).agg(F.count(F.lit(1)).alias("_q")))
+    # at most num_lists ids; the comparison lets Spark take them as a filter on the list folders
+    probed = F.broadcast(probes.groupBy(F.col("neighbor_id").alias("list_id")).agg(F.count(F.lit(1)).alias("_q")).where("list_id >= 0"))
     rows = rows.join(probed, "list_id", "left_semi")
     # list sizes only set the block split (balance, not results): use the
-    # stored estimates when there is no filter, else count the filtered rows
-    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n")) if stored_sizes
+    # counted sizes when there is no filter, else count the filtered rows
+    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n")) if stored_sizes and index.sizes is not None
                else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
     blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(most))).cast("long")
     # num_lists rows: bounded by the index parameter
@@ -228,19 +534,9 @@ def _blocked(index, probes, q, rows, stored_sizes, max_block_rows, max_query_row
     return pq, rows
 
 
-def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, max_block_rows, max_query_rows, filters):
-    metric = (metric or index.metric).lower()
-    nprobe = max(1, min(index.num_lists, math.ceil(fraction * index.num_lists)))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_vec")).where(
-        F.col("_vec").isNotNull())
-    probes = knn(index.centroids.select("list_id", F.col("centroid").alias("embedding")),
-                 q.select("query_id", F.col("_vec").alias("embedding")), nprobe, metric, base_id="list_id")
-    rows = index.rows if filters is None else index.rows.where(filters)
-    rows = rows.select(F.col(index.id_col).alias("_id"), F.col("list_id").cast("long").alias("list_id"),
-                       F.col(index.vec_col).alias("_vec"))
-    pq, rows = _blocked(index, probes, q, rows, index.sizes is not None and filters is None and not index.restricted,
-                        max_block_rows, max_query_rows)
-    qtype, btype = _field_type(queries, query_id), _field_type(index.rows, index.id_col)
+def _candidates(probes, index, q, rows, stored, max_block_rows, max_query_rows, metric, k, qtype, btype):
+    """Top-k candidates of every (list, block, query block) that the probes name."""
+    pq, rows = _blocked(index, probes, q, rows, stored, max_block_rows, max_query_rows)
     schema = _out_schema(qtype, btype)
 
     def run(qt: pa.Table, bt: pa.Table) -> pa.Table:
@@ -253,12 +549,8 @@ def _ivf_search_once(index, queries, k, fraction, query_id, query_vec, metric, m
         qrow, ids, dist, dkey = kern.result()
         return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
 
-    cand = (pq.groupBy("list_id", "_block", "_qblock").cogroup(rows.groupBy("list_id", "_block", "_qblock"))
+    return (pq.groupBy("list_id", "_block", "_qblock").cogroup(rows.groupBy("list_id", "_block", "_qblock"))
               .applyInArrow(run, schema))
-    w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
-    res = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-               .select("query_id", "neighbor_id", "rank", "distance"))
-    return res if query_id == "query_id" else res.withColumnRenamed("query_id", query_id)
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame) -> DataFrame:
