@@ -167,35 +167,119 @@ def category_votes(base: DataFrame, queries: DataFrame, k: int = 10, top_n: int
             .withColumn("category_rank", F.col("category_rank").cast("long")))
 
 
+def _ranked(nn: DataFrame, k: int) -> DataFrame:
+    """(query_id, _nn): the k nearest of each query in order, one array; the one place where a query's neighbours are gathered."""
+    item = F.struct("rank", "ticket_id", *TICKET_PAYLOAD, "distance")
+    return nn.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_nn"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rounded_average(units: Column, n: Column, digits: int, places: int) -> Column:
+    return round_half_away(units.cast("double") / (n.cast("double") * F.lit(float(10 ** digits))), places)
+
+
+def _best_vote(items: Column, field: str) -> Column:
+    """(value, votes, similarity) of the most frequent value of ``field``: by votes, similarity, value."""
+    def group(v):
+        def scored(own):
+            votes = F.size(own).cast("long")
+            units = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + _pct_units(x["distance"], 2))
+            sim = _rounded_average(units, votes, 2, 2)
+            return F.struct((-votes).alias("by_votes"), (-sim).alias("by_similarity"), v.alias("value"), votes.alias("votes"), sim.alias("similarity"))
+        return _let(F.filter(items, lambda x: x[field].eqNullSafe(v)), scored)
+
+    return F.array_min(F.transform(F.array_distinct(F.transform(items, lambda x: x[field])), group))
+
+
+def _best_solution(items: Column, min_satisfaction: int, max_distance: float | None, weights, digits: int, n_examples: int) -> Column:
+    """The best resolution among ``items`` as ``recommend`` ranks them, with its figures and examples; null without one."""
+    w1, w2, w3 = weights
+
+    def useful(x):
+        ok = (x["status"] == "resolved") & x["resolution"].isNotNull() & (x["satisfaction_score"] >= min_satisfaction)
+        return F.coalesce(ok if max_distance is None else ok & (x["distance"] < max_distance), F.lit(False))
+
+    def group(found, v):
+        def scored(own):
+            n = F.size(own).cast("long")
+            total = lambda c, zero: F.aggregate(
+                own, F.lit(zero).cast("long" if isinstance(zero, int) else "double"), lambda a, x: a + c(x))
+            sat = total(lambda x: x["satisfaction_score"].cast("long"), 0).cast("double") / n.cast("double")
+            timed = F.size(F.filter(own, lambda x: x["resolution_time_hours"].isNotNull()))
+            hours = F.when(timed > 0, total(lambda x: F.coalesce(x["resolution_time_hours"], F.lit(0.0)), 0.0) / timed.cast("double"))
+            sim = total(lambda x: _pct_units(x["distance"], digits), 0).cast("double") / (n.cast("double") * F.lit(float(10 ** digits)))
+            score = (n * F.lit(w1) + sat * F.lit(w2) + sim * F.lit(w3)) / (F.greatest(hours, F.lit(1.0)) * F.lit(0.1))
+            confidence = F.when(hours.isNotNull(), round_half_away(score, 2))
+            examples = F.slice(F.array_sort(F.transform(own, lambda x: F.struct(
+                (-similarity_pct(x["distance"], digits=digits)).alias("order"), x["ticket_id"].alias("ticket_id"), x["title"].alias("title"),
+                similarity_pct(x["distance"], digits=digits).alias("similarity_pct")))), 1, n_examples)
+            return F.struct(confidence.isNull().alias("last"), (-confidence).alias("by_confidence"), (-n).alias("by_frequency"), v.alias("resolution"),
+                            n.alias("frequency"), round_half_away(sat, 2).alias("avg_satisfaction"), round_half_away(hours, 2).alias("avg_resolution_hours"),
+                            round_half_away(sim, 2).alias("avg_similarity_pct"), confidence.alias("confidence"),
+                            F.transform(examples, lambda x: x.dropFields("order")).alias("example_tickets"))
+        return _let(F.filter(found, lambda x: x["resolution"] == v), scored)
+
+    return _let(F.filter(items, useful), lambda found: F.array_min(
+        F.transform(F.array_distinct(F.transform(found, lambda x: x["resolution"])), lambda v: group(found, v))))
+
+
 def triage(base: DataFrame, queries: DataFrame, *, similar_k: int = 5, categorize_k: int = 10,
            recommend_k: int = 20, include_recommendations: bool = True, **opts) -> DataFrame:
     """Similar tickets, categorisation and recommendation for every query
     from one search at the largest k (instead of three searches per query).
 
+    The neighbours of a query are gathered once, in one array of at most the
+    largest k, and each of the three takes its own first ones from it, so the
+    plan holds the search once.
+
     One row per query: ``similar_tickets`` (array of structs),
     categorisation columns, recommendation columns, and ``error`` (null
-    unless the query had no usable vector).
+    unless the query's vector cannot be searched: missing, not finite, zero,
+    or not ``dim`` wide).
     """
+    from vectriage.operators.ivf import _usable
+
     kmax = max(similar_k, categorize_k, recommend_k if include_recommendations else 0)
     nn = search(base, queries, kmax, payload=TICKET_PAYLOAD, **opts)
-    sim = (nn.where(F.col("rank") <= similar_k)
-             .withColumn("similarity_score", similarity_pct(F.col("distance"))))
-    similar = (sim.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "ticket_id", "title", "similarity_score"))).alias("similar_tickets")))
-    cats = categorize(base, queries, categorize_k, neighbors=nn)
-    out = (queries.select("query_id", F.col("embedding").isNull().alias("_noq"))
-                  .join(similar, "query_id", "left").join(cats, "query_id", "left"))
+    fits = _usable("embedding", opts.get("metric", "cosine"))
+    if opts.get("dim"):
+        fits = fits & (F.size("embedding") == opts["dim"])
+    every = queries.select("query_id", (~F.coalesce(fits, F.lit(False))).alias("_noq"))
+    out = every.join(_ranked(nn, kmax), "query_id", "left")
+    first = lambda k: F.filter(F.coalesce("_nn", F.array().cast(out.schema["_nn"].dataType)), lambda x: x["rank"] <= k)
+    near = first(categorize_k)
+    cols = {
+        "similar_tickets": F.transform(first(similar_k), lambda x: F.struct(x["rank"].alias("rank"), x["ticket_id"].alias("ticket_id"),
+                                       x["title"].alias("title"), similarity_pct(x["distance"]).alias("similarity_score"))),
+        "_cat": _best_vote(near, "category"), "_pri": _best_vote(near, "priority"), "_votes": F.size(near).cast("double"),
+    }
+    if include_recommendations:
+        cols["_sol"] = _best_solution(first(recommend_k), 4, 0.30, WEIGHTS_V1, 2, 3)
+    out = out.withColumns(cols)
+    zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
+    done = [
+        "query_id", "similar_tickets",
+        zero("_cat.value", "Unknown").alias("category"), zero("_cat.votes", 0).cast("long").alias("category_votes"),
+        zero("_cat.similarity", 0.0).alias("category_similarity"),
+        F.coalesce(round_half_away(F.col("_cat.votes") * F.lit(100.0) / F.col("_votes"), 2), F.lit(0.0)).alias("category_confidence"),
+        zero("_pri.value", "medium").alias("priority"), zero("_pri.votes", 0).cast("long").alias("priority_votes"),
+        zero("_pri.similarity", 0.0).alias("priority_similarity"),
+    ]
     if include_recommendations:
-        rec = recommend(base, queries, recommend_k, neighbors=nn)
-        out = out.join(rec.select("query_id", F.col("resolution").alias("solution"),
-                                  F.col("confidence_score").alias("confidence"),
-                                  F.col("frequency").alias("similar_ticket_count"),
-                                  "avg_satisfaction", "avg_resolution_hours", "avg_similarity_pct",
-                                  "example_tickets"), "query_id", "left")
-    return (out.withColumn("error", F.when(F.col("_noq"), F.lit("query has no embedding")))
-               .withColumn("similar_tickets", F.coalesce("similar_tickets", F.array().cast(
-                   out.schema["similar_tickets"].dataType)))
-               .drop("_noq"))
+        examples = out.schema["_sol"].dataType["example_tickets"].dataType
+        done += [
+            F.col("_sol.resolution").alias("solution"),
+            F.when(F.col("_sol.resolution").isNull(), F.lit(0.0)).otherwise(F.col("_sol.confidence")).alias("confidence"),
+            zero("_sol.frequency", 0).cast("long").alias("similar_ticket_count"),
+            F.col("_sol.avg_satisfaction").alias("avg_satisfaction"), F.col("_sol.avg_resolution_hours").alias("avg_resolution_hours"),
+            F.col("_sol.avg_similarity_pct").alias("avg_similarity_pct"),
+            F.coalesce("_sol.example_tickets", F.array().cast(examples)).alias("example_tickets"),
+        ]
+    return out.select(*done, F.when(F.col("_noq"), F.lit("query has no usable embedding")).alias("error"))
 
 
 def triage_summary(triaged: DataFrame) -> DataFrame:
