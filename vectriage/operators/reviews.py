@@ -37,22 +37,25 @@ ENRICHED_REVIEW_COLUMNS = (
     "summary_length", "created_at", "updated_at")
 
 
-def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews_csv(spark: SparkSession, path: str, corrupt_col: str | None = None) -> DataFrame:
     """Read the raw review CSV with an explicit schema (quoted, multi-line).
 
-    String columns holding one of the pandas missing-value tokens become
-    null, as the pandas reader would make them.
+    One file is read by many tasks (``sources/csv_records.py``).  String
+    columns holding one of the pandas missing-value tokens become null, as the
+    pandas reader would make them.  ``corrupt_col`` keeps the text of records
+    that do not fit the schema, whose fields are then null where they do not.
     """
-    raw = (spark.read.schema(RAW_REVIEW_SCHEMA)
-           .option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"')
-           .csv(path))
+    from vectriage.sources.csv_records import read_csv_records
+
+    raw = read_csv_records(spark, path, RAW_REVIEW_SCHEMA, corrupt_col="_malformed")
     cols = []
     for f in RAW_REVIEW_SCHEMA.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(list(CSV_NULL_TOKENS)), F.lit(None).cast("string")).otherwise(c).alias(f.name)
         cols.append(c)
+    if corrupt_col:
+        cols.append(F.col("_malformed").alias(corrupt_col))
     return raw.select(*cols)
 
 
@@ -89,28 +92,25 @@ def enrich_reviews(raw: DataFrame) -> DataFrame:
 def sample_fixed_n(df: DataFrame, n: int, seed: int = 42, id_col: str = "review_id") -> DataFrame:
     """A fixed-size sample: the n rows with the smallest md5(seed || id).
 
-    n = 0 keeps every row.  md5 is uniform, so the first 15 hex digits
-    give a threshold that keeps a little more than n rows in expectation;
-    the filter runs distributed, its count is checked (the threshold is
-    doubled until at least n rows pass, or everything passes), and only
-    the surviving ~n rows are sorted.  Nothing of size N meets in one task.
+    n = 0 keeps every row.  Keys are counted by their first four hex digits
+    (65,536 counts, partial per task).  The counts name the digits in which the
+    n-th key lies: rows below are kept where they are, rows above dropped, and
+    only the rows of those digits (N / 65,536 of them) are ranked for the rest.
+    Nothing runs when the plan is made, and no task sorts n rows.
     """
     if n <= 0:
         return df
-    key = F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
-    keyed = df.withColumn("_sample_key", key).withColumn(
-        "_k15", F.conv(F.substring("_sample_key", 1, 15), 16, 10).cast("long"))
-    total = df.count()
-    if total <= n:
-        return df
-    space = 16 ** 15
-    p = min(1.0, (n + 10 * n ** 0.5 + 100) / total)
-    while True:
-        cut = keyed.where(F.col("_k15") < F.lit(int(p * space))) if p < 1.0 else keyed
-        if p >= 1.0 or cut.count() >= n:
-            break
-        p = min(1.0, 2 * p)
-    return cut.orderBy("_sample_key", id_col).limit(n).drop("_sample_key", "_k15")
+    keyed = df.withColumn("_sample_key", F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))))
+    keyed = keyed.withColumn("_digits", F.coalesce(F.substring("_sample_key", 1, 4), F.lit("")))
+    counts = keyed.groupBy("_digits").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(Window.orderBy("_digits"))       # over the counts, not the rows
+    cut = (counts.withColumn("_upto", upto).where(F.col("_upto") - F.col("_rows") < n)
+           .agg(F.max("_digits").alias("_cut"), (F.lit(n) - F.max(F.col("_upto") - F.col("_rows"))).alias("_left")))
+    near = keyed.join(F.broadcast(cut), F.col("_digits") <= F.col("_cut"))      # one row
+    whole = near.where("_digits < _cut")
+    w = Window.partitionBy("_digits").orderBy("_sample_key", id_col)
+    last = near.where("_digits = _cut").withColumn("_at", F.row_number().over(w)).where("_at <= _left")
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def product_reviews(reviews: DataFrame, product_id: str, min_score: int = 1, limit: int = 20) -> DataFrame:

@@ -34,8 +34,9 @@ TICKET_COLUMNS = (
 )
 
 
-def ticket_schema() -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t), nullable)
+def ticket_schema(id_type: str = "bigint") -> T.StructType:
+    """The declared schema; ids are numbers or, with ``id_type='string'``, texts."""
+    return T.StructType([T.StructField(n, T._parse_datatype_string(id_type if n == "ticket_id" else t), nullable)
                          for n, t, nullable, _ in TICKET_COLUMNS])
 
 
@@ -50,11 +51,13 @@ def combined_text(title="title", description="description", missing_as_empty: bo
 
 def enforce_schema(df: DataFrame, columns=TICKET_COLUMNS, on_violation: str = "drop") -> DataFrame:
     """Cast to the declared types, fill defaults, add missing nullable
-    columns as null, and handle rows with a null in a required column:
+    columns as null (ticket ids that are texts stay texts), and handle rows with a null in a required column:
     ``'drop'`` removes them, ``'flag'`` keeps them with ``_violation = true``,
     ``'fail'`` raises on the first action via ``assert_true``."""
     cols, required = [], []
     for name, typ, nullable, default in columns:
+        if name == "ticket_id" and name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
+            typ = "string"
         c = F.col(name).cast(typ) if name in df.columns else F.lit(None).cast(typ)
         if default is not None:
             c = F.coalesce(c, F.lit(default).cast(typ))

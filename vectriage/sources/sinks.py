@@ -6,6 +6,8 @@ caller passes them.  Nothing here uses a machine-local folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +47,25 @@ def write_table(df: DataFrame, path: str, disposition: str = "WRITE_EMPTY",
     w.save(path)
 
 
-def write_partitioned_tickets(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_partitioned_tickets(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
     """Date-partitioned, clustered layout: ``created_date=...`` folders,
     rows sorted by category, status, priority inside each file so Parquet
-    min/max statistics skip row groups on those columns.
+    min/max statistics skip files and row groups on those columns.
+
+    Tasks take ranges of (date, category, status, priority, hash of the row):
+    a large date, or one combination that holds most of it, is cut over as many
+    tasks as its rows need, and small dates share a task.  ``files`` sets the
+    number of ranges (the session's shuffle partitions by default).
 
     Readers filter on ``created_date`` as well as ``created_at`` so that
     partition pruning applies (it is not derived from ``created_at``).
     """
-    (df.withColumn("created_date", F.to_date("created_at"))
-       .repartition("created_date")
-       .sortWithinPartitions("category", "status", "priority")
-       .write.mode(mode).partitionBy("created_date").parquet(path))
+    dated = df.withColumn("created_date", F.to_date("created_at"))
+    hashable = [c for c, t in df.dtypes if not t.startswith("map")]
+    order = ["created_date", "category", "status", "priority"]
+    dated = dated.withColumn("_salt", F.xxhash64(*hashable))
+    ranged = dated.repartitionByRange(files, *order, "_salt") if files else dated.repartitionByRange(*order, "_salt")
+    ranged.sortWithinPartitions(*order).drop("_salt").write.mode(mode).partitionBy("created_date").parquet(path)
 
 
 def add_column_if_missing(df: DataFrame, name: str, dtype: str) -> DataFrame:
@@ -82,21 +91,79 @@ def merge_matched(target: DataFrame, source: DataFrame, key: str, cols: list[str
     return joined.select(*out)
 
 
-def replace_table(df: DataFrame, path: str, staging_path: str) -> None:
-    """Write ``df`` to ``staging_path``, then overwrite ``path`` from it.
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a table kept by ``replace_table``, oldest first."""
+    p, fs = _hadoop(spark, f"{path}/_versions")
+    if not fs.exists(p):
+        return []
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
+
 
-    A plan that reads ``path`` cannot overwrite it directly; writing the
-    staging copy first also cuts the lineage.
+def replace_table(df: DataFrame, path: str) -> int:
+    """Replace the table at ``path`` by ``df``, which may read it; the new version's number.
+
+    The rows go to a folder of their own, ``{path}/_data/N-<id>``; then a file
+    ``{path}/_versions/N`` that names it is created, which is the one step that
+    makes readers (``read_table_version``) see it.  A writer that is lost before leaves
+    the old version as it was; of two writers of the same N the second fails.
     """
-    df.write.mode("overwrite").parquet(staging_path)
-    df.sparkSession.read.parquet(staging_path).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    number = (versions(spark, path) or [0])[-1] + 1
+    folder = f"{number}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path}/_data/{folder}")
+    _point(spark, path, number, folder)
+    return number
+
+
+def _point(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    p, fs = _hadoop(spark, f"{path}/_versions/{number}")
+    out = fs.create(p, False)                   # fails when the version exists
+    out.write(bytearray(folder.encode()))
+    out.close()
+
+
+def read_table_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of a table written by ``replace_table``, or the one asked for; a plain Parquet folder as it is."""
+    found = versions(spark, path)
+    if not found and version is None:
+        return spark.read.parquet(path)
+    number = found[-1] if version is None else version
+    if number not in found:
+        raise ValueError(f"{path} has no version {number}")
+    folder = spark.read.text(f"{path}/_versions/{number}").first()[0]
+    return spark.read.parquet(f"{path}/_data/{folder}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Drop all but the last ``keep`` versions, pointers first; the numbers dropped."""
+    found = versions(spark, path)
+    old = found[:-keep] if keep else found
+    for number in old:
+        folder = spark.read.text(f"{path}/_versions/{number}").first()[0]
+        for name in (f"_versions/{number}", f"_data/{folder}"):
+            p, fs = _hadoop(spark, f"{path}/{name}")
+            fs.delete(p, True)
+    return old
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Remove a folder from the storage; False when there was none."""
+    p, fs = _hadoop(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))
 
 
 def table_info(spark: SparkSession, path: str) -> dict:
     """Existence, schema and row count of a Parquet table."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return {"exists": False}
     return {"exists": True, "schema": df.schema, "row_count": df.count()}
 

@@ -29,6 +29,21 @@ def incremental_embed(source: DataFrame, stored: DataFrame, id_col: str, text_co
     return embedder.transform(todo, text_col).select(id_col, "text_hash", "embedding")
 
 
+def append_batch(source: DataFrame, path: str, id_col: str, text_col: str, embedder=None) -> int:
+    """Embed the new or changed rows of ``source`` and append them to the vectors at ``path`` as the next batch; its number.
+
+    The batch is a folder ``batch_id=N`` written with overwrite, so a batch that was lost half way is written again whole."""
+    spark = source.sparkSession
+    from vectriage.sources.sinks import table_info
+    info = table_info(spark, path)
+    stored = spark.read.parquet(path) if info["exists"] and info["row_count"] else None
+    last = stored.agg(F.max("batch_id")).first()[0] if stored is not None else None
+    number = 1 if last is None else int(last) + 1
+    have = current_vectors(stored, id_col) if stored is not None else source.select(id_col, F.lit("").alias("text_hash")).where("false")
+    incremental_embed(source, have, id_col, text_col, embedder).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+    return number
+
+
 def current_vectors(stored: DataFrame, id_col: str, version_col: str = "batch_id") -> DataFrame:
     """The latest vector per id when appended batches change a text."""
     from pyspark.sql import Window
