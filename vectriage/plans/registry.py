@@ -404,6 +404,15 @@ def q_trending_issues(spark, sf_dir):
     return res.withColumn("similar_issues", F.array_join("similar_issues", "|"))
 
 
+@register("trending_issues_ring", ORACLE["trending_issues"])
+def q_trending_issues_ring(spark, sf_dir):
+    """Trending issues by the search that leaves out pairs beyond the cut."""
+    from vectriage.operators.trends import trending
+    t = _tickets(spark, sf_dir)
+    res = trending(t, TICKETS_AS_OF, TREND_DAYS, 3, 0.70, 10, 10, strategy="ring")
+    return res.withColumn("similar_issues", F.array_join("similar_issues", "|"))
+
+
 @register("semantic_clusters", _pairs_sql(5, 0.70) + f"""
 SELECT s.anchor_title AS representative_issue, s.cluster_size, s.first_occurrence, s.last_occurrence,
        t.titles AS similar_issues
@@ -461,7 +470,10 @@ DEFAULT_DIM = O.DEFAULT_DIM
 SELECT c.id AS doc_id, c.bucket, CAST(c.cnt AS DOUBLE) / m.nrm AS weight
 FROM de_cnt c JOIN de_map m ON m.id = c.id""")
 def q_embed_documents(spark, sf_dir):
-    d = _docs_embedded(spark, sf_dir)
+    """Each distinct text is embedded once and joined back to its documents."""
+    from vectriage.functions.embed import embed_distinct
+    from vectriage.sources.tables import read_table
+    d = embed_distinct(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return (d.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
              .where(F.col("weight") > 0)
              .select("doc_id", F.col("bucket").cast("long").alias("bucket"), "weight"))
@@ -511,7 +523,7 @@ def q_embedding_sample(spark, sf_dir):
     return embedding_sample(_tickets(spark, sf_dir), "ticket_id", fmt="%.6f")
 
 
-REVIEW_PAYLOAD = ["product_id", "score", "summary", "helpfulness_ratio", "sentiment_category"]
+REVIEW_PAYLOAD = ["product_id", "score", "summary", "text", "helpfulness_ratio", "sentiment_category"]
 TEXT_SEARCH_CTES = O.with_ctes(O.RAW_REVIEWS, O.REVIEWS, O.hash_embed_cte("re", "reviews", "review_id", "combined_text"),
                                O.hash_embed_cte("qe", "benchmark", "item_id", "text"),
                                O.topk_cte("nn", "re", "id", "qe", "id", 10))
@@ -540,26 +552,27 @@ def q_keyword_search(spark, sf_dir):
 
 
 @register("keyword_vs_semantic", TEXT_SEARCH_CTES + """,
-kw AS (SELECT item_id AS query_id,
-              list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)[1] AS keyword
-       FROM benchmark),
+kw AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first_at) AS BIGINT) AS position, keyword
+       FROM (SELECT item_id AS query_id, word AS keyword, min(spot) AS first_at
+             FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word,
+                          generate_subscripts(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 1) AS spot FROM benchmark)
+             WHERE length(word) >= 1 GROUP BY item_id, word)),
+words AS (SELECT b.item_id AS query_id, coalesce(kw.position, 1) AS position, kw.keyword FROM benchmark b LEFT JOIN kw ON kw.query_id = b.item_id),
 rt AS (SELECT DISTINCT review_id, unnest(regexp_split_to_array(lower(combined_text), '[^\\p{L}\\p{N}]+')) AS tok
        FROM reviews),
-kh AS (SELECT kw.query_id, rt.review_id FROM kw JOIN rt ON rt.tok = kw.keyword),
-sh AS (SELECT query_id, neighbor_id AS review_id FROM nn)
-SELECT kw.query_id, kw.keyword,
-       CAST((SELECT count(*) FROM kh WHERE kh.query_id = kw.query_id) AS BIGINT) AS keyword_hits,
-       CAST((SELECT count(*) FROM sh WHERE sh.query_id = kw.query_id) AS BIGINT) AS semantic_hits,
-       CAST((SELECT count(*) FROM kh JOIN sh ON sh.query_id = kh.query_id AND sh.review_id = kh.review_id
-             WHERE kh.query_id = kw.query_id) AS BIGINT) AS overlap
-FROM kw""")
+kc AS (SELECT tok, count(*) AS n FROM rt GROUP BY tok),
+sh AS (SELECT query_id, neighbor_id AS review_id FROM nn),
+sc AS (SELECT query_id, count(*) AS n FROM sh GROUP BY query_id),
+ov AS (SELECT sh.query_id, rt.tok, count(*) AS n FROM sh JOIN rt ON rt.review_id = sh.review_id GROUP BY sh.query_id, rt.tok)
+SELECT w.query_id, w.position, w.keyword, CAST(coalesce(kc.n, 0) AS BIGINT) AS keyword_hits,
+       CAST(coalesce(sc.n, 0) AS BIGINT) AS semantic_hits, CAST(coalesce(ov.n, 0) AS BIGINT) AS overlap
+FROM words w LEFT JOIN kc ON kc.tok = w.keyword LEFT JOIN sc ON sc.query_id = w.query_id
+     LEFT JOIN ov ON ov.query_id = w.query_id AND ov.tok = w.keyword""")
 def q_keyword_vs_semantic(spark, sf_dir):
+    """Every word of every query: reviews that hold it, semantic hits, and both."""
     from vectriage.operators.search import keyword_vs_semantic
-    revs = _reviews_embedded(spark, sf_dir)
-    # the SQL of this key names the first word of four letters or more alone: its row of all words' rows
-    res = keyword_vs_semantic(revs, _benchmark_queries(spark, sf_dir), "review_id", "combined_text", 10,
-                              min_keyword_len=4, dim=DEFAULT_DIM)
-    return res.where("position = 1").drop("position")
+    return keyword_vs_semantic(_reviews_embedded(spark, sf_dir), _benchmark_queries(spark, sf_dir), "review_id", "combined_text", 10,
+                               dim=DEFAULT_DIM)
 
 
 @register("duplicate_detection", O.with_ctes(DOCS_EMB, O.topk_cte("nn", "de", "id", "de", "id", 10)) + f"""
@@ -577,6 +590,17 @@ def q_duplicate_detection(spark, sf_dir):
     return res.select("query_id", "rank", "doc_id", _r6(), "similarity_pct", "duplicate_assessment")
 
 
+@register("duplicate_detection_ring", ORACLE["duplicate_detection"])
+def q_duplicate_detection_ring(spark, sf_dir):
+    """Duplicate detection by the search that leaves out pairs beyond the cut (the one used when the queries are too many to broadcast)."""
+    from vectriage.operators.search import duplicate_detection
+    d = _docs_embedded(spark, sf_dir)
+    q = d.select(F.col("doc_id").alias("query_id"), "embedding")
+    res = duplicate_detection(d.select("doc_id", "embedding"), q, 10, 0.20, payload=(), exclude_self=True,
+                              id_col="doc_id", dim=DEFAULT_DIM, strategy="ring")
+    return res.select("query_id", "rank", "doc_id", _r6(), "similarity_pct", "duplicate_assessment")
+
+
 # ---------------------------------------------------------------- reviews: filters, statistics
 
 @register("product_reviews", REVIEWS_WITH + """
@@ -728,6 +752,57 @@ def q_merge_embeddings(spark, sf_dir):
         "embedding_dims", F.when(F.col("first_value").isNotNull(), F.col("embedding_dims")))
 
 
+def _shared(spark, name):
+    import uuid
+    from vectriage.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("reviews_csv_roundtrip", REVIEWS_WITH + "SELECT * FROM reviews")
+def q_reviews_csv_roundtrip(spark, sf_dir):
+    """The raw reviews written as CSV, read back by splits and enriched."""
+    from vectriage.operators.reviews import RAW_REVIEW_SCHEMA, enrich_reviews, read_reviews_csv
+    path = _shared(spark, "reviews-csv")
+    raw = raw_reviews_fx(spark, sf_dir).select(*RAW_REVIEW_SCHEMA.fieldNames())
+    (raw.write.option("header", True).option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return enrich_reviews(read_reviews_csv(spark, path))
+
+
+LITERAL_TICKET = (-1, "Literal issue", "cat1", "high")
+
+
+@register("ticket_table_lifecycle", O.with_ctes(O.ALL_TICKETS) + """
+SELECT ticket_id, title, category, priority, CAST(NULL AS VARCHAR) AS note FROM tickets
+UNION ALL SELECT -1, 'Literal issue', 'cat1', 'high', 'inserted'""")
+def q_ticket_table_lifecycle(spark, sf_dir):
+    """Write a table, insert a literal row, add a column, update it by a merge and replace the table by the result."""
+    from vectriage.sources.sinks import add_column_if_missing, merge_matched, read_table_version, replace_table, write_table
+    path = _shared(spark, "tickets")
+    cols = ["ticket_id", "title", "category", "priority"]
+    tickets = tickets_fx(spark, sf_dir, searchable=False).select(*cols)
+    write_table(tickets, f"{path}/plain", "WRITE_EMPTY")
+    literal = spark.createDataFrame([LITERAL_TICKET], "ticket_id long, title string, category string, priority string")
+    write_table(literal.select(*[F.col(c).cast(tickets.schema[c].dataType) for c in cols]), f"{path}/plain", "WRITE_APPEND")
+    replace_table(spark.read.parquet(f"{path}/plain"), f"{path}/table")
+    noted = add_column_if_missing(read_table_version(spark, f"{path}/table"), "note", "string")
+    source = literal.select(F.col("ticket_id").cast(tickets.schema["ticket_id"].dataType).alias("ticket_id"), F.lit("inserted").alias("note"))
+    replace_table(merge_matched(noted, source, "ticket_id", ["note"]), f"{path}/table")
+    return read_table_version(spark, f"{path}/table")
+
+
+@register("find_similar_string_ids", O.with_ctes(TK, O.tickets_knn(5)) + f"""
+SELECT 'TKT-' || nn.query_id AS query_id, nn.rank, 'TKT-' || b.ticket_id AS ticket_id, b.title, {O.rha('nn.distance', 6)} AS distance
+FROM nn JOIN tickets b ON b.ticket_id = nn.neighbor_id""")
+def q_find_similar_string_ids(spark, sf_dir):
+    """Similar tickets of a ticket table with string ids, through its enforced schema; no two vectors are equal, so ids break no ties."""
+    from vectriage.operators.search import find_similar
+    from vectriage.operators.tickets import combined_text, enforce_schema
+    t = _tickets(spark, sf_dir).withColumn("ticket_id", F.concat(F.lit("TKT-"), F.col("ticket_id"))).withColumn("combined_text", combined_text())
+    t = enforce_schema(t).join(t.select("ticket_id", "embedding"), "ticket_id")
+    return find_similar(t, ticket_queries(t), 5, payload=["title"]).select("query_id", "rank", "ticket_id", "title", _r6())
+
+
 @register("incremental_embed", O.with_ctes(
     "stored AS (SELECT d.doc_id FROM documents d SEMI JOIN labels l ON l.doc_id = d.doc_id)",
     "todo AS (SELECT d.* FROM documents d ANTI JOIN stored s ON s.doc_id = d.doc_id)",
@@ -853,6 +928,136 @@ def q_index_coverage(spark, sf_dir):
     return index_coverage(idx, t)
 
 
+# Lists given by the caller: the mean vector of each (category, priority).
+GIVEN_CTES = """
+gm AS (SELECT category, priority, i, avg(v) AS m
+       FROM (SELECT category, priority, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS v FROM tickets) GROUP BY category, priority, i),
+gc AS (SELECT CAST(row_number() OVER (ORDER BY category, priority) - 1 AS BIGINT) AS list_id, list(m ORDER BY i) AS embedding
+       FROM gm GROUP BY category, priority)"""
+
+
+def _given_sql(k, fraction, base_where="TRUE", filtered=False):
+    """Top-k within the nearest ``fraction`` of the given lists; with a filter, within as many as hold k rows."""
+    lists = "ranked AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS lists FROM lr_rank)"
+    held = f"held AS (SELECT a.list_id, count(*) AS n FROM assigned a JOIN tickets b ON b.ticket_id = a.ticket_id WHERE {base_where} GROUP BY a.list_id)"
+    reach = ("before < " + str(k) + " OR " if filtered else "") + f"rank <= ceil({fraction} * lists)"
+    return O.with_ctes(TK, GIVEN_CTES, O.topk_cte("an", "gc", "list_id", "tickets", "ticket_id", 1),
+                       "assigned AS (SELECT query_id AS ticket_id, neighbor_id AS list_id FROM an)",
+                       O.topk_cte("lr", "gc", "list_id", "tickets", "ticket_id", 1_000_000),
+                       "lr_rank AS (SELECT query_id, neighbor_id AS list_id, rank FROM lr)", lists, held, f"""
+probes AS (SELECT query_id, list_id FROM (
+             SELECT r.query_id, r.list_id, r.rank, r.lists,
+                    coalesce(sum(coalesce(h.n, 0)) OVER (PARTITION BY r.query_id ORDER BY r.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             FROM ranked r LEFT JOIN held h ON h.list_id = r.list_id) WHERE {reach}),
+gp AS (SELECT p.query_id, b.ticket_id AS neighbor_id, {O.distance_sql('cosine', 'q.embedding', 'b.embedding')} AS distance
+       FROM probes p JOIN assigned a ON a.list_id = p.list_id JOIN tickets b ON b.ticket_id = a.ticket_id JOIN tickets q ON q.ticket_id = p.query_id
+       WHERE {base_where}),
+gn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id) AS BIGINT) AS rank
+       FROM gp QUALIFY rank <= {k})""")
+
+
+def _given_index(spark, sf_dir):
+    """The written index of the tickets over the mean vectors of their (category, priority)."""
+    from pyspark.sql import Window
+    from vectriage.operators.ivf import build_ivf, load_ivf, save_ivf
+    t = _tickets(spark, sf_dir).select("ticket_id", "category", "priority", "status", "embedding")
+    means = (t.select("category", "priority", F.posexplode("embedding").alias("i", "v")).groupBy("category", "priority", "i").agg(F.avg("v").alias("m"))
+             .groupBy("category", "priority").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")))
+    given = means.select((F.row_number().over(Window.orderBy("category", "priority")) - 1).alias("list_id"), F.transform("c", lambda x: x["m"]).alias("centroid"))
+    path = _shared(spark, "ivf-given")
+    save_ivf(build_ivf(t, "ticket_id", "embedding", centroids=given), path)
+    return t, load_ivf(spark, path, "ticket_id")
+
+
+@register("ivf_probe_search", _given_sql(10, 0.1) + f"""
+SELECT query_id, neighbor_id, rank, {O.rha('distance', 6)} AS distance FROM gn""")
+def q_ivf_probe_search(spark, sf_dir):
+    """A tenth of the lists per query, read from their folders; the nearest list's k-th row rules further lists out."""
+    from vectriage.operators.ivf import ivf_search
+    t, idx = _given_index(spark, sf_dir)
+    return ivf_search(idx, ticket_queries(t), 10, fraction=0.1, bound=True).select("query_id", "neighbor_id", "rank", _r6())
+
+
+@register("ivf_filtered_probe", _given_sql(10, 0.1, _FILTER_SQL, True) + f"""
+SELECT query_id, neighbor_id, rank, {O.rha('distance', 6)} AS distance FROM gn""")
+def q_ivf_filtered_probe(spark, sf_dir):
+    """Filtered search in one pass: a tenth of the lists, and further ones until those probed hold ten rows that pass."""
+    from vectriage.operators.ivf import ivf_search
+    from vectriage.operators.search import filter_condition
+    t, idx = _given_index(spark, sf_dir)
+    idx.rows = idx.rows.join(t.select("ticket_id", "status", "category"), "ticket_id")
+    return ivf_search(idx, ticket_queries(t), 10, fraction=0.1, filters=filter_condition(t, FILTERS)).select("query_id", "neighbor_id", "rank", _r6())
+
+
+def _given_recall_sql():
+    parts = []
+    for f in EXACT_VS_IVF_FRACTIONS:
+        parts.append(f"""SELECT {f}::DOUBLE AS fraction_lists_to_search, CAST(count(DISTINCT query_id) AS BIGINT) AS queries, CAST(sum(hit) AS BIGINT) AS hits FROM (
+  WITH {_given_sql(10, f).strip()[4:]}, {O.tickets_knn(10)}
+  SELECT nn.query_id, CASE WHEN gn.query_id IS NULL THEN 0 ELSE 1 END AS hit
+  FROM nn LEFT JOIN gn ON gn.query_id = nn.query_id AND gn.neighbor_id = nn.neighbor_id)""")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("exact_vs_given_lists", _given_recall_sql())
+def q_exact_vs_given_lists(spark, sf_dir):
+    """Rows of the exact top ten that the index finds over given lists, per fraction of lists probed; one exact search, one probe ranking."""
+    from functools import reduce
+    from vectriage.operators.ivf import ivf_search
+    t, idx = _given_index(spark, sf_dir)
+    q = ticket_queries(t)
+    path = _shared(spark, "exact")
+    knn_mod.knn(t, q, 10, base_id="ticket_id").write.parquet(path)
+    exact = spark.read.parquet(path).select("query_id", "neighbor_id")
+    parts = []
+    for f in EXACT_VS_IVF_FRACTIONS:
+        got = ivf_search(idx, q, 10, fraction=f).select("query_id", "neighbor_id", F.lit(1).alias("_hit"))
+        parts.append(exact.join(got, ["query_id", "neighbor_id"], "left").agg(
+            F.lit(f).alias("fraction_lists_to_search"), F.count_distinct("query_id").alias("queries"), F.count("_hit").alias("hits")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("ivf_list_check", O.with_ctes(TK) + """
+SELECT CAST(count(*) AS BIGINT) AS indexed_rows, CAST(count(*) AS BIGINT) AS in_nearest_list, CAST(count(*) AS BIGINT) AS counted_in_lists
+FROM tickets WHERE embedding IS NOT NULL""")
+def q_ivf_list_check(spark, sf_dir):
+    """The learnt lists hold every row, each in the list whose centroid is nearest by the exact search."""
+    t, idx = _ivf(spark, sf_dir)
+    near = knn_mod.knn(idx.centroids.select("list_id", F.col("centroid").alias("embedding")), ticket_queries(t), 1, base_id="list_id")
+    right = idx.rows.join(near.select(F.col("query_id").alias("ticket_id"), "neighbor_id"), "ticket_id")
+    rows = right.agg(F.count("*").alias("indexed_rows"), F.count_if(F.col("list_id") == F.col("neighbor_id")).alias("in_nearest_list"))
+    return rows.join(idx.sizes.agg(F.sum("n_rows").alias("counted_in_lists")))
+
+
+@register("tree_list_check", O.with_ctes(TK) + """
+SELECT CAST(count(*) AS BIGINT) AS indexed_rows, CAST(0 AS BIGINT) AS leaves_over_limit, count(*) = 0 AS no_leaf
+FROM tickets WHERE embedding IS NOT NULL""")
+def q_tree_list_check(spark, sf_dir):
+    """The leaves of the tree hold every row, none more than 100 of them."""
+    from vectriage.operators.ivf import list_sizes
+    _, idx = _ivf(spark, sf_dir, "tree")
+    return list_sizes(idx).agg(F.sum("n_rows").alias("indexed_rows"), F.count_if(F.col("n_rows") > 100).alias("leaves_over_limit"),
+                               (F.count("*") == 0).alias("no_leaf"))
+
+
+@register("index_maintenance", O.with_ctes(TK, """
+kept AS (SELECT * EXCLUDE (embedding), CASE WHEN category = 'cat1' THEN list_reverse(embedding) ELSE embedding END AS embedding
+         FROM tickets WHERE priority <> 'low')""", O.topk_cte("nn", "kept", "ticket_id", "tickets", "ticket_id", 5)) + f"""
+SELECT query_id, neighbor_id, rank, {O.rha('distance', 6)} AS distance FROM nn""")
+def q_index_maintenance(spark, sf_dir):
+    """An index of the resolved tickets; the others come in one batch, changed vectors in the next, and the last takes tickets out."""
+    from vectriage.operators.index_store import append_rows, open_index, remove_rows
+    from vectriage.operators.ivf import build_ivf, ivf_search, save_ivf
+    t = _tickets(spark, sf_dir).select("ticket_id", "category", "priority", "status", "embedding")
+    path = _shared(spark, "ivf-kept")
+    save_ivf(build_ivf(t.where("status = 'resolved'"), "ticket_id", "embedding"), path)
+    append_rows(spark, path, t.where("status <> 'resolved'"), "ticket_id")
+    append_rows(spark, path, t.where("category = 'cat1'").withColumn("embedding", F.reverse("embedding")), "ticket_id")
+    remove_rows(spark, path, t.where("priority = 'low'"), "ticket_id")
+    idx = open_index(spark, path, "ticket_id")
+    return ivf_search(idx, ticket_queries(t), 5, fraction=1.0).select("query_id", "neighbor_id", "rank", _r6())
+
+
 # ---------------------------------------------------------------- pipeline and streaming
 
 @register("pipeline_end_to_end", O.with_ctes(O.RAW_REVIEWS, O.REVIEWS,
@@ -870,6 +1075,21 @@ def q_pipeline_end_to_end(spark, sf_dir):
     return corpus_summary(corpus)
 
 
+@register("pipeline_index_and_statistics", O.with_ctes(O.RAW_REVIEWS, O.REVIEWS,
+                                                      O.hash_embed_cte("re", "reviews", "review_id", "combined_text")) + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_reviews, CAST(count(DISTINCT product_id) AS BIGINT) AS unique_products,
+       CAST(sum(CAST(is_helpful AS BIGINT)) AS BIGINT) AS helpful_reviews, {O.rha('avg(text_length)', 9)} AS avg_text_length,
+       CAST((SELECT count(*) FROM re) AS BIGINT) AS indexed_rows, CAST((SELECT count(*) FROM re) AS BIGINT) AS rows_in_lists
+FROM reviews""")
+def q_pipeline_index_and_statistics(spark, sf_dir):
+    """Statistics and index of the built corpus, as written."""
+    from vectriage.plans.corpus import build_corpus
+    corpus = build_corpus(spark, raw_reviews_fx(spark, sf_dir), _shared(spark, "corpus"))
+    stats = corpus.statistics.select("total_reviews", "unique_products", "helpful_reviews", round_half_away("avg_text_length", 9).alias("avg_text_length"))
+    return (stats.join(corpus.index.rows.agg(F.count("*").alias("indexed_rows")))
+            .join(corpus.index.sizes.agg(F.sum("n_rows").alias("rows_in_lists"))))
+
+
 @register("streaming_triage", _TRIAGE_SQL + "SELECT * FROM tri")
 def q_streaming_triage(spark, sf_dir):
     """Every vector of ``embeddings`` arrives as a stream of new tickets and
