@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectriage.llm import bpe, common, decontam, jaccard_join, pii_crf, quality_model, queries
 from vectriage.session import ensure_checkpoint_dir
+from vectriage.sources.sinks import drop_path
+
+MOST_KEYS = 1_000_000          # of 8 or 16 bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +36,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = common.places(common.keyed_texts(docs))
     keyed, key = (docs, "doc_id") if named is None else (common.placed(docs, named), "_place")
     joined = jaccard_join.jaccard_join(keyed, n=5, num=80, den=100, id_col=key)
-    dropped = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    known = keyed.where("doc_id is not null").join(dropped, keyed[key].cast("long") == dropped["_dropped"], "left_anti").dropDuplicates(["doc_id", "text"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    dropped = common.keep(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    marked = keyed.where("doc_id is not null").withColumn("_mark", common.text_mark())
+    again = common.keep(marked.groupBy("doc_id", "_mark").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", "_mark"))
+    few, more = _if_few(dropped), _if_few(again)
+    left = marked.join(few, F.col(key).cast("long") == F.col("_dropped"), "left_anti")
+    once = left.join(more, ["doc_id", "_mark"], "left_anti")
+    twice = left.join(more, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(docs.columns).unionByName(twice.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def _if_few(keys: DataFrame) -> DataFrame:
+    """Keys to broadcast while they are at most ``MOST_KEYS``, so that texts stay where they are; more are joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; stage outputs go to the shared folder of the session."""
+    """Apply all stages to ``documents``; stage outputs go to the shared folder of the session, where the last one stays."""
     shared = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:                                  # the stage before is read no more
+            drop_path(spark, f"{shared}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs
