@@ -76,6 +76,7 @@ def test_every_learnt_row_is_in_its_nearest_list(stored):
 
 def test_two_level_fit_and_given_lists(spark):
     base, rows = clustered(spark, 900, 30, 6)
+    assert 25 <= build_ivf(base, "id").num_lists <= 30           # ceil(sqrt(rows)) lists, if so many centroids stay distinct
     index = build_ivf(base, "id", num_lists=100)
     assert 60 <= index.num_lists <= 140 and index.rows.count() == 900
     q = base.where("id < 20").withColumnRenamed("id", "query_id")
@@ -155,6 +156,15 @@ def test_lists_are_found_in_blocks_when_centroids_are_too_many(spark, stored, mo
     assert {r.id: r.list_id for r in near.collect()} == {r.id: r.list_id for r in index.rows.collect()}
 
 
+def test_block_search_sends_base_rows_once_when_blocks_are_many(spark):
+    base, _ = clustered(spark, 300, 10, 6)
+    q = base.withColumnRenamed("id", "query_id")
+    got = knn(base, q, 4, base_id="id", strategy="block", block_bytes=6 * 8 * 10)
+    assert keyed(got) == keyed(knn(base, q, 4, base_id="id"))
+    few = knn(base, q, 4, base_id="id", strategy="block", block_bytes=1 << 20)      # one block, copied to keep the cores busy
+    assert keyed(few) == keyed(got)
+
+
 # ---------------------------------------------------------------- distance cut
 
 @pytest.mark.parametrize("metric, cut", [("cosine", 0.05), ("euclidean", 0.4), ("euclidean", 3.0), ("cosine", 1.2)])

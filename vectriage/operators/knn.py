@@ -16,10 +16,10 @@ Plan shape
   ``k * n_queries`` rows (plus exact ties).  Large bases are coalesced
   to about one task per GiB (never below twice the parallelism), so the
   candidate volume follows the cluster size, not the split count.
-* ``block`` strategy: above that size both sides are hashed into blocks
-  and every (query block, base block) pair meets once in a cogrouped Arrow
-  function.  Block sizes come from byte budgets, so no group grows with a
-  hot key: ids are unique and spread by hash.
+* ``block`` strategy: above that size every base row goes to one block of
+  ``block_bytes``, and the queries are streamed past each block: a task holds
+  a base block and a batch of queries.  No group grows with a hot key: ids are
+  unique and spread by hash.
 * In both cases the per-task candidates are merged with
   ``row_number() <= k`` over ``query_id``, which Spark plans as a partial
   ``WindowGroupLimit`` before the shuffle and a final one after it.
@@ -404,25 +404,44 @@ def _broadcast_candidates(spark, b, tbl, k, metric, dim, qtype, btype, schema):
 
 
 def _block_candidates(b, q, k, metric, dim, qtype, btype, schema, block_bytes):
-    nq, nb = q.count(), b.count()
-    n_qblocks = max(1, math.ceil(nq * dim * 8 / block_bytes))
-    n_bblocks = max(1, math.ceil(nb * dim * 8 / block_bytes))
-    qs = (q.withColumn("qb", F.pmod(F.xxhash64("_id"), F.lit(n_qblocks)))
-           .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_bblocks - 1)).cast("array<long>"))))
-    bs = (b.withColumn("bb", F.pmod(F.xxhash64("_id"), F.lit(n_bblocks)))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1)).cast("array<long>"))))
-
-    def run(qt: pa.Table, bt: pa.Table) -> pa.Table:
-        if qt.num_rows == 0 or bt.num_rows == 0:
-            return pa.Table.from_batches([], schema=_arrow_schema(qtype, btype))
-        qids = np.asarray(qt.column("_id").to_pylist(), dtype=object)
-        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k, _id_dtype(btype))
-        kern.add(_id_array(bt.column("_id").combine_chunks(), btype), _vec_matrix(bt.column("_vec"), dim))
-        qrow, ids, dist, dkey = kern.result()
-        return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
+    """Every base row goes to one block of ``block_bytes``; the queries are streamed past each block.
+
+    A task holds one base block and a batch of queries.  Base rows are copied only as often as it takes to keep the
+    cluster busy when there are fewer blocks than cores."""
+    spark = b.sparkSession
+    blocks = max(1, math.ceil(b.count() * dim * 8 / block_bytes))
+    copies = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = b.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block"), every(copies).alias("_copy"), F.lit(False).alias("_asks"),
+                    F.lit(None).cast(qtype).alias("_qid"), F.col("_id").alias("_bid"), F.col("_vec").cast("array<double>").alias("_vec"))
+    asks = q.select(every(blocks).alias("_block"), F.pmod(F.xxhash64("_id"), F.lit(copies)).alias("_copy"), F.lit(True).alias("_asks"),
+                    F.col("_id").alias("_qid"), F.lit(None).cast(btype).alias("_bid"), F.col("_vec").cast("array<double>").alias("_vec"))
+    dealt = (rows.unionByName(asks).withColumn("_group", F.col("_block") * F.lit(copies) + F.col("_copy")).drop("_block", "_copy")
+             .repartition(blocks * copies, "_group").sortWithinPartitions("_group", "_asks"))
 
-    return (qs.groupBy("qb", "bb").cogroup(bs.groupBy("qb", "bb"))
-              .applyInArrow(run, schema))
+    def run(batches):
+        group, ids, vectors, whole = None, [], [], None
+        for rb in batches:
+            at, ask = rb.column("_group").to_numpy(), rb.column("_asks").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((np.diff(at) != 0) | (ask[1:] != ask[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cut].tolist(), np.r_[cut, len(at)].tolist()):
+                if lo == hi:
+                    continue
+                if at[lo] != group:
+                    group, ids, vectors, whole = at[lo], [], [], None
+                part = rb.slice(lo, hi - lo)
+                mat = _vec_matrix(part.column("_vec"), dim)
+                if not ask[lo]:
+                    ids.append(_id_array(part.column("_bid"), btype))
+                    vectors.append(mat)
+                elif vectors or whole:
+                    if whole is None:
+                        whole, ids, vectors = (np.concatenate(ids), np.vstack(vectors)), [], []
+                    kern = _Kernel(mat, metric, k, _id_dtype(btype))
+                    kern.add(*whole)
+                    yield _to_batch(np.asarray(part.column("_qid").to_pylist(), dtype=object), *kern.result(), qtype, btype)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _arrow_schema(qtype, btype) -> pa.Schema:
