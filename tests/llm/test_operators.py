@@ -617,7 +617,7 @@ def test_empty_tables(spark, none, crf):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
