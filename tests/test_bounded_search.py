@@ -62,3 +62,43 @@ def test_kernel_compares_named_queries_alone():
         a, b = some.result(), full.result()
         own = np.isin(b[0], which)
         assert a[0].tolist() == b[0][own].tolist() and a[1].tolist() == b[1][own].tolist()
+
+
+def test_a_query_goes_once_to_a_bundle_of_lists(spark):
+    base = vectors(spark)
+    q = base.withColumnRenamed("id", "query_id")
+    idx = ivf.build_ivf(base, "id", num_lists=40)
+    vec = q.select("query_id", F.col("embedding").alias("_vec"))
+    rows = idx.rows.select(F.col("id").alias("_id"), "list_id", F.col("embedding").alias("_vec"))
+    named = q.crossJoin(F.broadcast(idx.centroids)).select("query_id", F.col("list_id").alias("neighbor_id"))
+    for probes in (named, None):
+        asks, met = ivf._blocked(idx, probes, vec, rows, True, 10_000, 10_000)
+        assert asks.count() <= 300 * 2 * few(spark) and met.select("_id").distinct().count() == 300
+    assert keyed(ivf.ivf_search(idx, q, 5, fraction=1.0)) == keyed(knn(base, q, 5, base_id="id"))
+
+
+def test_bundles_hold_every_list():
+    counted = {3: 10, 5: 500, 6: 20, 9: 30, 11: 1}
+    got = ivf.bundle_lists(counted, 100, 2)
+    assert set(got) == set(counted) and got[5] == (5, 5)
+    held = {}
+    for i, (first, blocks) in got.items():
+        held[first] = held.get(first, 0) + counted[i]
+        assert held[first] <= 100 * blocks
+    assert ivf.bundle_lists({}, 100, 2) == {}
+
+
+def test_lists_are_ranked_a_bounded_number_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    cents = rng.normal(size=(50, 4))
+    monkeypatch.setattr(ivf, "SLICE_PROBES", 500)
+    q = spark.createDataFrame([(0, [0.0] * 4)], "query_id long, _vec array<double>")
+    ranked = ivf._ranker(q, (np.arange(50), cents), 50, "euclidean", 5, None)
+    vecs = rng.normal(size=(95, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(95)), pa.array(vecs.tolist())], names=["query_id", "_vec"])
+    seen = []
+    for part, qrow, near, rank, _ in ranked([batch]):
+        assert len(near) <= 500
+        seen += list(zip(np.array(part.column("query_id"))[qrow].tolist(), rank.tolist(), near.tolist()))
+    want = np.argsort(np.linalg.norm(vecs[:, None] - cents[None], axis=2), axis=1)
+    assert sorted(seen) == [(i, r + 1, int(want[i, r])) for i in range(95) for r in range(50)]

@@ -20,11 +20,14 @@ Search
 ------
 A task ranks the lists for its own queries; queries are not collected.  The
 probed list ids become a filter on the ``list_id`` folders (dynamic partition
-pruning), so only their files are read.  Probes and rows meet in a cogroup on
-``(list_id, block, query block)``: a list beyond ``max_block_rows`` rows (or
-``block_bytes`` by the vectors' width) is cut into hash blocks, one with more
-than ``max_query_rows`` probes into query blocks.  Candidates are merged with
-``row_number() <= k``.
+pruning), so only their files are read.  Lists travel in bundles (as many rows
+as a task holds, a few bundles at least): a query goes once to each bundle that
+holds a list of its own, with the names of those lists, not once to each list.
+They meet in a cogroup on ``(list_id, block, query block)``, ``list_id`` being
+the first list of the bundle: a list beyond ``max_block_rows`` rows (or
+``block_bytes`` by the vectors' width) is cut into hash blocks, and the queries
+into blocks of ``max_query_rows``.  A query is compared with the rows of its
+own lists alone.  Candidates are merged with ``row_number() <= k``.
 
 With a filter, its rows are counted per list and each query probes as many of
 its nearest lists as hold k of them in sum, at least ``fraction`` of all: one
@@ -48,13 +51,16 @@ from pyspark.sql import types as T
 
 from vectriage.functions.numeric import round_half_away
 from vectriage.operators.knn import (DEFAULT_BLOCK_BYTES, DEFAULT_BROADCAST_BYTES, _Kernel, _arrow_schema, _arrow_type, _field_type, _id_array,
-                                     _id_dtype, _out_schema, _to_batch, _vec_matrix, knn)
+                                     _id_dtype, _out_schema, _to_batch, _vec_matrix, grid, knn, meet, release)
 
 DEFAULT_MAX_BLOCK_ROWS = 200_000
 DEFAULT_MAX_QUERY_ROWS = 20_000
 DEFAULT_TRAIN_PER_LIST = 256
 TRAIN_BYTES = 64 << 20          # vectors of one clustering group
 FLAT_LISTS = 64                 # more lists than this are learnt in two levels
+SLICE_ROWS = 2048               # rows placed at a time in a task
+SLICE_PROBES = 1 << 18          # lists ranked at a time in a task, over its queries
+PIECE_ROWS = 4096               # base rows compared at a time in a task
 CENTROID_SCHEMA = T.StructType([T.StructField("list_id", T.LongType(), False),
                                 T.StructField("centroid", T.ArrayType(T.DoubleType()), False)])
 
@@ -179,9 +185,7 @@ def assign_nearest(rows: DataFrame, centroids: DataFrame, id_col: str, vec_col:
 
     def run(batches):
         ids_, mat_ = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, SLICE_ROWS) for b in batches for lo in range(0, b.num_rows, SLICE_ROWS)):
             # queries of the kernel are the rows, its base the centroids
             kern = _Kernel(_vec_matrix(batch.column(vec_col), mat_.shape[1]), kind, 1, np.int64)
             kern.add(ids_, mat_)
@@ -189,6 +193,7 @@ def assign_nearest(rows: DataFrame, centroids: DataFrame, id_col: str, vec_col:
             gap = np.sqrt(2.0 * dist) if kind == "cosine" else dist
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(qrow)), pa.array(near), batch.column(vec_col).take(pa.array(qrow)), pa.array(gap)],
                                              names=[id_col, "list_id", vec_col, "centroid_distance"])
+        release()
 
     schema = f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, list_id long, `{vec_col}` array<double>, centroid_distance double"
     return rows.mapInArrow(run, schema)
@@ -423,37 +428,100 @@ def probe_lists(index: IVFIndex, queries: DataFrame, nprobe: int, metric: str, k
         before = F.sum("_n").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
         near = near.join(held, "neighbor_id").withColumn("_before", F.coalesce(before, F.lit(0)))
         return near.where((F.col("rank") <= nprobe) | (F.col("_before") < k)).select("query_id", "neighbor_id", "rank", "gap")
-    ids, mat = known
-    held = None if counts is None else np.array([counts.get(int(i), 0) for i in ids], np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, mat, held))
+    ranked = _ranker(queries, known, nprobe, metric, k, counts)
     schema = T.StructType([T.StructField("query_id", qtype), T.StructField("neighbor_id", T.LongType()), T.StructField("rank", T.LongType()),
                            T.StructField("gap", T.DoubleType())])
 
     def run(batches):
+        for batch, qrow, near, rank, dist in ranked(batches):
+            gap = pa.array(np.sqrt(2.0 * dist) if metric == "cosine" else dist) if metric != "dot" else pa.nulls(len(dist), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(qrow)), pa.array(near), pa.array(rank), gap],
+                                             names=["query_id", "neighbor_id", "rank", "gap"])
+        release()
+
+    return queries.select("query_id", "_vec").mapInArrow(run, schema)
+
+
+def _ranker(queries: DataFrame, known, nprobe: int, metric: str, k: int, counts: dict[int, int] | None):
+    """Function over batches (query_id, _vec): (slice, query row, list, rank, distance) of the lists that ``probe_lists`` names."""
+    ids, mat = known
+    held = None if counts is None else np.array([counts.get(int(i), 0) for i in ids], np.int64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, mat, held))
+    most = len(ids) if held is not None else nprobe
+    step = max(1, min(SLICE_ROWS, SLICE_PROBES // max(1, most)))
+
+    def ranked(batches):
         ids_, mat_, held_ = shared.value
+        if not len(ids_):
+            return
         place = {int(i): p for p, i in enumerate(ids_)}
-        for batch in batches:
-            if not batch.num_rows or not len(ids_):
-                continue
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
             q = batch.column("_vec")
             if (np.diff(q.offsets.to_numpy()) != mat_.shape[1]).any():
                 raise ValueError(f"query vectors are not {mat_.shape[1]} wide")
-            kern = _Kernel(_vec_matrix(q, mat_.shape[1]), metric, len(ids_) if held_ is not None else nprobe, np.int64)
+            kern = _Kernel(_vec_matrix(q, mat_.shape[1]), metric, most, np.int64)
             kern.add(ids_, mat_)
             qrow, near, dist, _ = kern.result()
             start = np.searchsorted(qrow, qrow)
-            rank = np.arange(len(qrow)) - start + 1
-            keep = np.ones(len(qrow), bool)
+            rank = (np.arange(len(qrow)) - start + 1).astype(np.int64)
             if held_ is not None:
                 n = held_[[place[int(i)] for i in near]] if len(near) else np.zeros(0, np.int64)
                 total = np.r_[0, np.cumsum(n)]
                 keep = ((rank <= nprobe) | (total[:-1] - total[start] < k)) & (n > 0)
-            gap = pa.array(np.sqrt(2.0 * dist) if metric == "cosine" else dist) if metric != "dot" else pa.nulls(len(dist), pa.float64())
-            out = pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(qrow)), pa.array(near), pa.array(rank.astype(np.int64)), gap],
-                                             names=["query_id", "neighbor_id", "rank", "gap"])
-            yield out.filter(pa.array(keep))
+                qrow, near, rank, dist = qrow[keep], near[keep], rank[keep], dist[keep]
+            yield batch, qrow, near, rank, dist
+
+    return ranked
+
+
+def bundle_lists(counted: dict[int, int], most: int, parts: int) -> dict[int, tuple[int, int]]:
+    """Lists (with their rows) in bundles of neighbouring ids: {list: (first list of its bundle, blocks of the bundle)}.
+
+    A bundle has at most ``most`` rows, or is one larger list in blocks; there are about ``parts`` bundles at least."""
+    total = sum(counted.values())
+    share = max(1, min(most, math.ceil(total / max(1, parts))))
+    out, lists, n = {}, [], 0
+
+    def close():
+        for i in lists:
+            out[i] = (lists[0], max(1, math.ceil(n / most)))
+
+    for i in sorted(counted):
+        if lists and n + counted[i] > share:
+            close()
+            lists, n = [], 0
+        lists.append(i)
+        n += counted[i]
+    close()
+    return out
 
-    return queries.select("query_id", "_vec").mapInArrow(run, schema)
+
+def _packed_probes(index: IVFIndex, q: DataFrame, known, nprobe: int, metric: str, k: int, counts: dict[int, int] | None):
+    """Function of the bundles: (query_id, list_id: the bundle, _lists: the probed lists in it, _vec), made where the lists are ranked."""
+    qtype = _field_type(q, "query_id")
+    ranked = _ranker(q, known, nprobe, metric, k, counts)
+
+    def packed(bundles: dict[int, tuple[int, int]]) -> DataFrame:
+        shared = q.sparkSession.sparkContext.broadcast({i: b for i, (b, _) in bundles.items()})
+
+        def run(batches):
+            for batch, qrow, near, _, _ in ranked(batches):
+                home = np.array([shared.value.get(int(i), -1) for i in near], np.int64)
+                qrow, near, home = qrow[home >= 0], near[home >= 0], home[home >= 0]
+                order = np.lexsort((near, home, qrow))
+                qrow, near, home = qrow[order], near[order], home[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(qrow) != 0) | (np.diff(home) != 0)][:len(qrow)])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(qrow)].astype(np.int32)), pa.array(near))
+                at = pa.array(qrow[first])
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), pa.array(home[first]), lists, batch.column("_vec").take(at)],
+                                                 names=["query_id", "list_id", "_lists", "_vec"])
+            release()
+
+        schema = T.StructType([T.StructField("query_id", qtype), T.StructField("list_id", T.LongType()), T.StructField("_lists", T.ArrayType(T.LongType())),
+                               T.StructField("_vec", T.ArrayType(T.DoubleType()))])
+        return q.select("query_id", "_vec").mapInArrow(run, schema)
+
+    return packed
 
 
 def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float = 0.1, *,
@@ -478,7 +546,6 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
     if filtered and widen:
         # one row per list
         counts = {r["list_id"]: r["n"] for r in rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    probes = probe_lists(index, q, nprobe, metric, k, counts)
     rows = rows.select(F.col(index.id_col).alias("_id"), "list_id", F.col(index.vec_col).cast("array<double>").alias("_vec"))
     stored = index.sizes is not None and not filtered
     types = _field_type(queries, query_id), _field_type(index.rows, index.id_col)
@@ -487,9 +554,14 @@ def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 10, fraction: float
         max_block_rows = max(1, block_bytes // (8 * max(1, len(first["centroid"]) if first else 1)))
     args = (index, q, rows, stored, max_block_rows, max_query_rows, metric, k, *types)
     if bound and metric != "dot" and index.sizes is not None and "radius" in index.sizes.columns:
-        cand = _bounded(probes, *args)
+        cand = _bounded(probe_lists(index, q, nprobe, metric, k, counts), *args)
+    elif nprobe == index.num_lists:
+        cand = _candidates(None, *args)
     else:
-        cand = _candidates(probes.select("query_id", "neighbor_id"), *args)
+        known = _matrix_broadcast(index.centroids)
+        probes = (probe_lists(index, q, nprobe, metric, k, counts).select("query_id", "neighbor_id") if known is None
+                  else _packed_probes(index, q, known, nprobe, metric, k, counts))
+        cand = _candidates(probes, *args)
     w = Window.partitionBy("query_id").orderBy("dkey", "neighbor_id")
     res = (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
                .select("query_id", "neighbor_id", "rank", "distance"))
@@ -511,31 +583,60 @@ def _bounded(probes, index, q, rows, stored, max_block_rows, max_query_rows, met
 
 
 def _blocked(index, probes, q, rows, stored_sizes, max_block_rows, max_query_rows):
-    """(probes with their query vectors, rows), both on (list_id, _block, _qblock): each probe meets each row of its list once."""
-    # at most num_lists ids; the comparison lets Spark take them as a filter on the list folders
-    probed = F.broadcast(probes.groupBy(F.col("neighbor_id").alias("list_id")).agg(F.count(F.lit(1)).alias("_q")).where("list_id >= 0"))
-    rows = rows.join(probed, "list_id", "left_semi")
-    # list sizes only set the block split (balance, not results): use the
-    # counted sizes when there is no filter, else count the filtered rows
-    counted = (index.sizes.select("list_id", F.col("n_rows").alias("_n")) if stored_sizes and index.sizes is not None
-               else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
-    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(most))).cast("long")
-    # num_lists rows: bounded by the index parameter
-    sizes = F.broadcast(counted.join(probed, "list_id").select(
-        "list_id", blocks("_n", max_block_rows).alias("_blocks"), blocks("_q", max_query_rows).alias("_qblocks")))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = (rows.join(sizes, "list_id").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
-                .withColumn("_qblock", every("_qblocks")).drop("_blocks", "_qblocks"))
-    pq = (probes.select("query_id", F.col("neighbor_id").alias("list_id"))
-                .join(q, "query_id").join(sizes, "list_id")
-                .withColumn("_qblock", F.pmod(F.xxhash64("query_id"), F.col("_qblocks")))
-                .withColumn("_block", every("_blocks"))
-                .drop("_blocks", "_qblocks").withColumnRenamed("query_id", "_id"))
-    return pq, rows
+    """(queries, rows), both on (list_id, _block, _qblock): each probe meets each row of its list once.
+
+    ``list_id`` is the first list of a bundle; ``_lists`` are a query's own ones in it (null: all), ``_list`` is a row's.
+    ``probes``: rows (query_id, neighbor_id), a function of the bundles (``_packed_probes``), or None for every list."""
+    spark = rows.sparkSession
+    q = q.where(F.col("query_id").isNotNull())
+    # list sizes only set the bundles and blocks (balance, not results): use the
+    # counted sizes when there is no filter, else count the filtered rows; one row per list
+    sized = (index.sizes.select("list_id", F.col("n_rows").alias("_n")) if stored_sizes and index.sizes is not None
+             else rows.groupBy("list_id").agg(F.count(F.lit(1)).alias("_n")))
+    counted = {r["list_id"]: r["_n"] for r in sized.where("list_id >= 0").collect()}
+    parts, _ = grid(spark, sum(counted.values()), max_block_rows)
+    bundles = bundle_lists(counted, max_block_rows, parts)
+    asked = max(1, math.ceil(q.count() / max_query_rows), grid(spark, sum(counted.values()), max_block_rows)[1])
+    known = F.broadcast(spark.createDataFrame([(i, b, n) for i, (b, n) in bundles.items()], "list_id long, _bundle long, _blocks long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    firsts = F.broadcast(known.where("list_id = _bundle").select(F.col("_bundle").alias("list_id"), "_blocks"))
+    if probes is None:
+        asks = q.join(firsts.withColumnRenamed("list_id", "_first")).select(
+            F.col("query_id").alias("_id"), F.col("_first").alias("list_id"), F.lit(None).cast("array<long>").alias("_lists"), "_vec", "_blocks")
+    else:
+        if callable(probes):
+            packed = probes(bundles)
+            probed = packed.select(F.explode("_lists").alias("list_id"))
+        else:
+            probed = probes.select(F.col("neighbor_id").alias("list_id"))
+            packed = (probes.select("query_id", F.col("neighbor_id").alias("list_id")).join(known, "list_id")
+                      .groupBy("query_id", "_bundle").agg(F.collect_set("list_id").alias("_lists"))
+                      .join(q, "query_id").select("query_id", F.col("_bundle").alias("list_id"), "_lists", "_vec"))
+        # at most num_lists ids; the comparison lets Spark take them as a filter on the list folders
+        rows = rows.join(F.broadcast(probed.groupBy("list_id").agg(F.count(F.lit(1)).alias("_q")).where("list_id >= 0")), "list_id", "left_semi")
+        asks = packed.where("query_id is not null").join(firsts, "list_id").select(F.col("query_id").alias("_id"), "list_id", "_lists", "_vec", "_blocks")
+    met = (rows.join(known, "list_id").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+               .withColumn("_qblock", every(F.lit(asked).cast("long"))).withColumnRenamed("list_id", "_list").withColumnRenamed("_bundle", "list_id").drop("_blocks"))
+    asks = asks.withColumn("_qblock", F.pmod(F.xxhash64("_id"), F.lit(asked))).withColumn("_block", every(F.col("_blocks"))).drop("_blocks")
+    return asks, met
+
+
+def _repeated(batches, ids):
+    """Candidates as often as their query's id occurs among the queries of the group."""
+    times = None
+    if len(set(ids)) < len(ids):
+        times = {}
+        for i in ids:
+            times[i] = times.get(i, 0) + 1
+    for batch in batches:
+        if times:
+            n = np.array([times[i] for i in batch.column("query_id").to_pylist()], np.int64)
+            batch = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+        yield batch
 
 
 def _candidates(probes, index, q, rows, stored, max_block_rows, max_query_rows, metric, k, qtype, btype):
-    """Top-k candidates of every (list, block, query block) that the probes name."""
+    """Top-k candidates of every (bundle of lists, block, query block) that the probes name."""
     pq, rows = _blocked(index, probes, q, rows, stored, max_block_rows, max_query_rows)
     schema = _out_schema(qtype, btype)
 
@@ -544,13 +645,35 @@ def _candidates(probes, index, q, rows, stored, max_block_rows, max_query_rows,
             return pa.Table.from_batches([], schema=_arrow_schema(qtype, btype))
         dim = len(qt.column("_vec")[0].as_py())
         qids = np.asarray(qt.column("_id").to_pylist(), dtype=object)
-        kern = _Kernel(_vec_matrix(qt.column("_vec"), dim), metric, k, _id_dtype(btype))
-        kern.add(_id_array(bt.column("_id").combine_chunks(), btype), _vec_matrix(bt.column("_vec"), dim))
-        qrow, ids, dist, dkey = kern.result()
-        return pa.Table.from_batches([_to_batch(qids, qrow, ids, dist, dkey, qtype, btype)])
-
-    return (pq.groupBy("list_id", "_block", "_qblock").cogroup(rows.groupBy("list_id", "_block", "_qblock"))
-              .applyInArrow(run, schema))
+        Q, B = _vec_matrix(qt.column("_vec"), dim), _vec_matrix(bt.column("_vec"), dim)
+        ids, wanted = _id_array(bt.column("_id").combine_chunks(), btype), None
+        if qt.column("_lists").null_count:          # all lists of the bundle
+            pieces = [lambda i=i: (ids[i:i + PIECE_ROWS], B[i:i + PIECE_ROWS]) for i in range(0, len(ids), PIECE_ROWS)]
+        else:
+            home = bt.column("_list").to_numpy()
+            order = np.argsort(home, kind="stable")
+            lists, first = np.unique(home[order], return_index=True)
+            ends = np.r_[first[1:], len(order)]
+            spans = [(p, order[i:min(i + PIECE_ROWS, e)]) for p, (f, e) in enumerate(zip(first.tolist(), ends.tolist())) for i in range(f, e, PIECE_ROWS)]
+            pieces = [lambda at=at: (ids[at], B[at]) for _, at in spans]
+            named = qt.column("_lists").combine_chunks()
+            asker = np.repeat(np.arange(len(qids)), np.diff(named.offsets.to_numpy()))
+            asked = named.flatten().to_numpy()
+            by = np.lexsort((asker, asked))
+            asker, asked = asker[by], asked[by]
+
+            def wanted(piece, lo, hi):
+                a, b = np.searchsorted(asked, [lists[spans[piece][0]], lists[spans[piece][0]] + 1])
+                own = asker[a:b]
+                return own[np.searchsorted(own, lo):np.searchsorted(own, hi)] - lo
+
+        out = pa.Table.from_batches(_repeated(meet(qids, Q, pieces, metric, k, qtype, btype, wanted), qids.tolist()), schema=_arrow_schema(qtype, btype))
+        del Q, B, pieces
+        release()
+        return out
+
+    on = ["list_id", "_block", "_qblock"]
+    return pq.groupBy(*on).cogroup(rows.groupBy(*on)).applyInArrow(run, schema)
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -908,7 +908,9 @@ def q_exact_vs_ivf(spark, sf_dir):
     from vectriage.operators.ivf import ivf_search, recall_at_k
     t, idx = _ivf(spark, sf_dir)
     q = ticket_queries(t)
-    exact = knn_mod.knn(t, q, 10, base_id="ticket_id")
+    path = _shared(spark, "exact")             # searched once, compared with each fraction
+    knn_mod.knn(t, q, 10, base_id="ticket_id").write.parquet(path)
+    exact = spark.read.parquet(path)
     parts = []
     for f in EXACT_VS_IVF_FRACTIONS:
         rec = recall_at_k(exact, ivf_search(idx, q, 10, fraction=f))
