@@ -102,3 +102,12 @@ def test_lists_are_ranked_a_bounded_number_at_a_time(spark, monkeypatch):
         seen += list(zip(np.array(part.column("query_id"))[qrow].tolist(), rank.tolist(), near.tolist()))
     want = np.argsort(np.linalg.norm(vecs[:, None] - cents[None], axis=2), axis=1)
     assert sorted(seen) == [(i, r + 1, int(want[i, r])) for i in range(95) for r in range(50)]
+
+
+def test_a_query_goes_once_to_a_bundle_of_rings(spark):
+    from vectriage.operators.ring import ring_bundles
+    base = vectors(spark, 400)
+    q = base.withColumnRenamed("id", "query_id")
+    asks, rows, _, _ = ring_bundles(base, q, 0.9)
+    assert asks.count() <= 400 * 2 * few(spark)
+    assert keyed(knn(base, q, 6, base_id="id", within=0.9, strategy="ring")) == keyed(knn(base, q, 6, base_id="id", within=0.9))
