@@ -111,3 +111,22 @@ def test_a_query_goes_once_to_a_bundle_of_rings(spark):
     asks, rows, _, _ = ring_bundles(base, q, 0.9)
     assert asks.count() <= 400 * 2 * few(spark)
     assert keyed(knn(base, q, 6, base_id="id", within=0.9, strategy="ring")) == keyed(knn(base, q, 6, base_id="id", within=0.9))
+
+
+def test_texts_are_embedded_a_bounded_number_at_a_time(monkeypatch):
+    from vectriage.functions import embed
+    texts = pa.array([None, "", "a b c", "Straße x" * 50, "b b", None, "c d " * 30], pa.string())
+    want = embed.hash_embed_arrow(texts, 16).to_pylist()
+    sizes, real = [], embed._embed_slice
+
+    def spy(part, dim, cache):
+        sizes.append(sum(len((t or "").encode()) for t in part.to_pylist()) if len(part) > 1 else 0)
+        return real(part, dim, cache)
+
+    monkeypatch.setattr(embed, "_embed_slice", spy)
+    monkeypatch.setattr(embed, "SLICE_BYTES", 40)
+    monkeypatch.setattr(embed, "CACHED_TOKENS", 2)
+    cache = {}
+    assert embed.hash_embed_arrow(texts, 16, cache).to_pylist() == want
+    assert len(sizes) > 2 and max(sizes) <= 40 and len(cache) <= 2
+    assert embed.hash_embed_arrow(pa.array([], pa.string()), 16).to_pylist() == []
