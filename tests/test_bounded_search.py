@@ -130,3 +130,17 @@ def test_texts_are_embedded_a_bounded_number_at_a_time(monkeypatch):
     assert embed.hash_embed_arrow(texts, 16, cache).to_pylist() == want
     assert len(sizes) > 2 and max(sizes) <= 40 and len(cache) <= 2
     assert embed.hash_embed_arrow(pa.array([], pa.string()), 16).to_pylist() == []
+
+
+def test_streaming_triage_reads_a_folder_of_part_files(spark, tmp_path):
+    from vectriage.plans.registry import QUERIES
+    rng = np.random.default_rng(6)
+    orders = [(i, i % 7, "FOP"[i % 3], 100.0 * i, dt.datetime(2001, 1, 1 + i % 28), "2-HIGH") for i in range(1, 41)]
+    for name, files in (("one", 1), ("many", 5)):
+        d = tmp_path / name
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+                              ).write.parquet(str(d / "orders.parquet"))
+        vecs = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(1, 41)]
+        spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label long").repartition(files).write.parquet(str(d / "embeddings.parquet"))
+        got = QUERIES["streaming_triage"](spark, str(d)).collect()
+        assert sorted(r.query_id for r in got) == list(range(1, 41))

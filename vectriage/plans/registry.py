@@ -1098,9 +1098,12 @@ def q_streaming_triage(spark, sf_dir):
     is triaged against the ticket base, one micro-batch per file."""
     from vectriage.streaming.triage_stream import triage_files
     from vectriage.sources.tables import read_table
-    schema = read_table(spark, sf_dir, "embeddings").schema
+    table = read_table(spark, sf_dir, "embeddings")
     base = _tickets(spark, sf_dir)
-    out = triage_files(spark, sf_dir, "embeddings.parquet", schema, base, "vec_id")
+    # the table is one file, or a folder of part files
+    single = [f.rstrip("/").rsplit("/", 1)[-1] for f in table.inputFiles()] == ["embeddings.parquet"]
+    folder, files = (sf_dir, "embeddings.parquet") if single else (f"{sf_dir.rstrip('/')}/embeddings.parquet", "*")
+    out = triage_files(spark, folder, files, table.schema, base, "vec_id")
     return out.select("query_id", "similar_ids", "category", "category_confidence", "priority", "solution",
                       "confidence", "similar_ticket_count", "error")
 
