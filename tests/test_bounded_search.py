@@ -144,3 +144,18 @@ def test_streaming_triage_reads_a_folder_of_part_files(spark, tmp_path):
         spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label long").repartition(files).write.parquet(str(d / "embeddings.parquet"))
         got = QUERIES["streaming_triage"](spark, str(d)).collect()
         assert sorted(r.query_id for r in got) == list(range(1, 41))
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    from vectriage.llm import jaccard_join as jj
+    plans, real = [], jj._packed_sets
+
+    def spy(docs, n):
+        plans.append(docs._jdf.queryExecution().optimizedPlan().toString())
+        return real(docs, n)
+
+    monkeypatch.setattr(jj, "_packed_sets", spy)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g h"), (4, "p q r s t"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jj.jaccard_join(docs, n=2, num=80, den=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert any("LeftSemi" in line and "broadcast" in line for plan in plans for line in plan.split("\n"))

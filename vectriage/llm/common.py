@@ -149,6 +149,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def if_few(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """Keys of 8 bytes, checkpointed; broadcast while they are at most ``most``, so that the other side stays where it is."""
+    keys = keep(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, whatever other columns there are."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vectriage.llm.common import (U64, components, freeing, keep, keyed_texts, mix, packed, placed, places, release, row_ranges, text_bytes,
+from vectriage.llm.common import (U64, components, freeing, if_few, keep, keyed_texts, mix, packed, placed, places, release, row_ranges, text_bytes,
                                   word_hashes)
 
 STEP = U64(0xD6E8FEB86659FD93)
@@ -328,7 +328,8 @@ def _join(texts: DataFrame, n: int, num: int, den: int, share: int, bucket_grams
               .groupBy("slot").applyInArrow(_sum_of_slot, "doc_id long, shared long"))
     live = (classes.withColumnRenamed("class_id", "doc_id").join(shared, "doc_id")
             .where(f"shared >= {bounds.least_sql}").select("doc_id"))
-    sets = keep(_packed_sets(known.join(live, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
+    # Texts without a possible partner stay where they are; only the others are dealt by their id.
+    sets = keep(_packed_sets(known.join(if_few(live), "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
 
     entries = _block_columns(sets, bounds)
     often = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
