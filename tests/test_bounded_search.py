@@ -159,3 +159,45 @@ def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jj.jaccard_join(docs, n=2, num=80, den=100).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
     assert any("LeftSemi" in line and "broadcast" in line for plan in plans for line in plan.split("\n"))
+
+
+def test_vectors_of_near_copies_are_gathered_a_bounded_number_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=8) + rng.normal(size=(300, 8)) * 1e-9         # the screen cannot tell them apart
+    Q, B = near[:60], near[60:]
+    gathered, real = [], knn_mod._Kernel._exact
+
+    def spy(self, r, c, Bp, B):
+        gathered.append(len(r))
+        return real(self, r, c, Bp, B)
+
+    for metric in ("cosine", "euclidean", "dot"):
+        whole = knn_mod._Kernel(Q, metric, 4, np.int64)
+        whole.add(np.arange(240), B)
+        with monkeypatch.context() as m:
+            m.setattr(knn_mod._Kernel, "_exact", spy)
+            m.setattr(knn_mod, "TILE_BYTES", 16 * 8 * 50)                # vectors of fifty pairs
+            some = knn_mod._Kernel(Q, metric, 4, np.int64)
+            some.add(np.arange(240), B)
+        assert gathered and max(gathered) <= 50
+        assert [x.tolist() for x in some.result()] == [x.tolist() for x in whole.result()]
+
+
+def test_only_k_of_equal_rows_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(5, 6))
+    rows = [(int(i), vecs[i % 5 if i % 3 else 0].tolist()) for i in rng.permutation(200)] + [(7, vecs[2].tolist())]
+    base = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    asked = [r for r in rows[:-1] if r[0] < 40]
+    q = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    ids, mat = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    kept, left = knn_mod._without_spare_copies(ids, mat, 3)
+    assert len(kept) == 15 and all((mat[ids == i] == v).all(axis=1).any() for i, v in zip(kept, left))
+    for metric in ("cosine", "euclidean", "dot"):
+        want = []
+        for i, v in asked:
+            a, b = np.array(v), mat
+            d = {"cosine": 1 - b @ a / np.linalg.norm(b, axis=1) / np.linalg.norm(a), "euclidean": np.linalg.norm(b - a, axis=1), "dot": -(b @ a)}[metric]
+            want += [(i, int(ids[j]), r + 1) for r, j in enumerate(np.lexsort((ids, np.round(np.maximum(d, 0.0) if metric == "cosine" else d, 9) + 0.0))[:3])]
+        for strategy in ("broadcast", "block"):
+            assert keyed(knn(base, q, 3, metric, base_id="id", strategy=strategy)) == sorted(want), (metric, strategy)
