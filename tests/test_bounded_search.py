@@ -201,3 +201,36 @@ def test_only_k_of_equal_rows_are_compared(spark, monkeypatch):
             want += [(i, int(ids[j]), r + 1) for r, j in enumerate(np.lexsort((ids, np.round(np.maximum(d, 0.0) if metric == "cosine" else d, 9) + 0.0))[:3])]
         for strategy in ("broadcast", "block"):
             assert keyed(knn(base, q, 3, metric, base_id="id", strategy=strategy)) == sorted(want), (metric, strategy)
+
+
+def test_a_task_of_a_search_of_all_tickets_holds_a_bounded_part(spark, tmp_path, monkeypatch):
+    from vectriage.plans.registry import QUERIES
+    rng = np.random.default_rng(8)
+    held, frame = [], type(spark.range(1))
+    real = frame.mapInArrow
+
+    def spy(self, *args, **kwargs):
+        if "_group" in self.columns:
+            held.append(self.where("not _asks").groupBy("_group").count().agg(F.max("count")).first()[0])
+        return real(self, *args, **kwargs)
+
+    for n in (60, 200):
+        d = tmp_path / str(n)
+        # a quarter of an hour each: averages are exact in any order
+        orders = [(i, i % 7, "FOP"[i % 3], 2500.0 * i, dt.datetime(2001, 1, 1 + i % 28), "2-HIGH") for i in range(1, n + 1)]
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+                              ).write.parquet(str(d / "orders.parquet"))
+        vecs = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(1, n + 1)]
+        spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label long").write.parquet(str(d / "embeddings.parquet"))
+    for name in ("recommend_bands", "knn_cosine", "production_triage", "batch_triage", "multi_field_search", "knn_dot"):
+        want = sorted(map(str, QUERIES[name](spark, str(tmp_path / "200")).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(frame, "mapInArrow", spy)
+            m.setattr(knn_mod, "DEFAULT_BLOCK_BYTES", 20 * 8 * 4)                       # parts of twenty rows
+            m.setitem(knn_mod.knn_bounded.__kwdefaults__, "broadcast_bytes", 1)
+            m.setitem(knn_mod.knn_bounded.__kwdefaults__, "block_bytes", 20 * 8 * 4)
+            held.clear()
+            QUERIES[name](spark, str(tmp_path / "60"))
+            got = QUERIES[name](spark, str(tmp_path / "200"))
+        assert sorted(map(str, got.collect())) == want, name
+        assert len(held) == 2 and held[1] < 2 * held[0] and max(held) <= 2 * 20, (name, held)
