@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectriage.operators import ring
-from vectriage.operators.blocks import kept, read_block
+from vectriage.operators.blocks import kept, open_block
 from vectriage.operators.knn import knn
 
 
@@ -53,12 +53,14 @@ def test_streamed_search_sends_no_vector_twice(spark, small):
     got = knn(base, q, 7, base_id="id", within=0.05, **small[0])
     got.collect()
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
-    held, asks = ([sum(b.num_rows for b in read_block(r.body)) for r in side.collect()] for side in small[1])
+    held, asks = ([open_block(body).read_all().num_rows for _, _, body in side.collect()] for side in small[1])
     assert len(held) > 7 and len(asks) > 7 and max(held + asks) <= 50
     # every usable query once; of the base all but spare copies
     assert sum(asks) == 420 and 360 <= sum(held) <= 420
-    pieces = [pickle.loads(r.head) for r in small[1][0].collect()]
-    assert all((hi - lo).max() <= 16 and len(home) == len(least) == len(largest) for home, lo, hi, least, largest, _ in pieces)
+    for _, head, body in small[1][0].collect():
+        home, least, largest, _ = pickle.loads(head)
+        block = open_block(body)
+        assert len(home) == block.num_record_batches and max(block.get_batch(i).num_rows for i in range(len(home))) <= 16 and (least <= largest).all()
 
 
 def test_streamed_search_of_repeated_and_null_ids_as_in_bundles(spark, small):
