@@ -87,3 +87,31 @@ def test_kept_rows_are_computed_once_and_equal(spark):
         assert plain(held) == plain(df)
     assert count.value == df.count() and held.schema == df.schema
     assert kept(df.where("id < 0")).count() == 0
+
+
+def test_many_queries_with_a_cut_are_streamed(spark, small):
+    base = rows(spark)
+    q = base.withColumnRenamed("id", "query_id")
+    got = knn(base, q, 5, base_id="id", within=0.02, broadcast_bytes=48 * 10, block_bytes=small[0]["block_bytes"])
+    assert keyed(got) == keyed(knn(base, q, 5, base_id="id", within=0.02)) and len(small[1]) == 2
+
+
+@pytest.mark.parametrize("query", ["duplicate_detection", "duplicate_detection_ring"])
+def test_duplicate_detection_embeds_the_documents_once(spark, monkeypatch, query):
+    from vectriage.plans import registry
+    count, made = spark.sparkContext.accumulator(0), registry._docs_embedded
+
+    def counted(*a):
+        def run(batches):
+            for rb in batches:
+                count.add(rb.num_rows)
+                yield rb
+
+        df = made(*a).select("doc_id", "embedding")
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(registry, "_docs_embedded", counted)
+    texts = [(i, f"word{i % 9} word{i % 4} thing", "en", "s", 1) for i in range(60)] + [(60, "", "en", "s", 0)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr("vectriage.sources.tables.read_table", lambda *a: docs)
+    assert registry.QUERIES[query](spark, "").count() > 60 and count.value == 61
